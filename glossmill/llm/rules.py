@@ -18,7 +18,7 @@ from .common import held_out, sample_of, store
 #: Fixed values of the contract: word separators, counted symbols, window, and the base limits.
 SPACES, SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]", 5, 10, 20
 #: Labelled documents to learn from (about), bins per feature, and the limits on rules.
-TRAINING_DOCS, BINS, MAX_RULES, MAX_CONDITIONS, PRECISION, LEAST_COVERED = 20_000, 24, 8, 3, 0.97, 12
+TRAINING_DOCS, BINS, MAX_RULES, MAX_CONDITIONS, PRECISION, LEAST_COVERED = 20_000, 24, 8, 3, 0.97, 4
 
 FEATURES = {
     "n_words": "n_words",
