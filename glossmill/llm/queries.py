@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, langid, packing, quality, rules, urls
+from . import bpe, chat, jaccard, langid, packing, quality, rlbwt, rules, urls
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), jaccard.Similarity(n=3, num=90, den=100))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlbwt.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 #: Fixed values of the contract.
 URL_RULES = [urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"), urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/")]
 
@@ -56,6 +60,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_byte_bpe, op4_quality_rules, op5_packing, op7_jaccard_join, op9_url_filters, op10_quality_classifier)
+    f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_byte_bpe, op4_quality_rules, op5_packing, op7_jaccard_join, op8_suffix_dedup, op9_url_filters, op10_quality_classifier)
 }
 ORACLES: dict[str, str] = {}
