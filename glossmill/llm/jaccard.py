@@ -352,7 +352,8 @@ def groups(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
             for b in steps(batches, "text"):
                 yield pa.record_batch({"doc_id": b.column(0), "grp": b.column(2), "s": pa.array([shingles(t, sim.n).tobytes() for t in b.column(1).to_pylist()], pa.binary())})
 
-        own = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").join(coarse.selectExpr("id AS doc_id", "component AS grp"), "doc_id").select("doc_id", "text", "grp")
+        # the candidates' ids grow with the data, so they are not broadcast, however few they may be
+        own = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").join(coarse.selectExpr("id AS doc_id", "component AS grp").hint("merge"), "doc_id").select("doc_id", "text", "grp")
         members = own.mapInArrow(sets, "doc_id bigint, grp bigint, s binary")
         members = store(members.join(store(sizes.where(F.col("g") > SMALL).selectExpr("component AS grp", "g")), "grp", "left"))
         # small components: each set against those before it. Larger ones: every set against the leaders
