@@ -27,7 +27,7 @@ from .jaccard import _powers, mix
 #: Bytes of a repeated string, and of the strings that minimizers are.
 LENGTH, SEED_BYTES = 50, 20
 #: Bytes of a text that are hashed at once, and fragments that a task holds before it sends them.
-PORTION, FLUSH = 1 << 19, 1_500_000
+PORTION, FLUSH = 1 << 19, 300_000
 #: Buckets of minimizers for each shuffle partition.
 BUCKETS_PER_PARTITION = 8
 
@@ -171,15 +171,15 @@ class RunLengthIndex:
 def repeated_windows(contents: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each content of a document, the places of its windows that also occur in a content of a smaller document."""
     index = RunLengthIndex(contents)
-    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([index.text, np.full(length, -1, np.int16)]), length)
-    a, b = index.order[:-1], index.order[1:]
+    text = np.concatenate([index.text, np.full(length, -1, np.int16)])
+    left = np.arange(1, index.n)  # rows that agree with the row before them in the bytes looked at so far
+    for k in range(length):
+        left = left[text[index.order[left] + k] == text[index.order[left - 1] + k]]
     same = np.zeros(index.n, dtype=bool)
-    for k in range(0, index.n - 1, 200_000):
-        same[k + 1 : k + 200_001] = (view[a[k : k + 200_000]] == view[b[k : k + 200_000]]).all(axis=1)
+    same[left] = True
     group = np.cumsum(~same) - 1  # rows that share their first `length` bytes
     of = np.searchsorted(index.starts, index.order, side="right") - 1
     first = np.minimum.reduceat(docs[of], np.flatnonzero(~same))
-    out: list[list[np.ndarray]] = [[] for _ in contents]
     hits_t, hits_p = [], []
     for text, place, n, row in index.matching_statistics(contents):
         hit = (n >= length) & (first[group[row]] < docs[text])
@@ -187,8 +187,9 @@ def repeated_windows(contents: list[bytes], docs: np.ndarray, length: int = LENG
         hits_p.append(place[hit])
     t, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hits_t, hits_p))
     order = np.lexsort((p, t))
-    cut = np.searchsorted(t[order], np.arange(len(out) + 1))
-    return [p[order][x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    t, p = t[order], p[order]
+    cut = np.searchsorted(t, np.arange(len(contents) + 1))
+    return [p[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _rows(kind: int, spans: np.ndarray, h: np.ndarray | None = None) -> pa.RecordBatch:
