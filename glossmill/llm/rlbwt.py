@@ -32,6 +32,8 @@ PORTION, FLUSH = 1 << 19, 300_000
 BUCKETS_PER_PARTITION = 8
 
 _FRAGMENT = np.dtype([("h", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("n", "<i4")])
+#: Bytes of each field that are sent, the lowest first; the two hashes keep 48 bits.
+_SENT = {"h": 6, "f": 6, "doc": 8, "key": 3, "lo": 6, "n": 1}
 _SPAN = np.dtype([("doc", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("n", "<i8")])
 
 
@@ -65,6 +67,22 @@ def fragments(raw: np.ndarray, length: int = LENGTH, seed_bytes: int = SEED_BYTE
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Fragments as bytes, one plane of bytes after another: the high ones are nearly all zero and compress away."""
+    return b"".join(np.ascontiguousarray(x[c]).view(np.uint8).reshape(len(x), -1)[:, :k].T.tobytes() for c, k in _SENT.items())
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    n, at = len(blob) // sum(_SENT.values()), 0
+    x = np.zeros(n, _FRAGMENT)
+    for c, k in _SENT.items():
+        full = np.zeros((n, _FRAGMENT[c].itemsize), np.uint8)
+        full[:, :k] = np.frombuffer(blob, np.uint8, n * k, at).reshape(k, n).T
+        x[c] = full.view(_FRAGMENT[c]).ravel()
+        at += n * k
+    return x
+
+
 def merged(lo: np.ndarray, n: np.ndarray, more: int = 0) -> np.ndarray:
     """Sorted, disjoint (start, end) of the intervals [lo, lo + n + more); touching ones are joined."""
     order = np.argsort(lo, kind="stable")
@@ -234,13 +252,12 @@ def _sent(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                     ids.append(-1 - int(s["key"][k] % buckets))
                     blobs.append(s[k : k + 20_000].tobytes())
             x = x[~later]
-            b = ((x["h"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            b = (x["h"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             own, cut = np.unique(b[order], return_index=True)
             for k, part in zip(own.tolist(), np.split(x[order], cut[1:]), strict=True):
-                # a column after another compresses better than a row after another
                 ids.append(k)
-                blobs.append(b"".join(np.ascontiguousarray(part[c]).tobytes() for c in _FRAGMENT.names))
+                blobs.append(packed(part))
             for k in range(0, len(ids), 256):
                 yield pa.record_batch({"bucket": pa.array(ids[k : k + 256], pa.int64()), "payload": pa.array(blobs[k : k + 256], pa.binary())})
 
@@ -248,7 +265,7 @@ def _sent(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             for d, key, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 h, f, lo, n = fragments(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8), length)
                 x = np.zeros(len(h), _FRAGMENT)
-                x["h"], x["f"], x["doc"], x["key"], x["lo"], x["n"] = h, f, d, key, lo, n
+                x["h"], x["f"], x["doc"], x["key"], x["lo"], x["n"] = h >> np.uint64(16), f >> np.uint64(16), d, key, lo, n
                 held.append(x)
                 total += len(x)
                 if total >= FLUSH:
@@ -280,15 +297,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, blob in rows:
                 yield _rows(0, np.frombuffer(blob, _SPAN))
             continue
-        parts = []
-        for _, blob in rows:
-            n, at = len(blob) // _FRAGMENT.itemsize, 0
-            x = np.zeros(n, _FRAGMENT)
-            for c in _FRAGMENT.names:
-                x[c] = np.frombuffer(blob, _FRAGMENT[c], n, at)
-                at += n * _FRAGMENT[c].itemsize
-            parts.append(x)
-        x = np.concatenate(parts)
+        x = np.concatenate([unpacked(blob) for _, blob in rows])
         # only minimizers that stand in two documents matter
         order = np.argsort(x["h"], kind="stable")
         new = np.concatenate([[True], x["h"][order][1:] != x["h"][order][:-1]])
@@ -319,8 +328,7 @@ def _cut_out(length: int, buckets: int):
             for d, key, t, own in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 for x in own:
-                    h = x["h"] & 0xFFFFFFFFFFFFFFFF
-                    for c, v in zip(cols, ((h >> 32) % buckets, d, key, x["lo"], raw[x["lo"] : x["lo"] + x["n"] + length - 1]), strict=True):
+                    for c, v in zip(cols, (x["h"] % buckets, d, key, x["lo"], raw[x["lo"] : x["lo"] + x["n"] + length - 1]), strict=True):
                         c.append(v)
             for k in range(0, len(cols[0]), 50_000):
                 yield pa.record_batch([pa.array(c[k : k + 50_000], kind) for c, kind in zip(cols, (pa.int64(),) * 4 + (pa.binary(),), strict=True)], names=["bucket", "doc", "key", "lo", "content"])
@@ -347,6 +355,11 @@ def _indexed(length: int):
 _SPANS = "kind int, doc bigint, key bigint, lo bigint, n bigint, h bigint"
 
 
+def _row_key():
+    """Tells the rows of one doc_id apart: 24 bits of a hash of the text."""
+    return F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))
+
+
 def with_spans(docs: DataFrame, columns: list[str], length: int = LENGTH) -> DataFrame:
     """The columns of docs and `spans`: (lo, n) runs of windows of `length` bytes that also start in a smaller doc_id.
 
@@ -356,7 +369,7 @@ def with_spans(docs: DataFrame, columns: list[str], length: int = LENGTH) -> Dat
     """
     spark = docs.sparkSession
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row_key().alias("key"), "text")
     sent = _sent(keyed, buckets, length).repartition("bucket").sortWithinPartitions("bucket")
     met = store(sent.mapInArrow(_met, _SPANS))
     del sent
@@ -369,7 +382,7 @@ def with_spans(docs: DataFrame, columns: list[str], length: int = LENGTH) -> Dat
     del found, cut
     sweep(spark)
     spans = met.where("kind = 0").unionByName(more).groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    full = docs.select(*columns).withColumns({"_doc": F.col("doc_id").cast("bigint"), "_key": F.xxhash64("text")})
+    full = docs.select(*columns).withColumns({"_doc": F.col("doc_id").cast("bigint"), "_key": _row_key()})
     out = full.join(spans.withColumnsRenamed({"doc": "_d", "key": "_k"}).hint("merge"), (F.col("_doc") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     return out.select(*(F.col(c) for c in columns), "spans")
 
