@@ -127,20 +127,25 @@ class RunLengthIndex:
     @staticmethod
     def _suffixes(sym: np.ndarray, longest: int) -> np.ndarray:
         """The suffix array, by doubling; end marks are all different, so longest + 1 symbols decide."""
-        n = len(sym)
-        rank, span = sym, 1
+        n, bits = len(sym), (int(sym.max(initial=0)) + 1).bit_length()
+        span = max(1, 62 // bits)  # as many symbols as fit into a word are compared at first
+        key = np.zeros(n, dtype=np.int64)
+        for k in range(span):
+            key <<= bits
+            if k < n:
+                key[: n - k] |= sym[k:] + 1
         while True:
-            second = np.zeros(n, dtype=np.int64)
-            second[: n - span] = rank[span:] + 1
-            key = rank * (int(rank.max()) + 2) + second
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             k = key[order]
             new = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
+            if new[-1] == n - 1 or span > longest:
+                return order
             rank = np.empty(n, dtype=np.int64)
             rank[order] = new
+            second = np.zeros(n, dtype=np.int64)
+            second[: n - span] = rank[span:] + 1
+            key = rank * (int(new[-1]) + 2) + second
             span *= 2
-            if new[-1] == n - 1 or span > longest:
-                return order
 
     def matching_statistics(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each place from the right, the texts that have it: (text, place, length, row).
