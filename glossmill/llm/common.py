@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one step of a Python operator holds as Python objects.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_500_000
+#: Rows that Spark hands to a Python worker at once: with long texts, 10,000 would be hundreds of MB.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +38,21 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """Keep the Arrow batches of this session's plans small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
+def trim() -> None:
+    """Give freed memory of a worker back to the system, where the C library can: idle workers stay alive."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps that nothing refers to any more."""
     for _ in range(2):  # what the first pass lets go of, the second can find
@@ -44,7 +62,7 @@ def sweep(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return lean(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -77,6 +95,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, chars: int = STEP_CHAR
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str, *columns: str) -> DataFrame:
     """mapInArrow over the named columns only, so that the scan reads no others."""
+    lean(df.sparkSession)
     return df.select(*columns).mapInArrow(fn, schema)
 
 

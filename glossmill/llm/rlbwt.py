@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, store, sweep
+from .common import lean, steps, store, sweep, trim
 from .jaccard import _powers, mix
 
 #: Bytes of a repeated string, and of the strings that minimizers are.
@@ -191,8 +191,8 @@ class RunLengthIndex:
             yield own, sizes[own] - (width - col), keep, q
 
 
-def repeated_windows(contents: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each content of a document, the places of its windows that also occur in a content of a smaller document."""
+def repeated_windows(contents: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (content, first window, windows) that also occur in a content of a smaller document."""
     index = RunLengthIndex(contents)
     text = np.concatenate([index.text, np.full(length, -1, np.int16)])
     left = np.arange(1, index.n)  # rows that agree with the row before them in the bytes looked at so far
@@ -211,8 +211,8 @@ def repeated_windows(contents: list[bytes], docs: np.ndarray, length: int = LENG
     t, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hits_t, hits_p))
     order = np.lexsort((p, t))
     t, p = t[order], p[order]
-    cut = np.searchsorted(t, np.arange(len(contents) + 1))
-    return [p[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    at = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)])) if len(t) else np.zeros(0, np.int64)
+    return t[at], p[at], np.diff(np.append(at, len(t)))
 
 
 def _rows(kind: int, spans: np.ndarray, h: np.ndarray | None = None) -> pa.RecordBatch:
@@ -276,7 +276,9 @@ def _sent(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 if total >= FLUSH:
                     yield from flush()
                     total = 0
+                    trim()
         yield from flush()
+        trim()
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "key", "text").mapInArrow(run, "bucket bigint, payload binary")
 
@@ -322,6 +324,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = x[~later & (contents > 1)]
         if len(rest):
             yield _rows(1, rest, rest["h"])
+    trim()
 
 
 def _cut_out(length: int, buckets: int):
@@ -347,12 +350,13 @@ def _indexed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
             docs = np.array([r[1] for r in rows], dtype=np.int64)
-            out = []
-            for r, places in zip(rows, repeated_windows([r[4] for r in rows], docs, length), strict=True):
-                for s, e in merged(places, np.ones(len(places), np.int64)).tolist():
-                    out.append((r[1], r[2], r[3] + s, e - s))
-            if out:
-                yield _rows(0, np.array(out, dtype=_SPAN))
+            t, p, n = repeated_windows([r[4] for r in rows], docs, length)
+            if len(t):
+                out = np.zeros(len(t), _SPAN)
+                key, lo = (np.array([r[k] for r in rows], dtype=np.int64) for k in (2, 3))
+                out["doc"], out["key"], out["lo"], out["n"] = docs[t], key[t], lo[t] + p, n
+                yield _rows(0, out)
+            trim()
 
     return run
 
@@ -372,7 +376,7 @@ def with_spans(docs: DataFrame, columns: list[str], length: int = LENGTH) -> Dat
     nor give them to others. Rows that repeat a doc_id do not match each other; each gets its own spans. Steps are
     written to the shared folder. Buckets follow the session's shuffle partitions.
     """
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row_key().alias("key"), "text")
     sent = _sent(keyed, buckets, length).repartition("bucket").sortWithinPartitions("bucket")
