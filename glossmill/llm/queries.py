@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, langid, packing, quality, rlbwt, rules, urls
+from . import bpe, chat, jaccard, langid, packing, quality, rlbwt, rules, search, urls
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), jaccard.Similarity(n=3, num=90, den=100))
 
@@ -60,6 +65,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_byte_bpe, op4_quality_rules, op5_packing, op7_jaccard_join, op8_suffix_dedup, op9_url_filters, op10_quality_classifier)
+    f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_byte_bpe, op4_quality_rules, op5_packing, op6_topk_search, op7_jaccard_join, op8_suffix_dedup, op9_url_filters, op10_quality_classifier)
 }
 ORACLES: dict[str, str] = {}
