@@ -21,17 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, sample_of, steps, store, sweep
+from .common import map_arrow, sample_of, steps, store, sweep, trim
 from .components import components
 
 #: Sets of a component that are all searched at once; leaders of a larger one; sets of an index block.
 SMALL, LEADERS, BLOCK = 16, 6, 256
 #: Documents whose sets and signatures a task holds at once, and signatures.
-FLUSH_DOCS, FLUSH_SIGNATURES = 50_000, 3_000_000
+FLUSH_DOCS, FLUSH_SIGNATURES = 50_000, 600_000
 #: Documents that are looked at (about) for shingles so frequent that signatures do better without them.
 FREQUENT_SAMPLE, FREQUENT_SHARE, FREQUENT_MOST = 5_000, 0.001, 100_000
 #: Growth of the size classes, and the bucketings that are tried in turn.
 RATIO, TRIES = 1.4, 6
+#: Stands for a null doc_id within the tables of this module.
+NO_ID = -(1 << 63) + 1
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -230,19 +232,74 @@ def _frequent(docs: DataFrame, sim: Similarity) -> np.ndarray:
     return np.sort(got.astype(np.int64).view(np.uint64))
 
 
+#: Bytes that are sent of a signature and of a doc_id.
+SIGNATURE_BYTES, ID_BYTES, BUCKETS_PER_PARTITION = 7, 8, 8
+
+
+def _planes(x: np.ndarray, k: int) -> bytes:
+    """The k low bytes of 64-bit values, one plane of bytes after another: high ones are nearly all zero."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8)[:, :k].T.tobytes()
+
+
+def _values(blob: bytes, at: int, n: int, k: int) -> np.ndarray:
+    full = np.zeros((n, 8), np.uint8)
+    full[:, :k] = np.frombuffer(blob, np.uint8, n * k, at).reshape(k, n).T
+    return full.view(np.int64).ravel()
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in (a, b, c))], names=["kind", "a", "b", "c"])
+
+
+def _by_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links the sets that share a signature of a bucket to the smallest of them; other kinds pass as they are."""
+    at, held = None, []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if held:
+            step = SIGNATURE_BYTES + ID_BYTES
+            sig = np.concatenate([_values(x, 0, len(x) // step, SIGNATURE_BYTES) for x in held])
+            doc = np.concatenate([_values(x, len(x) // step * SIGNATURE_BYTES, len(x) // step, ID_BYTES) for x in held])
+            held.clear()
+            order = np.lexsort((doc, sig))
+            sig, doc = sig[order], doc[order]
+            new = np.concatenate([[True], sig[1:] != sig[:-1]])
+            pairs = np.stack([doc[new][np.cumsum(new) - 1][~new], doc[~new]], axis=1)
+            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+            if len(pairs):
+                pairs = np.unique(pairs, axis=0)
+                yield _rows(2, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
+
+    for batch in batches:
+        for bucket, kind, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if bucket != at:
+                yield from close()
+                at = bucket
+            if kind == 1:
+                held.append(blob)
+            else:
+                yield _rows(kind, *np.frombuffer(blob, np.int64).reshape(3, -1))
+    yield from close()
+    trim()
+
+
 def _hashed(docs: DataFrame, sim: Similarity, frequent: np.ndarray) -> DataFrame:
     """Rows by kind, written to the shared folder:
 
-    0: a document (a: doc_id, c: size); 1: a signature (a) of a set (b: its first doc_id in the task);
-    2: two sets of the task with a signature in common (a, b); 3: two documents of the task with equal sets (a, b);
-    4: a set (a, c: its hash, b: its first doc_id in the task).
+    0: a document (a: doc_id or NO_ID, c: size); 2: two sets with a signature in common (a, b); 3: two documents of a
+    task with equal sets (a, b); 4: a set (a, c: its hash, b: its first doc_id in the task).
+    On their way signatures are packed by bucket; the other kinds travel with them.
     """
-    names, schema = ["kind", "a", "b", "c"], "kind int, a bigint, b bigint, c bigint"
+    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names, turn = ["bucket", "kind", "payload"], [0]
+
+    def sent(ids: list[int], kind: int, blobs: list[bytes]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array([kind] * len(ids), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     def rows(kind: int, a, b=None, c=None) -> pa.RecordBatch:
-        n = len(a)
-        full = [np.zeros(n, np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in (a, b, c)]
-        return pa.record_batch([pa.array(np.full(n, kind, np.int32)), *map(pa.array, full)], names=names)
+        full = [np.zeros(len(a), np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in (a, b, c)]
+        turn[0] += 1
+        return sent([-1 - (int(full[0][0]) + turn[0]) % buckets], kind, [np.stack(full).tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[tuple[int, int], int] = {}
@@ -262,8 +319,13 @@ def _hashed(docs: DataFrame, sim: Similarity, frequent: np.ndarray) -> DataFrame
                 new = np.concatenate([[True], sig[1:] != sig[:-1]])
                 lead = doc[new][np.cumsum(new) - 1]
                 pairs = np.stack([lead[~new], doc[~new]], axis=1)
-                for k in range(0, int(new.sum()), 200_000):
-                    yield rows(1, sig[new][k : k + 200_000].view(np.int64), doc[new][k : k + 200_000])
+                one, of = sig[new] >> np.uint64(64 - 8 * SIGNATURE_BYTES), doc[new]
+                at = (one % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                ids, cut = np.unique(at[order], return_index=True)
+                blobs = [_planes(one[x], SIGNATURE_BYTES) + _planes(of[x], ID_BYTES) for x in np.split(order, cut[1:])]
+                for k in range(0, len(ids), 256):
+                    yield sent(ids[k : k + 256].tolist(), 1, blobs[k : k + 256])
                 if len(pairs):
                     pairs = np.unique(pairs, axis=0)
                     yield rows(2, pairs[:, 0], pairs[:, 1])
@@ -287,15 +349,18 @@ def _hashed(docs: DataFrame, sim: Similarity, frequent: np.ndarray) -> DataFrame
                     held += len(sig)
                 elif have != d:
                     equal.append((have, d))
-            yield pa.record_batch([pa.array(np.zeros(len(sizes), np.int32)), pa.array(docs_out, pa.int64()), pa.array(np.zeros(len(sizes), np.int64)), pa.array(sizes, pa.int64())], names=names)
+            yield rows(0, [NO_ID if d is None else d for d in docs_out], None, sizes)
             if equal:
                 yield rows(3, [x[0] for x in equal], [x[1] for x in equal])
             if held > FLUSH_SIGNATURES or len(sets) > FLUSH_DOCS:
                 yield from flush()
                 held = 0
+                trim()
         yield from flush()
+        trim()
 
-    return store(map_arrow(docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text"), run, schema, "doc_id", "text"))
+    out = map_arrow(docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text"), run, "bucket bigint, kind int, payload binary", "doc_id", "text")
+    return store(out.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_signature, "kind int, a bigint, b bigint, c bigint"))
 
 
 def _search(rows: DataFrame, sim: Similarity) -> DataFrame:
@@ -321,6 +386,8 @@ def _search(rows: DataFrame, sim: Similarity) -> DataFrame:
                     index.add(d, tokens)
             if u:
                 yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        del index
+        trim()
 
     rows = rows.select("grp", "block", "role", "doc_id", "s").repartition("grp", "block").sortWithinPartitions("grp", "block", "role", "doc_id")
     return rows.mapInArrow(run, "u bigint, v bigint")
@@ -341,42 +408,47 @@ def groups(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
     by = lambda k: hashed.where(F.col("kind") == k)
     lead = lambda k, *key: by(k).selectExpr(*key, "b AS v").withColumn("u", F.expr(f"min(v) OVER (PARTITION BY {', '.join(key)})")).where("u < v").select("u", "v")
     equal = store(by(3).selectExpr("a AS u", "b AS v").unionByName(lead(4, "a", "c")))
-    near = store(by(2).selectExpr("a AS u", "b AS v").unionByName(lead(1, "a")).distinct())
+    sweep(spark)
+    coarse = components(by(2).selectExpr("a AS u", "b AS v"))
     links = equal
-    coarse = components(near)
     sweep(spark)
     if not coarse.isEmpty():
         sizes = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("g"))
+        # who is indexed and who asks in which block, without the sets; all these tables are ids only
+        large = store(sizes.where(F.col("g") > SMALL).selectExpr("component AS grp", "g"))
+        who = store(coarse.selectExpr("id AS doc_id", "component AS grp").join(large, "grp", "left"))
+        many = who.where("g IS NOT NULL")
+        blocks = f"cast(ceil(g / {BLOCK}) AS bigint)"
+        each, own = F.explode(F.expr(f"sequence(0L, {blocks} - 1)")).alias("block"), F.expr(f"pmod(xxhash64('block', doc_id), {blocks})").alias("block")
+        # small components: each set against those before it. Larger ones: every set against a few leaders, chosen by
+        # a hash (should there be none, the second search finds all)
+        tasks = who.where("g IS NULL").selectExpr("grp", "0L AS block", "2 AS role", "doc_id")
+        tasks = tasks.unionByName(many.where(f"pmod(xxhash64('leader', doc_id), g) < {LEADERS}").select("grp", each, F.lit(0).alias("role"), "doc_id"))
+        tasks = store(tasks.unionByName(many.select("grp", own, F.lit(1).alias("role"), "doc_id")))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in steps(batches, "text"):
-                yield pa.record_batch({"doc_id": b.column(0), "grp": b.column(2), "s": pa.array([shingles(t, sim.n).tobytes() for t in b.column(1).to_pylist()], pa.binary())})
+                yield pa.record_batch({"id": b.column(0), "s": pa.array([shingles(t, sim.n).tobytes() for t in b.column(1).to_pylist()], pa.binary())})
 
         # the candidates' ids grow with the data, so they are not broadcast, however few they may be
-        own = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").join(coarse.selectExpr("id AS doc_id", "component AS grp").hint("merge"), "doc_id").select("doc_id", "text", "grp")
-        members = own.mapInArrow(sets, "doc_id bigint, grp bigint, s binary")
-        members = store(members.join(store(sizes.where(F.col("g") > SMALL).selectExpr("component AS grp", "g")), "grp", "left"))
-        # small components: each set against those before it. Larger ones: every set against the leaders
-        few = members.where("g IS NULL").selectExpr("grp", "0L AS block", "2 AS role", "doc_id", "s")
-        many = members.where("g IS NOT NULL")
-        salts = f"cast(ceil(g / {BLOCK}) AS bigint)"
-        leaders = many.where(f"pmod(xxhash64('leader', doc_id), g) < {LEADERS}")  # a few, as hashes fall; none does no harm
-        index = leaders.select("grp", F.explode(F.expr(f"sequence(0L, {salts} - 1)")).alias("block"), F.lit(0).alias("role"), "doc_id", "s")
-        query = many.select("grp", F.expr(f"pmod(xxhash64('block', doc_id), {salts})").alias("block"), F.lit(1).alias("role"), "doc_id", "s")
-        first = store(_search(few.unionByName(index).unionByName(query), sim).unionByName(equal))
-        links = first
+        texts = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").join(who.select("doc_id").hint("merge"), "doc_id", "left_semi")
+        members = store(texts.select("doc_id", "text").mapInArrow(sets, "id bigint, s binary"))
+        sweep(spark)
+        with_sets = lambda t: t.join(members.hint("merge"), F.col("doc_id") == F.col("id"))
+        links = first = store(_search(with_sets(tasks), sim).unionByName(equal))
+        sweep(spark)
         if not many.isEmpty():
             # what is not connected with the largest part of its component is searched against all of it, in blocks
             known = components(first)
-            many = store(many.join(known.selectExpr("id AS doc_id", "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component"))
-            parts = many.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))
+            part = store(many.join(known.selectExpr("id AS doc_id", "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component"))
+            parts = part.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))
             largest = store(parts.groupBy("grp").agg(F.max(F.struct("n", (-F.col("part")).alias("m"))).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").selectExpr("grp", "-x.m AS main"))
-            open_ = store(many.join(largest, "grp"))
-            index = open_.select("grp", F.expr(f"pmod(xxhash64('block', doc_id), {salts})").alias("block"), F.lit(0).alias("role"), "doc_id", "s")
-            query = open_.where("part <> main").select("grp", F.explode(F.expr(f"sequence(0L, {salts} - 1)")).alias("block"), F.lit(1).alias("role"), "doc_id", "s")
-            links = first.unionByName(_search(index.unionByName(query), sim))
+            open_ = store(part.join(largest, "grp"))
+            tasks = store(open_.select("grp", own, F.lit(0).alias("role"), "doc_id").unionByName(open_.where("part <> main").select("grp", each, F.lit(1).alias("role"), "doc_id")))
+            links = store(_search(with_sets(tasks), sim)).unionByName(first)
+            sweep(spark)
     reached = components(links)
-    out = by(0).selectExpr("a AS doc_id", "c AS n_shingles").join(reached.selectExpr("id AS doc_id", "component"), "doc_id", "left")
+    out = by(0).selectExpr(f"nullif(a, {NO_ID}) AS doc_id", "c AS n_shingles").join(reached.selectExpr("id AS doc_id", "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
