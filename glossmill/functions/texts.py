@@ -12,6 +12,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _END = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[^a-z\s])|(?<=[。！？])")
 
@@ -138,7 +139,7 @@ def seed_of(*parts: object) -> str:
     return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
 
 
-def _column(fn, kind: str):
+def _column(fn, kind: T.DataType):
     @F.pandas_udf(kind)
     def run(x: pd.Series) -> pd.Series:
         return x.map(lambda v: fn(None if v is None else v))
@@ -146,8 +147,8 @@ def _column(fn, kind: str):
     return run
 
 
-nfkc_column = _column(lambda x: None if x is None else unicodedata.normalize("NFKC", x), "string")
-split_lossless_column = _column(split_lossless, "array<string>")
-first_block_column = _column(first_block, "string")
-robust_json_column = _column(robust_json, "string")
-romanize_column = _column(romanize, "string")
+nfkc_column = _column(lambda x: None if x is None else unicodedata.normalize("NFKC", x), T.StringType())
+split_lossless_column = _column(split_lossless, T.ArrayType(T.StringType()))
+first_block_column = _column(first_block, T.StringType())
+robust_json_column = _column(robust_json, T.StringType())
+romanize_column = _column(romanize, T.StringType())
