@@ -29,7 +29,7 @@ SMALL, LEADERS, BLOCK = 16, 6, 256
 #: Documents whose sets and signatures a task holds at once, and signatures.
 FLUSH_DOCS, FLUSH_SIGNATURES = 50_000, 600_000
 #: Documents that are looked at (about) for shingles so frequent that signatures do better without them.
-FREQUENT_SAMPLE, FREQUENT_SHARE, FREQUENT_MOST = 5_000, 0.001, 100_000
+FREQUENT_SAMPLE, FREQUENT_SHARE, FREQUENT_MOST = 20_000, 0.00015, 400_000
 #: Growth of the size classes, and the bucketings that are tried in turn.
 RATIO, TRIES = 1.4, 6
 #: Stands for a null doc_id within the tables of this module.
@@ -149,7 +149,10 @@ def signatures(s: np.ndarray, sim: Similarity, frequent: np.ndarray) -> np.ndarr
             continue  # only equal sets link
         k = d + 1 + spare
         for t in range(TRIES):
-            own = s[~np.isin(s, frequent, assume_unique=True)] if not t and len(frequent) else s
+            own = s
+            if not t and len(frequent):
+                at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                own = s[frequent[at] != s]
             x = mix(own + seed((t * 2 + 1) * _BASE & 0xFFFFFFFFFFFFFFFF))
             bucket = (x >> seed(33)) % seed(k)
             order = np.argsort(bucket, kind="stable")
