@@ -25,7 +25,7 @@ from .common import map_arrow, sample_of, steps, store, sweep, trim
 from .components import components
 
 #: Sets of a component that are all searched at once; leaders of a larger one; sets of an index block.
-SMALL, LEADERS, BLOCK = 16, 6, 256
+SMALL, LEADERS, BLOCK, OPEN_BLOCK = 16, 6, 256, 1024
 #: Documents whose sets and signatures a task holds at once, and signatures.
 FLUSH_DOCS, FLUSH_SIGNATURES = 50_000, 600_000
 #: Documents that are looked at (about) for shingles so frequent that signatures do better without them.
@@ -447,7 +447,14 @@ def groups(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
             parts = part.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))
             largest = store(parts.groupBy("grp").agg(F.max(F.struct("n", (-F.col("part")).alias("m"))).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").selectExpr("grp", "-x.m AS main"))
             open_ = store(part.join(largest, "grp"))
-            tasks = store(open_.select("grp", own, F.lit(0).alias("role"), "doc_id").unionByName(open_.where("part <> main").select("grp", each, F.lit(1).alias("role"), "doc_id")))
+            # only sets of about the same size can link: blocks hold one class of sizes, a query visits three
+            step = math.log(sim.den / sim.num * 1.0001)
+            open_ = store(open_.join(by(0).selectExpr("a AS doc_id", "c AS n"), "doc_id").withColumn("size", F.floor(F.log("n") / step)).drop("n"))
+            full = store(open_.groupBy("grp", "size").agg(F.expr(f"cast(ceil(count(1) / {OPEN_BLOCK}) AS bigint)").alias("k")))
+            at = F.expr("size * 1000000 + pmod(xxhash64('block', doc_id), k)").alias("block")
+            asks = open_.where("part <> main").select("grp", "doc_id", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"))
+            asks = asks.join(full, ["grp", "size"]).select("grp", F.explode(F.expr("transform(sequence(0L, k - 1), i -> size * 1000000 + i)")).alias("block"), F.lit(1).alias("role"), "doc_id")
+            tasks = store(open_.join(full, ["grp", "size"]).select("grp", at, F.lit(0).alias("role"), "doc_id").unionByName(asks))
             links = store(_search(with_sets(tasks), sim)).unionByName(first)
             sweep(spark)
     reached = components(links)

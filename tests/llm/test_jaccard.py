@@ -59,6 +59,7 @@ def test_groups_equal_brute_force(spark, n, num, den):
 
 def test_a_large_group_of_borderline_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "OPEN_BLOCK", 16)
     rows = near_copies(3, 1, 70, [120], 14) + [(1000 + i, t) for i, t in near_copies(4, 1, 5, [60], 3)]
     assert run(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
 
