@@ -20,6 +20,8 @@ CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE, FILTERS, HIDDEN = 6, 2, 16, 16
 #: Labelled documents to learn from, about, and the chunks of one that training sees (spread over the whole text).
 TRAINING_DOCS, TRAINING_CHUNKS, EPOCHS = 4_000, 8, 14
+#: Few documents are gone through more often, until the net has had this many steps of BATCH documents.
+LEAST_STEPS, BATCH = 660, 64
 THRESHOLD = 0.7
 
 
@@ -84,13 +86,14 @@ class ByteConvNet:
         return out
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 3) -> None:
-        """Adam on the log loss; docs are matrices of chunks."""
+        """Adam on the log loss; docs are matrices of chunks. At least `epochs` passes, and LEAST_STEPS steps."""
+        epochs = max(epochs, -(-LEAST_STEPS // -(-len(docs) // BATCH)))
         r = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(x) for k, x in self.w.items()}, {k: np.zeros_like(x) for k, x in self.w.items()}, 0
         for epoch in range(epochs):
             order = r.permutation(len(docs))
-            for i in range(0, len(order), 64):
-                own = order[i : i + 64]
+            for i in range(0, len(order), BATCH):
+                own = order[i : i + BATCH]
                 g = self.gradient([docs[k] for k in own], labels[own])
                 t += 1
                 now = rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.02)
