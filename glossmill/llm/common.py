@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 STEP_CHARS = 1_500_000
 #: Rows that Spark hands to a Python worker at once: with long texts, 10,000 would be hundreds of MB.
 BATCH_ROWS = 1_000
+#: And bytes: Spark's own bound is 64 MB, which the JVM and the worker each hold more than once.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +43,7 @@ def store(df: DataFrame) -> DataFrame:
 def lean(spark: SparkSession) -> SparkSession:
     """Keep the Arrow batches of this session's plans small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
