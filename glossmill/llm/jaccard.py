@@ -369,20 +369,31 @@ def _hashed(docs: DataFrame, sim: Similarity, frequent: np.ndarray) -> DataFrame
 def _search(rows: DataFrame, sim: Similarity) -> DataFrame:
     """Links (u, v) found in blocks. rows: grp, block, role (0: indexed, 1: a query, 2: both), doc_id, s (the set).
 
-    Rows are streamed by (grp, block, role); only a block's indexed sets are held.
+    Rows are streamed by (grp, block, role); only a block's indexed sets are held. Of the links that a block finds,
+    those go out that connect what its earlier ones have not: fewer than its sets and queries, with the same components.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = None, SkipIndex(sim)
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
         for batch in batches:
             u, v = [], []
             for g, k, role, d, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (g, k) != at:
                     at, index = (g, k), SkipIndex(sim)
+                    root.clear()
                 tokens = np.frombuffer(raw, np.uint64).tolist()
                 if role:
                     for x in index.search(tokens):
-                        if index.ids[x] != d:
+                        a, b = top(d), top(index.ids[x])
+                        if a != b:
+                            root[max(a, b)] = min(a, b)
                             u.append(d)
                             v.append(index.ids[x])
                 if role != 1:
