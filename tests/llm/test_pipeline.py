@@ -8,9 +8,8 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-pipeline = pytest.importorskip("corpus_pipeline")
-
-from glossmill.llm import langid, quality  # noqa: E402
+import corpus_pipeline as pipeline
+from glossmill.llm import langid, quality
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the river ran past a mill where an old clerk copied letters for people who could not write them and sold ink".split()
