@@ -243,7 +243,6 @@ sql("fact_best_triple", "SELECT l_orderkey AS request_id, min_by(l_partkey, (len
 sql("fact_vote_triples", "WITH v AS (SELECT l_orderkey AS request_id, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS votes, min_by(l_partkey, l_extendedprice * 1e6 + l_partkey * 1e-3) AS best FROM lineitem GROUP BY l_orderkey) SELECT request_id, CAST(votes AS BIGINT) AS votes, best FROM v WHERE votes > 2")
 sql("mcq_assemble", f"WITH {PREDICTED} SELECT request_id, 'memorization' AS dataset, answer FROM pred WHERE n_opt = 4 UNION ALL SELECT request_id, 'generalization' AS dataset, answer FROM pred WHERE n_opt = 4")
 sql("knn_vote", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
-sql("sink_symlink_publish", "SELECT l_orderkey AS experiment, l_linenumber AS slot, concat('data/', CAST(l_partkey AS VARCHAR(20))) AS path FROM lineitem WHERE l_orderkey % 50 = 0")
 sql("sink_append_incremental", "SELECT e.event_id FROM events AS e WHERE NOT EXISTS (SELECT 1 FROM documents AS d WHERE d.doc_id = e.event_id)")
 sql("llm_rewrite_request", "SELECT c.conv_id, c.turn, concat('Rewrite: ', c.text) AS message FROM conversations AS c WHERE c.role = 'user' AND NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = c.conv_id AND l.toxic = 1)")
 sql("llm_response_parse", "SELECT e.event_id, e.event_type, u.c_name FROM events AS e JOIN customer AS u ON u.c_custkey = e.user_id")
@@ -264,6 +263,12 @@ def mix_crosslingual(d):
     return "SELECT d.doc_id, d.lang FROM documents AS d WHERE d.lang = 'en' OR (d.doc_id IN (SELECT doc_id FROM labels) AND d.doc_id NOT IN (SELECT item_id FROM benchmark))"
 
 
+@plan
+def sink_symlink_publish(d):
+    shared = "(SELECT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS n FROM lineitem WHERE l_quantity >= 1) AS shared"
+    return f"SELECT l_orderkey AS experiment, slot, concat('data/', CAST(l_partkey AS VARCHAR(20))) AS path FROM {d.unnest(shared, d.numbers('0', 'n - 1'), '_p', 'slot', 'l_orderkey, l_partkey')} AS x"
+
+
 @plan
 def sink_megatron_export(d):
     return f"SELECT lang, CAST(sum(n_chars) AS BIGINT) AS total, {d.join_rows('concat(CAST(n AS VARCHAR(20)), ' + lit(' ') + ', source)', ';', 'source')} AS listing FROM (SELECT lang, source, sum(n_chars) AS n_chars, count(*) AS n FROM documents GROUP BY lang, source) AS x GROUP BY lang"
