@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ SYMBOLS = 40
 UNKNOWN = "und"
 #: Labelled documents from which prototypes are learned, about; of more, a fixed choice by doc_id.
 TRAINING_DOCS = 20_000
+#: Unrelated n-grams have a cosine of 0 with a standard deviation of 1 / sqrt(DIMENSIONS); beyond so many it is no chance.
+CHANCE = 3.0
+#: A text with fewer letters has too few n-grams for a cosine that tells a learned language from chance.
+LEAST_LETTERS = 32
 
 
 @lru_cache(maxsize=1)
@@ -77,17 +82,27 @@ class Profiles:
     languages: list[str]
     prototypes: np.ndarray  # a unit vector for each language
 
+    def cosines(self, v: np.ndarray) -> np.ndarray:
+        v = v.astype(np.float64)
+        return self.prototypes @ v / max(float(np.linalg.norm(v)), 1e-12)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and the cosine with its prototype (at least 0); `und`, 0 without a letter or a language."""
         v = bundle(text)
         if v is None or not self.languages:
             return UNKNOWN, 0.0
-        v = v.astype(np.float64)
-        cos = self.prototypes @ v / max(float(np.linalg.norm(v)), 1e-12)
+        cos = self.cosines(v)
         k = int(np.argmax(cos))
         return self.languages[k], float(min(1.0, max(0.0, cos[k])))
 
 
+def training(docs: DataFrame, bound: int) -> DataFrame:
+    """About `bound` rows of docs with a lang, outside the held-out quarter."""
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    total = known.agg(F.count(F.lit(1)).alias("n")).collect()[0]["n"]
+    return known.where(sample_of(F.col("doc_id"), total, bound, "langid"))
+
+
 def fit(docs: DataFrame, bound: int = TRAINING_DOCS) -> Profiles:
     """Learn a prototype for each non-null lang of docs outside the held-out quarter.
 
@@ -95,9 +110,7 @@ def fit(docs: DataFrame, bound: int = TRAINING_DOCS) -> Profiles:
     1000, rounded). Bundles are summed in the tasks and then by Spark; the driver gets one vector per language. Sums
     of whole numbers don't depend on their order.
     """
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    total = known.agg(F.count(F.lit(1)).alias("n")).collect()[0]["n"]
-    chosen = known.where(sample_of(F.col("doc_id"), total, bound, "langid"))
+    chosen = training(docs, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -135,14 +148,50 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows of docs, all columns, in whose text a language is found; letterless texts go."""
+def judgeable(text: str | None) -> bool:
+    """Whether a text has LEAST_LETTERS letters."""
+    return sum(1 for _ in islice(filter(str.isalpha, text or ""), LEAST_LETTERS)) == LEAST_LETTERS
+
+
+def least_cosine(docs: DataFrame, profiles: Profiles, bound: int = TRAINING_DOCS) -> float:
+    """The cosine below which a text is in no language that was learned.
+
+    All but a thousandth of the training documents that are long enough are at least as near to their own lang; it is
+    at most what unrelated n-grams reach by chance (CHANCE standard deviations): a text above that is never dropped.
+    The driver gets one number for each of about `bound` documents.
+    """
+    if not profiles.languages:
+        return 0.0
+    chosen = training(docs, bound)
+    place = {lang: k for k, lang in enumerate(profiles.languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([profiles.predict(t)[0] != UNKNOWN for t in texts], pa.bool_()))
+            own = []
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if lang in place and judgeable(text):
+                    own.append(float(profiles.cosines(bundle(text))[place[lang]]))
+            yield pa.record_batch({"cos": pa.array(own, pa.float64())})
 
-    return docs.mapInArrow(run, docs.schema)
+    cosines = sorted(r["cos"] for r in map_arrow(chosen, run, "cos double", "lang", "text").collect())
+    return max(0.0, min(CHANCE / DIMENSIONS**0.5, cosines[len(cosines) // 1000])) if cosines else 0.0
+
+
+def keep_identified(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataFrame:
+    """The rows of docs, all columns, whose text has a cosine of `least` or more with a language; letterless texts go.
+
+    Where nothing can be decided, a text with a letter stays: if it is short, or if no language was learned.
+    """
+
+    def stays(text: str | None) -> bool:
+        if not profiles.languages:
+            return bundle(text) is not None
+        lang, cos = profiles.predict(text)
+        return lang != UNKNOWN and (cos >= least or not judgeable(text))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "text"):
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            yield b.filter(pa.array([stays(t) for t in texts], pa.bool_()))
 
+    return docs.mapInArrow(run, docs.schema)
