@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, steps
+from .common import map_arrow, steps, store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The most frequent words and tokens that the model keeps, and the longest word of a split.
-WORDS, TOKENS, LONGEST = 20_000, 50_000, 24
+#: The longest word of a split.
+LONGEST = 24
+#: Urls that share one look-up of words and weights, and the candidate words that a task holds before it sends them.
+CHUNK, HELD = 2048, 100_000
+RUNS = re.compile(r"[^\W\d_]+|\d+")
 
 
 @dataclass(frozen=True)
@@ -61,10 +64,11 @@ class Segmenter:
     """Splits a run of letters into the words with the largest product of unigram probabilities."""
 
     counts: dict[str, int]
+    total: int | None = None  # of all words, if counts has only those that can occur
     memo: dict[str, list[str]] = field(default_factory=dict)
 
     def __post_init__(self):
-        total = sum(self.counts.values()) + 1
+        total = (sum(self.counts.values()) if self.total is None else self.total) + 1
         self.cost = {w: math.log(total / n) for w, n in self.counts.items()}
         self.unknown = math.log(total) + 3.0  # for each letter in no word
 
@@ -94,17 +98,16 @@ class Segmenter:
         """Words of the host and of the path, marked h: and p:; digits count as one token."""
         out = []
         for mark, text in (("h:", host), ("p:", path.lower())):
-            for run in re.findall(r"[^\W\d_]+|\d+", text):
+            for run in RUNS.findall(text):
                 out += [mark + "0"] if run[0].isdigit() else [mark + w for w in self.split(run)]
         return out
 
 
-def word_counts(pages: DataFrame, most: int = WORDS) -> dict[str, int]:
-    """How often each word stands in the pages' titles, over all pages; the `most` frequent ones."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """w, n: how often each word stands in the pages' titles, for all words of all pages."""
     title = F.regexp_extract(F.coalesce("html", F.lit("")), "(?is)<title[^>]*>(.*?)</title>", 1)
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(title), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most)
-    return {r["w"]: r["count"] for r in top.collect()}
+    return words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
 @dataclass
@@ -119,38 +122,68 @@ class NaiveBayes:
         return self.prior + sum(self.weights.get(t, 0.0) for t in tokens)
 
 
-def learn(matched: DataFrame, segmenter: Segmenter, most: int = TOKENS) -> NaiveBayes:
-    """Count the tokens of all urls that a rule decides, by verdict; the `most` frequent ones get a weight."""
+def candidates(matched: DataFrame) -> DataFrame:
+    """chunk, w: every string of letters in a chunk's urls that could be a word of a split; may repeat."""
+
+    def batch(chunk: int, own: set[str]) -> pa.RecordBatch:
+        return pa.record_batch({"chunk": pa.array([chunk] * len(own), pa.int64()), "w": pa.array(list(own), pa.string())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "path"):
-            out: dict[tuple[str, bool], int] = {}
-            for host, path, verdict in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                for t in segmenter.tokens(host, path):
-                    k = (t, verdict == "block")
-                    out[k] = out.get(k, 0) + 1
-            yield pa.record_batch({"token": pa.array([k[0] for k in out], pa.string()), "block": pa.array([k[1] for k in out], pa.bool_()), "n": pa.array(list(out.values()), pa.int64())})
-
-    counts = map_arrow(matched.where("rule IS NOT NULL"), run, "token string, block boolean, n bigint", "host", "path", "rule_verdict")
-    counts = counts.groupBy("token").agg(F.sum(F.when(F.col("block"), F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(~F.col("block"), F.col("n")).otherwise(0)).alias("allow"))
-    rows = counts.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(most).collect()
-    if not rows:
-        return NaiveBayes({})
-    nb, na = sum(r["block"] for r in rows) + len(rows), sum(r["allow"] for r in rows) + len(rows)
-    return NaiveBayes({r["token"]: math.log((r["block"] + 1) / nb) - math.log((r["allow"] + 1) / na) for r in rows})
-
-
-def judge(matched: DataFrame, segmenter: Segmenter, model: NaiveBayes) -> DataFrame:
+            runs: dict[int, set[str]] = {}
+            for chunk, host, path in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                runs.setdefault(chunk, set()).update(x for text in (host, path.lower()) for x in RUNS.findall(text) if not x[0].isdigit())
+            for chunk, names in runs.items():
+                own: set[str] = set()
+                for name in names:
+                    for j in range(len(name)):
+                        own.update(name[j:i] for i in range(j + 1, min(len(name), j + LONGEST) + 1))
+                        if len(own) > HELD:
+                            yield batch(chunk, own)
+                            own = set()
+                yield batch(chunk, own)
+
+    return map_arrow(matched, run, "chunk bigint, w string", "chunk", "host", "path")
+
+
+def tokenized(matched: DataFrame, words: DataFrame) -> DataFrame:
+    """matched with its tokens: each chunk of urls is split with all the title words that occur in it."""
+    total = words.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
+    known = candidates(matched).join(words, "w").select("chunk", "w", "n").distinct()
+
+    def split(urls: pa.Table, own: pa.Table) -> pa.Table:
+        segmenter = Segmenter(dict(zip(own.column("w").to_pylist(), own.column("n").to_pylist(), strict=True)), total)
+        found = [segmenter.tokens(h, p) for h, p in zip(urls.column("host").to_pylist(), urls.column("path").to_pylist(), strict=True)]
+        return urls.append_column("tokens", pa.array(found, pa.list_(pa.string())))
+
+    return matched.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(split, f"{_columns(matched)}, tokens array<string>")
+
+
+def token_counts(urls: DataFrame) -> DataFrame:
+    """token, block, allow: how often each token stands in the urls that a rule decides, by verdict, for all tokens."""
+    tokens = urls.where("rule IS NOT NULL").select(F.explode("tokens").alias("token"), (F.col("rule_verdict") == "block").alias("b"))
+    return tokens.groupBy("token").agg(F.count_if("b").alias("block"), F.count_if(~F.col("b")).alias("allow"))
+
+
+def judge(urls: DataFrame, counts: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict: the rule's verdict, else block if the model's log odds exceed its limit."""
+    r = counts.agg(F.sum("block").alias("b"), F.sum("allow").alias("a"), F.count(F.lit(1)).alias("n")).collect()[0]
+    nb, na = (r["b"] or 0) + r["n"], (r["a"] or 0) + r["n"]
+    undecided = urls.where("rule IS NULL")
+    weights = undecided.select(F.col("chunk").alias("own"), F.explode("tokens").alias("token")).distinct().join(counts, "token").select("own", "token", "block", "allow")
+
+    def decide(own: pa.Table, seen: pa.Table) -> pa.Table:
+        block, allow = seen.column("block").to_pylist(), seen.column("allow").to_pylist()
+        model = NaiveBayes({t: math.log((b + 1) / nb) - math.log((a + 1) / na) for t, b, a in zip(seen.column("token").to_pylist(), block, allow, strict=True)})
+        verdict = ["block" if model.odds(t) > model.least else "allow" for t in own.column("tokens").to_pylist()]
+        return own.select(["page_id", "host", "path", "rule"]).append_column("verdict", pa.array(verdict, pa.string()))
+
+    modelled = undecided.groupBy("chunk").cogroup(weights.groupBy("own")).applyInArrow(decide, f"{_columns(urls.select('page_id', 'host', 'path', 'rule'))}, verdict string")
+    return urls.where("rule IS NOT NULL").select("page_id", "host", "path", "rule", F.col("rule_verdict").alias("verdict")).unionByName(modelled)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "path"):
-            host, path, own = (b.column(k).to_pylist() for k in (1, 2, 4))
-            verdict = [v or ("block" if model.odds(segmenter.tokens(h, p)) > model.least else "allow") for h, p, v in zip(host, path, own, strict=True)]
-            yield pa.record_batch({"page_id": b.column(0), "host": b.column(1), "path": b.column(2), "rule": b.column(3), "verdict": pa.array(verdict, pa.string())})
 
-    kind = dict(matched.dtypes)["page_id"]
-    return map_arrow(matched, run, f"page_id {kind}, host string, path string, rule string, verdict string", "page_id", "host", "path", "rule", "rule_verdict")
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -158,8 +191,10 @@ def filter_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 
     A null url, or one without `://`, has an empty host and path, fits no rule, and goes to the model, which allows
     what it knows no token of. Repeated rows get equal results; an empty table gives an empty result; other columns
-    are ignored. The only shuffles sum word and token counts.
+    are ignored. All title words and all tokens count: urls go in chunks of CHUNK rows, and each chunk gets the words
+    and weights that its own urls need by a join, so that no process holds the whole dictionary and a frequent word
+    has a row per chunk, not per url.
     """
-    matched = match_rules(pages, rules)
-    segmenter = Segmenter(word_counts(pages))
-    return judge(matched, segmenter, learn(matched, segmenter))
+    matched = store(match_rules(pages, rules).withColumn("chunk", F.floor(F.monotonically_increasing_id() / CHUNK)))
+    urls = store(tokenized(matched, store(word_counts(pages))))
+    return judge(urls, store(token_counts(urls)))
