@@ -205,9 +205,30 @@ def noise_replace(d):
     return _noise(d, "CASE WHEN {hit} THEN concat('tok', CAST(pos AS VARCHAR(20))) ELSE w END")
 
 
+#: Words and phrases (lower case) with a synonym of their own language (mono) and of another one (multi), where known.
+SYNONYMS = [
+    ("the", "that", "le"), ("and", "plus", "et"), ("of", "from", "de"), ("in", "inside", "dans"), ("to", "toward", "vers"), ("with", "using", "avec"), ("that", "which", "que"), ("for", None, "pour"),
+    ("as", "like", "comme"), ("from", "since", "depuis"), ("not", None, "pas"), ("der", "dieser", "the"), ("und", "sowie", "and"), ("von", "aus", "of"), ("mit", "samt", "with"), ("la", "cette", "the"),
+    ("de", None, "of"), ("que", None, "that"), ("les", "ces", "the"), ("el", "ese", "the"), ("of the", "belonging to the", "du"), ("in the", "within the", "dans le"), ("to the", "toward the", "au"), ("de la", None, "of the"),
+]
+
+
 @plan
 def noise_synonym(d):
-    return _noise(d, "CASE WHEN {hit} AND length(w) > 3 THEN reverse(w) ELSE w END")
+    lexicon = " UNION ALL ".join(f"SELECT {lit(w)} AS phrase, {lit(target)} AS target, {lit(s)} AS synonym" for w, mono, multi in SYNONYMS for target, s in (("mono", mono), ("multi", multi)) if s)
+    core = d.sub("w", "[.,;:!?]+$", "")
+    words = f"SELECT item_id, pos, w, lower({core}) AS core, substring(w, length({core}) + 1) AS tail FROM {d.unnest('benchmark', d.split('text', ' '), 'pos', 'w', 'item_id')} AS x"
+    after = "SELECT item_id, pos, w, core, tail, lead(core) OVER (PARTITION BY item_id ORDER BY pos) AS next, lead(tail) OVER (PARTITION BY item_id ORDER BY pos) AS next_tail FROM words"
+    spans = "SELECT item_id, pos, 1 AS n, core AS phrase, tail FROM words UNION ALL SELECT item_id, pos, 2 AS n, concat(lower(w), ' ', next) AS phrase, next_tail AS tail FROM after_words WHERE next IS NOT NULL"
+    u = d.u("concat('3:', s.target, ':', CAST(s.item_id AS VARCHAR(20)), ':', CAST(s.pos AS VARCHAR(20)))")
+    # a phrase goes before the words in it and before a phrase that starts within it
+    free = f"SELECT s.item_id, s.pos, s.n, s.target, s.synonym, s.tail FROM found AS s WHERE {u} < 1288490188 AND NOT EXISTS (SELECT 1 FROM found AS b WHERE b.n = 2 AND b.item_id = s.item_id AND b.target = s.target AND (b.pos = s.pos - 1 OR (s.n = 1 AND b.pos = s.pos)))"
+    return f"""WITH lexicon AS ({lexicon}), words AS ({words}), after_words AS ({after}), spans AS ({spans}),
+  found AS (SELECT p.item_id, p.pos, p.n, p.tail, l.target, l.synonym FROM spans AS p JOIN lexicon AS l ON l.phrase = p.phrase), chosen AS ({free}),
+  each AS (SELECT item_id, pos, w, target FROM words CROSS JOIN (SELECT DISTINCT target FROM lexicon) AS t)
+  SELECT e.item_id, e.target, {d.join_rows("CASE WHEN c.synonym IS NULL THEN e.w ELSE concat(c.synonym, c.tail) END", ' ', 'e.pos')} AS noisy, count(c.synonym) AS n_noise
+  FROM each AS e LEFT JOIN chosen AS c ON c.item_id = e.item_id AND c.target = e.target AND c.pos = e.pos
+  LEFT JOIN chosen AS b ON b.n = 2 AND b.item_id = e.item_id AND b.target = e.target AND b.pos = e.pos - 1 WHERE b.pos IS NULL GROUP BY e.item_id, e.target"""
 
 
 @plan
