@@ -21,8 +21,6 @@ from .common import held_out, map_arrow, sample_of, steps
 
 #: Dimensions, letters per n-gram, and the seed of the letter vectors.
 DIMENSIONS, SEED = 512, 11
-#: Symbols: 0 for anything that is no letter, a-z, and classes that the other letters share.
-SYMBOLS = 40
 UNKNOWN = "und"
 #: Labelled documents from which prototypes are learned, about; of more, a fixed choice by doc_id.
 TRAINING_DOCS = 20_000
@@ -34,29 +32,51 @@ LEAST_LETTERS = 32
 
 @lru_cache(maxsize=1)
 def symbol_table() -> np.ndarray:
-    """The symbol of each code point; upper case counts as lower case."""
-    out = np.zeros(0x110000, dtype=np.uint8)
+    """The symbol of each code point: of a letter the code point of its lower case, else 0."""
+    out = np.zeros(0x110000, dtype=np.uint32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
+            out[cp] = ord(c.lower()[0])
     return out
 
 
+@lru_cache(maxsize=1 << 16)
+def letter_vector(symbol: int) -> np.ndarray:
+    return np.random.default_rng([SEED, symbol]).choice(np.array([-1, 1], dtype=np.int8), DIMENSIONS)
+
+
+def bind(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The vectors of the n-grams with letter vectors a, b, c."""
+    return np.roll(a, 2, axis=-1) * np.roll(b, 1, axis=-1) * c
+
+
 @lru_cache(maxsize=1)
-def ngram_vectors() -> np.ndarray:
-    """The vector of each three-letter n-gram, by a * SYMBOLS**2 + b * SYMBOLS + c."""
-    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), (SYMBOLS, DIMENSIONS))
-    a, b = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    return (a[:, None, None, :] * b[None, :, None, :] * letters[None, None, :, :]).reshape(SYMBOLS**3, DIMENSIONS)
+def frequent_vectors() -> np.ndarray:
+    """The vector of each n-gram of a-z (1 to 26) and 0, by a * 27**2 + b * 27 + c."""
+    own = np.stack([letter_vector(96 + k if k else 0) for k in range(27)])
+    return bind(own[:, None, None, :], own[None, :, None, :], own[None, None, :, :]).reshape(27**3, DIMENSIONS)
+
+
+def ngram_vectors(grams: np.ndarray) -> np.ndarray:
+    """The vectors of n-grams given as a << 42 | b << 21 | c; those beyond a-z are bound on the fly."""
+    places = np.stack([grams >> 42, (grams >> 21) & 0x1FFFFF, grams & 0x1FFFFF])
+    frequent = ((places == 0) | ((places >= 97) & (places <= 122))).all(axis=0)
+    out = np.empty((len(grams), DIMENSIONS), dtype=np.int8)
+    a, b, c = np.maximum(places[:, frequent] - 96, 0)
+    out[frequent] = frequent_vectors()[(a * 27 + b) * 27 + c]
+    if not frequent.all():
+        symbols, at = np.unique(places[:, ~frequent], return_inverse=True)
+        a, b, c = np.stack([letter_vector(int(x)) for x in symbols])[at.reshape(3, -1)]
+        out[~frequent] = bind(a, b, c)
+    return out
 
 
 def bundle(text: str | None) -> np.ndarray | None:
     """The sum of the vectors of a whole text's n-grams; None without a letter."""
     if not text:
         return None
-    counts = np.zeros(SYMBOLS**3, dtype=np.int64)
+    own, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     table, tail, any_letter = symbol_table(), np.zeros(1, dtype=np.int64), False
     for at in range(0, len(text), 1 << 20):  # long texts in portions that overlap by two symbols
         part = text[at : at + (1 << 20)].encode("utf-32-le", "surrogatepass")
@@ -65,15 +85,16 @@ def bundle(text: str | None) -> np.ndarray | None:
         s = np.concatenate([tail, s, [0]] if at + (1 << 20) >= len(text) else [tail, s])
         s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]  # a run of other characters is one gap
         if len(s) >= 3:
-            counts += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
+            grams, n = np.unique(s[:-2] << 42 | s[1:-1] << 21 | s[2:], return_counts=True)
+            own, where = np.unique(np.concatenate([own, grams]), return_inverse=True) if len(own) else (grams, None)
+            counts = n if where is None else np.bincount(where, weights=np.concatenate([counts, n])).astype(np.int64)
         tail = s[-2:]
     if not any_letter:
         return None
-    own = np.flatnonzero(counts)
     out = np.zeros(DIMENSIONS, dtype=np.float32)
     for k in range(0, len(own), 4096):
-        part = own[k : k + 4096]
-        out += counts[part].astype(np.float32) @ ngram_vectors()[part].astype(np.float32)
+        part = slice(k, k + 4096)
+        out += counts[part].astype(np.float32) @ ngram_vectors(own[part]).astype(np.float32)
     return out
 
 
