@@ -20,6 +20,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from .characters import differing
 from .common import map_arrow, steps
 
 #: Bytes that Python keeps of the merged pre-tokens of earlier batches: entries in the memo of a worker.
@@ -76,6 +77,18 @@ class MinimalPerfectHash:
         return ((h ^ self._mix[h % self.buckets]) >> 20) % self.n
 
 
+def numbered(pieces: np.ndarray, any_nul: bool) -> tuple[np.ndarray, list[str]]:
+    """A number for each string, and the distinct strings by number.
+
+    pandas compares strings up to their first NUL, so those with one are numbered by a dictionary.
+    """
+    if not any_nul:
+        codes, distinct = pd.factorize(pieces)
+        return codes, list(distinct)
+    own: dict[str, int] = {}
+    return np.fromiter((own.setdefault(p, len(own)) for p in pieces), np.int64, len(pieces)), list(own)
+
+
 class ByteBPE:
     """Encoder and decoder for a vocabulary of byte strings whose ids are their merge ranks."""
 
@@ -130,14 +143,24 @@ class ByteBPE:
         key, rank = self.at[self.hash.slot(raw)]
         return (rank,) if key == raw else self.merge(raw)
 
+    def pieces(self, text: str) -> list[str]:
+        """The matches of the pattern, with letters, numbers and white space as tiktoken sees them.
+
+        Where the regex module has another class for a character, a stand-in is matched in its place.
+        """
+        unlike, stand_ins = differing()
+        if unlike is None or not unlike.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(stand_ins))]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's ids begin and end (n + 1 offsets)."""
-        found = [self.pattern.findall(t) for t in texts]
+        found = [self.pieces(t) for t in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         pieces = np.empty(int(counts.sum()), dtype=object)
         pieces[:] = list(chain.from_iterable(found))
         del found
-        codes, distinct = pd.factorize(pieces)
+        codes, distinct = numbered(pieces, any("\0" in t for t in texts))
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo, ids = self.memo, []
@@ -166,7 +189,8 @@ def loaded(path: str, pattern: str) -> ByteBPE:
     return ByteBPE.load(path, pattern)
 
 
-#: A blank between two other characters that are not white space always begins a pre-token of PATTERN.
+#: A blank between two other characters that are not white space always begins a pre-token of PATTERN (all libraries
+#: agree on white space).
 _SAFE = regex.compile(r"(?<=\S) (?=\S)")
 
 
@@ -194,8 +218,9 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
     Returns doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens, decoded (binary). A null text counts as
-    empty: no ids. Repeated rows give repeated results; other columns are ignored, whatever their names. One pass
-    over the scan's partitions without a shuffle. The vocabulary is a fixed file whose path is a parameter.
+    empty: no ids. A null doc_id stays null; texts of any length are encoded in portions; repeated rows give repeated
+    results; an empty table gives an empty result; other columns are ignored, whatever their names. One pass over the
+    scan's partitions without a shuffle. The vocabulary is a fixed file whose path is a parameter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,53 +21,95 @@ STEP_CHARS = 1_500_000
 BATCH_ROWS = 1_000
 #: And bytes: Spark's own bound is 64 MB, which the JVM and the worker each hold more than once.
 BATCH_BYTES = 4 << 20
+#: Deletes the shuffle files of a step when its rows are written, not when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, a local folder stands in.
+    Only where the session names none and runs on one machine (local master), as in tests, a local folder stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="glossmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/glossmill-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def batch_settings(batch_bytes: int = BATCH_BYTES) -> dict[str, str]:
+    return {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes)}
+
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for one action; afterwards they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-def lean(spark: SparkSession) -> SparkSession:
-    """Keep the Arrow batches of this session's plans small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """For an application's session: bounds the Arrow batches of plans that run when the caller asks for their rows."""
+    for k, v in batch_settings().items():
+        spark.conf.set(k, v)
     return spark
 
 
+def store(df: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Write df to the shared folder as Parquet and read it back: cuts lineage and survives lost executors.
+
+    The step runs with small Arrow batches, and its shuffle files go when it is done. drop() deletes the table; what
+    is left is deleted when the driver ends.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    with settings(spark, batch_settings(batch_bytes) | {CLEANUP: "true"}):
+        df.select("*").write.parquet(path)  # a new plan, so that the settings hold for it
+    if not _WRITTEN:
+        atexit.register(drop_rest)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads."""
+    for df in tables:
+        _delete(df._stored_at)
+
+
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    if spark is not None and (jvm := getattr(spark, "_jvm", None)) is not None:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_rest() -> None:
+    for path in list(_WRITTEN):
+        with suppress(Exception):  # the session may have ended before
+            _delete(path)
+
+
 def trim() -> None:
     """Give freed memory of a worker back to the system, where the C library can: idle workers stay alive."""
     pa.default_memory_pool().release_unused()
-    try:
+    with suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass
-
-
-def sweep(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps that nothing refers to any more."""
-    for _ in range(2):  # what the first pass lets go of, the second can find
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return lean(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -81,25 +125,34 @@ def sample_of(key: Column, total: int, bound: int, seed: str) -> Column:
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str, chars: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into pieces of about `chars` characters of `column` (at least a row each)."""
+    """Cut record batches into pieces of about `chars` bytes of `column` (at least a row each)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         i = batch.schema.get_field_index(column)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
-        start = total = 0
-        for k, n in enumerate(sizes):
-            if total and total + n > chars:
-                yield batch.slice(start, k - start)
-                start, total = k, 0
-            total += int(n)
-        yield batch.slice(start)
+        sizes = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + chars, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str, *columns: str) -> DataFrame:
-    """mapInArrow over the named columns only, so that the scan reads no others."""
-    lean(df.sparkSession)
-    return df.select(*columns).mapInArrow(fn, schema)
+    """mapInArrow over the named columns only, so that the scan reads no others; afterwards a worker frees its memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trim()
+
+    return df.select(*columns).mapInArrow(run, schema)
 
 
-import pyarrow.compute  # noqa: E402,F401  (pa.compute above)
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of `columns` has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -19,6 +19,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_arrow, steps
 
@@ -28,7 +29,7 @@ GROUP_DOCS, GROUP_TOKENS = 4096, 4_000_000
 #: Tokens of one step group.
 STEP_TOKENS = 32_768
 
-SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint, tier int, step_group bigint"
+SCHEMA = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint, tier int, step_group bigint"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,19 +41,27 @@ def byte_alphabet() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    """An encoder of the same ids as the JSON vocabulary at path: without its special tokens the ids are the merge ranks."""
+    """An encoder of the same ids as `tokenizers` gives for the JSON vocabulary at path (add_special_tokens=False).
+
+    The ids of its entries are their merge ranks. Its added tokens count wherever their strings stand in a text, as
+    they do there: the text is cut at them before anything else. Letters, numbers and white space are the same to both
+    libraries (tests/llm/test_tokens.py goes through every character).
+    """
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {x["content"] for x in model["added_tokens"]}
+    if model.get("normalizer") or any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in model["added_tokens"]):
+        raise ValueError("only plain added tokens and no normalizer are supported")
+    added = {x["content"]: x["id"] for x in model["added_tokens"]}
     at = byte_alphabet()
-    ranks = {bytes(at[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(at[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in added}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 def ids_of(enc: tiktoken.Encoding, text: str | None, end: int = 0) -> np.ndarray:
+    """The ids of a whole text (null: none), and the id that ends it."""
     if not text:
         return np.array([end], dtype=np.uint32)
-    raw = enc._core_bpe.encode_to_tiktoken_buffer(text, set())
+    raw = enc._core_bpe.encode_to_tiktoken_buffer(text, enc.special_tokens_set)
     return np.append(np.frombuffer(raw, dtype=np.uint32), np.uint32(end))
 
 
@@ -151,17 +160,21 @@ def step_groups(lengths: list[int], tokens: int) -> list[int]:
 def pack_documents(docs: DataFrame, path: str, pattern: str, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """Tokenize every whole text, end it with id 0, and pack all ids into sequences of at most tiers[0] tokens.
 
-    Returns a row per piece (SCHEMA). A null or empty text is the id 0 alone; repeated rows are packed as often as
-    they occur; a null doc_id stays null; other columns are ignored. Each task packs its own partition in groups of
+    Returns a row per piece (SCHEMA). A null or empty text is the id 0 alone; a long one is cut; repeated rows are
+    packed as often as they occur; doc_id keeps its type and a null one stays null; an empty table gives no pieces;
+    other columns are ignored, whatever their names. Each task packs its own partition in groups of
     bounded size, without a shuffle. sequence_id holds the partition above bit 33 and a running number below it;
     the same partitions give the same sequences, so a rerun task repeats its result.
     """
 
+    schema = SCHEMA.format(id=dict(docs.dtypes)["doc_id"])
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         base = TaskContext.get().partitionId() << 33
         seq = group = 0
-        docs_in: list[int | None] = []
+        docs_in: list = []
         ids_in: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -180,8 +193,8 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, tiers: tuple[int, .
             group += max(steps_of, default=0) + 1
             docs_in.clear()
             ids_in.clear()
-            kinds = [pa.int64()] * 8 + [pa.int32(), pa.int64()]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            kinds = [id_type] + [pa.int64()] * 7 + [pa.int32(), pa.int64()]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
         total = 0
         for b in steps(batches, "text"):
@@ -196,4 +209,4 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, tiers: tuple[int, .
         if docs_in:
             yield flush()
 
-    return map_arrow(docs, run, SCHEMA, "doc_id", "text")
+    return map_arrow(docs, run, schema, "doc_id", "text")

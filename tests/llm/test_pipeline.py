@@ -103,7 +103,6 @@ def test_repeats_stage(stages):
 def test_packing_stage(stages):
     a, b, _ = stages["packing"]
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = b.collect()
     for k, t in texts(a).items():
         ids, at = [*tok.encode(t or "", add_special_tokens=False).ids, 0], 0

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from glossmill.llm import bpe, chat, packing
 
-TEXTS = ["", "Hello world, don't 'soon  \t x\n\n y", "日本語 <|endoftext|>　x", "é" * 300, "a " * 3000, "  \n ", "12345 ÄÖ ß !!! ###"]
+TEXTS = ["", "Hello world, don't 'soon  \t x\n\n y", "日本語 <|endoftext|>　x", "hello <|endoftext|> world <|endoftext|><|endoftext|>", "<|endoftext|", "\U00010ee7a 1\U00011de0 \U000323b0\U000323b1b", "é" * 300, "a " * 3000, "  \n ", "12345 ÄÖ ß !!! ###"]
 
 
 def test_bpe_equals_tiktoken(spark):
@@ -27,10 +27,37 @@ def test_bpe_equals_tiktoken(spark):
     assert [x.tolist() for x in bpe.encode_texts(one, TEXTS, 50)] == [enc.encode_ordinary(t) for t in TEXTS]
 
 
+def every_character():
+    """Texts that have each character within a word, after a blank, doubled, and beside digits and marks."""
+    for at in range(0, 0x110000, 1 << 13):
+        own = [chr(c) for c in range(at, at + (1 << 13)) if not 0xD800 <= c < 0xE000]
+        yield "".join(f"a{c}a {c}{c}1{c}!{c} {c}\n" for c in own)
+
+
+def test_every_character_as_the_libraries_see_it():
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc, own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.loaded(path, P.PATTERN)
+    path = P.path("byte_bpe_50k.json")
+    tok, packer = Tokenizer.from_file(path), packing.encoder(path, P.PATTERN)
+    for text in every_character():
+        assert bpe.encode_texts(own, [text])[0].tolist() == enc.encode_ordinary(text)
+        assert packing.ids_of(packer, text).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_packing_of_odd_tables(spark):
+    path = P.path("byte_bpe_50k.json")
+    rows = [("x", "twice"), ("x", "twice"), (None, None), ("long", "word " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 AS start", "2 AS sequence_id")
+    got = packing.pack_documents(docs, path, P.PATTERN).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == "x") == 2 * len(Tokenizer.from_file(path).encode("twice").ids) + 2
+    assert {r["doc_tokens"] for r in got if r["doc_id"] is None} == {1} and sum(r["length"] for r in got if r["doc_id"] == "long") == 100_002
+    assert packing.pack_documents(docs.limit(0), path, P.PATTERN).collect() == []
+
+
 def test_packing_is_whole_and_without_padding(spark):
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = [*enumerate(TEXTS), (99, None)]
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), path, P.PATTERN).collect()
     sequences = {}
