@@ -3,12 +3,16 @@
 Which 50-byte strings of a document also start in an earlier one is found in steps that no group of copies inflates:
 
 1. A task assigns each 50-byte window of a text to its minimizer (the least hash among its 20-byte strings). The
-   windows of one minimizer form a fragment. Equal windows have equal minimizers, wherever they stand.
-2. Fragments meet by the hash of their minimizer. A fragment whose whole content occurs in an earlier document is
-   repeated. Minimizers under which several contents meet are left to the index.
-3. For these, the contents of a bucket of minimizers are joined to one text of which a run-compressed
-   Burrows-Wheeler transform with sampled run ends is built. Each fragment is streamed against it; its matching
-   statistics say where it matches for 50 bytes or more, and the rows that share these bytes know their first document.
+   windows of one minimizer form a fragment. Equal windows have equal minimizers, wherever they stand. Minimizers that
+   stand in many documents with ever new surroundings (found on a sample; which they are bears on speed alone) route
+   each of their windows by its own hash instead, so that no task gets a share of all documents.
+2. Fragments meet by the hash of their minimizer, and equal contents are joined to their first document (96 bits of
+   hash): copies are summed up here and before the shuffle, and one of each content goes on.
+3. The contents of a minimizer are numbered by their first documents. For each bit of these numbers, those of a bucket
+   that have a 0 there are joined to one text of which a run-compressed Burrows-Wheeler transform with sampled run ends
+   is built; those that have a 1 are streamed against it. Of two contents, the earlier one is indexed and the later one
+   streamed at the highest bit in which they differ. Matching statistics of 50 bytes or more are repeats, if the first
+   document that has the matched string, known by runs of rows, is an earlier one.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, steps, store, sweep, trim
+from .common import drop, fresh, map_arrow, sample_of, steps, store, trim
 from .jaccard import _powers, mix
 
 #: Bytes of a repeated string, and of the strings that minimizers are.
@@ -30,15 +34,33 @@ LENGTH, SEED_BYTES = 50, 20
 PORTION, FLUSH = 1 << 19, 300_000
 #: Buckets of minimizers for each shuffle partition.
 BUCKETS_PER_PARTITION = 8
+#: Documents that are looked at (about) for minimizers with ever new surroundings, and the contents, absolute and as a
+#: share of these documents, from which a minimizer counts as one.
+HOT_SAMPLE, HOT_LEAST, HOT_SHARE = 8_000, 48, 0.004
 
 _FRAGMENT = np.dtype([("h", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("n", "<i4")])
-#: Bytes of each field that are sent, the lowest first; the two hashes keep 48 bits.
-_SENT = {"h": 6, "f": 6, "doc": 8, "key": 3, "lo": 6, "n": 1}
+#: Bytes of each field that are sent, the lowest first; the two hashes keep 48 bits. A fragment has at most
+#: LENGTH - SEED_BYTES + 1 windows, so _sizes() says how many bytes their number takes.
+_SENT = {"h": 6, "f": 6, "doc": 8, "key": 8, "lo": 6}
 _SPAN = np.dtype([("doc", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("n", "<i8")])
 
 
-def fragments(raw: np.ndarray, length: int = LENGTH, seed_bytes: int = SEED_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The fragments of a text's bytes: minimizer hash, content hash, first window, number of windows."""
+def checked(length: int) -> int:
+    """A length of repeats that minimizers of SEED_BYTES bytes can find."""
+    if length <= SEED_BYTES:
+        raise ValueError(f"repeats must be longer than {SEED_BYTES} bytes")
+    return length
+
+
+def _sizes(length: int) -> dict[str, int]:
+    return _SENT | {"n": 1 if length - SEED_BYTES + 1 < 256 else 4}
+
+
+def fragments(raw: np.ndarray, length: int = LENGTH, seed_bytes: int = SEED_BYTES, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The fragments of a text's bytes: minimizer hash, content hash, first window, number of windows.
+
+    A fragment of a minimizer among `hot` (upper 48 bits, sorted) is cut into its windows, each under its own hash.
+    """
     width = length - seed_bytes + 1
     out = []
     for at in range(0, len(raw) - length + 1, PORTION):
@@ -59,23 +81,33 @@ def fragments(raw: np.ndarray, length: int = LENGTH, seed_bytes: int = SEED_BYTE
         where = (least & low).astype(np.int64)
         lo = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         n = np.diff(np.append(lo, len(where)))
+        h = v[where[lo]]
+        if hot is not None and len(hot):
+            own = h >> np.uint64(16)
+            among = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+            if among.any():
+                times = np.where(among, n, 1)
+                first = np.cumsum(times) - times
+                lo = np.repeat(lo, times) + np.where(np.repeat(among, times), np.arange(int(times.sum())) - np.repeat(first, times), 0)
+                n, h, alone = np.repeat(np.where(among, 1, n), times), np.repeat(h, times), np.repeat(among, times)
+                h[alone] = mix((total[lo[alone] + length] - total[lo[alone]]) * inverse[lo[alone]] + np.uint64(length))
         end = lo + n + length - 1
         content = mix((total[end] - total[lo]) * inverse[lo] + n.astype(np.uint64))
-        out.append((v[where[lo]], content, lo + at, n))
+        out.append((h, content, lo + at, n))
     if not out:
         return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def packed(x: np.ndarray) -> bytes:
+def packed(x: np.ndarray, sizes: dict[str, int]) -> bytes:
     """Fragments as bytes, one plane of bytes after another: the high ones are nearly all zero and compress away."""
-    return b"".join(np.ascontiguousarray(x[c]).view(np.uint8).reshape(len(x), -1)[:, :k].T.tobytes() for c, k in _SENT.items())
+    return b"".join(np.ascontiguousarray(x[c]).view(np.uint8).reshape(len(x), -1)[:, :k].T.tobytes() for c, k in sizes.items())
 
 
-def unpacked(blob: bytes) -> np.ndarray:
-    n, at = len(blob) // sum(_SENT.values()), 0
+def unpacked(blob: bytes, sizes: dict[str, int]) -> np.ndarray:
+    n, at = len(blob) // sum(sizes.values()), 0
     x = np.zeros(n, _FRAGMENT)
-    for c, k in _SENT.items():
+    for c, k in sizes.items():
         full = np.zeros((n, _FRAGMENT[c].itemsize), np.uint8)
         full[:, :k] = np.frombuffer(blob, np.uint8, n * k, at).reshape(k, n).T
         x[c] = full.view(_FRAGMENT[c]).ravel()
@@ -93,15 +125,20 @@ def merged(lo: np.ndarray, n: np.ndarray, more: int = 0) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """A run-compressed Burrows-Wheeler transform of several byte strings, with suffix samples at the ends of runs."""
+    """A run-compressed Burrows-Wheeler transform of several byte strings, with suffix samples at the ends of runs.
+
+    Besides the strings themselves, what is kept has an entry per run: of equal symbols of the transform (with samples
+    and the mapping), and of neighbouring rows whose first `length` bytes have the same least owner (`least_start`,
+    `least`). The suffix array is built and let go.
+    """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], owners: np.ndarray, length: int):
         m = len(texts)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        self.starts = np.cumsum(sizes + 1) - (sizes + 1)
+        starts = np.cumsum(sizes + 1) - (sizes + 1)
         n = int((sizes + 1).sum())
         sym = np.zeros(n, dtype=np.int64)
-        ends = self.starts + sizes
+        ends = starts + sizes
         is_end = np.zeros(n, dtype=bool)
         is_end[ends] = True
         sym[~is_end] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + m
@@ -109,13 +146,13 @@ class RunLengthIndex:
         self.n, self.m = n, m
         #: Bytes by position, -1 at end marks and past the end.
         self.text = np.where(is_end, -1, sym - m).astype(np.int16)
-        self.order = self._suffixes(sym, int(sizes.max(initial=0)) + 1)
-        before = sym[self.order - 1]  # position 0 wraps to the last end mark
+        order = self._suffixes(sym, int(sizes.max(initial=0)) + 1)
+        before = sym[order - 1]  # position 0 wraps to the last end mark
         change = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         self.run_start, self.run_sym = change, before[change]
         run_len = np.diff(np.append(change, n))
         #: Samples: the text position of the first and of the last row of each run.
-        self.first, self.last = self.order[change], self.order[change + run_len - 1]
+        self.first, self.last = order[change], order[change + run_len - 1]
         by = np.argsort(self.run_sym, kind="stable")
         lens = run_len[by]
         self.base = np.empty(len(by), dtype=np.int64)
@@ -123,6 +160,22 @@ class RunLengthIndex:
         self.run_key = self.run_sym[by] * (len(by) + 1) + by
         self.run_by = by
         self.run_end = change + run_len - 1
+        # rows that agree with the row before them in their first bytes have one least owner together
+        padded = np.concatenate([self.text, np.full(length, -1, np.int16)])
+        left = np.arange(1, n)
+        for k in range(length):
+            left = left[padded[order[left] + k] == padded[order[left - 1] + k]]
+        new = np.ones(n, dtype=bool)
+        new[left] = False
+        at = np.flatnonzero(new)
+        of = np.searchsorted(starts, order, side="right") - 1
+        least = np.minimum.reduceat(owners[of], at)
+        go = np.concatenate([[True], least[1:] != least[:-1]])
+        self.least_start, self.least = at[go], least[go]
+
+    def least_owner(self, rows: np.ndarray) -> np.ndarray:
+        """The least owner of the strings of `length` bytes with which these rows begin."""
+        return self.least[np.searchsorted(self.least_start, rows, side="right") - 1]
 
     @staticmethod
     def _suffixes(sym: np.ndarray, longest: int) -> np.ndarray:
@@ -191,26 +244,31 @@ class RunLengthIndex:
             yield own, sizes[own] - (width - col), keep, q
 
 
-def repeated_windows(contents: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (content, first window, windows) that also occur in a content of a smaller document."""
-    index = RunLengthIndex(contents)
-    text = np.concatenate([index.text, np.full(length, -1, np.int16)])
-    left = np.arange(1, index.n)  # rows that agree with the row before them in the bytes looked at so far
-    for k in range(length):
-        left = left[text[index.order[left] + k] == text[index.order[left - 1] + k]]
-    same = np.zeros(index.n, dtype=bool)
-    same[left] = True
-    group = np.cumsum(~same) - 1  # rows that share their first `length` bytes
-    of = np.searchsorted(index.starts, index.order, side="right") - 1
-    first = np.minimum.reduceat(docs[of], np.flatnonzero(~same))
+def repeated_windows(contents: list[bytes], docs: np.ndarray, groups: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (content, first window, windows) that also occur in a content of a smaller document.
+
+    Only contents of one group have windows in common.
+    """
+    order = np.lexsort((docs, groups))
+    new = np.concatenate([[True], groups[order][1:] != groups[order][:-1]])
+    start = np.flatnonzero(new)
+    number, size = np.empty(len(docs), np.int64), np.empty(len(docs), np.int64)
+    number[order] = np.arange(len(docs)) - np.repeat(start, np.diff(np.append(start, len(docs))))
+    size[order] = np.repeat(np.diff(np.append(start, len(docs))), np.diff(np.append(start, len(docs))))
     hits_t, hits_p = [], []
-    for text, place, n, row in index.matching_statistics(contents):
-        hit = (n >= length) & (first[group[row]] < docs[text])
-        hits_t.append(text[hit])
-        hits_p.append(place[hit])
+    for bit in range(int(size.max(initial=1) - 1).bit_length()):
+        some = size > 1 << bit
+        known, asked = np.flatnonzero(some & (number >> bit & 1 == 0)), np.flatnonzero(some & (number >> bit & 1 == 1))
+        index = RunLengthIndex([contents[i] for i in known], docs[known], length)
+        for text, place, n, row in index.matching_statistics([contents[i] for i in asked]):
+            hit = np.flatnonzero(n >= length)
+            if len(hit):
+                hit = hit[index.least_owner(row[hit]) < docs[asked[text[hit]]]]
+                hits_t.append(asked[text[hit]])
+                hits_p.append(place[hit])
     t, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hits_t, hits_p))
-    order = np.lexsort((p, t))
-    t, p = t[order], p[order]
+    if len(t):
+        t, p = np.unique(np.stack([t, p]), axis=1)
     at = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)])) if len(t) else np.zeros(0, np.int64)
     return t[at], p[at], np.diff(np.append(at, len(t)))
 
@@ -223,8 +281,28 @@ def _rows(kind: int, spans: np.ndarray, h: np.ndarray | None = None) -> pa.Recor
     )
 
 
-def _sent(docs: DataFrame, buckets: int, length: int) -> DataFrame:
+def _hot(docs: DataFrame, length: int) -> np.ndarray:
+    """Minimizers that have many contents among about HOT_SAMPLE documents (48 bits of their hashes, sorted).
+
+    The driver gets at most 1 / HOT_SHARE minimizers for each fragment of a mean text.
+    """
+    total = docs.select("doc_id").agg(F.count("doc_id").alias("n")).collect()[0]["n"]
+    some = docs.where(sample_of(F.col("doc_id"), total, HOT_SAMPLE, "hot"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "text"):
+            own = [fragments(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8), length)[:2] for t in b.column(0).to_pylist()]
+            pairs = np.unique(np.stack([np.concatenate([x[k] for x in own]) >> np.uint64(16) for k in (0, 1)]), axis=1)
+            yield pa.record_batch({"h": pa.array(pairs[0].view(np.int64)), "f": pa.array(pairs[1].view(np.int64))})
+
+    least = max(HOT_LEAST, int(HOT_SHARE * min(total, HOT_SAMPLE)))
+    many = map_arrow(some, run, "h bigint, f bigint", "text").groupBy("h").agg(F.count_distinct("f").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["h"] for r in many.select("h").collect()], dtype=np.int64).astype(np.uint64))
+
+
+def _sent(docs: DataFrame, buckets: int, length: int, hot: np.ndarray) -> DataFrame:
     """Step 1: rows (bucket, payload). A bucket of -1 or less holds spans that are known to be repeated already."""
+    sizes = _sizes(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -254,7 +332,7 @@ def _sent(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 s = s[at]
                 s["n"] = sums
                 for k in range(0, len(s), 20_000):
-                    ids.append(-1 - int(s["key"][k] % buckets))
+                    ids.append(-1 - (int(s["key"][k]) + int(s["lo"][k])) % buckets)
                     blobs.append(s[k : k + 20_000].tobytes())
             x = x[~later]
             b = (x["h"] % np.uint64(buckets)).astype(np.int64)
@@ -262,13 +340,13 @@ def _sent(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             own, cut = np.unique(b[order], return_index=True)
             for k, part in zip(own.tolist(), np.split(x[order], cut[1:]), strict=True):
                 ids.append(k)
-                blobs.append(packed(part))
+                blobs.append(packed(part, sizes))
             for k in range(0, len(ids), 256):
                 yield pa.record_batch({"bucket": pa.array(ids[k : k + 256], pa.int64()), "payload": pa.array(blobs[k : k + 256], pa.binary())})
 
         for batch in steps(batches, "text"):
             for d, key, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                h, f, lo, n = fragments(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8), length)
+                h, f, lo, n = fragments(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8), length, hot=hot)
                 x = np.zeros(len(h), _FRAGMENT)
                 x["h"], x["f"], x["doc"], x["key"], x["lo"], x["n"] = h >> np.uint64(16), f >> np.uint64(16), d, key, lo, n
                 held.append(x)
@@ -297,14 +375,25 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield at, rows
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(length: int):
     """Step 2: spans that are repeated (kind 0), and fragments that the index must compare (kind 1, with h)."""
+    sizes = _sizes(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _meet(batches, sizes)
+        trim()
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch], sizes: dict[str, int]) -> Iterator[pa.RecordBatch]:
     for bucket, rows in _by_bucket(batches):
         if bucket < 0:
             for _, blob in rows:
                 yield _rows(0, np.frombuffer(blob, _SPAN))
             continue
-        x = np.concatenate([unpacked(blob) for _, blob in rows])
+        x = np.concatenate([unpacked(blob, sizes) for _, blob in rows])
+        rows.clear()
         # only minimizers that stand in two documents matter
         order = np.argsort(x["h"], kind="stable")
         new = np.concatenate([[True], x["h"][order][1:] != x["h"][order][:-1]])
@@ -324,36 +413,36 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = x[~later & (contents > 1)]
         if len(rest):
             yield _rows(1, rest, rest["h"])
-    trim()
 
 
 def _cut_out(length: int, buckets: int):
-    """Fetch the contents of the fragments that must be compared: (bucket, doc, key, lo, content)."""
+    """Fetch the contents of the fragments that must be compared: (bucket, h, doc, key, lo, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text", 1_000_000):
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
             for d, key, t, own in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 for x in own:
-                    for c, v in zip(cols, (x["h"] % buckets, d, key, x["lo"], raw[x["lo"] : x["lo"] + x["n"] + length - 1]), strict=True):
+                    for c, v in zip(cols, (x["h"] % buckets, x["h"], d, key, x["lo"], raw[x["lo"] : x["lo"] + x["n"] + length - 1]), strict=True):
                         c.append(v)
             for k in range(0, len(cols[0]), 50_000):
-                yield pa.record_batch([pa.array(c[k : k + 50_000], kind) for c, kind in zip(cols, (pa.int64(),) * 4 + (pa.binary(),), strict=True)], names=["bucket", "doc", "key", "lo", "content"])
+                yield pa.record_batch([pa.array(c[k : k + 50_000], kind) for c, kind in zip(cols, (pa.int64(),) * 5 + (pa.binary(),), strict=True)], names=["bucket", "h", "doc", "key", "lo", "content"])
+        trim()
 
     return run
 
 
 def _indexed(length: int):
-    """Step 3: build a bucket's index, stream its fragments, and return their repeated spans."""
+    """Step 3: build a bucket's indexes, stream its fragments, and return their repeated spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
-            docs = np.array([r[1] for r in rows], dtype=np.int64)
-            t, p, n = repeated_windows([r[4] for r in rows], docs, length)
+            groups, docs = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2))
+            t, p, n = repeated_windows([r[5] for r in rows], docs, groups, length)
             if len(t):
                 out = np.zeros(len(t), _SPAN)
-                key, lo = (np.array([r[k] for r in rows], dtype=np.int64) for k in (2, 3))
+                key, lo = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4))
                 out["doc"], out["key"], out["lo"], out["n"] = docs[t], key[t], lo[t] + p, n
                 yield _rows(0, out)
             trim()
@@ -364,36 +453,29 @@ def _indexed(length: int):
 _SPANS = "kind int, doc bigint, key bigint, lo bigint, n bigint, h bigint"
 
 
-def _row_key():
-    """Tells the rows of one doc_id apart: 24 bits of a hash of the text."""
-    return F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))
-
+def with_spans(docs: DataFrame, columns: list[str], length: int = LENGTH, name: str = "spans") -> DataFrame:
+    """The columns of docs and (as `name`) spans: (lo, n) runs of windows of `length` bytes that also start in a smaller doc_id.
 
-def with_spans(docs: DataFrame, columns: list[str], length: int = LENGTH) -> DataFrame:
-    """The columns of docs and `spans`: (lo, n) runs of windows of `length` bytes that also start in a smaller doc_id.
-
-    Null where there are none. docs must have doc_id and text; a null doc_id has no order: such rows neither get spans
-    nor give them to others. Rows that repeat a doc_id do not match each other; each gets its own spans. Steps are
+    Null where there are none. docs must have doc_id (a whole number) and text; a null doc_id has no order: such rows
+    neither get spans nor give them to others. Rows that repeat a doc_id do not match each other; each gets its own
+    spans (a hash of the text tells them apart). Texts of any length are whole; an empty table gives no rows. Steps are
     written to the shared folder. Buckets follow the session's shuffle partitions.
     """
-    spark = lean(docs.sparkSession)
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row_key().alias("key"), "text")
-    sent = _sent(keyed, buckets, length).repartition("bucket").sortWithinPartitions("bucket")
-    met = store(sent.mapInArrow(_met, _SPANS))
-    del sent
-    sweep(spark)
+    checked(length)
+    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    sent = _sent(keyed, buckets, length, _hot(keyed, length)).repartition("bucket").sortWithinPartitions("bucket")
+    met = store(sent.mapInArrow(_met(length), _SPANS))
     todo = met.where("kind = 1").groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "n", "h")).alias("own"))
     # lists of spans and fragments grow with the data, so they are not broadcast, however few they may be
     found = keyed.join(todo.withColumnRenamed("key", "_k").hint("merge"), (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("_k"))).select("doc_id", "key", "text", "own")
-    cut = found.mapInArrow(_cut_out(length, buckets), "bucket bigint, doc bigint, key bigint, lo bigint, content binary")
+    cut = found.mapInArrow(_cut_out(length, buckets), "bucket bigint, h bigint, doc bigint, key bigint, lo bigint, content binary")
     more = store(cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_indexed(length), _SPANS))
-    del found, cut
-    sweep(spark)
-    spans = met.where("kind = 0").unionByName(more).groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    full = docs.select(*columns).withColumns({"_doc": F.col("doc_id").cast("bigint"), "_key": _row_key()})
-    out = full.join(spans.withColumnsRenamed({"doc": "_d", "key": "_k"}).hint("merge"), (F.col("_doc") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    return out.select(*(F.col(c) for c in columns), "spans")
+    doc, key, of_doc, of_key = (fresh(columns, x) for x in ("_doc", "_key", "_of_doc", "_of_key"))
+    spans = met.where("kind = 0").unionByName(more).groupBy(F.col("doc").alias(of_doc), F.col("key").alias(of_key)).agg(F.collect_list(F.struct("lo", "n")).alias(name))
+    full = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("doc_id").cast("bigint").alias(doc), F.xxhash64("text").alias(key))
+    out = full.join(spans.hint("merge"), (F.col(doc) == F.col(of_doc)) & (F.col(key) == F.col(of_key)), "left")
+    return out.select(*(F.col(f"`{c}`") for c in columns), name)
 
 
 def _removed(spans: list[dict] | None, length: int) -> np.ndarray:
@@ -417,6 +499,7 @@ def dedup_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Every byte is removed that a string of `length` bytes covers which also starts in a document with a smaller doc_id.
     A null text is empty; shorter texts never match; other columns are ignored. See with_spans for nulls and repeats.
+    `length` must be above SEED_BYTES.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +515,11 @@ def dedup_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated bytes taken out of its texts. Characters that a cut would split stay whole."""
+    """docs with the repeated bytes taken out of its texts. Characters that a cut would split stay whole.
+
+    All columns stay, whatever their names; a null text stays null; an empty table gives an empty result. See
+    with_spans for nulls and repeats.
+    """
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,5 +539,6 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(t)
             cols = [pa.array(out, pa.string()) if k == i else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.record_batch(cols, names=schema.names)
+        trim()
 
-    return with_spans(docs, docs.columns, length).mapInArrow(run, schema)
+    return with_spans(docs, docs.columns, length, fresh(docs.columns, "_spans")).mapInArrow(run, schema)

@@ -74,20 +74,70 @@ def test_matching_statistics(seed):
     r = random.Random(seed)
     make = lambda k: bytes(r.choice(b"abc") for _ in range(k))
     index_texts, queries = [make(r.randrange(1, 30)) for _ in range(8)] + [b"ababababababab"], [make(r.randrange(1, 40)) for _ in range(6)] + [b"", b"abababab", b"zaz"]
-    index = rlbwt.RunLengthIndex(index_texts)
+    owners, length = np.array([r.randrange(5) for _ in index_texts]), 4
+    index = rlbwt.RunLengthIndex(index_texts, owners, length)
     got = {}
-    for text, place, length, row in index.matching_statistics(queries):
-        for t, p, n, q in zip(text, place, length, row):
-            got[t, p] = n
-            at = int(index.order[q])
-            if n:
-                assert bytes(index.text[at : at + n].astype(np.uint8)) == queries[t][p : p + n]
+    for text, place, n, row in index.matching_statistics(queries):
+        for t, p, k, least in zip(text, place, n, index.least_owner(row)):
+            got[t, p] = k
+            if k >= length:
+                assert least == min(o for o, x in zip(owners, index_texts) if queries[t][p : p + length] in x)
     for t, q in enumerate(queries):
         for p in range(len(q)):
             best = max(n for n in range(len(q) - p + 1) if any(q[p : p + n] in x for x in index_texts))
             assert got[t, p] == best
 
 
+def test_the_index_is_as_large_as_the_runs():
+    r = random.Random(9)
+    text = bytes(r.choice(b"abcdefgh") for _ in range(400))
+    small, large = (rlbwt.RunLengthIndex([text] * k, np.arange(k), 50) for k in (2, 40))
+    assert large.n == 20 * small.n and len(large.run_start) < 1.3 * len(small.run_start)
+    kept = [x for x in vars(large).values() if isinstance(x, np.ndarray) and x is not large.text]
+    assert all(len(x) <= len(large.run_start) for x in kept) and len(large.least) <= 100
+
+
+def test_each_content_is_streamed_against_earlier_ones(monkeypatch):
+    r = random.Random(4)
+    make = lambda: bytes(r.choice(b"ab") for _ in range(70))
+    base = [make() for _ in range(3)]
+    contents = [b[: r.randrange(50, 71)] if r.random() < 0.5 else b[r.randrange(0, 20) :] for b in base for _ in range(9)]
+    groups, docs = np.repeat(np.arange(3), 9), np.array([r.randrange(8) for _ in contents])
+    t, p, n = rlbwt.repeated_windows(contents, docs, groups)
+    got = {(a, b + k) for a, b, m in zip(t.tolist(), p.tolist(), n.tolist()) for k in range(m)}
+    want = {(i, p) for i, c in enumerate(contents) for p in range(len(c) - 49) if any(docs[j] < docs[i] and c[p : p + 50] in x for j, x in enumerate(contents))}
+    assert got == want and want
+
+
+def test_minimizers_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(rlbwt, "HOT_LEAST", 3)
+    r = random.Random(8)
+    passage = "a passage that stands in every document, with other words around it each time"
+    rows = [(i, f"{''.join(r.choice('abcdef ') for _ in range(40))}{passage}{''.join(r.choice('xyz ') for _ in range(40))}") for i in range(40)]
+    assert len(rlbwt._hot(spark.createDataFrame(rows, "doc_id bigint, text string"), 50)) > 0
+    assert run(spark, rows + texts(3, 20)) == brute(rows + texts(3, 20), 50)
+
+
+@pytest.mark.parametrize("length", [21, 33, 50, 300, 400])
+def test_lengths(spark, length):
+    rows = texts(5, 30) + [(50, "ab" * 900), (51, "cd" + "ab" * 900), (52, texts(5, 30)[3][1] * 9), (53, texts(5, 30)[3][1] * 8)]
+    assert run(spark, rows, length) == brute(rows, length)
+
+
+def test_short_lengths_are_refused(spark):
+    with pytest.raises(ValueError):
+        run(spark, [(1, "a")], 20)
+
+
+def test_other_columns_of_any_name_stay(spark):
+    names = ["spans", "_spans", "_doc", "_key", "_of_doc", "_of_key", "_d", "_k", "doc", "key", "lo", "n", "h", "own"]
+    docs = spark.createDataFrame([(1, "x" * 60), (2, "x" * 60 + "rest")], "doc_id bigint, text string").selectExpr("*", *(f"'{c}' AS `{c}`" for c in names))
+    out = rlbwt.dedup_texts(docs)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r.asDict() for r in out.collect()}
+    assert got[2]["text"] == "rest" and all(got[2][c] == c for c in names)
+
+
 def test_texts_keep_whole_characters(spark):
     same = "à" * 40
     docs = spark.createDataFrame([(1, same, "a"), (2, "b" + same + "c", "a"), (3, None, None)], "doc_id bigint, text string, lang string")
