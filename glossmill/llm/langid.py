@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow, sample_of, steps
+from .common import held_out, map_arrow, sample_of, steps, trim
 
 #: Dimensions, letters per n-gram, and the seed of the letter vectors.
 DIMENSIONS, SEED = 512, 11
 UNKNOWN = "und"
 #: Labelled documents from which prototypes are learned, about; of more, a fixed choice by doc_id.
 TRAINING_DOCS = 20_000
+#: Characters of a text that are looked at together.
+PORTION = 1 << 18
 #: Unrelated n-grams have a cosine of 0 with a standard deviation of 1 / sqrt(DIMENSIONS); beyond so many it is no chance.
 CHANCE = 3.0
 #: A text with fewer letters has too few n-grams for a cosine that tells a learned language from chance.
@@ -34,10 +36,8 @@ LEAST_LETTERS = 32
 def symbol_table() -> np.ndarray:
     """The symbol of each code point: of a letter the code point of its lower case, else 0."""
     out = np.zeros(0x110000, dtype=np.uint32)
-    for cp in range(0x110000):
-        c = chr(cp)
-        if c.isalpha():
-            out[cp] = ord(c.lower()[0])
+    for c in filter(str.isalpha, map(chr, range(0x110000))):
+        out[ord(c)] = ord(c.lower()[0])
     return out
 
 
@@ -78,11 +78,11 @@ def bundle(text: str | None) -> np.ndarray | None:
         return None
     own, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     table, tail, any_letter = symbol_table(), np.zeros(1, dtype=np.int64), False
-    for at in range(0, len(text), 1 << 20):  # long texts in portions that overlap by two symbols
-        part = text[at : at + (1 << 20)].encode("utf-32-le", "surrogatepass")
+    for at in range(0, len(text), PORTION):  # long texts in portions that overlap by two symbols
+        part = text[at : at + PORTION].encode("utf-32-le", "surrogatepass")
         s = table[np.frombuffer(part, dtype=np.uint32)].astype(np.int64)
         any_letter |= bool(s.any())
-        s = np.concatenate([tail, s, [0]] if at + (1 << 20) >= len(text) else [tail, s])
+        s = np.concatenate([tail, s, [0]] if at + PORTION >= len(text) else [tail, s])
         s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]  # a run of other characters is one gap
         if len(s) >= 3:
             grams, n = np.unique(s[:-2] << 42 | s[1:-1] << 21 | s[2:], return_counts=True)
@@ -201,7 +201,9 @@ def least_cosine(docs: DataFrame, profiles: Profiles, bound: int = TRAINING_DOCS
 def keep_identified(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataFrame:
     """The rows of docs, all columns, whose text has a cosine of `least` or more with a language; letterless texts go.
 
-    Where nothing can be decided, a text with a letter stays: if it is short, or if no language was learned.
+    Where nothing can be decided, a text with a letter stays: if it is short, or if no language was learned. A null or
+    empty text goes; lang, doc_id and other columns are passed on and never looked at; repeated rows fare alike; an
+    empty table gives an empty result. No shuffle.
     """
 
     def stays(text: str | None) -> bool:
@@ -214,5 +216,6 @@ def keep_identified(docs: DataFrame, profiles: Profiles, least: float = 0.0) ->
         for b in steps(batches, "text"):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([stays(t) for t in texts], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow, sample_of, steps
+from .common import held_out, map_arrow, sample_of, steps, trim
 
-CHUNK, OVERLAP = 512, 64
+#: The step between chunks is odd, so that filters at every other byte see both parities of places.
+CHUNK, OVERLAP = 512, 63
 WIDTH, STRIDE, FILTERS, HIDDEN = 6, 2, 16, 16
-#: Labelled documents to learn from, about, and the chunks of one that training sees (spread over the whole text).
-TRAINING_DOCS, TRAINING_CHUNKS, EPOCHS = 4_000, 8, 14
+#: Labelled documents to learn from, about, and the bytes of their whole texts together: a sample that the driver holds.
+TRAINING_DOCS, TRAINING_BYTES, EPOCHS = 4_000, 64_000_000, 14
 #: Few documents are gone through more often, until the net has had this many steps of BATCH documents.
 LEAST_STEPS, BATCH = 660, 64
 THRESHOLD = 0.7
@@ -50,19 +51,26 @@ class ByteConvNet:
         }
 
     def pooled(self, x: np.ndarray, where: bool = False):
-        """Max-pooled filter outputs of chunks, through tanh; with where, also the places of the maxima."""
+        """Max-pooled filter outputs of chunks, through tanh; with where, also the places of the maxima.
+
+        Chunks go in portions of 64, so the outputs at all places of many chunks are never held at once.
+        """
         n = (CHUNK - WIDTH) // STRIDE + 1
-        act = np.empty((len(x), n, FILTERS), np.float32)
+        act = np.empty((min(64, len(x)), n, FILTERS), np.float32)
+        top, at = np.empty((len(x), FILTERS), np.float32), np.empty((len(x), FILTERS), np.int64)
         for i in range(0, len(x), 64):
-            part, own = act[i : i + 64], x[i : i + 64]
+            own = x[i : i + 64]
+            part = act[: len(own)]
             np.take(self.w["E"][0], own[:, 0 : n * STRIDE : STRIDE], axis=0, out=part, mode="clip")
             for k in range(1, WIDTH):
                 part += np.take(self.w["E"][k], own[:, k : k + n * STRIDE : STRIDE], axis=0, mode="clip")
-        if where:
-            at = act.argmax(axis=1)
-            top = np.take_along_axis(act, at[:, None, :], axis=1)[:, 0]
-            return np.tanh(top * 0.5 + self.w["b"]), at
-        return np.tanh(act.max(axis=1) * 0.5 + self.w["b"])
+            if where:
+                at[i : i + 64] = part.argmax(axis=1)
+                top[i : i + 64] = np.take_along_axis(part, at[i : i + 64, None, :], axis=1)[:, 0]
+            else:
+                part.max(axis=1, out=top[i : i + 64])
+        p = np.tanh(top * 0.5 + self.w["b"])
+        return (p, at) if where else p
 
     @staticmethod
     def joined(p: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -86,7 +94,7 @@ class ByteConvNet:
         return out
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 3) -> None:
-        """Adam on the log loss; docs are matrices of chunks. At least `epochs` passes, and LEAST_STEPS steps."""
+        """Adam on the log loss; docs are matrices of all chunks of whole texts. At least `epochs` passes, and LEAST_STEPS steps."""
         epochs = max(epochs, -(-LEAST_STEPS // -(-len(docs) // BATCH)))
         r = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(x) for k, x in self.w.items()}, {k: np.zeros_like(x) for k, x in self.w.items()}, 0
@@ -129,31 +137,27 @@ class ByteConvNet:
         return g | {"E": np.stack(e).astype(np.float32)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCS) -> ByteConvNet:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCS, most_bytes: int = TRAINING_BYTES) -> ByteConvNet:
     """Learn from about `bound` labelled documents outside the held-out quarter, chosen by a hash of doc_id.
 
-    Of each, up to TRAINING_CHUNKS chunks spread evenly over the text reach the driver, so its memory is bounded.
-    Without both labels the net stays untrained but for its bias.
+    Of these, in the order of the hash, as many as have `most_bytes` bytes together; their texts are whole, and all
+    their chunks are learned from. The driver holds no more than that. Null labels and null ids are left out, of
+    several labels of an id the largest counts, a null text is empty. Without both labels the net stays untrained but
+    for its bias.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     total = known.agg(F.count(F.lit(1)).alias("n")).collect()[0]["n"]
-    chosen = known.where(sample_of(F.col("doc_id"), total, bound, "quality"))
-    rows = docs.select("doc_id", "text").where(sample_of(F.col("doc_id"), total, bound, "quality"))
-    rows = rows.join(chosen, "doc_id").select("doc_id", "quality", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "text"):
-            own = []
-            for t in b.column(2).to_pylist():
-                x = chunks(t)
-                own.append(x[np.unique(np.linspace(0, len(x) - 1, min(TRAINING_CHUNKS, len(x))).astype(int))].tobytes())
-            yield pa.record_batch({"doc_id": b.column(0), "quality": b.column(1), "x": pa.array(own, pa.binary())})
-
-    got = sorted(((r["doc_id"], r["quality"], bytes(r["x"])) for r in rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, quality int, x binary").collect()))
+    pick = sample_of(F.col("doc_id"), total, bound, "quality")
+    order = F.xxhash64(F.lit("order"), "doc_id")
+    rows = docs.select("doc_id", "text").where(pick).join(known.where(pick), "doc_id").select(order.alias("at"), "doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = sorted(tuple(r) for r in rows.select("at", F.octet_length("text")).collect())
+    ends = np.cumsum([n for _, n in sizes])
+    last = sizes[min(len(sizes), max(1, int(np.searchsorted(ends, most_bytes, "right")))) - 1][0] if sizes else 0
+    got = sorted((r["doc_id"], r["quality"], r["text"]) for r in rows.where(F.col("at") <= last).select("doc_id", "quality", "text").collect())
     net = ByteConvNet()
     y = np.array([q for _, q, _ in got], dtype=np.float32)
     if len(y) and 0 < y.mean() < 1:
-        net.fit([np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for _, _, x in got], y)
+        net.fit([chunks(t) for _, _, t in got], y)
     else:
         net.w["o"][:] = 0
         net.w["c"][:] = 4.0 if not len(y) or y.mean() else -4.0
@@ -163,8 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCS) -> ByteC
 def score(docs: DataFrame, net: ByteConvNet) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs, from its whole text alone.
 
-    A null text scores like an empty one. Repeated rows get equal results; a null doc_id stays null; other columns
-    are ignored. No shuffle.
+    A null text scores like an empty one. Repeated rows get equal results; a null doc_id stays null; texts of any
+    length are whole; an empty table gives an empty result; other columns are ignored. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +180,15 @@ def score(docs: DataFrame, net: ByteConvNet) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, net: ByteConvNet, least: float) -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least `least`."""
+    """The rows of docs, all columns, whose text scores at least `least`.
+
+    A null text scores like an empty one; repeated rows fare alike; other columns, whatever their names, are passed on
+    and never looked at; an empty table gives an empty result. No shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
             yield b.filter(pa.array(net.scores(b.column(b.schema.get_field_index("text")).to_pylist()) >= least, pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,9 @@
+import math
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,14 +104,137 @@ def test_rules_are_native_and_precise(spark, docs, labels, odd):
     plan = got._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|ExternalRDD", plan)
     judged = [(r["quality"], r["kept"]) for r in got.where(rules.held_out(F.col("doc_id"))).join(labels, "doc_id").where("quality IS NOT NULL AND NOT base_failed").collect()]
-    good = [k for q, k in judged if q == 1]
-    assert good and sum(good) >= 0.95 * len(good)
+    good, bad = ([k for q, k in judged if q == x] for x in (1, 0))
+    assert good and sum(good) >= 0.98 * len(good) and bad and sum(not k for k in bad) >= 0.8 * len(bad)
+    assert len(learned.rules) >= 2
     assert rules.judge(odd, learned).count() == len(ODD)
     none = spark.createDataFrame([], DOCS)
     assert rules.learn(none, labels).rules == [] and rules.judge(none, learned).count() == 0
     assert rules.learn(docs, labels.limit(0)).rules == []
 
 
+def words(r, n, upper=False, marks=""):
+    own = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9))) + (r.choice(marks) if marks else "") for _ in range(n)]
+    return " ".join(x.upper() if upper else x for x in own)
+
+
+def test_a_list_of_several_rules_is_learned_and_applied(spark):
+    """Three kinds of bad text, one of which only a conjunction tells from good ones."""
+    r = random.Random(3)
+    rows = []
+    for i in range(1200):
+        kind, n = i % 8, r.randrange(20, 60)
+        text = {0: lambda: words(r, n, marks="#%"), 1: lambda: words(r, n, upper=True), 2: lambda: words(r, n * 8, marks="!"), 3: lambda: words(r, n, marks="!"), 4: lambda: words(r, n * 8)}.get(kind, lambda: words(r, n))()
+        rows.append((i, text, int(kind not in (0, 1, 2))))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    learned = rules.learn(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    assert len(learned.rules) >= 3 and any(len(x) > 1 for x in learned.rules)
+    got = {x["doc_id"]: x for x in rules.judge(table, learned).collect()}
+    assert sum(got[i]["kept"] == bool(q) for i, _, q in rows if held(i)) >= 0.97 * sum(held(i) for i, _, _ in rows)
+    features = {x["doc_id"]: x for x in rules.statistics(table, "doc_id").select("doc_id", *(F.expr(e).alias(f) for f, e in rules.FEATURES.items())).collect()}
+    fits = lambda x, rule: all((x[f] >= t) if op == ">=" else (x[f] < t) for f, op, t in rule)
+    assert all(got[i]["kept"] == (not got[i]["base_failed"] and not any(fits(features[i], rule) for rule in learned.rules)) for i, _, _ in rows)
+
+
+def naive_score(net, text):
+    """The forward pass, byte by byte."""
+    raw = (text or "").encode()
+    step = quality.CHUNK - quality.OVERLAP
+    n = max(1, -(-(len(raw) - quality.OVERLAP) // step))
+    raw += bytes(n * step + quality.OVERLAP - len(raw))
+    pooled = []
+    for c in range(n):
+        own = raw[c * step : c * step + quality.CHUNK]
+        act = [[sum(float(net.w["E"][k, own[p + k], f]) for k in range(quality.WIDTH)) for f in range(quality.FILTERS)] for p in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+        pooled.append([math.tanh(max(a[f] for a in act) * 0.5 + float(net.w["b"][f])) for f in range(quality.FILTERS)])
+    cols = list(zip(*pooled, strict=True))
+    z = [sum(c) / n for c in cols] + [max(c) for c in cols] + [min(c) for c in cols]
+    hidden = [max(0.0, sum(z[i] * float(net.w["H"][i, j]) for i in range(len(z))) + float(net.w["h"][j])) for j in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(x * float(w) for x, w in zip(hidden, net.w["o"], strict=True)) - float(net.w["c"][0])))
+
+
+def test_scores_equal_a_naive_forward_pass():
+    net = quality.ByteConvNet(seed=2)
+    net.w["b"][:] = np.linspace(-1, 1, quality.FILTERS)
+    texts = ["", None, "short", "é" * 300, "text of several chunks " * 70, "x" * 512, "y" * 511, "z" * 961]
+    assert np.allclose(net.scores(texts), [naive_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_gradients_equal_differences():
+    net, r = quality.ByteConvNet(seed=4), np.random.default_rng(1)
+    for k in net.w:
+        net.w[k] = net.w[k].astype(np.float64)
+    docs, y = [quality.chunks("abc def " * 30), quality.chunks("other words; " * 200), quality.chunks("")], np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        out = 0.0
+        for d, q in zip(docs, y, strict=True):
+            p = net.head(net.joined(net.pooled(d).astype(np.float64), np.array([0]), np.array([len(d)])))[1][0]
+            out -= (q * math.log(p) + (1 - q) * math.log(1 - p)) / len(docs)
+        return out
+
+    g = net.gradient(docs, y)
+    for k, w in net.w.items():
+        flat = w.reshape(-1)
+        for i in r.choice(len(flat), min(6, len(flat)), replace=False) if k != "E" else [np.ravel_multi_index((2, ord("d"), 3), w.shape), np.ravel_multi_index((0, ord(" "), 7), w.shape), *np.argsort(-np.abs(g[k]).reshape(-1))[:4]]:
+            was, step = flat[i], 1e-3
+            flat[i] = was + step
+            up = loss()
+            flat[i] = was - step
+            down = loss()
+            flat[i] = was
+            assert abs((up - down) / (2 * step) - g[k].reshape(-1)[i]) < 2e-3 * max(1.0, abs(g[k].reshape(-1)[i]) * 20), (k, i)
+
+
+def test_training_sees_all_of_a_long_text(spark):
+    """What tells good from bad stands once in a text of many chunks, beyond any few of them."""
+    r = random.Random(6)
+    rows = []
+    for i in range(160):
+        body = [words(r, 90) for _ in range(25)]
+        if i % 2:
+            body[r.randrange(25)] += " $$$@@@%%% $$$@@@%%% "
+        rows.append((i, " ".join(body), 1 - i % 2))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    net = quality.fit(table, table.select("doc_id", "quality"))
+    got = {x["doc_id"]: x["score"] for x in quality.score(table, net).collect()}
+    own = [i for i in range(160) if held(i)]
+    assert sum((got[i] > 0.5) == (i % 2 == 0) for i in own) >= 0.9 * len(own)
+
+
+def test_the_training_sample_is_bounded_in_bytes(spark, docs, labels, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.ByteConvNet, "fit", lambda self, own, y: seen.append(own))
+    quality.fit(docs, labels, most_bytes=50_000)
+    quality.fit(docs, labels)
+    assert 0 < len(seen[0]) < len(seen[1]) and sum(x.size for x in seen[0]) < 2 * 50_000 + 600 * len(seen[0])
+
+
+def naive_language(text, profiles):
+    """The bundle of a text's n-grams, one by one."""
+    symbols, gap = [], True
+    for c in " " + (text or "") + " ":
+        s = ord(c.lower()[0]) if c.isalpha() else 0
+        if s or not gap:
+            symbols.append(s)
+        gap = not s
+    symbols = [0, *symbols, *([0] if symbols and symbols[-1] else [])]
+    v = np.zeros(langid.DIMENSIONS)
+    for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
+        v += np.roll(langid.letter_vector(a), 2) * 1.0 * np.roll(langid.letter_vector(b), 1) * langid.letter_vector(c)
+    cos = profiles.prototypes @ v / np.linalg.norm(v)
+    return profiles.languages[int(np.argmax(cos))], float(min(1, max(0, cos.max())))
+
+
+def test_languages_equal_a_naive_bundle(docs):
+    profiles = langid.fit(docs)
+    texts = ["Hello, world: of the 3 things!", "über  die Straße\n\n", "日本語 の text", "a", "É", "x1y22z", *(r["text"] for r in docs.limit(5).collect())]
+    for t in texts:
+        lang, cos = profiles.predict(t)
+        want = naive_language(t, profiles)
+        assert lang == want[0] and abs(cos - want[1]) < 1e-6
+
+
 def test_quality_of_the_held_out(spark, docs, labels, odd):
     net = quality.fit(docs, labels)
     got = quality.score(docs, net).join(labels, "doc_id").collect()
