@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import drop, store
 
 ROUNDS = 60
 
@@ -20,25 +20,32 @@ def components(edges: DataFrame) -> DataFrame:
     repeated edges and nulls are allowed (nulls are dropped); no edges give no rows.
     """
     e = store(edges.selectExpr("greatest(u, v) AS u", "least(u, v) AS v").where("u <> v AND u IS NOT NULL AND v IS NOT NULL").distinct())
-    steps: list[DataFrame] = []
+    rounds: list[DataFrame] = []
     for _ in range(ROUNDS):
         if e.isEmpty():
             break
         both = e.unionByName(e.selectExpr("v AS u", "u AS v"))
         parent = store(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")))
         for _ in range(2):  # follow the parents' parents; any rest is left to the next round
-            above = parent.selectExpr("u AS p", "p AS pp")
-            parent = store(parent.join(above, "p", "left").select("u", F.coalesce("pp", "p").alias("p")))
-        steps.append(parent)
-        e = e.join(parent, "u").selectExpr("p AS u", "v")
-        e = e.join(parent.selectExpr("u AS v", "p AS q"), "v").selectExpr("greatest(u, q) AS u", "least(u, q) AS v")
-        e = store(e.where("u <> v").distinct())
+            above, below = parent.selectExpr("u AS p", "p AS pp"), parent
+            parent = store(below.join(above, "p", "left").select("u", F.coalesce("pp", "p").alias("p")))
+            drop(below)
+        rounds.append(parent)
+        moved = e.join(parent, "u").selectExpr("p AS u", "v")
+        moved = moved.join(parent.selectExpr("u AS v", "p AS q"), "v").selectExpr("greatest(u, q) AS u", "least(u, q) AS v")
+        before, e = e, store(moved.where("u <> v").distinct())
+        drop(before)
     else:
         raise RuntimeError("components did not converge")
-    if not steps:
-        return edges.selectExpr("u AS id", "v AS component").limit(0)
-    out = steps[-1].selectExpr("u AS id", "p AS component")
-    for parent in reversed(steps[:-1]):
+    drop(e)
+    if not rounds:
+        return edges.sparkSession.createDataFrame([], "id bigint, component bigint")
+    out = rounds.pop()
+    found = out.selectExpr("u AS id", "p AS component")
+    for parent in reversed(rounds):
         # an id of this round has its parent's component of the later rounds, if the parent still had edges then
-        out = store(parent.join(out.selectExpr("id AS p", "component"), "p", "left").select(F.col("u").alias("id"), F.coalesce("component", "p").alias("component")))
-    return out
+        last = out
+        out = store(parent.join(found.selectExpr("id AS p", "component"), "p", "left").select(F.col("u").alias("id"), F.coalesce("component", "p").alias("component")))
+        found = out
+        drop(last, parent)
+    return found

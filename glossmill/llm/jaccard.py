@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, sample_of, steps, store, sweep, trim
+from .common import drop, map_arrow, sample_of, steps, store, trim
 from .components import components
 
 #: Sets of a component that are all searched at once; leaders of a larger one; sets of an index block.
@@ -412,25 +412,29 @@ def groups(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
 
     component_id is the smallest doc_id that is reachable over links, the document's own included. A text without
     words (null, empty, blank) has no shingles and links with nothing, nor does a row with a null doc_id. Rows that
-    repeat a doc_id are each returned; a link of one of them counts for the doc_id. Other columns are ignored. Equal
+    repeat a doc_id are each returned; a link of one of them counts for the doc_id. Texts of any length are whole; an
+    empty table gives no rows; other columns are ignored, whatever their names. Equal
     sets and equal signatures are joined within tasks before any shuffle, so a group of copies of any size sends a
     row per task; no group is collected, expanded into pairs or dropped.
     """
     sim = sim or Similarity()
-    spark = docs.sparkSession
     hashed = _hashed(docs, sim, _frequent(docs, sim))
     by = lambda k: hashed.where(F.col("kind") == k)
     lead = lambda k, *key: by(k).selectExpr(*key, "b AS v").withColumn("u", F.expr(f"min(v) OVER (PARTITION BY {', '.join(key)})")).where("u < v").select("u", "v")
-    equal = store(by(3).selectExpr("a AS u", "b AS v").unionByName(lead(4, "a", "c")))
-    sweep(spark)
+    used: list[DataFrame] = []
+
+    def step(df: DataFrame) -> DataFrame:
+        used.append(store(df))
+        return used[-1]
+
+    equal = step(by(3).selectExpr("a AS u", "b AS v").unionByName(lead(4, "a", "c")))
     coarse = components(by(2).selectExpr("a AS u", "b AS v"))
     links = equal
-    sweep(spark)
     if not coarse.isEmpty():
         sizes = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("g"))
         # who is indexed and who asks in which block, without the sets; all these tables are ids only
-        large = store(sizes.where(F.col("g") > SMALL).selectExpr("component AS grp", "g"))
-        who = store(coarse.selectExpr("id AS doc_id", "component AS grp").join(large, "grp", "left"))
+        large = step(sizes.where(F.col("g") > SMALL).selectExpr("component AS grp", "g"))
+        who = step(coarse.selectExpr("id AS doc_id", "component AS grp").join(large, "grp", "left"))
         many = who.where("g IS NOT NULL")
         blocks = f"cast(ceil(g / {BLOCK}) AS bigint)"
         each, own = F.explode(F.expr(f"sequence(0L, {blocks} - 1)")).alias("block"), F.expr(f"pmod(xxhash64('block', doc_id), {blocks})").alias("block")
@@ -438,7 +442,7 @@ def groups(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
         # a hash (should there be none, the second search finds all)
         tasks = who.where("g IS NULL").selectExpr("grp", "0L AS block", "2 AS role", "doc_id")
         tasks = tasks.unionByName(many.where(f"pmod(xxhash64('leader', doc_id), g) < {LEADERS}").select("grp", each, F.lit(0).alias("role"), "doc_id"))
-        tasks = store(tasks.unionByName(many.select("grp", own, F.lit(1).alias("role"), "doc_id")))
+        tasks = step(tasks.unionByName(many.select("grp", own, F.lit(1).alias("role"), "doc_id")))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in steps(batches, "text"):
@@ -446,35 +450,36 @@ def groups(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
 
         # the candidates' ids grow with the data, so they are not broadcast, however few they may be
         texts = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").join(who.select("doc_id").hint("merge"), "doc_id", "left_semi")
-        members = store(texts.select("doc_id", "text").mapInArrow(sets, "id bigint, s binary"))
-        sweep(spark)
+        members = step(texts.select("doc_id", "text").mapInArrow(sets, "id bigint, s binary"))
         with_sets = lambda t: t.join(members.hint("merge"), F.col("doc_id") == F.col("id"))
-        links = first = store(_search(with_sets(tasks), sim).unionByName(equal))
-        sweep(spark)
+        links = first = step(_search(with_sets(tasks), sim).unionByName(equal))
         if not many.isEmpty():
             # what is not connected with the largest part of its component is searched against all of it, in blocks
             known = components(first)
-            part = store(many.join(known.selectExpr("id AS doc_id", "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component"))
+            part = step(many.join(known.selectExpr("id AS doc_id", "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component"))
             parts = part.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))
-            largest = store(parts.groupBy("grp").agg(F.max(F.struct("n", (-F.col("part")).alias("m"))).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").selectExpr("grp", "-x.m AS main"))
-            open_ = store(part.join(largest, "grp"))
+            largest = step(parts.groupBy("grp").agg(F.max(F.struct("n", (-F.col("part")).alias("m"))).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").selectExpr("grp", "-x.m AS main"))
+            open_ = step(part.join(largest, "grp"))
             # only sets of about the same size can link: blocks hold one class of sizes, a query visits three
-            step = math.log(sim.den / sim.num * 1.0001)
-            open_ = store(open_.join(by(0).selectExpr("a AS doc_id", "c AS n"), "doc_id").withColumn("size", F.floor(F.log("n") / step)).drop("n"))
-            full = store(open_.groupBy("grp", "size").agg(F.expr(f"cast(ceil(count(1) / {OPEN_BLOCK}) AS bigint)").alias("k")))
+            growth = math.log(sim.den / sim.num * 1.0001)
+            open_ = step(open_.join(by(0).selectExpr("a AS doc_id", "c AS n"), "doc_id").withColumn("size", F.floor(F.log("n") / growth)).drop("n"))
+            full = step(open_.groupBy("grp", "size").agg(F.expr(f"cast(ceil(count(1) / {OPEN_BLOCK}) AS bigint)").alias("k")))
             at = F.expr("size * 1000000 + pmod(xxhash64('block', doc_id), k)").alias("block")
             asks = open_.where("part <> main").select("grp", "doc_id", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"))
             asks = asks.join(full, ["grp", "size"]).select("grp", F.explode(F.expr("transform(sequence(0L, k - 1), i -> size * 1000000 + i)")).alias("block"), F.lit(1).alias("role"), "doc_id")
-            tasks = store(open_.join(full, ["grp", "size"]).select("grp", at, F.lit(0).alias("role"), "doc_id").unionByName(asks))
-            links = store(_search(with_sets(tasks), sim)).unionByName(first)
-            sweep(spark)
+            tasks = step(open_.join(full, ["grp", "size"]).select("grp", at, F.lit(0).alias("role"), "doc_id").unionByName(asks))
+            links = step(_search(with_sets(tasks), sim)).unionByName(first)
     reached = components(links)
+    drop(*used)
     out = by(0).selectExpr(f"nullif(a, {NO_ID}) AS doc_id", "c AS n_shingles").join(reached.selectExpr("id AS doc_id", "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component (of several such rows, all)."""
+    """The rows of docs, all columns, whose doc_id is the smallest of its component (of several such rows, all).
+
+    Texts without words and rows with a null doc_id stay; an empty table gives an empty result. See groups for the rest.
+    """
     found = store(groups(docs.select("doc_id", "text"), sim))
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage. Each takes (spark, sf_dir) and covers its whole table."""
+"""The registered queries of this subpackage. Each takes (spark, sf_dir) and covers its whole table.
+
+They are applications of the operators: what they return runs when its rows are asked for, so they bound the Arrow
+batches of the session they are given (common.small_batches). The operators themselves leave settings as they are.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, jaccard, langid, oracles, packing, quality, rlbwt, rules, search, urls
-from .common import table
+from .common import small_batches
+from .common import table as stored_table
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return stored_table(small_batches(spark), sf_dir, name)
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
