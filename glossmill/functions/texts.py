@@ -27,25 +27,29 @@ def split_lossless(text: str | None) -> list[str]:
     return [*out, text[at:]] if text and at < len(text) else out
 
 
+_LITERALS = {"NULL": "null", "TRUE": "true", "FALSE": "false", "None": "null", "True": "true", "False": "false"}
+#: A JSON string, a bracket, or a literal in another language's case.
+_PARTS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]|\b(?:' + "|".join(_LITERALS) + r")\b", re.S)
+
+
 def first_block(text: str | None, opening: str = "{", closing: str = "}") -> str | None:
-    """The first balanced block; brackets within strings count like others."""
-    start, depth = (text or "").find(opening), 0
-    for i in range(start, len(text or "")) if start >= 0 else ():
-        depth += (text[i] == opening) - (text[i] == closing)
-        if not depth:
-            return text[start : i + 1]
+    """The first balanced block that starts with the opening bracket; brackets within its strings count for nothing."""
+    start = (text or "").find(opening)
+    while start >= 0:
+        depth = 0
+        for m in _PARTS.finditer(text, start):
+            depth += (m[0] == opening) - (m[0] == closing)
+            if not depth and m[0] == closing:
+                return text[start : m.end()]
+        start = text.find(opening, start + 1)
     return None
 
 
 def robust_json(text: str | None) -> str | None:
-    """A model's answer as JSON text: code fences off, literals in lower case, the first block; null if it doesn't parse."""
-    if text is None:
-        return None
-    t = re.sub(r"```(?:json)?", "", text)
-    t = re.sub(r"\b(NULL|TRUE|FALSE|None|True|False)\b", lambda m: {"none": "null"}.get(m[1].lower(), m[1].lower()), t)
-    block = first_block(t)
+    """A model's answer as JSON text: the first block, literals in JSON's case (not within strings); null if it doesn't parse."""
+    block = first_block(re.sub(r"```(?:json)?", "", text or ""))
     try:
-        return None if block is None else json.dumps(json.loads(block), ensure_ascii=False)
+        return None if block is None else json.dumps(json.loads(_PARTS.sub(lambda m: _LITERALS.get(m[0], m[0]), block)), ensure_ascii=False)
     except ValueError:
         return None
 
@@ -122,6 +126,16 @@ def romanize(text: str | None) -> str | None:
     return "".join(out)
 
 
+def word_levenshtein(a: list[str], b: list[str]) -> int:
+    """Words that must be put in, taken out or changed to make b of a."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
 def align_token_ids(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places of a and b with equal ids, greedily from the left."""
     out, j = [], 0
@@ -152,3 +166,14 @@ split_lossless_column = _column(split_lossless, T.ArrayType(T.StringType()))
 first_block_column = _column(first_block, T.StringType())
 robust_json_column = _column(robust_json, T.StringType())
 romanize_column = _column(romanize, T.StringType())
+first_array_column = _column(lambda x: first_block(x, "[", "]"), T.StringType())
+
+
+@F.pandas_udf(T.IntegerType())
+def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else word_levenshtein(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf(T.DoubleType())
+def bleu_column(candidate: pd.Series, reference: pd.Series) -> pd.Series:
+    return pd.Series([bleu(c, r) for c, r in zip(candidate, reference, strict=True)])

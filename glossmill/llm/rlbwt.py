@@ -124,10 +124,36 @@ def merged(lo: np.ndarray, n: np.ndarray, more: int = 0) -> np.ndarray:
     return np.stack([s[new], e[last]], axis=1)
 
 
+def _words(x: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, the first lowest (along the last axis)."""
+    n = x.shape[-1] - 7
+    out = x[..., :n].astype(np.uint64)
+    for k in range(1, 8):
+        out |= x[..., k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _common(known: np.ndarray, at: np.ndarray, asked: np.ndarray, text: np.ndarray, col: int, most: np.ndarray) -> np.ndarray:
+    """How many bytes agree, up to `most`, from known[at] and from column col of the asked texts on; eight at a time."""
+    out = most.copy()
+    open_ = np.flatnonzero(most > 0)
+    step = 0
+    while len(open_):
+        x = known[at[open_] + step] ^ asked[text[open_], min(col + step, asked.shape[1] - 1)]
+        differ = x != 0
+        d = x[differ]
+        low = np.log2((d & (~d + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3
+        out[open_[differ]] = np.minimum(most[open_[differ]], step + low)
+        step += 8
+        open_ = open_[~differ]
+        open_ = open_[most[open_] > step]
+    return out
+
+
 class RunLengthIndex:
     """A run-compressed Burrows-Wheeler transform of several byte strings, with suffix samples at the ends of runs.
 
-    Besides the strings themselves, what is kept has an entry per run: of equal symbols of the transform (with samples
+    Besides the strings themselves (as bytes, as words of eight, and with the way to their ends), what is kept has an entry per run: of equal symbols of the transform (with samples
     and the mapping), and of neighbouring rows whose first `length` bytes have the same least owner (`least_start`,
     `least`). The suffix array is built and let go.
     """
@@ -161,10 +187,12 @@ class RunLengthIndex:
         self.run_by = by
         self.run_end = change + run_len - 1
         # rows that agree with the row before them in their first bytes have one least owner together
-        padded = np.concatenate([self.text, np.full(length, -1, np.int16)])
-        left = np.arange(1, n)
-        for k in range(length):
-            left = left[padded[order[left] + k] == padded[order[left - 1] + k]]
+        self.room = np.repeat(ends, sizes + 1) - np.arange(n)  # bytes from here to the end of the string
+        self.words = _words(np.concatenate([self.text.clip(0).astype(np.uint8), np.zeros(length + 16, np.uint8)]))
+        left = np.flatnonzero(self.room[order] >= length)
+        left = left[1:][left[1:] == left[:-1] + 1]
+        for k in [*range(0, length - 8, 8), length - 8]:
+            left = left[self.words[order[left] + k] == self.words[order[left - 1] + k]]
         new = np.ones(n, dtype=bool)
         new[left] = False
         at = np.flatnonzero(new)
@@ -213,7 +241,8 @@ class RunLengthIndex:
         for i, t in enumerate(texts):
             if t:
                 p[i, width - len(t) :] = np.frombuffer(t, np.uint8)
-        padded = np.concatenate([self.text, np.full(width + 1, -1, np.int16)])
+        asked = _words(np.concatenate([p.clip(0).astype(np.uint8), np.zeros((len(texts), 16), np.uint8)], axis=1))
+        known = self.words if len(self.words) > self.n + width else np.concatenate([self.words, np.zeros(width, np.uint64)])
         row, length = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         runs = len(self.run_start)
         for col in range(width - 1, -1, -1):
@@ -230,9 +259,7 @@ class RunLengthIndex:
                     ok = (cand >= 0) & (cand < runs)
                     r = self.run_by[np.clip(cand, 0, runs - 1)]
                     ok &= self.run_sym[r] == c[miss]
-                    most = int(keep[miss].max(initial=0))
-                    same = padded[sample[r][:, None] + np.arange(most)] == p[own[miss][:, None], np.minimum(col + 1 + np.arange(most), width - 1)] if most else np.zeros((len(miss), 0), bool)
-                    kept = np.minimum(np.where(same.all(axis=1), most, same.argmin(axis=1)) if most else 0, keep[miss])
+                    kept = np.minimum(_common(known, sample[r], asked, own[miss], col + 1, keep[miss]), self.room[sample[r]])
                     better = ok & (kept > best)
                     best[better], to_row[better], to_run[better] = kept[better], rows_of[r][better], r[better]
                 q[miss], run[miss] = to_row, to_run
@@ -466,11 +493,12 @@ def with_spans(docs: DataFrame, columns: list[str], length: int = LENGTH, name:
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     sent = _sent(keyed, buckets, length, _hot(keyed, length)).repartition("bucket").sortWithinPartitions("bucket")
     met = store(sent.mapInArrow(_met(length), _SPANS))
+    parts = buckets // BUCKETS_PER_PARTITION
     todo = met.where("kind = 1").groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "n", "h")).alias("own"))
     # lists of spans and fragments grow with the data, so they are not broadcast, however few they may be
     found = keyed.join(todo.withColumnRenamed("key", "_k").hint("merge"), (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("_k"))).select("doc_id", "key", "text", "own")
-    cut = found.mapInArrow(_cut_out(length, buckets), "bucket bigint, h bigint, doc bigint, key bigint, lo bigint, content binary")
-    more = store(cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_indexed(length), _SPANS))
+    cut = found.mapInArrow(_cut_out(length, parts), "bucket bigint, h bigint, doc bigint, key bigint, lo bigint, content binary")
+    more = store(cut.repartitionById(parts, F.col("bucket").cast("int")).mapInArrow(_indexed(length), _SPANS))
     doc, key, of_doc, of_key = (fresh(columns, x) for x in ("_doc", "_key", "_of_doc", "_of_key"))
     spans = met.where("kind = 0").unionByName(more).groupBy(F.col("doc").alias(of_doc), F.col("key").alias(of_key)).agg(F.collect_list(F.struct("lo", "n")).alias(name))
     full = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("doc_id").cast("bigint").alias(doc), F.xxhash64("text").alias(key))

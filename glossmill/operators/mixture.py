@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import global_places
+
 
 def budget_prefix(rows: DataFrame, tokens: str, budget: int, order: str) -> DataFrame:
     """Rows in order until their tokens reach the budget; the row that crosses it is included; the source repeats.
@@ -54,6 +56,25 @@ def mix(sources: dict[str, tuple[DataFrame, int]], tokens: str, order: str) -> D
     return out
 
 
+def tuning_head(rows: DataFrame, n: int, key: str, allowed: DataFrame | None = None) -> DataFrame:
+    """(key, type, place): the first n rows by key, of allowed keys if any are named, tagged as tuning."""
+    if allowed is not None:
+        rows = restrict(rows, key, allowed)
+    return global_places(rows, F.col(key)).where(F.col("place") <= n).select(key, F.lit("tuning").alias("type"), "place")
+
+
+def first_seen(rows: DataFrame, n: int, order: str, key: str) -> DataFrame:
+    """(key, pos): the distinct keys of the first n rows by `order` and the place where each is first seen."""
+    return global_places(rows, F.col(order)).where(F.col("place") <= n).groupBy(key).agg(F.min("place").alias("pos"))
+
+
+def shared_prefixes(texts: DataFrame, n: int, key: str) -> DataFrame:
+    """(key, sharing): texts of n characters or more whose first n also begin other texts, and how many. Counted by prefix."""
+    own = texts.where(F.length("text") >= n).select(key, F.substring("text", 1, n).alias("_prefix"))
+    shared = own.groupBy("_prefix").agg(F.count_distinct(key).alias("_n")).where("_n > 1")
+    return own.distinct().join(shared, "_prefix").select(key, (F.col("_n") - 1).alias("sharing"))
+
+
 def guard_budgets(budgets: dict[str, int], large: int = 500_000_000) -> None:
     """Only one knowledge source may have the large budget."""
     if sum(b >= large for b in budgets.values()) > 1:

@@ -37,6 +37,18 @@ def call_model(requests: DataFrame, key: str, prompt: str, model: Callable[[list
     return requests.select(key, prompt).mapInArrow(run, f"{key} {dict(requests.dtypes)[key]}, response string, error string")
 
 
+def embed(rows: DataFrame, key: str, text: str, encoder: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
+    """(key, vector array<float>): texts through an encoder, batch by batch; a null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                yield pa.record_batch({key: part.column(0), "vector": pa.array(encoder([x or "" for x in part.column(1).to_pylist()]), pa.list_(pa.float32()))})
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, vector array<float>")
+
+
 def parse_responses(responses: DataFrame, schema: str, column: str = "response") -> tuple[DataFrame, DataFrame]:
     """(parsed, rejects): responses whose first JSON block fits the schema, and the others."""
     from ..functions.texts import robust_json_column

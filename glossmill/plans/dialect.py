@@ -77,6 +77,13 @@ class Spark:
     def first(self, s: str, pattern: str, group: int = 1) -> str:
         return f"regexp_extract({s}, r'{pattern}', {group})"
 
+    def first_by(self, x: str, *keys: str) -> str:
+        """The value of the row with the least keys."""
+        return f"min_by({x}, struct({', '.join(keys)}))"
+
+    def last_by(self, x: str, *keys: str) -> str:
+        return f"max_by({x}, struct({', '.join(keys)}))"
+
     def json(self, s: str, key: str) -> str:
         return f"get_json_object({s}, '$.{key}')"
 
@@ -154,6 +161,12 @@ class Duck(Spark):
     def first(self, s, pattern, group=1):
         return f"regexp_extract({s}, '{pattern}', {group})"
 
+    def first_by(self, x, *keys):
+        return f"first({x} ORDER BY {', '.join(keys)})"
+
+    def last_by(self, x, *keys):
+        return f"last({x} ORDER BY {', '.join(keys)})"
+
     def json(self, s, key):
         return f"json_extract_string({s}, '$.{key}')"
 

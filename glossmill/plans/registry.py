@@ -1,30 +1,23 @@
-"""Binds plans to the driver tables and registers them with their oracles."""
+"""All queries with their oracles: plans that are one statement for both engines, and bound operators."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import texts  # noqa: F401  (registers its plans)
+from . import bound_files, bound_operators, bound_texts, texts  # noqa: F401  (they register what they hold)
+from .bound import BOUND, ORACLES, TABLES, Tables, run_sql
 from .catalog import PLANS
 from .dialect import Duck, Spark
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-_NAME = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
-
-
-def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Run Spark SQL in which table names stand for the Parquet tables of sf_dir; only these are read."""
-    names = {m[1] for m in _NAME.findall(text)}
-    escaped = text.replace("{", "{{").replace("}", "}}")
-    return spark.sql(_NAME.sub(lambda m: f"{m[1]} {{{m[2]}}}", escaped), **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+__all__ = ["TABLES", "oracles", "queries", "run_sql"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, fn=fn: run_sql(spark, sf_dir, fn(Spark()))) for name, fn in PLANS.items()}
+    stated = {name: (lambda spark, sf_dir, fn=fn: run_sql(spark, sf_dir, fn(Spark()))) for name, fn in PLANS.items()}
+    return stated | {name: (lambda spark, sf_dir, fn=fn: fn(Tables(spark, sf_dir))) for name, fn in BOUND.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {name: fn(Duck()) for name, fn in PLANS.items()}
+    return {name: fn(Duck()) for name, fn in PLANS.items()} | ORACLES

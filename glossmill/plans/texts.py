@@ -1,8 +1,8 @@
-"""Plans over texts, arrays and JSON, instruction synthesis, noise, mixtures and evaluation sets (see catalog.py)."""
+"""Plans over texts, arrays and mixtures that are one statement for both engines (see catalog.py)."""
 
 from __future__ import annotations
 
-from .catalog import OPTIONS, PREDICTED, plan, sql
+from .catalog import OPTIONS, plan, sql
 
 Q = chr(39)
 
@@ -12,54 +12,8 @@ def lit(x: str) -> str:
 
 
 # --- strings ---------------------------------------------------------------------------------------------------------
-sql("txt_conclusion_split", "SELECT doc_id, substring(text, 1, instr(lower(text), ' and ') - 1) AS before, length(substring(text, instr(lower(text), ' and '))) AS rest_chars FROM documents WHERE instr(lower(text), ' and ') > 1")
-sql("txt_blank_fill", "SELECT item_id, replace(concat(text, ' [BLANK] end'), '[BLANK]', CAST(item_id AS VARCHAR(20))) AS filled, split_part(concat(text, ' [BLANK] end'), '[BLANK]', 1) AS context FROM benchmark")
-sql("txt_faithful_cloze", "SELECT item_id, contains(text, replace(replace(text, 'the', '[BLANK]'), '[BLANK]', 'the')) AS faithful FROM benchmark")
 sql("txt_template_fill", "SELECT doc_id, replace(replace('Summarize {lang} text of {n} characters.', '{lang}', lang), '{n}', CAST(n_chars AS VARCHAR(20))) AS prompt FROM documents")
 sql("txt_latex_row", "SELECT concat_ws(' & ', n_name, CAST(n_nationkey AS VARCHAR(20)), CAST(n_regionkey AS VARCHAR(20))) AS line FROM nation")
-sql("txt_edit_distance", "SELECT a.n_name AS a, b.n_name AS b, CAST(levenshtein(a.n_name, b.n_name) AS BIGINT) AS distance FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
-
-
-@plan
-def txt_section_headings(d):
-    return f"SELECT page_id, {d.first('html', '<title>([^<]*)</title>')} AS title, {d.size(d.find_all('html', '<h[1-6][^>]*>'))} AS headings FROM pages"
-
-
-@plan
-def txt_causal_zh_ja(d):
-    s = d.unnest("documents", d.split("text", ". "), "pos", "sentence", "doc_id")
-    return f"SELECT doc_id, pos, prev, sentence FROM (SELECT doc_id, pos, sentence, lag(sentence) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM {s} AS x) AS y WHERE prev IS NOT NULL AND {d.starts('sentence', lit('The '))}"
-
-
-@plan
-def txt_causal_en(d):
-    s = d.unnest("documents", d.split("text", ". "), "pos", "sentence", "doc_id")
-    return f"SELECT doc_id, pos, substring(sentence, 1, instr(sentence, ', the ') - 1) AS cause, substring(sentence, instr(sentence, ', the ') + 6) AS effect FROM {s} AS x WHERE instr(sentence, ', the ') > 1"
-
-
-@plan
-def txt_sentence_split(d):
-    return f"SELECT doc_id, pos, sentence FROM {d.unnest('documents', d.split('text', '. '), 'pos', 'sentence', 'doc_id')} AS x WHERE sentence <> ''"
-
-
-@plan
-def txt_qa_parse(d):
-    return f"SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer FROM conversations AS q JOIN conversations AS a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND q.role = 'user' AND a.role = 'assistant'"
-
-
-@plan
-def txt_translation_parse(d):
-    return f"SELECT event_id, {d.json('props', 'k')} AS title, {d.json('props', 'v')} AS abstract FROM events"
-
-
-@plan
-def txt_word_tokenize(d):
-    return f"SELECT doc_id, {d.size(d.find_all('text', '[0-9]+|[A-Za-z]+|[^A-Za-z0-9 ]'))} AS n_tokens FROM documents WHERE lang = 'en'"
-
-
-@plan
-def txt_detokenize(d):
-    return f"SELECT item_id, {d.sub(d.joined(d.find_all('text', '[A-Za-z]+|[.,;]'), ' '), ' ([.,;])', chr(92) + '1' if type(d).__name__ == 'Duck' else '$1')} AS text FROM benchmark"
 
 
 @plan
@@ -67,16 +21,6 @@ def txt_keyword_resplit(d):
     return f"SELECT p_partkey, kw FROM {d.unnest('part', d.split(d.sub('p_name', '[,./・、／]', ' '), ' '), '_p', 'kw', 'p_partkey')} AS x WHERE kw <> ''"
 
 
-@plan
-def txt_char_class(d):
-    return f"SELECT doc_id, CASE WHEN {d.like('text', '^[ -~]*$')} THEN 'English' WHEN {d.like('text', '[぀-ヿ]')} THEN 'Japanese' ELSE 'Other' END AS class FROM documents"
-
-
-@plan
-def txt_locate_tokens(d):
-    return "SELECT item_id, CAST(instr(text, ' ') AS BIGINT) - 1 AS first_token_end FROM benchmark"
-
-
 @plan
 def txt_option_lines(d):
     return f"WITH {OPTIONS} SELECT request_id, {d.join_rows('concat(substring(' + lit('ABCDEFGHIJ') + ', CAST(option_id + 1 AS INT), 1), ' + lit('. ') + ', CAST(CAST(n_tok AS INT) AS VARCHAR(20)))', '; ', 'option_id')} AS lines FROM opt GROUP BY request_id"
@@ -87,25 +31,8 @@ def txt_first_line_trim(d):
     return f"SELECT conv_id, turn, lower(trim({d.at(d.split('text', chr(10)), '0')})) AS answer FROM conversations WHERE role = 'assistant'"
 
 
-@plan
-def txt_bio_to_spans(d):
-    w = d.unnest("benchmark", d.split("text", " "), "pos", "w", "item_id")
-    tagged = f"SELECT item_id, pos, w, CASE WHEN length(w) > 5 THEN 1 ELSE 0 END AS tag FROM {w} AS x"
-    runs = f"SELECT item_id, pos, w, pos - row_number() OVER (PARTITION BY item_id ORDER BY pos) AS run FROM ({tagged}) AS y WHERE tag = 1"
-    return f"SELECT item_id, min(pos) AS start, {d.join_rows('w', ' ', 'pos')} AS entity FROM ({runs}) AS z GROUP BY item_id, run"
-
-
 # --- arrays, maps, JSON ----------------------------------------------------------------------------------------------
-sql("arr_argmin", f"WITH {PREDICTED} SELECT request_id, raw AS prediction FROM pred")
-sql("arr_norm_loss", f"WITH {PREDICTED} SELECT request_id, norm AS prediction FROM pred")
 sql("arr_wrong_mean", f"WITH {OPTIONS} SELECT request_id, round((sum(loss) - sum(CASE WHEN option_id = request_id % n_opt THEN loss ELSE 0 END)) / (max(n_opt) - 1), 4) AS wrong_mean FROM opt WHERE n_opt > 1 GROUP BY request_id")
-sql("arr_split_quartiles", "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 4 / count(*) OVER (PARTITION BY conv_id) >= 2 AS in_part_34 FROM conversations")
-
-
-@plan
-def arr_prefix_suffix(d):
-    a = d.split("text", ". ")
-    return f"SELECT doc_id, {d.joined(d.slice('s', '1', 'n - 1'), ' ')} AS prefix, {d.at('s', 'n - 1')} AS suffix FROM (SELECT doc_id, {a} AS s, {d.size(a)} AS n FROM documents) AS x WHERE n >= 2"
 
 
 @plan
@@ -128,160 +55,8 @@ def map_by_language(d):
     return f"SELECT source, {d.join_rows('lang', ',', 'lang')} AS langs FROM (SELECT DISTINCT source, lang FROM documents) AS x GROUP BY source"
 
 
-@plan
-def json_robust_parse(d):
-    fixed = "replace(replace(lower(concat('```json', props, '```')), '```json', ''), '```', '')"
-    return f"SELECT event_id, {d.json(fixed, 'k')} AS k, {d.json(fixed, 'v')} AS v FROM events"
-
-
-@plan
-def json_logprob_true_false(d):
-    return "SELECT l_orderkey, l_linenumber, l_returnflag = 'N' AS factuality, round(0 - l_discount, 4) AS logprob FROM lineitem WHERE l_returnflag IN ('N', 'R')"
-
-
-# --- instructions ----------------------------------------------------------------------------------------------------
-sql("inst_summarization", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('Title: ', source, ' Abstract: ', text) ELSE concat('Abstract: ', text, ' Title: ', source) END AS text, 'summarization' AS type FROM documents")
-sql("inst_select_view", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', '_') WHEN doc_id % 3 = 1 THEN lower(text) ELSE text END AS input, text AS output FROM documents")
-sql("inst_conclusion", "SELECT doc_id, concat('Conclude: ', substring(text, 1, instr(text, ' and ') - 1)) AS text, 'conclusion' AS type FROM documents WHERE instr(text, ' and ') > 1")
-sql("inst_qa", "SELECT q.conv_id, q.turn, concat('Q: ', q.text, ' A: ', a.text) AS text, 'qa' AS type FROM conversations AS q JOIN conversations AS a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND q.role = 'user' AND a.role = 'assistant'")
-sql("inst_text2key", "SELECT p_partkey, concat(p_name, '. ', p_type, ' => ', replace(p_name, ' ', ', ')) AS text, 'text2key' AS type FROM part")
-sql("inst_key2text", "SELECT p_partkey, concat(replace(p_name, ' ', ', '), ' => ', p_name, '. ', p_type) AS text, 'key2text' AS type FROM part")
-sql("inst_gmrc", "SELECT o_orderkey, s.k AS section, CASE s.k WHEN 'goal' THEN concat(o_orderstatus, ' ', o_orderpriority) WHEN 'method' THEN concat('g ', o_orderpriority) ELSE concat('g ', o_orderstatus) END AS others FROM orders CROSS JOIN (SELECT 'goal' AS k UNION ALL SELECT 'method' AS k UNION ALL SELECT 'result' AS k) AS s")
-sql("inst_medical_translation", "SELECT d.doc_id, replace(replace('Translate: {src} => {tgt}', '{src}', b.text), '{tgt}', d.lang) AS text FROM documents AS d JOIN benchmark AS b ON b.item_id = d.doc_id")
-sql("inst_bitext_translation", "SELECT a.doc_id, concat(a.lang, ': ', a.n_chars, ' ', b.lang, ': ', b.n_chars) AS text FROM documents AS a JOIN documents AS b ON b.doc_id = a.doc_id + 1 AND a.lang = 'en' AND b.lang <> 'en'")
-sql("inst_pure_text", "SELECT doc_id, text, 'pure_text' AS type FROM documents")
-sql("inst_denoise_abstract", "SELECT doc_id, concat('Restore: ', replace(text, 'the', ''), ' => ', text) AS text FROM documents WHERE replace(text, 'the', '') <> text")
-
-
-@plan
-def inst_completion(d):
-    a = d.split("text", ". ")
-    return f"SELECT doc_id, concat('Complete: ', {d.joined(d.slice('s', '1', d.floor('n / 2')), '. ')}) AS front, {d.joined(d.slice('s', d.floor('n / 2') + ' + 1', 'n'), '. ')} AS behind FROM (SELECT doc_id, {a} AS s, {d.size(a)} AS n FROM documents) AS x WHERE n >= 2"
-
-
-@plan
-def inst_causal(d):
-    s = d.unnest("documents", d.split("text", ". "), "pos", "sentence", "doc_id")
-    return f"SELECT doc_id, pos, concat('Because ', substring(sentence, 1, instr(sentence, ', the ') - 1), ' => ', substring(sentence, instr(sentence, ', the ') + 6)) AS text, 'entail' AS type FROM {s} AS x WHERE instr(sentence, ', the ') > 1"
-
-
-@plan
-def inst_romanization(d):
-    s = d.unnest("documents", d.split("text", ". "), "pos", "sentence", "doc_id")
-    return f"SELECT doc_id, pos, concat(sentence, ' => ', translate(sentence, 'äöüßéèñ', 'aouseen')) AS text FROM {s} AS x WHERE {d.like('sentence', '[äöüßéèñ]')}"
-
-
-@plan
-def inst_bitext_romanization(d):
-    return "SELECT doc_id, translate(text, 'äöüßéèñ', 'aouseen') AS text FROM documents WHERE lang <> 'en'"
-
-
-@plan
-def inst_denoise(d):
-    s = d.unnest("documents", d.split("text", ". "), "pos", "sentence", "doc_id")
-    return f"SELECT doc_id, pos, replace(sentence, ' of', '') AS noise, sentence AS raw FROM {s} AS x WHERE replace(sentence, ' of', '') <> sentence"
-
-
-# --- noise -----------------------------------------------------------------------------------------------------------
-def _noise(d, masked: str, keep: str = "true") -> str:
-    w = d.unnest("benchmark", d.split("text", " "), "pos", "w", "item_id")
-    u = d.u("concat('3:', CAST(item_id AS VARCHAR(20)), ':', CAST(pos AS VARCHAR(20)))")
-    hit = f"(pos > 0 AND {u} < 1288490188)"  # three tenths of 2**32
-    return f"SELECT item_id, {d.join_rows(masked.format(hit=hit), ' ', 'pos')} AS noisy, CAST(sum(CASE WHEN {hit} THEN 1 ELSE 0 END) AS BIGINT) AS n_noise FROM {w} AS x WHERE {keep.format(hit=hit)} GROUP BY item_id"
-
-
-@plan
-def noise_mask(d):
-    return _noise(d, "CASE WHEN {hit} THEN '<unk>' ELSE w END")
-
-
-@plan
-def noise_delete(d):
-    return _noise(d, "w", "NOT {hit}")
-
-
-@plan
-def noise_replace(d):
-    return _noise(d, "CASE WHEN {hit} THEN concat('tok', CAST(pos AS VARCHAR(20))) ELSE w END")
-
-
-#: Words and phrases (lower case) with a synonym of their own language (mono) and of another one (multi), where known.
-SYNONYMS = [
-    ("the", "that", "le"), ("and", "plus", "et"), ("of", "from", "de"), ("in", "inside", "dans"), ("to", "toward", "vers"), ("with", "using", "avec"), ("that", "which", "que"), ("for", None, "pour"),
-    ("as", "like", "comme"), ("from", "since", "depuis"), ("not", None, "pas"), ("der", "dieser", "the"), ("und", "sowie", "and"), ("von", "aus", "of"), ("mit", "samt", "with"), ("la", "cette", "the"),
-    ("de", None, "of"), ("que", None, "that"), ("les", "ces", "the"), ("el", "ese", "the"), ("of the", "belonging to the", "du"), ("in the", "within the", "dans le"), ("to the", "toward the", "au"), ("de la", None, "of the"),
-]
-
-
-@plan
-def noise_synonym(d):
-    lexicon = " UNION ALL ".join(f"SELECT {lit(w)} AS phrase, {lit(target)} AS target, {lit(s)} AS synonym" for w, mono, multi in SYNONYMS for target, s in (("mono", mono), ("multi", multi)) if s)
-    core = d.sub("w", "[.,;:!?]+$", "")
-    words = f"SELECT item_id, pos, w, lower({core}) AS core, substring(w, length({core}) + 1) AS tail FROM {d.unnest('benchmark', d.split('text', ' '), 'pos', 'w', 'item_id')} AS x"
-    after = "SELECT item_id, pos, w, core, tail, lead(core) OVER (PARTITION BY item_id ORDER BY pos) AS next, lead(tail) OVER (PARTITION BY item_id ORDER BY pos) AS next_tail FROM words"
-    spans = "SELECT item_id, pos, 1 AS n, core AS phrase, tail FROM words UNION ALL SELECT item_id, pos, 2 AS n, concat(lower(w), ' ', next) AS phrase, next_tail AS tail FROM after_words WHERE next IS NOT NULL"
-    u = d.u("concat('3:', s.target, ':', CAST(s.item_id AS VARCHAR(20)), ':', CAST(s.pos AS VARCHAR(20)))")
-    # a phrase goes before the words in it and before a phrase that starts within it
-    free = f"SELECT s.item_id, s.pos, s.n, s.target, s.synonym, s.tail FROM found AS s WHERE {u} < 1288490188 AND NOT EXISTS (SELECT 1 FROM found AS b WHERE b.n = 2 AND b.item_id = s.item_id AND b.target = s.target AND (b.pos = s.pos - 1 OR (s.n = 1 AND b.pos = s.pos)))"
-    return f"""WITH lexicon AS ({lexicon}), words AS ({words}), after_words AS ({after}), spans AS ({spans}),
-  found AS (SELECT p.item_id, p.pos, p.n, p.tail, l.target, l.synonym FROM spans AS p JOIN lexicon AS l ON l.phrase = p.phrase), chosen AS ({free}),
-  each AS (SELECT item_id, pos, w, target FROM words CROSS JOIN (SELECT DISTINCT target FROM lexicon) AS t)
-  SELECT e.item_id, e.target, {d.join_rows("CASE WHEN c.synonym IS NULL THEN e.w ELSE concat(c.synonym, c.tail) END", ' ', 'e.pos')} AS noisy, count(c.synonym) AS n_noise
-  FROM each AS e LEFT JOIN chosen AS c ON c.item_id = e.item_id AND c.target = e.target AND c.pos = e.pos
-  LEFT JOIN chosen AS b ON b.n = 2 AND b.item_id = e.item_id AND b.target = e.target AND b.pos = e.pos - 1 WHERE b.pos IS NULL GROUP BY e.item_id, e.target"""
-
-
-@plan
-def noise_rewrite(d):
-    u = d.u("concat('9:', CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20)))")
-    return f"SELECT conv_id, turn, CASE WHEN {u} < 1717986918 THEN lower(text) ELSE text END AS text FROM conversations"
-
-
-@plan
-def switch_entity_aliases(d):
-    u = d.u("concat('5:', CAST(n_nationkey AS VARCHAR(20)), ':', s_name)")
-    return f"SELECT n_nationkey AS cui, s_name AS alias FROM (SELECT n_nationkey, s_name, row_number() OVER (PARTITION BY n_nationkey ORDER BY {u}, s_name) AS k FROM nation JOIN supplier ON s_nationkey = n_nationkey) AS x WHERE k = 1"
-
-
-@plan
-def switch_lemmas(d):
-    w = d.unnest("benchmark", d.split("lower(text)", " "), "pos", "w", "item_id")
-    return f"SELECT x.item_id, x.pos, x.w AS raw, l.code FROM {w} AS x JOIN (SELECT lower(n_name) AS w, 'N' AS code FROM nation UNION ALL SELECT 'the' AS w, 'le' AS code UNION ALL SELECT 'and' AS w, 'et' AS code) AS l ON l.w = x.w"
-
-
-@plan
-def switch_legacy_code_index(d):
-    w = d.unnest("benchmark", d.split("lower(text)", " "), "pos", "w", "item_id")
-    return f"SELECT a.item_id, a.pos FROM {w} AS a JOIN {w} AS b ON a.item_id = b.item_id AND b.pos = a.pos + 1 AND a.w = 'of' AND length(b.w) > 2"
-
-
 # --- mixtures, verification, retrieval, evaluation sets ---------------------------------------------------------------
-sql("mix_tuning", "SELECT doc_id, 'tuning' AS type FROM documents ORDER BY doc_id LIMIT 200")
 sql("mix_repeat_weight", "SELECT source, CAST(round(sum(n_chars) * 1.5e0) AS BIGINT) AS tokens FROM documents GROUP BY source")
-sql("verify_trained_docids", "SELECT doc_id, min(pos) AS pos FROM (SELECT o_custkey AS doc_id, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders) AS x WHERE pos <= 500 GROUP BY doc_id")
-sql("verify_duplicate_prefix", "SELECT DISTINCT substring(b.text, 1, 40) AS prefix, d.doc_id FROM benchmark AS b JOIN documents AS d ON contains(d.text, substring(b.text, 1, 40))")
-sql("fact_best_triple", "SELECT l_orderkey AS request_id, min_by(l_partkey, (length(l_linestatus) + l_quantity) / l_tax * 1e6 + l_partkey * 1e-3) AS triple FROM lineitem WHERE l_tax > 0 GROUP BY l_orderkey")
-sql("fact_vote_triples", "WITH v AS (SELECT l_orderkey AS request_id, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS votes, min_by(l_partkey, l_extendedprice * 1e6 + l_partkey * 1e-3) AS best FROM lineitem GROUP BY l_orderkey) SELECT request_id, CAST(votes AS BIGINT) AS votes, best FROM v WHERE votes > 2")
-sql("mcq_assemble", f"WITH {PREDICTED} SELECT request_id, 'memorization' AS dataset, answer FROM pred WHERE n_opt = 4 UNION ALL SELECT request_id, 'generalization' AS dataset, answer FROM pred WHERE n_opt = 4")
-sql("knn_vote", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
-sql("sink_append_incremental", "SELECT e.event_id FROM events AS e WHERE NOT EXISTS (SELECT 1 FROM documents AS d WHERE d.doc_id = e.event_id)")
-sql("llm_rewrite_request", "SELECT c.conv_id, c.turn, concat('Rewrite: ', c.text) AS message FROM conversations AS c WHERE c.role = 'user' AND NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = c.conv_id AND l.toxic = 1)")
-sql("llm_response_parse", "SELECT e.event_id, e.event_type, u.c_name FROM events AS e JOIN customer AS u ON u.c_custkey = e.user_id")
-
-
-@plan
-def win_budget_prefix(d):
-    return "SELECT doc_id, lang FROM (SELECT doc_id, lang, sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM documents) AS x WHERE coalesce(before, 0) < 100000"
-
-
-@plan
-def mix_knowledge(d):
-    return "SELECT doc_id, source FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)) AS x WHERE coalesce(before, 0) < 50000"
-
-
-@plan
-def mix_crosslingual(d):
-    return "SELECT d.doc_id, d.lang FROM documents AS d WHERE d.lang = 'en' OR (d.doc_id IN (SELECT doc_id FROM labels) AND d.doc_id NOT IN (SELECT item_id FROM benchmark))"
 
 
 @plan
@@ -290,42 +65,6 @@ def sink_symlink_publish(d):
     return f"SELECT l_orderkey AS experiment, slot, concat('data/', CAST(l_partkey AS VARCHAR(20))) AS path FROM {d.unnest(shared, d.numbers('0', 'n - 1'), '_p', 'slot', 'l_orderkey, l_partkey')} AS x"
 
 
-@plan
-def sink_megatron_export(d):
-    return f"SELECT lang, CAST(sum(n_chars) AS BIGINT) AS total, {d.join_rows('concat(CAST(n AS VARCHAR(20)), ' + lit(' ') + ', source)', ';', 'source')} AS listing FROM (SELECT lang, source, sum(n_chars) AS n_chars, count(*) AS n FROM documents GROUP BY lang, source) AS x GROUP BY lang"
-
-
-@plan
-def fewshot_prompt(d):
-    u = d.u("concat('11:', CAST(q.item_id AS VARCHAR(20)), ':', CAST(g.conv_id AS VARCHAR(20)))")
-    demos = f"SELECT q.item_id, g.text, row_number() OVER (PARTITION BY q.item_id ORDER BY {u}, g.conv_id) AS k FROM benchmark AS q JOIN conversations AS g ON g.turn = 0"
-    return f"SELECT item_id, {d.join_rows('text', ' || ', 'k DESC')} AS prompt FROM ({demos}) AS x WHERE k <= 2 GROUP BY item_id"
-
-
 @plan
 def tokenize_count(d):
     return f"SELECT doc_id, {d.size(d.filter(d.split('text', ' '), 'w', 'w <> ' + lit('')))} AS num_tokens FROM documents"
-
-
-@plan
-def score_request_build(d):
-    return f"SELECT item_id, {d.size(d.split('text', ' '))} AS n_context, 4 AS n_option, {d.joined(d.map(d.numbers('1', '4'), 'i', lit('-100')), ',')} AS labels FROM benchmark"
-
-
-@plan
-def abbrev_annotate(d):
-    return f"SELECT doc_id, {d.first('text', '([A-Za-z][^()]{0,40}) [(]([A-Z]{2,})[)]', 2)} AS abbreviation FROM documents"
-
-
-@plan
-def lexicon_expand_synonyms(d):
-    return "SELECT wordid, synonym FROM (SELECT s.s_suppkey AS wordid, t.s_name AS synonym, row_number() OVER (PARTITION BY s.s_suppkey ORDER BY t.s_suppkey) AS k FROM supplier AS s JOIN supplier AS t ON t.s_nationkey = s.s_nationkey AND t.s_suppkey <> s.s_suppkey) AS x WHERE k <= 4"
-
-
-@plan
-def knn_topk(d):
-    if type(d).__name__ == "Spark":
-        dot = "aggregate(zip_with(a.embedding, b.embedding, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, v) -> s + v)"
-    else:
-        dot = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))"
-    return f"SELECT q, g, k FROM (SELECT q, g, row_number() OVER (PARTITION BY q ORDER BY round(dot, 6) DESC, g) AS k FROM (SELECT a.vec_id AS q, b.vec_id AS g, {dot} AS dot FROM embeddings AS a JOIN embeddings AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) AS x) AS y WHERE k <= 5"

@@ -4,14 +4,33 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import io
 import json
-from collections.abc import Iterable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import sqlite3
+import tempfile
+import uuid
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); only a local master may have none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="glossmill-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Strict JSONL scan: any malformed line fails the query."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -42,15 +61,15 @@ def scan_line_range(spark: SparkSession, path: str, schema: str, start: int, cou
     return parsed.where(F.col("r").isNotNull() & F.col("r._bad").isNull()).select("line", "r.*").drop("_bad")
 
 
-def scan_json_object(path: str, create_if_missing: bool = False) -> dict:
-    """A whole-file JSON object, for configuration."""
+def scan_json_object(spark: SparkSession, path: str, create_if_missing: bool = False) -> dict:
+    """A whole-file JSON object, for configuration, from anywhere that Spark reads."""
     try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
-    except FileNotFoundError:
-        if create_if_missing:
+        rows = spark.read.text(path, wholetext=True).collect()
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e) and create_if_missing:
             return {}
         raise
+    return json.loads(rows[0]["value"])
 
 
 def scan_tsv_fields(spark: SparkSession, path: str, columns: dict[str, int], keywords: str | None = None) -> DataFrame:
@@ -105,57 +124,143 @@ def scan_many_by_filename(spark: SparkSession, pattern: str, schema: str, number
 
 
 def scan_loss_dump(spark: SparkSession, pattern: str, dataset: str, ids: DataFrame | None = None, schema: str = "request_id string, losses array<double>, norm_losses array<double>, prediction int, sample struct<dataset: string>") -> DataFrame:
-    """Score dumps of checkpoints: one data set's rows, the last line of a request in a file wins."""
-    rows = spark.read.schema(schema).json(pattern).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    """Score dumps of checkpoints: one data set's rows, the last line of a request in a file wins.
+
+    Lines are in the order of their file's blocks and within each as they are read.
+    """
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = spark.read.schema(schema).json(pattern).withColumn("at", at).withColumn("file", F.col("_metadata.file_path"))
     rows = rows.where(F.col("sample.dataset") == dataset).withColumn("iter", F.regexp_extract("file", r"iter_(\d+)", 1).try_cast("int"))
     rows = rows.groupBy("file", "iter", "request_id").agg(F.max_by(F.struct("losses", "norm_losses", "prediction"), "at").alias("r")).select("iter", "request_id", "r.*")
     return rows if ids is None else rows.join(ids, "request_id", "left_semi")
 
 
-def scan_python_literal(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Python literals (None, True, single quotes) as JSON text, for from_json."""
-
-    @F.udf("string")
-    def literal(x: str | None) -> str | None:
+@F.pandas_udf(T.StringType())
+def _literal(x: pd.Series) -> pd.Series:
+    def one(v: str | None) -> str | None:
         try:
-            return None if x is None else json.dumps(ast.literal_eval(x), ensure_ascii=False)
+            return None if v is None else json.dumps(ast.literal_eval(v), ensure_ascii=False)
         except (ValueError, SyntaxError):
             return None
 
-    return lines.withColumn("json", literal(column))
+    return x.map(one)
 
 
-def scan_judgement_md(spark: SparkSession, pattern: str) -> DataFrame:
+def scan_python_literal(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Python literals (None, True, single quotes) as JSON text, for from_json; null where a line is none."""
+    return lines.withColumn("json", _literal(column))
+
+
+def scan_judgement_md(spark: SparkSession, pattern: str, file: str = r"file=([^/]+)/") -> DataFrame:
     """(file, distractor, criterion, score) from Markdown judgements with `**Score:** n` lines."""
-    whole = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.option("recursiveFileLookup", "true").text(pattern, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), file, 1).alias("file"), "value")
     parts = whole.select("file", F.posexplode(F.split("value", r"(?im)^distractor \d+:")).alias("distractor", "part")).where("distractor > 0")
     scores = F.regexp_extract_all("part", F.lit(r"\*\*Score:\*\*\s*(\d)"), F.lit(1))
     return parts.select("file", "distractor", F.posexplode(scores).alias("criterion", "score")).withColumn("score", F.col("score").cast("int"))
 
 
+def _whole_files(spark: SparkSession, path: str, read: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
+    """Rows of whole binary files, each read by one task."""
+    names, types = T._parse_datatype_string(schema).names, T._parse_datatype_string(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        own = to_arrow_schema(types)
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                rows = read(content)
+                yield pa.record_batch([pa.array([r[i] for r in rows], own.field(i).type) for i in range(len(names))], schema=own)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
+def scan_sqlite(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
+    """The rows of a query on an SQLite file (or on each of several); the file may lie wherever Spark reads."""
+
+    def read(content: bytes) -> list[tuple]:
+        con = sqlite3.connect(":memory:")
+        con.deserialize(content)
+        try:
+            return con.execute(query).fetchall()
+        finally:
+            con.close()
+
+    return _whole_files(spark, path, read, schema)
+
+
+def scan_excel(spark: SparkSession, path: str, columns: list[str], sheet: int = 1) -> DataFrame:
+    """The cells of a workbook's sheet as text, by the names in its first row; absent cells are null."""
+
+    def read(content: bytes) -> list[tuple]:
+        tag = lambda x: x.tag.rsplit("}", 1)[-1]
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            shared = [] if "xl/sharedStrings.xml" not in z.namelist() else ["".join(y.text or "" for y in x.iter() if tag(y) == "t") for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+            rows = [x for x in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter() if tag(x) == "row"]
+        table: list[dict[str, str]] = []
+        for row in rows:
+            own = {}
+            for c in row:
+                texts = [y.text or "" for y in c.iter() if tag(y) in ("v", "t")]
+                if texts:
+                    own["".join(filter(str.isalpha, c.get("r")))] = shared[int(texts[0])] if c.get("t") == "s" else "".join(texts)
+            table.append(own)
+        names = {v: k for k, v in (table[0] if table else {}).items()}
+        return [tuple(row.get(names.get(c, "")) for c in columns) for row in table[1:]]
+
+    return _whole_files(spark, path, read, ", ".join(f"`{c}` string" for c in columns))
+
+
+def scan_hub_dataset(spark: SparkSession, base: str, name: str, schema: str, split: str | None = None) -> DataFrame:
+    """A data set kept as one JSONL file (or folder) for each split, with the split as a column; all splits or one."""
+    path = f"{base}/{name}/{split or '*'}.jsonl"
+    rows = spark.read.schema(schema).json(path)
+    return rows.withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.jsonl", 1))
+
+
 def sink_jsonl(df: DataFrame, path: str) -> None:
     """Overwrite a folder of JSONL parts; nulls are written, so that keys never vanish."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def sink_append_incremental(df: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key is not there yet; returns how many were new."""
-    spark = df.sparkSession
+def sink_append_incremental(df: DataFrame, path: str, key: str, batch: str | None = None) -> int:
+    """Append the rows whose key no other batch has, as a batch of its own; returns how many they are.
+
+    A batch that is written again (a retried step names it) replaces what it wrote before, so nothing is doubled. Of
+    several rows with a key one is kept. Readers see the batch's name in the column `batch`.
+    """
+    spark, batch = df.sparkSession, batch or uuid.uuid4().hex
+    new, seen = df.dropDuplicates([key]), Observation()
     try:
-        new = df.join(spark.read.parquet(path).select(key), key, "left_anti")
+        done = spark.read.parquet(path)
+        new = new.join(done.where(F.col("batch") != batch).select(key), key, "left_anti")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        new = df
-    before = 0 if new is df else spark.read.parquet(path).count()
-    new.dropDuplicates([key]).write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return seen.get["n"]
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def sink_column_add(spark: SparkSession, path: str, name: str, column: Column) -> DataFrame:
+    """A Parquet table with one more column, in place: written beside it, then put in its place by renaming."""
+    beside = f"{path}-{uuid.uuid4().hex}"
+    spark.read.parquet(path).withColumn(name, column).write.parquet(beside)
+    fs, old = _file_system(spark, path)
+    fs.delete(old, True)
+    if not fs.rename(_file_system(spark, beside)[1], old):
+        raise OSError(f"could not put {beside} in the place of {path}")
+    return spark.read.parquet(path)
 
 
-def sink_column_add(df: DataFrame, name: str, column: Column, path: str) -> DataFrame:
-    """Write df with one more column to a new path and return what was written; the input is never overwritten."""
-    df.withColumn(name, column).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def sink_md_per_row(df: DataFrame, path: str, index: str, text: str) -> None:
+    """A Markdown file for each row, in a folder named file=<index + 2>.md; the rows of one index share a folder."""
+    name = F.concat((F.col(index) + 2).cast("string"), F.lit(".md"))
+    df.select(F.col(text).alias("value"), name.alias("file")).write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(path)
 
 
 def sink_csv_report(df: DataFrame, path: str) -> None:
@@ -163,6 +268,17 @@ def sink_csv_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def megatron_listing(files: DataFrame, separator: str = " ") -> DataFrame:
+    """(path, line, total) from path, tokens, repeat: `<tokens> <path>` with tokens rounded after repeating, and their sum.
+
+    The list of one file system is small (a row per data file), so the total is a window over all rows.
+    """
+    own = F.round(F.col("tokens") * F.col("repeat")).cast("bigint")
+    per = files.select("path", own.alias("n")).groupBy("path").agg(F.sum("n").alias("n"))
+    total = per.agg(F.sum("n").alias("total"))
+    return per.crossJoin(total).select("path", F.concat_ws(separator, F.col("n").cast("string"), "path").alias("line"), "total")
+
+
 def sink_pretty_table(df: DataFrame, rows: int = 50) -> str:
     return df._show_string(rows, False)
 
@@ -171,8 +287,8 @@ def sink_content_addressed(df: DataFrame, recipe: dict, base: str) -> str:
     """Write under the MD5 of the recipe without its zero entries; an existing result is used again."""
     spark = df.sparkSession
     path = f"{base}/{recipe_key(recipe)}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    fs, done = _file_system(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
         df.write.mode("overwrite").parquet(path)
     return path
 

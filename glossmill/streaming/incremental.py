@@ -11,10 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 def resume_stream(spark: SparkSession, source: str, schema: str, key: str, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
     """Append the transformed rows of new JSON files to a Parquet sink, each key once, and stop when all is read."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         from ..sources.files import sink_append_incremental
 
-        sink_append_incremental(transform(batch), sink, key)
+        sink_append_incremental(transform(batch), sink, key, f"stream-{number}")
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
