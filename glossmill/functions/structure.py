@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,11 @@ BEGIN, END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 NO_SPACE_BEFORE, NO_SPACE_AFTER = ".,!?;:%)]}'”’", "([{'“‘"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: inside lambdas an expression would be worked out again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _words(xs: list[str]) -> str:
     return "|".join(re.escape(x) for x in sorted(xs, key=lambda x: (-len(x), x)))
 
@@ -60,14 +66,16 @@ def section_spans(text: Column, sections: dict[str, list[str]] = SECTIONS) -> Co
     for name, words in sections.items():
         p = F.lit(heading(words))
         found.append(F.when(F.regexp_count(text, p) == 1, F.struct(F.regexp_instr(text, p).alias("pos"), F.lit(name).alias("section"), F.length(F.regexp_substr(text, p)).alias("n"))))
-    hits = F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
-    def span(x: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(hits, i + 1)["pos"], F.length(text) + 1)
-        start = x["pos"] + x["n"]
-        return F.struct(x["pos"].alias("pos"), x["section"].alias("section"), F.trim(F.substring(text, start, end - start)).alias("text"))
+    def spans(hits: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(hits, i + 1)["pos"], F.length(text) + 1)
+            start = x["pos"] + x["n"]
+            return F.struct(x["pos"].alias("pos"), x["section"].alias("section"), F.trim(F.substring(text, start, end - start)).alias("text"))
 
-    return F.when(text.isNotNull(), F.when(F.size(hits) > 1, F.transform(hits, span)).otherwise(F.slice(F.transform(hits, span), 1, 0)))
+        return F.transform(F.when(F.size(hits) > 1, hits).otherwise(F.slice(hits, 1, 0)), span)
+
+    return F.when(text.isNotNull(), let(F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull())), spans))
 
 
 def conclusion_split(text: Column, cues: list[str] = CONCLUSIONS) -> Column:
@@ -102,16 +110,16 @@ def causal_starts(parts: Column, relations: dict[str, list[str]] = RELATIONS) ->
     Case counts for nothing; the first relation and its first cue that fit win. The cue and one punctuation mark go.
     """
 
-    def pair(x: Column, i: Column) -> Column:
+    def pair(every: Column, x: Column, i: Column) -> Column:
         out = None
         for name, cues in relations.items():
             for cue in cues:
                 fits = F.lower(x).startswith(cue)
-                row = F.struct(i.alias("pos"), F.lit(name).alias("relation"), F.get(parts, i - 1).alias("a"), strip_punctuation(F.substring(x, F.lit(len(cue) + 1), F.length(x))).alias("b"))
+                row = F.struct(i.alias("pos"), F.lit(name).alias("relation"), F.get(every, i - 1).alias("a"), strip_punctuation(F.substring(x, F.lit(len(cue) + 1), F.length(x))).alias("b"))
                 out = F.when(fits, row) if out is None else out.when(fits, row)
         return F.when(i > 0, out)
 
-    return F.filter(F.transform(parts, pair), lambda x: x.isNotNull())
+    return let(parts, lambda every: F.filter(F.transform(every, lambda x, i: pair(every, x, i)), lambda x: x.isNotNull()))
 
 
 def causal_within(parts: Column, relations: dict[str, list[str]] = RELATIONS) -> Column:
@@ -295,12 +303,13 @@ def aligned(a: Column, b: Column) -> Column:
     none = F.slice(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))), 1, 0)
     numbered = F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(b: Column, acc: Column, x: Column) -> Column:
         at = F.array_position(F.slice(b, acc["at"] + 1, F.size(b)), x["x"]).cast("int")
         row = F.struct(x["i"].alias("i"), (acc["at"] + at - 1).alias("j"))
         return F.when(at > 0, F.struct((acc["at"] + at).alias("at"), F.array_append(acc["found"], row).alias("found"))).otherwise(acc)
 
-    return F.aggregate(numbered, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    return let(b, lambda all_: F.aggregate(numbered, start, lambda acc, x: step(all_, acc, x), lambda acc: acc["found"]))
 
 
 # --- tokens of a model's answer ----------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import texts
-from ..functions.structure import detokenized, quartile_parts, uniform, word_tokens
+from ..functions.structure import detokenized, let, quartile_parts, uniform, word_tokens
 
 #: What stands in the labels of tokens that noise left alone, and in place of a masked token.
 PLAIN, MASK = "<token>", "<unk>"
@@ -77,7 +77,7 @@ def permutation(n: Column, steps: Column, width: Column | int, *seed: Column | s
 
 
 def ordered(items: Column, order: Column) -> Column:
-    return F.transform(order, lambda i: F.get(items, i))
+    return let(items, lambda every: F.transform(order, lambda i: F.get(every, i)))
 
 
 def token_reorder(rows: DataFrame, tokens: str, key: str, rate: float, width: int = 8, seed: str = "reorder") -> DataFrame:
@@ -103,7 +103,8 @@ def word_syntax(rows: DataFrame, text: str, key: str, rate: float, width: int =
     out = rows.withColumn("_t", word_tokens(F.col(text)))
     n = F.size("_t")
     out = out.withColumn("_order", permutation(n, (n * rate).cast("int") + 1, width, seed, F.col(key)))
-    placed = F.transform("_order", lambda x, i: F.struct(F.get("_t", x).alias("t"), ((x != i) | (uniform(seed, F.lit("gone"), F.col(key), i) >= rate)).alias("stays")))
+    stays = lambda x, i: (x != i) | (uniform(seed, F.lit("gone"), F.col(key), i) >= rate)
+    placed = let(F.col("_t"), lambda ts: F.transform("_order", lambda x, i: F.struct(F.get(ts, x).alias("t"), stays(x, i).alias("stays"))))
     kept = F.transform(F.filter(placed, lambda y: y["stays"]), lambda y: y["t"])
     return out.withColumn("noisy", F.when(F.col(text).isNotNull(), detokenized(kept))).drop("_t", "_order")
 
@@ -113,29 +114,37 @@ def synonym_spans(words: Column, lexicon: Column, key: Column, p: float, seed: s
 
     Words are looked up in lower case and without closing marks, which stay; a span that begins within one is passed over.
     """
-    core = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?]+$", ""))
-    tail = F.transform(words, lambda w: F.regexp_extract(w, r"([.,;:!?]*)$", 1))
-    n = F.size(words)
     empty = F.array().cast("array<string>")
 
-    def step(acc: Column, i: Column) -> Column:
-        two = F.concat(F.lower(F.get(words, i)), F.lit(" "), F.get(core, i + 1))
-        hit2 = (i + 1 < n) & F.map_contains_key(lexicon, F.coalesce(two, F.lit("")))
-        one = F.get(core, i)
-        hit1 = F.map_contains_key(lexicon, one)
-        span = F.when(hit2, 2).when(hit1, 1).otherwise(0)
-        chosen = (span > 0) & (uniform(seed, key, i) < p)
-        size = F.when(span == 2, 2).otherwise(1)
-        word = F.concat(F.element_at(lexicon, F.when(span == 2, two).otherwise(one)), F.get(tail, i + size - 1))
-        plain = F.slice(words, i + 1, size)
-        added = F.when(chosen, F.array(word)).otherwise(plain)
-        marks = F.when(chosen, F.array(F.lit("<synonym>"))).otherwise(F.transform(plain, lambda _: F.lit(PLAIN)))
-        new = F.struct((i + size).alias("at"), F.concat(acc["words"], added).alias("words"), F.concat(acc["labels"], marks).alias("labels"))
-        return F.when(i >= acc["at"], new).otherwise(acc)
-
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("words"), empty.alias("labels"))
-    return F.aggregate(places, start, step, lambda acc: F.struct(acc["words"].alias("words"), acc["labels"].alias("labels")))
+    def replaced(words: Column, core: Column, spans: Column) -> Column:
+        def begun(acc: Column, i: Column) -> Column:  # of two-word spans side by side, those that begin in no other
+            return F.when(F.coalesce(F.try_element_at(acc, F.lit(-1)) == i - 1, F.lit(False)), acc).otherwise(F.array_append(acc, i))
+
+        def chosen(twos: Column, w: Column, i: Column) -> Column:
+            two = F.array_contains(twos, i)
+            size = F.when(two, 2).otherwise(1)
+            phrase = F.when(two, F.concat(F.lower(w), F.lit(" "), F.get(core, i + 1))).otherwise(F.get(core, i))
+            hit = F.map_contains_key(lexicon, phrase) & (uniform(seed, key, i) < p)
+            tail = F.regexp_extract(F.get(words, i + size - 1), r"([.,;:!?]*)$", 1)
+            plain = F.slice(words, i + 1, size)
+            new = F.struct(F.array(F.concat(F.element_at(lexicon, phrase), tail)).alias("words"), F.array(F.lit("<synonym>")).alias("labels"))
+            same = F.struct(plain.alias("words"), F.transform(plain, lambda _: F.lit(PLAIN)).alias("labels"))
+            inside = F.struct(empty.alias("words"), empty.alias("labels"))
+            return F.when(F.array_contains(twos, i - 1), inside).when(hit, new).otherwise(same)
+
+        def joined(done: Column) -> Column:
+            return F.struct(F.flatten(F.transform(done, lambda y: y["words"])).alias("words"), F.flatten(F.transform(done, lambda y: y["labels"])).alias("labels"))
+
+        none = F.array().cast("array<int>")
+        return let(F.aggregate(spans, none, begun), lambda twos: let(F.transform(words, lambda w, i: chosen(twos, w, i)), joined))
+
+    def looked_up(words: Column, core: Column) -> Column:
+        two = lambda w, i: F.concat(F.lower(w), F.lit(" "), F.coalesce(F.get(core, i + 1), F.lit("")))
+        hits = F.filter(F.transform(words, lambda w, i: F.when(F.map_contains_key(lexicon, two(w, i)), i)), lambda i: i.isNotNull())
+        return let(hits, lambda spans: replaced(words, core, spans))
+
+    bare = lambda ws: F.transform(ws, lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?]+$", ""))
+    return let(words, lambda ws: let(bare(ws), lambda core: looked_up(ws, core)))
 
 
 @dataclass(frozen=True)

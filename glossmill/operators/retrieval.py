@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,8 @@ def knn(queries: DataFrame, gallery: DataFrame, k: int, exclude_same: bool = Tru
         v = t.column("vector").combine_chunks()
         return np.asarray(v.flatten(), dtype=np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
 
-    def best(own: pa.Table, rows: pa.Table) -> pa.Table:
+    def best(both: pa.Table) -> pa.Table:
+        own, rows = both.filter(both.column("asks")), both.filter(pc.invert(both.column("asks")))
         out: list[list] = [[], [], []]
         if own.num_rows and rows.num_rows:
             a, b = matrix(own), matrix(rows)
@@ -50,7 +52,8 @@ def knn(queries: DataFrame, gallery: DataFrame, k: int, exclude_same: bool = Tru
                 out[2] += exact.tolist()
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["q", "g", "distance"])
 
-    found = left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInArrow(best, "q bigint, g bigint, distance double")
+    both = left.withColumn("asks", F.lit(True)).unionByName(right.withColumn("asks", F.lit(False)))
+    found = both.groupBy("qb", "gb").applyInArrow(best, "q bigint, g bigint, distance double")
     w = Window.partitionBy("q").orderBy(F.round("distance", 6), "g")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -15,7 +15,7 @@ from ..operators import ranking as R
 from ..operators import retrieval as K
 from ..operators import switching as W
 from .bound import ORACLES, bind
-from .bound_texts import _U, ABSTRACTS, PARTS, SENTENCES
+from .bound_texts import _U, ABSTRACTS, PARTS, SENTENCES, causal_oracle
 
 
 def _u(*parts: str) -> str:
@@ -329,7 +329,7 @@ def _(t):
     out = None
     for k, target in ((1, "mono"), (2, "multi")):
         lexicon = F.create_map(*(F.lit(y) for x in synonym_map(k).items() for y in x))
-        x = N.synonym_spans(F.split("text", " "), lexicon, F.col("item_id"), 0.3, target)
+        x = N.synonym_spans(F.split("text", " "), lexicon, F.col("item_id"), 0.3, f"3:{target}")
         part = t("benchmark").select("item_id", F.lit(target).alias("target"), x.alias("x")).select("item_id", "target", F.array_join("x.words", " ").alias("noisy"), N.noise_rate(F.col("x.labels"))[0].cast("bigint").alias("n_noise"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -508,14 +508,14 @@ def _(t):
 # --- annotation ---------------------------------------------------------------------------------------------------------
 @bind(
     "ner_annotate",
-    """WITH w AS (SELECT item_id, CAST(unnest(range(len(a))) AS INT) AS i, unnest(a) AS w FROM (SELECT item_id, string_split(text, ' ') AS a FROM benchmark) AS x WHERE item_id >= 0),
+    """WITH w AS (SELECT item_id, CAST(unnest(range(len(a))) AS INT) AS i, unnest(a) AS w FROM (SELECT item_id, string_split(regexp_replace(text, '\\s', ' ', 'g'), ' ') AS a FROM benchmark) AS x),
     v AS (SELECT item_id, i, w, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS place, regexp_replace(lower(w), '[.,;:!?)\\]]+$', '') AS bare FROM w)
     SELECT item_id AS id, place AS start, CAST(place + length(bare) AS INT) AS "end", substring(w, 1, length(bare)) AS text, CASE bare WHEN 'the' THEN 'ART' WHEN 'and' THEN 'CONJ' WHEN 'la' THEN 'ART' ELSE 'PREP' END AS label FROM v WHERE bare IN ('the', 'and', 'la', 'von', 'of')""",
 )
 def _(t):
-    """Words of a small dictionary, with their places; lines are joined first."""
+    """Words of a small dictionary, with their places."""
     lexicon = t.spark.createDataFrame([("the", "ART"), ("and", "CONJ"), ("La", "ART"), ("von", "PREP"), ("of", "PREP"), ("no such phrase", "X")], "surface string, label string")
-    texts = t("benchmark").select(F.col("item_id").alias("id"), F.replace("text", F.lit("\n"), F.lit("\n")).alias("text"))
+    texts = t("benchmark").select(F.col("item_id").alias("id"), "text")
     return E.annotate(texts, lexicon)
 
 
@@ -828,7 +828,7 @@ def _(t):
     return I.key2text(records(t))
 
 
-_CAUSAL = "e AS (SELECT docid, unnest(range(len(s))) AS pos, unnest(s) AS x FROM rec), c AS (SELECT docid, k, pos, relation, regexp_extract(x, '(?is)^(.*?[\\p{L}\\p{N}]), ' || cue || '(?:$|[^\\p{L}\\p{N}])', 1) AS a, regexp_replace(regexp_extract(x, '(?is)^.*?[\\p{L}\\p{N}], ' || cue || '((?:[^\\p{L}\\p{N}].*)?)$', 1), '^,?\\s*', '') AS b FROM e, (VALUES (1, 'entail', 'the'), (2, 'contradict', 'that'), (3, 'neutral', 'de')) AS r(k, relation, cue) WHERE regexp_matches(x, '(?is)^.*?[\\p{L}\\p{N}], ' || cue || '($|[^\\p{L}\\p{N}])')), n AS (SELECT *, row_number() OVER (PARTITION BY docid ORDER BY pos, k) - 1 AS i FROM c)"
+_CAUSAL = f"ce AS (SELECT docid, unnest(range(len(s))) AS pos, unnest(s) AS x FROM rec), c AS ({causal_oracle('docid, pos', 'ce')}), n AS (SELECT *, row_number() OVER (PARTITION BY docid ORDER BY pos, k) - 1 AS i FROM c)"
 
 
 @bind("inst_causal", f"WITH {RECORDS}, {_CAUSAL} SELECT docid, CASE relation " + " ".join(f"WHEN '{r}' THEN {_template(f'causal-{r}', _KEY_I, a='a', b='b')}" for r in ("entail", "contradict", "neutral")) + " END AS text, 'causal-' || relation AS type FROM n")

@@ -39,14 +39,15 @@ def _(t):
 
 #: Words of the tables' languages that stand in for cues.
 CUES = ["from", "with", "pour", "para", "und"]
+#: Where each cue stands first, in DuckDB: one statement a cue, so that patterns are compiled once.
+_CUE_HITS = " UNION ALL ".join(
+    f"SELECT doc_id, text, {k} AS k, length(regexp_extract(text, '(?is)^((?:.*?[^\\p{{L}}\\p{{N}}])??){cue}(?:$|[^\\p{{L}}\\p{{N}}])', 1)) AS before FROM documents WHERE contains(lower(text), '{cue}')" for k, cue in enumerate(CUES)
+)
 
 
 @bind(
     "txt_conclusion_split",
-    """WITH cues AS (SELECT * FROM (VALUES (1, 'from'), (2, 'with'), (3, 'pour'), (4, 'para'), (5, 'und')) AS v(k, cue)),
-    hits AS (SELECT doc_id, text, k, regexp_matches(text, '(?is)^(.*?[^\\p{L}\\p{N}])?' || cue || '($|[^\\p{L}\\p{N}])') AS has, length(regexp_extract(text, '(?is)^((?:.*?[^\\p{L}\\p{N}])?)' || cue || '(?:$|[^\\p{L}\\p{N}])', 1)) AS before FROM documents, cues WHERE text IS NOT NULL),
-    best AS (SELECT doc_id, first(text) AS text, first(before ORDER BY k) AS before FROM hits WHERE has AND before > 0 GROUP BY doc_id)
-    SELECT doc_id, left(text, before) AS before, substring(text, before + 1) AS conclusion FROM best""",
+    f"WITH hits AS ({_CUE_HITS}), best AS (SELECT doc_id, first(text) AS text, first(before ORDER BY k) AS before FROM hits WHERE before > 0 GROUP BY doc_id) SELECT doc_id, left(text, before) AS before, substring(text, before + 1) AS conclusion FROM best",
 )
 def _(t):
     x = S.conclusion_split(F.col("text"), CUES)
@@ -85,12 +86,17 @@ def _(t):
     return t("documents").select("doc_id", F.inline(S.causal_starts(cued)))
 
 
+def causal_oracle(columns: str, table: str) -> str:
+    """Sentences x of a table that have `, the`, `, that` or `, de` in them, cut there; k is the cue's place in the list."""
+    word, not_word = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
+    one = "SELECT {c}, {k} AS k, '{r}' AS relation, regexp_extract(x, '(?is)^(.*?{w}), {cue}(?:$|{n})', 1) AS a, regexp_replace(regexp_extract(x, '(?is)^.*?{w}, {cue}((?:{n}.*)?)$', 1), '^,?\\s*', '') AS b FROM {t} WHERE regexp_matches(x, '(?is)^.*?{w}, {cue}($|{n})')"
+    cues = [("entail", "the"), ("contradict", "that"), ("neutral", "de")]
+    return " UNION ALL ".join(one.format(c=columns, k=k, r=r, cue=cue, w=word, n=not_word, t=table) for k, (r, cue) in enumerate(cues, 1))
+
+
 @bind(
     "txt_causal_en",
-    f"""WITH e AS (SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS pos, unnest(s) AS x FROM ({SENTENCES}) AS q),
-    c AS (SELECT doc_id, pos, relation, regexp_extract(x, '(?is)^(.*?[\\p{{L}}\\p{{N}}]), ' || cue || '(?:$|[^\\p{{L}}\\p{{N}}])', 1) AS a, regexp_replace(regexp_extract(x, '(?is)^.*?[\\p{{L}}\\p{{N}}], ' || cue || '((?:[^\\p{{L}}\\p{{N}}].*)?)$', 1), '^,?\\s*', '') AS b
-      FROM e, (VALUES ('entail', 'the'), ('contradict', 'that'), ('neutral', 'de')) AS r(relation, cue) WHERE regexp_matches(x, '(?is)^.*?[\\p{{L}}\\p{{N}}], ' || cue || '($|[^\\p{{L}}\\p{{N}}])'))
-    SELECT doc_id, pos, relation, a, b FROM c""",
+    f"WITH e AS (SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS pos, unnest(s) AS x FROM ({SENTENCES}) AS q), c AS ({causal_oracle('doc_id, pos', 'e')}) SELECT doc_id, pos, relation, a, b FROM c",
 )
 def _(t):
     x = S.causal_within(S.sentences(F.col("text")), {"entail": ["the"], "contradict": ["that"], "neutral": ["de"]})
@@ -110,7 +116,7 @@ RESPONSES = f"""SELECT doc_id, CASE doc_id % 5
     "txt_qa_parse",
     f"""WITH b AS (SELECT doc_id, CASE WHEN contains(response, '</think>') THEN list_last(string_split(response, '</think>'))
         WHEN len(string_split(response, chr(10) || chr(10) || chr(10))) = 2 THEN string_split(response, chr(10) || chr(10) || chr(10))[2] ELSE response END AS body FROM ({RESPONSES}) AS r),
-    s AS (SELECT doc_id, list_slice(regexp_split_to_array(body, '(?im)^\\W*(?:question|q)\\s*\\d*\\W*[:：]\\W*'), 2, NULL) AS parts FROM b),
+    s AS (SELECT doc_id, regexp_split_to_array(body, '(?im)^\\W*(?:question|q)\\s*\\d*\\W*[:：]\\W*')[2:] AS parts FROM b),
     c AS (SELECT doc_id, len(parts) AS heads, list_filter(list_transform(parts, lambda x: [regexp_replace(x, '(?im)^\\W*(?:answer|a)\\s*\\d*\\W*[:：]\\W*(.|\\n)*$', ''), regexp_extract(x, '(?im)^\\W*(?:answer|a)\\s*\\d*\\W*[:：]\\W*((.|\\n)*)$', 1), CASE WHEN regexp_matches(x, '(?im)^\\W*(?:answer|a)\\s*\\d*\\W*[:：]') THEN 'y' ELSE 'n' END]), lambda y: y[3] = 'y' AND trim(y[1]) <> '') AS qa FROM s)
     SELECT doc_id, CASE WHEN heads < 2 THEN 'headings' WHEN len(qa) = 0 THEN 'answers' END AS reject, CAST(CASE WHEN heads < 2 THEN 0 ELSE len(qa) END AS BIGINT) AS pairs,
       CASE WHEN heads >= 2 THEN regexp_replace(qa[1][2], '^\\s+|\\s+$', '', 'g') END AS first_answer FROM c""",
@@ -302,7 +308,7 @@ def _(t):
 def _(t):
     """Tokens of an answer: the verdict stands after the pattern; for other flags both verdicts do, or none."""
     verdict = F.when(F.col("l_returnflag") == "N", " true").when(F.col("l_returnflag") == "R", "False").when(F.col("l_linenumber") % 2 == 0, "true").otherwise(" maybe")
-    more = F.when(F.col("l_returnflag").isin("N", "R"), "}").otherwise("false")
+    more = F.when(~F.col("l_returnflag").isin("N", "R") & (F.col("l_linenumber") % 2 == 0), "false").otherwise("}")
     tokens = F.array(F.lit("{"), F.lit("true"), F.lit('":'), verdict, F.lit("fact"), F.lit('":'), verdict, F.lit(","), F.lit("fact"), F.lit('":'), more)
     logs = F.array(*(F.lit(-9.0) if i != 6 else 0 - F.col("l_discount") for i in range(11)))
     said = S.true_false(tokens, logs, ["fact", '":'])

@@ -6,7 +6,7 @@ import re
 import duckdb
 
 from glossmill.plans import registry
-from glossmill.plans.texts import SYNONYMS
+from glossmill.plans.bound_operators import SYNONYMS
 
 SF = "/root/testdata/sf0.001"
 
