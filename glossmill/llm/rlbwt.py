@@ -153,9 +153,10 @@ def _common(known: np.ndarray, at: np.ndarray, asked: np.ndarray, text: np.ndarr
 class RunLengthIndex:
     """A run-compressed Burrows-Wheeler transform of several byte strings, with suffix samples at the ends of runs.
 
-    Besides the strings themselves (as bytes, as words of eight, and with the way to their ends), what is kept has an entry per run: of equal symbols of the transform (with samples
-    and the mapping), and of neighbouring rows whose first `length` bytes have the same least owner (`least_start`,
-    `least`). The suffix array is built and let go.
+    Besides the strings themselves (as bytes, as words of eight, and with the way to their ends), what is kept has an
+    entry per run: of equal symbols of the transform (with samples and the mapping), and of neighbouring rows whose
+    first `length` (8 at least) bytes have the same least owner (`least_start`, `least`; rows with fewer bytes left
+    belong to no string of that length and break no run). The suffix array is built and let go.
     """
 
     def __init__(self, texts: list[bytes], owners: np.ndarray, length: int):
@@ -189,15 +190,17 @@ class RunLengthIndex:
         # rows that agree with the row before them in their first bytes have one least owner together
         self.room = np.repeat(ends, sizes + 1) - np.arange(n)  # bytes from here to the end of the string
         self.words = _words(np.concatenate([self.text.clip(0).astype(np.uint8), np.zeros(length + 16, np.uint8)]))
-        left = np.flatnonzero(self.room[order] >= length)
-        left = left[1:][left[1:] == left[:-1] + 1]
+        long = self.room[order] >= length
+        rows = np.flatnonzero(long)
+        left = rows[1:][rows[1:] == rows[:-1] + 1]
         for k in [*range(0, length - 8, 8), length - 8]:
             left = left[self.words[order[left] + k] == self.words[order[left - 1] + k]]
-        new = np.ones(n, dtype=bool)
+        new = long
         new[left] = False
+        new[0] = True
         at = np.flatnonzero(new)
         of = np.searchsorted(starts, order, side="right") - 1
-        least = np.minimum.reduceat(owners[of], at)
+        least = np.minimum.reduceat(np.where(self.room[order] >= length, owners[of], np.iinfo(np.int64).max), at)
         go = np.concatenate([[True], least[1:] != least[:-1]])
         self.least_start, self.least = at[go], least[go]
 
