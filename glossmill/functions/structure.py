@@ -143,6 +143,10 @@ def causal_within(parts: Column, relations: dict[str, list[str]] = RELATIONS) ->
 QUESTION, ANSWER = r"(?im)^\W*(?:question|q)\s*\d*\W*[:：]\W*", r"(?im)^\W*(?:answer|a)\s*\d*\W*[:：]\W*"
 
 
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def response_body(text: Column) -> Column:
     """What a response says after its thinking: after the last </think>, else its second of two blocks, else all."""
     after = F.element_at(F.split(text, "</think>"), -1)
@@ -158,7 +162,7 @@ def qa_pairs(text: Column, least: int = 2) -> Column:
     parts = F.split(response_body(text), QUESTION)
     own = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     cut = F.transform(own, lambda x: F.split(x, ANSWER, 2))
-    qa = F.transform(F.filter(cut, lambda x: (F.size(x) == 2) & (F.trim(x[0]) != "")), lambda x: F.struct(F.trim(x[0]).alias("q"), F.regexp_replace(x[1], r"^\s+|\s+$", "").alias("a")))
+    qa = F.transform(F.filter(cut, lambda x: (F.size(x) == 2) & (_stripped(x[0]) != "")), lambda x: F.struct(_stripped(x[0]).alias("q"), _stripped(x[1]).alias("a")))
     none = F.slice(qa, 1, 0)
     reject = F.when(F.size(own) < least, F.lit("headings")).when(F.size(qa) == 0, F.lit("answers"))
     return F.when(text.isNotNull(), F.struct(F.when(reject.isNull(), qa).otherwise(none).alias("qa"), reject.alias("reject")))

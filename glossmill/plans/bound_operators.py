@@ -15,7 +15,7 @@ from ..operators import ranking as R
 from ..operators import retrieval as K
 from ..operators import switching as W
 from .bound import ORACLES, bind
-from .bound_texts import _U, ABSTRACTS, PARTS, SENTENCES, causal_oracle
+from .bound_texts import _U, ABSTRACTS, PARTS, SENTENCES, causal_oracle, cue_hits
 
 
 def _u(*parts: str) -> str:
@@ -206,8 +206,7 @@ def _(t):
 @bind("win_adjacent_sentences", f"WITH e AS (SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS pos, unnest(s) AS sentence FROM ({SENTENCES}) AS x) SELECT doc_id, pos, sentence, lead(sentence) OVER (PARTITION BY doc_id ORDER BY pos) AS next_sentence FROM e")
 def _(t):
     """Each sentence with the one after it, within the row."""
-    s = S.sentences(F.col("text"))
-    pairs = F.transform(s, lambda x, i: F.struct(i.alias("pos"), x.alias("sentence"), F.get(s, i + 1).alias("next_sentence")))
+    pairs = S.let(S.sentences(F.col("text")), lambda s: F.transform(s, lambda x, i: F.struct(i.alias("pos"), x.alias("sentence"), F.get(s, i + 1).alias("next_sentence"))))
     return t("documents").where("text IS NOT NULL").select("doc_id", F.inline(pairs))
 
 
@@ -794,7 +793,7 @@ def _(t):
     return I.completion(records(t))
 
 
-_CONCLUDED = """h AS (SELECT docid, abstract, first(b ORDER BY k) AS b FROM (SELECT docid, abstract, k, length(regexp_extract(abstract, '(?is)^((?:.*?[^\\p{L}\\p{N}])?)' || cue || '(?:$|[^\\p{L}\\p{N}])', 1)) AS b, regexp_matches(abstract, '(?is)^(.*?[^\\p{L}\\p{N}])?' || cue || '($|[^\\p{L}\\p{N}])') AS has FROM rec, (VALUES (1, 'from'), (2, 'with'), (3, 'pour'), (4, 'para'), (5, 'und')) AS v(k, cue)) AS x WHERE has AND b > 0 GROUP BY docid, abstract)"""
+_CONCLUDED = f"h AS (SELECT docid, abstract, first(before ORDER BY k) AS b FROM ({cue_hits('docid, abstract', 'abstract', 'rec')}) AS x WHERE before > 0 GROUP BY docid, abstract)"
 
 
 @bind("inst_conclusion", f"WITH {RECORDS}, {_CONCLUDED} SELECT docid, {_template('conclusion', _KEY, a='left(abstract, b)', b='substring(abstract, b + 1)')} AS text, 'conclusion' AS type FROM h")

@@ -39,15 +39,17 @@ def _(t):
 
 #: Words of the tables' languages that stand in for cues.
 CUES = ["from", "with", "pour", "para", "und"]
-#: Where each cue stands first, in DuckDB: one statement a cue, so that patterns are compiled once.
-_CUE_HITS = " UNION ALL ".join(
-    f"SELECT doc_id, text, {k} AS k, length(regexp_extract(text, '(?is)^((?:.*?[^\\p{{L}}\\p{{N}}])??){cue}(?:$|[^\\p{{L}}\\p{{N}}])', 1)) AS before FROM documents WHERE contains(lower(text), '{cue}')" for k, cue in enumerate(CUES)
-)
+
+
+def cue_hits(columns: str, text: str, table: str) -> str:
+    """Where each cue of the list stands first in a text, in DuckDB: one statement a cue, so that patterns are compiled once."""
+    one = "SELECT {c}, {k} AS k, length(regexp_extract({x}, '(?is)^((?:.*?[^\\p{{L}}\\p{{N}}])??){cue}(?:$|[^\\p{{L}}\\p{{N}}])', 1)) AS before FROM {t} WHERE contains(lower({x}), '{cue}')"
+    return " UNION ALL ".join(one.format(c=columns, k=k, x=text, cue=cue, t=table) for k, cue in enumerate(CUES))
 
 
 @bind(
     "txt_conclusion_split",
-    f"WITH hits AS ({_CUE_HITS}), best AS (SELECT doc_id, first(text) AS text, first(before ORDER BY k) AS before FROM hits WHERE before > 0 GROUP BY doc_id) SELECT doc_id, left(text, before) AS before, substring(text, before + 1) AS conclusion FROM best",
+    f"WITH hits AS ({cue_hits('doc_id, text', 'text', 'documents')}), best AS (SELECT doc_id, first(text) AS text, first(before ORDER BY k) AS before FROM hits WHERE before > 0 GROUP BY doc_id) SELECT doc_id, left(text, before) AS before, substring(text, before + 1) AS conclusion FROM best",
 )
 def _(t):
     x = S.conclusion_split(F.col("text"), CUES)

@@ -197,7 +197,7 @@ def test_reorders_displace_so_many(spark):
 
 
 def test_word_syntax_keeps_displaced_words(spark):
-    t = " ".join(f"w{i}" for i in range(60))
+    t = " ".join("w" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(60))
     got = N.word_syntax(spark.createDataFrame([(1, t), (2, None), (3, "one")], "id int, t string"), "t", "id", 0.3).collect()
     by = {r["id"]: r["noisy"] for r in got}
     assert by[2] is None and by[3] == "one"
@@ -278,8 +278,9 @@ def test_synonyms(spark):
 @pytest.fixture(scope="module")
 def records(spark):
     rows = spark.createDataFrame([("d1", "T", "A b. C d.", ["A b.", "C d."], ["k1", "k2", "k3"], [("q1", "a1"), ("q2", "a2")], [("entail", "x", "y")], [("goal", "g"), ("result", "r")], ("A b. ", "so C")), ("d2", None, None, ["only"], [], None, [], [], None)], "docid string, title string, abstract string, sentences array<string>, keywords array<string>, qa array<struct<q string, a string>>, causal array<struct<relation string, a string, b string>>, gmrc array<struct<section string, text string>>, conclu struct<before string, conclusion string>")
+    both = lambda f: lambda x: F.struct(f(x["q"]).alias("q"), f(x["a"]).alias("a"))
     for view, f in (("roman", F.upper), ("noisy", lambda c: F.regexp_replace(c, "C ", ""))):
-        rows = rows.withColumns({f"{view}_title": f(F.col("title")), f"{view}_abstract": f(F.col("abstract")), f"{view}_sentences": F.transform("sentences", f), f"{view}_qa": F.transform("qa", lambda x, f=f: F.struct(f(x["q"]).alias("q"), f(x["a"]).alias("a")))})
+        rows = rows.withColumns({f"{view}_title": f(F.col("title")), f"{view}_abstract": f(F.col("abstract")), f"{view}_sentences": F.transform("sentences", f), f"{view}_qa": F.transform("qa", both(f))})
     return rows.withColumns({"en_title": F.lit("ET"), "en_abstract": F.lit(None).cast("string")})
 
 
