@@ -34,6 +34,9 @@ LENGTH, SEED_BYTES = 50, 20
 PORTION, FLUSH = 1 << 19, 300_000
 #: Buckets of minimizers for each shuffle partition.
 BUCKETS_PER_PARTITION = 8
+#: Bytes of contents that are indexed and streamed together, so that their index stays in a processor's cache; groups
+#: stay whole, one that is larger is taken alone.
+INDEXED = 1 << 20
 #: Documents that are looked at (about) for minimizers with ever new surroundings, and the contents, absolute and as a
 #: share of these documents, from which a minimizer counts as one.
 HOT_SAMPLE, HOT_LEAST, HOT_SHARE = 8_000, 48, 0.004
@@ -173,34 +176,37 @@ class RunLengthIndex:
         self.n, self.m = n, m
         #: Bytes by position, -1 at end marks and past the end.
         self.text = np.where(is_end, -1, sym - m).astype(np.int16)
-        order = self._suffixes(sym, int(sizes.max(initial=0)) + 1)
+        # rows that agree with the row before them in their first bytes have one least owner together
+        self.room = np.repeat(ends, sizes + 1) - np.arange(n)  # bytes from here to the end of the string
+        order = self._suffixes(self.text, self.room)
         before = sym[order - 1]  # position 0 wraps to the last end mark
         change = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         self.run_start, self.run_sym = change, before[change]
         run_len = np.diff(np.append(change, n))
         #: Samples: the text position of the first and of the last row of each run.
         self.first, self.last = order[change], order[change + run_len - 1]
-        by = np.argsort(self.run_sym, kind="stable")
+        is_byte = self.run_sym >= m
+        marks, bytes_ = np.flatnonzero(~is_byte), np.flatnonzero(is_byte)
+        by = np.concatenate([marks[np.argsort(self.run_sym[marks])], bytes_[np.argsort((self.run_sym[bytes_] - m).astype(np.uint8), kind="stable")]])
         lens = run_len[by]
         self.base = np.empty(len(by), dtype=np.int64)
         self.base[by] = np.cumsum(lens) - lens  # where the run's rows go, as smaller symbols and earlier rows come first
         self.run_key = self.run_sym[by] * (len(by) + 1) + by
         self.run_by = by
         self.run_end = change + run_len - 1
-        # rows that agree with the row before them in their first bytes have one least owner together
-        self.room = np.repeat(ends, sizes + 1) - np.arange(n)  # bytes from here to the end of the string
+        #: The run that the first row of each run is mapped into; its other rows go there or into the next ones.
+        self.base_run = np.searchsorted(change, self.base, side="right") - 1
         self.words = _words(np.concatenate([self.text.clip(0).astype(np.uint8), np.zeros(length + 16, np.uint8)]))
         long = self.room[order] >= length
         rows = np.flatnonzero(long)
         left = rows[1:][rows[1:] == rows[:-1] + 1]
         for k in [*range(0, length - 8, 8), length - 8]:
             left = left[self.words[order[left] + k] == self.words[order[left - 1] + k]]
-        new = long
+        new = long.copy()
         new[left] = False
         new[0] = True
         at = np.flatnonzero(new)
-        of = np.searchsorted(starts, order, side="right") - 1
-        least = np.minimum.reduceat(np.where(self.room[order] >= length, owners[of], np.iinfo(np.int64).max), at)
+        least = np.minimum.reduceat(np.where(long, np.repeat(owners, sizes + 1)[order], np.iinfo(np.int64).max), at)
         go = np.concatenate([[True], least[1:] != least[:-1]])
         self.least_start, self.least = at[go], least[go]
 
@@ -209,27 +215,43 @@ class RunLengthIndex:
         return self.least[np.searchsorted(self.least_start, rows, side="right") - 1]
 
     @staticmethod
-    def _suffixes(sym: np.ndarray, longest: int) -> np.ndarray:
-        """The suffix array, by doubling; end marks are all different, so longest + 1 symbols decide."""
-        n, bits = len(sym), (int(sym.max(initial=0)) + 1).bit_length()
-        span = max(1, 62 // bits)  # as many symbols as fit into a word are compared at first
-        key = np.zeros(n, dtype=np.int64)
-        for k in range(span):
+    def _suffixes(text: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """The suffix array, by doubling: of equal suffixes, which end at end marks, the earlier one comes first.
+
+        A suffix's rank is its row, or the first row of those not told apart yet; only these are sorted again.
+        """
+        n = len(text)
+        used = np.zeros(257, np.int64)
+        used[text + 1] = 1
+        used[0] = 0
+        dense = np.cumsum(used) * used  # end marks 0, the bytes that occur 1 and up
+        bits = int(dense.max(initial=0)).bit_length() or 1
+        span = 62 // bits  # as many symbols as fit into a word are compared at first
+        of, key, ended = dense[text + 1], np.zeros(n, np.int64), np.zeros(n, bool)
+        for k in range(min(span, n)):
             key <<= bits
-            if k < n:
-                key[: n - k] |= sym[k:] + 1
-        while True:
-            order = np.argsort(key)
-            k = key[order]
-            new = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-            if new[-1] == n - 1 or span > longest:
-                return order
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = new
-            second = np.zeros(n, dtype=np.int64)
-            second[: n - span] = rank[span:] + 1
-            key = rank * (int(new[-1]) + 2) + second
+            ended |= room == k
+            key[: n - k] |= np.where(ended[: n - k], 0, of[k:])
+        order = np.argsort(key)
+        k = key[order]
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+        rows = np.flatnonzero(~(new & np.append(new[1:], True)))
+        own = order[rows]
+        second = np.where(room[own] < span, own, 0)  # those that end within the span are told apart by their place
+        while len(rows):
+            key = rank[own] * (n + 1) + second
+            by = np.argsort(key)
+            own, k = own[by], key[by]
+            new = np.concatenate([[True], k[1:] != k[:-1]])
+            order[rows] = own
+            rank[own] = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            left = ~(new & np.append(new[1:], True))
+            rows, own = rows[left], own[left]
+            second = rank[own + span]  # what is left does not end within the span
             span *= 2
+        return order
 
     def matching_statistics(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each place from the right, the texts that have it: (text, place, length, row).
@@ -247,12 +269,12 @@ class RunLengthIndex:
         asked = _words(np.concatenate([p.clip(0).astype(np.uint8), np.zeros((len(texts), 16), np.uint8)], axis=1))
         known = self.words if len(self.words) > self.n + width else np.concatenate([self.words, np.zeros(width, np.uint64)])
         row, length = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        run_of = np.zeros(len(texts), np.int64)  # the run of each row
         runs = len(self.run_start)
         for col in range(width - 1, -1, -1):
             own = np.flatnonzero(sizes >= width - col)
             c = p[own, col].astype(np.int64) + self.m
-            q, keep = row[own], length[own]
-            run = np.searchsorted(self.run_start, q, side="right") - 1
+            q, keep, run = row[own], length[own], run_of[own]
             miss = np.flatnonzero(self.run_sym[run] != c)
             if len(miss):
                 k = np.searchsorted(self.run_key, c[miss] * (runs + 1) + run[miss])
@@ -270,7 +292,13 @@ class RunLengthIndex:
             lost = keep < 0
             q = np.where(lost, 0, self.base[run] + q - self.run_start[run])
             keep = keep + 1
-            row[own], length[own] = q, keep
+            run = np.where(lost, 0, self.base_run[run])
+            ahead = np.flatnonzero(self.run_end[run] < q)
+            for _ in range(3):
+                run[ahead] += 1
+                ahead = ahead[self.run_end[run[ahead]] < q[ahead]]
+            run[ahead] = np.searchsorted(self.run_start, q[ahead], side="right") - 1
+            row[own], length[own], run_of[own] = q, keep, run
             yield own, sizes[own] - (width - col), keep, q
 
 
@@ -279,26 +307,39 @@ def repeated_windows(contents: list[bytes], docs: np.ndarray, groups: np.ndarray
 
     Only contents of one group have windows in common.
     """
+    if not len(docs):
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
     order = np.lexsort((docs, groups))
     new = np.concatenate([[True], groups[order][1:] != groups[order][:-1]])
     start = np.flatnonzero(new)
-    number, size = np.empty(len(docs), np.int64), np.empty(len(docs), np.int64)
-    number[order] = np.arange(len(docs)) - np.repeat(start, np.diff(np.append(start, len(docs))))
-    size[order] = np.repeat(np.diff(np.append(start, len(docs))), np.diff(np.append(start, len(docs))))
+    sizes = np.diff(np.append(start, len(docs)))
+    number, size, portion = (np.empty(len(docs), np.int64) for _ in range(3))
+    number[order] = np.arange(len(docs)) - np.repeat(start, sizes)
+    size[order] = np.repeat(sizes, sizes)
+    # groups of about one size go together: a portion takes as many indexes as its largest group has bits
+    volume = np.add.reduceat(np.array([len(c) for c in contents], np.int64)[order], start)
+    by_size = np.argsort(sizes, kind="stable")
+    of_group = np.empty(len(start), np.int64)
+    of_group[by_size] = np.cumsum(volume[by_size]) // INDEXED
+    portion[order] = np.repeat(of_group, sizes)
+    by_portion = np.argsort(portion, kind="stable")
     hits_t, hits_p = [], []
-    for bit in range(int(size.max(initial=1) - 1).bit_length()):
-        some = size > 1 << bit
-        known, asked = np.flatnonzero(some & (number >> bit & 1 == 0)), np.flatnonzero(some & (number >> bit & 1 == 1))
-        index = RunLengthIndex([contents[i] for i in known], docs[known], length)
-        for text, place, n, row in index.matching_statistics([contents[i] for i in asked]):
-            hit = np.flatnonzero(n >= length)
-            if len(hit):
-                hit = hit[index.least_owner(row[hit]) < docs[asked[text[hit]]]]
-                hits_t.append(asked[text[hit]])
-                hits_p.append(place[hit])
+    for own in np.split(by_portion, np.flatnonzero(np.diff(portion[by_portion])) + 1):
+        for bit in range(int(size[own].max() - 1).bit_length()):
+            some = own[size[own] > 1 << bit]
+            known, asked = some[number[some] >> bit & 1 == 0], some[number[some] >> bit & 1 == 1]
+            index = RunLengthIndex([contents[i] for i in known], docs[known], length)
+            for text, place, n, row in index.matching_statistics([contents[i] for i in asked]):
+                hit = np.flatnonzero(n >= length)
+                if len(hit):
+                    hit = hit[index.least_owner(row[hit]) < docs[asked[text[hit]]]]
+                    hits_t.append(asked[text[hit]])
+                    hits_p.append(place[hit])
     t, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hits_t, hits_p))
     if len(t):
-        t, p = np.unique(np.stack([t, p]), axis=1)
+        width = int(p.max()) + 1
+        both = np.unique(t * width + p)
+        t, p = both // width, both % width
     at = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)])) if len(t) else np.zeros(0, np.int64)
     return t[at], p[at], np.diff(np.append(at, len(t)))
 

@@ -143,3 +143,21 @@ def test_texts_keep_whole_characters(spark):
     docs = spark.createDataFrame([(1, same, "a"), (2, "b" + same + "c", "a"), (3, None, None)], "doc_id bigint, text string, lang string")
     got = {r["doc_id"]: r["text"] for r in rlbwt.dedup_texts(docs).collect()}
     assert got == {1: same, 2: "bc", 3: None}
+
+
+def test_suffixes_and_run_mapping_equal_brute_force():
+    for seed in range(60):
+        r = random.Random(seed)
+        owned = [bytes(r.choice(b"ab c") for _ in range(r.randrange(30))) for _ in range(r.randrange(1, 6))]
+        index = rlbwt.RunLengthIndex(owned, np.arange(len(owned)), 8)
+        suffixes = [(t[p:], i, p) for i, t in enumerate(owned) for p in range(len(t) + 1)]
+        starts = np.cumsum([0] + [len(t) + 1 for t in owned])
+        rows = [(t, i) for t, i, _ in sorted(suffixes)]
+        order = np.array([starts[i] + p for _, i, p in sorted(suffixes)])
+        assert np.array_equal(index._suffixes(index.text, index.room), order)
+        asked = [bytes(r.choice(b"ab cd") for _ in range(r.randrange(1, 30))), owned[0][1:] + owned[-1]]
+        for own, place, length, row in index.matching_statistics(asked):
+            for t, p, n, at in zip(own.tolist(), place.tolist(), length.tolist(), row.tolist(), strict=True):
+                wanted = asked[t][p:]
+                assert n == max(k for k in range(len(wanted) + 1) if any(wanted[:k] in o for o in owned))
+                assert rows[at][0][:n] == wanted[:n]
