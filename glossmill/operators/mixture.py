@@ -5,35 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import global_places
+from .ranking import PLACE_BITS, global_places, range_of, stored_order
 
 
 def budget_prefix(rows: DataFrame, tokens: str, budget: int, order: str) -> DataFrame:
     """Rows in order until their tokens reach the budget; the row that crosses it is included; the source repeats.
 
-    Returns the rows with `cycle` (0 for the first reading). Two phases, so that no task sorts the whole source: rows
-    are dealt out by ranges of `order`; each range's token sum is added up on the driver side of a window over ranges
-    (a few thousand rows at most); then each range sums its own rows. Whole cycles below the last are copies.
-    `order` must be unique. An empty source, or one without tokens, raises.
+    Returns the rows with `cycle` (0 for the first reading). The rows are stored in order once, so that the token sums
+    by range (a few thousand numbers) and the rows that are taken come from the same ranges. Ranges that end within
+    the budget are taken as they are, without a shuffle; only the range in which the budget is crossed is summed row
+    by row. Whole cycles below the last are copies. `order` must be unique. Null tokens count as none; an empty
+    source, or one without tokens, raises.
     """
-    ranged = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    sums = ranged.groupBy("_part").agg(F.sum(tokens).alias("_sum"))
-    parts = sorted((r["_part"], r["_sum"] or 0) for r in sums.collect())
+    stored = stored_order(rows, order)
+    sums = stored.groupBy(range_of("_row").alias("part")).agg(F.sum(tokens).alias("n"))
+    parts = sorted((r["part"], r["n"] or 0) for r in sums.collect())
     total = sum(n for _, n in parts)
     if total <= 0:
         raise ValueError("the source has no tokens, so no budget can be reached")
     cycles, rest = divmod(budget, total)
-    before, offsets = 0, []
-    for p, n in parts:
-        offsets.append((p, before))
+    before, crossing = 0, None
+    for part, n in parts:
+        if before + n >= rest:
+            crossing = part
+            break
         before += n
-    at = ranged.sparkSession.createDataFrame(offsets, "_part int, _offset bigint")
-    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = ranged.join(F.broadcast(at.where(F.col("_offset") < rest)), "_part")  # a row for each range: bounded by the partitions
-    last = last.withColumn("_before", F.col("_offset") + F.coalesce(F.sum(tokens).over(w), F.lit(0))).where(F.col("_before") < rest)
-    out = last.select(*rows.columns, F.lit(int(cycles)).alias("cycle"))
+    start = crossing << PLACE_BITS
+    own = stored.where((F.col("_row") >= start) & (F.col("_row") < start + (1 << PLACE_BITS)))
+    so_far = F.coalesce(F.sum(tokens).over(Window.partitionBy(range_of("_row")).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = own.withColumn("_before", so_far + F.lit(before)).where(F.col("_before") < rest)
+    cycle = F.lit(int(cycles)).alias("cycle")
+    out = last.select(*rows.columns, cycle)
+    if rest and before:
+        out = stored.where(F.col("_row") < start).select(*rows.columns, cycle).unionByName(out)
     if cycles:
-        whole = rows.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(int(cycles) - 1))))
+        whole = stored.select(*rows.columns, F.explode(F.sequence(F.lit(0), F.lit(int(cycles) - 1))).alias("cycle"))
         out = whole.unionByName(out)
     return out
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import ast
+import atexit
 import hashlib
 import io
 import json
+import shutil
 import sqlite3
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,15 +23,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_SCRATCH: dict[str, SparkSession] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); only a local master may have none."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); only a local master may have none.
+
+    What is written there is deleted when the driver's process ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="glossmill-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(_drop_scratch)
+    path = f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    _SCRATCH[path] = spark
+    return path
+
+
+def _drop_scratch() -> None:
+    for path, spark in _SCRATCH.items():
+        with suppress(Exception):  # the session may have ended before
+            fs, at = _file_system(spark, path)
+            fs.delete(at, True)
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
