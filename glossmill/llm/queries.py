@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, langid, oracles, packing, quality, rlbwt, rules, search, urls
+from . import bpe, chat, jaccard, langid, merkle, oracles, packing, quality, rlbwt, rules, search, urls
 from .common import small_batches
 from .common import table as stored_table
 
@@ -73,8 +74,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = {"text": F.translate("text", urls.UPPER, urls.LOWER)}
+    where = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.verify(merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", changed, where), "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_byte_bpe, op4_quality_rules, op5_packing, op6_topk_search, op7_jaccard_join, op8_suffix_dedup, op9_url_filters, op10_quality_classifier)
+    f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_byte_bpe, op4_quality_rules, op5_packing, op6_topk_search, op7_jaccard_join, op8_suffix_dedup, op9_url_filters, op10_quality_classifier, op11_merkle_manifest)
 }
 #: The rest learn, hash or cut freely; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = oracles.ORACLES
