@@ -110,4 +110,16 @@ FROM placed p JOIN tops t ON t.lang IS NOT DISTINCT FROM p.lang JOIN ends e ON e
 LEFT JOIN proofs x ON x.doc_id = p.doc_id AND x.leaf = p.leaf CROSS JOIN top
 """
 
-ORACLES = {"op1_chat_formatting": CHAT, "op7_jaccard_join": JACCARD, "op11_merkle_manifest": MERKLE}
+WARC = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM firsts
+"""
+
+ORACLES = {"op1_chat_formatting": CHAT, "op7_jaccard_join": JACCARD, "op11_merkle_manifest": MERKLE, "op12_warc": WARC}

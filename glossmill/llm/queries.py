@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, langid, merkle, oracles, packing, quality, rlbwt, rules, search, urls
-from .common import small_batches
+from . import bpe, chat, jaccard, langid, merkle, oracles, packing, quality, rlbwt, rules, search, urls, warc
+from .common import shared_dir, small_batches
 from .common import table as stored_table
 
 
@@ -81,8 +81,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", changed, where), "doc_id")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages has no capture times: page_id counts as the second of capture."""
+    pages = table(spark, sf_dir, "pages")
+    second = F.expr("timestamp_ntz '2000-01-01 00:00:00' + make_dt_interval(0, 0, 0, pmod(page_id, 1000000000))").cast("string")
+    path = shared_dir(spark)
+    warc.write_archives(pages.withColumn("captured", F.concat(F.translate(second, " ", "T"), F.lit("Z"))), path)
+    index = warc.capture_index(spark, path)
+    kind = pages.schema["page_id"].dataType
+    return index.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_byte_bpe, op4_quality_rules, op5_packing, op6_topk_search, op7_jaccard_join, op8_suffix_dedup, op9_url_filters, op10_quality_classifier, op11_merkle_manifest)
+    f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_byte_bpe, op4_quality_rules, op5_packing, op6_topk_search, op7_jaccard_join, op8_suffix_dedup, op9_url_filters, op10_quality_classifier, op11_merkle_manifest, op12_warc)
 }
 #: The rest learn, hash or cut freely; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = oracles.ORACLES
