@@ -9,9 +9,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,14 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .characters import differing
+from .characters import stand_ins, unlike
 from .common import map_arrow, steps
 
 #: Bytes that Python keeps of the merged pre-tokens of earlier batches: entries in the memo of a worker.
 MEMO = 300_000
-_MASK = (1 << 64) - 1
+#: Bytes from which a pre-token's links are kept in arrays; the low bits of a heap entry are a place.
+LONG_PIECE, _PLACE = 65_536, (1 << 40) - 1
+_PLACES = list(range(-1, LONG_PIECE + 1))
 
 
 class MinimalPerfectHash:
@@ -100,6 +103,8 @@ class ByteBPE:
         self.at: list[tuple[bytes, int]] = [(b"", 0)] * len(keys)
         for key, slot in zip(keys, self.hash.slot_of.tolist(), strict=True):
             self.at[slot] = (key, ranks[key])
+        self.size = {r: len(k) for k, r in ranks.items()}
+        self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.memo: dict[str, tuple[int, ...]] = {}
 
     @classmethod
@@ -108,35 +113,45 @@ class ByteBPE:
             return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}, pattern)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of a pre-token: always joins the neighbours of least rank, the leftmost first."""
-        ranks, n = self.ranks, len(piece)
-        parts: list = [piece[i : i + 1] for i in range(n)]
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = []
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
-                heap.append((r, i, piece[i : i + 2]))
+        """The ids of a pre-token: always joins the neighbours of least rank, the leftmost first.
+
+        A heap entry is one integer, rank above place; end and left link the parts that are left, as places of bytes.
+        """
+        ranks, size, n = self.ranks, self.size, len(piece)
+        get, push, pop = ranks.get, heapq.heappush, heapq.heappop
+        if n <= LONG_PIECE:
+            end, left = _PLACES[2 : n + 2], _PLACES[:n]
+        else:  # a number of its own for each place would take several times the memory
+            end, left = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        heap, i, pairs = [], 0, self.pairs
+        for a, b in pairwise(piece):
+            if (r := pairs[a << 8 | b]) >= 0:
+                heap.append(r << 40 | i)
+            i += 1
         heapq.heapify(heap)
         while heap:
-            _, i, whole = heapq.heappop(heap)
-            a = parts[i]
-            if a is None or (j := right[i]) < 0 or len(a) + len(parts[j]) != len(whole) or not whole.startswith(a):
+            x = pop(heap)
+            i, r = x & _PLACE, x >> 40
+            j = end[i]
+            if not j or j >= n or end[j] - i != size[r]:
                 continue  # one of the two has been joined to something else since
-            parts[i], parts[j] = whole, None
-            right[i] = k = right[j]
-            if k >= 0:
+            end[i] = k = end[j]
+            end[j] = 0
+            if k < n:
                 left[k] = i
-                both = whole + parts[k]
-                r = ranks.get(both)
+                r = get(piece[i : end[k]])
                 if r is not None:
-                    heapq.heappush(heap, (r, i, both))
-            if (h := left[i]) >= 0:
-                both = parts[h] + whole
-                r = ranks.get(both)
+                    push(heap, r << 40 | i)
+            h = left[i]
+            if h >= 0:
+                r = get(piece[h:k])
                 if r is not None:
-                    heapq.heappush(heap, (r, h, both))
-        return tuple(ranks[p] for p in parts if p is not None)
+                    push(heap, r << 40 | h)
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[piece[i : end[i]]])
+            i = end[i]
+        return tuple(out)
 
     def resolve(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8", "surrogatepass")
@@ -148,10 +163,9 @@ class ByteBPE:
 
         Where the regex module has another class for a character, a stand-in is matched in its place.
         """
-        unlike, stand_ins = differing()
-        if unlike is None or not unlike.search(text):
+        if text.isascii() or not unlike(text):
             return self.pattern.findall(text)
-        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(stand_ins))]
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(stand_ins()))]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's ids begin and end (n + 1 offsets)."""

@@ -42,12 +42,25 @@ def of_regex() -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def differing() -> tuple[regex.Pattern | None, dict[int, str]]:
-    """The characters that regex puts into another class than tiktoken, and for each a stand-in of tiktoken's class."""
-    want, have = of_tiktoken(), of_regex()
-    other = np.flatnonzero(want != have)
-    if not len(other):
-        return None, {}
-    cuts = np.split(other, np.flatnonzero(np.diff(other) != 1) + 1)
-    ranges = "".join(f"\\U{c[0]:08x}-\\U{c[-1]:08x}" for c in cuts)
-    return regex.compile(f"[{ranges}]"), {int(c): STAND_INS[int(want[c])] for c in other}
+def differing() -> np.ndarray:
+    """The code points that regex puts into another class than tiktoken."""
+    return np.flatnonzero(of_tiktoken() != of_regex())
+
+
+@lru_cache(maxsize=1)
+def stand_ins() -> dict[int, str]:
+    """For each differing character a stand-in of tiktoken's class."""
+    want = of_tiktoken()
+    return {int(c): STAND_INS[int(want[c])] for c in differing()}
+
+
+@lru_cache(maxsize=1)
+def _unlike() -> np.ndarray:
+    out = np.zeros(0x110000, dtype=bool)
+    out[differing()] = True
+    return out
+
+
+def unlike(text: str) -> bool:
+    """Whether a text has a differing character."""
+    return bool(_unlike()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any())

@@ -20,12 +20,16 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
+from tokenizers import Tokenizer
 
+from .bpe import portions
 from .common import map_arrow, steps
 
 TIERS = (1024, 512, 256, 128)
 #: Documents packed together in a task, and the tokens that end such a group sooner.
 GROUP_DOCS, GROUP_TOKENS = 4096, 4_000_000
+#: Characters that are encoded at once.
+PORTION = 1_000_000
 #: Tokens of one step group.
 STEP_TOKENS = 32_768
 
@@ -57,12 +61,25 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
-def ids_of(enc: tiktoken.Encoding, text: str | None, end: int = 0) -> np.ndarray:
-    """The ids of a whole text (null: none), and the id that ends it."""
-    if not text:
-        return np.array([end], dtype=np.uint32)
-    raw = enc._core_bpe.encode_to_tiktoken_buffer(text, enc.special_tokens_set)
-    return np.append(np.frombuffer(raw, dtype=np.uint32), np.uint32(end))
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def ids_of(path: str, pattern: str, text: str | None, end: int = 0) -> np.ndarray:
+    """The ids of a whole text (null: none), and the id that ends it.
+
+    Long texts go in portions that begin where pre-tokens do. The encoder gives up on about a million characters of
+    white space in a row; `tokenizers` itself encodes such a portion.
+    """
+    out = []
+    for part in portions(text or "", PORTION):
+        try:
+            ids = encoder(path, pattern).encode_to_numpy(part, allowed_special="all")
+        except ValueError:
+            ids = np.array(tokenizer(path).encode(part, add_special_tokens=False).ids, dtype=np.uint32)
+        out.append(ids)
+    return np.concatenate([*out, np.array([end])]).astype(np.uint32)
 
 
 class _Pool:
@@ -171,7 +188,6 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, tiers: tuple[int, .
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
         base = TaskContext.get().partitionId() << 33
         seq = group = 0
         docs_in: list = []
@@ -199,7 +215,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, tiers: tuple[int, .
         total = 0
         for b in steps(batches, "text"):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = ids_of(enc, t)
+                ids = ids_of(path, pattern, t)
                 docs_in.append(d)
                 ids_in.append(ids)
                 total += len(ids)
