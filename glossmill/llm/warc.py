@@ -24,8 +24,12 @@ from .common import map_arrow, store
 VERSION, BREAK = "WARC/1.1", "\r\n"
 END = BREAK * 2
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: What stands between two records' own bytes: archives are cut here when they are read.
-SEPARATOR = END + VERSION + BREAK
+#: Archives are cut at version lines when they are read. No part of one begins another, so that finding them needs no
+#: going back; nothing else in an archive may look like one.
+SEPARATOR = VERSION + BREAK
+#: A version, up to what its two halves are cut by in a payload, and one that ends a header's value.
+_HALVES = r"(?<=WARC/)(?=1\.1(?:\r\n|\z))"
+_LAST = r"WARC/1\.1 *\z"
 #: Payloads from this many bytes on are stored once.
 LEAST_BYTES = 100
 #: Captures of a local run, and about how many captures a merge task gets.
@@ -64,8 +68,13 @@ def with_first(pages: DataFrame) -> DataFrame:
 
 
 def uri(x: Column) -> Column:
-    """A value that stays on one header line."""
-    return F.replace(F.replace(x.cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    """A value that stays on one header line; one that would end like a version line gets a blank that value_of takes off."""
+    line = F.replace(F.replace(x.cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    return F.when(F.regexp_like(line, F.lit(_LAST)), F.concat(line, F.lit(" "))).otherwise(line)
+
+
+def value_of(x: str) -> str:
+    return x[:-1] if re.search(r"WARC/1\.1 +\Z", x) else x
 
 
 def lines(*fields: Column) -> Column:
@@ -78,8 +87,8 @@ def field(name: str, value: Column | str) -> Column:
 
 
 def chunked(x: Column) -> Column:
-    """HTTP's chunked coding, with cuts inside every string that would end a record."""
-    parts = F.split(x, f"(?<={re.escape(END)})(?={re.escape(VERSION + BREAK)})")
+    """HTTP's chunked coding, with cuts inside every string that looks like a version line, or would with a line break after it."""
+    parts = F.split(x, _HALVES)
     coded = F.transform(parts, lambda p: F.concat(F.lower(F.hex(F.octet_length(p))), F.lit(BREAK), p, F.lit(BREAK)))
     return F.concat(F.array_join(coded, ""), F.lit("0" + END))
 
@@ -87,7 +96,7 @@ def chunked(x: Column) -> Column:
 def record(row: DataFrame) -> Column:
     """A row of with_first as a WARC record without its end: a response, or a revisit with the HTTP header alone."""
     revisit = F.col("first").isNotNull()
-    ends = F.contains("payload", F.lit(SEPARATOR)) | F.startswith("payload", F.lit(VERSION + BREAK))
+    ends = F.contains("payload", F.lit(SEPARATOR)) | F.endswith("payload", F.lit(VERSION))
     http = lines(
         F.lit("HTTP/1.1 200 OK"),
         F.lit("Content-Type: text/html; charset=utf-8"),
@@ -149,16 +158,15 @@ class Record:
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    return dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split(BREAK)[1:])
+    return {k: value_of(v) for k, _, v in (x.partition(": ") for x in head.decode("utf-8", "replace").split(BREAK))}
 
 
 def parse(data: bytes) -> Record:
-    """A record from the bytes between two separators; the first of a file has its version line, the last its end."""
-    data = data.removeprefix((VERSION + BREAK).encode())
+    """A record from the bytes between two version lines."""
     head, _, rest = data.partition(END.encode())
-    fields = _fields(b"\r\n" + head)
+    fields = _fields(head)
     size = int(fields["Content-Length"])
-    if rest[size:] not in (b"", END.encode()) or len(rest) < size:
+    if rest[size:] != END.encode():
         raise ValueError(f"{fields['WARC-Record-ID']} does not end where it says")
     top, _, body = rest[:size].partition(END.encode())
     http = _fields(top)
@@ -191,7 +199,7 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
 
     A run holds what one task has read; a task keeps one run in memory, without payloads.
     """
-    files = spark.read.option("lineSep", SEPARATOR).text(path)
+    files = spark.read.option("lineSep", SEPARATOR).text(path).where("value <> ''")  # a file begins with a version line
     kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
     names = [x.split()[0] for x in INDEX.split(", ")] + ["run", "at"]
 

@@ -12,7 +12,7 @@ from glossmill.llm import warc
 PAGES = "page_id bigint, url string, html string, captured string"
 AT = "2001-02-03T04:05:06Z"
 LONG = "<p>" + "long payload é " * 400_000
-CUTTING = ["WARC/1.1\r\n" * 20, "x" * 90 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 3, "y" * 100 + "\r\n\r\n", "\r\n" * 60, "z" * 99 + "\r\n\r\n\r\nWARC/1.1\r\n", "W" * 100 + "\r\n\r\r\n\r\nWARC/1.1\r\n\r\n\r\nWARC/1.1\r\nWARC/1.1\r\n"]
+CUTTING = ["WARC/1.1\r\n" * 20, "x" * 90 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 3, "y" * 100 + "\r\n\r\n", "\r\n" * 60, "z" * 99 + "\r\n\r\n\r\nWARC/1.1\r\n", "W" * 100 + "\r\n\r\r\n\r\nWARC/1.1\r\n\r\n\r\nWARC/1.1\r\nWARC/1.1\r\n", "ends " * 30 + "WARC/1.1", "WARC/1.1" * 30, "WARC/1.1\r\n" * 9 + "WARC/WARC/1.1 "]
 
 
 def sha(x):
@@ -43,7 +43,7 @@ def read_back(spark, df, tmp_path):
 ROWS = [
     (1, "http://A.example.org/x", LONG, AT), (2, "http://a.example.org/x", LONG, AT), (3, None, None, None), (4, "", "", ""), (5, "http://b.org/\r\nWARC-Type: no", "s" * 99, AT), (6, "http://b.org/", "s" * 99, AT),
     (9, "http://c.org", "t" * 100, AT), (7, "http://c.org", "t" * 100, AT), (8, "http://c.org", "t" * 100, AT), (7, "http://c.org", "t" * 100, AT), (10, "http://c.org", "ü" * 50, AT), (11, "http://d.org", "ü" * 50, AT), (None, "http://d.org", "ü" * 50, AT),
-    (None, "http://e.org", "n" * 200, AT), (None, "http://e.org", "n" * 200, AT), (12, "x: y", "nul \0 and \U00010ee7 " * 9, AT), *((20 + i, f"http://w.org/{i}", x, AT) for i, x in enumerate(CUTTING)), *((40 + i, f"http://w.org/{i}", x, AT) for i, x in enumerate(CUTTING)),
+    (None, "http://e.org", "n" * 200, AT), (None, "http://e.org", "n" * 200, AT), (13, "http://f.org/WARC/1.1", "u" * 101, AT), (14, "http://f.org/WARC/1.1 ", "v" * 101, AT), (12, "x: y", "nul \0 and \U00010ee7 " * 9, AT), *((20 + i, f"http://w.org/{i}", x, AT) for i, x in enumerate(CUTTING)), *((40 + i, f"http://w.org/{i}", x, AT) for i, x in enumerate(CUTTING)),
 ]
 
 
@@ -52,6 +52,7 @@ def test_odd_pages_are_read_back(spark, tmp_path):
     got, rows = read_back(spark, spark.createDataFrame(ROWS, PAGES).repartition(3).withColumns(clash), tmp_path)
     assert got == expected(ROWS)
     assert {r["url_key"] for r in rows if r["page_id"] in ("1", "2")} == {"org,example,a)/x"}
+    assert {r["page_id"]: r["url_key"] for r in rows if r["page_id"] in ("13", "14")} == {"13": "org,f)/warc/1.1", "14": "org,f)/warc/1.1 "}
     assert {r["captured"] for r in rows if r["page_id"] == "1"} == {AT}
 
 
@@ -62,7 +63,7 @@ def test_empty_table(spark, tmp_path):
 @pytest.mark.parametrize("size", ["97", "1000", "4099"])
 def test_archives_are_split_at_records(spark, tmp_path, size):
     rng = random.Random(int(size))
-    rows = [(i, f"http://{i % 7}.org/", "".join(rng.choice(["\r", "\n", "\r\n", "\r\n\r\n", "WARC/1.1", "\r\n\r\nWARC/1.1\r\n", "W", "a"]) for _ in range(60)), AT) for i in range(120)]
+    rows = [(i, f"http://{i % 7}.org/", "".join(rng.choice(["\r", "\n", "\r\n", "\r\n\r\n", "WARC/1.1", "\r\n\r\nWARC/1.1\r\n", "WARC/1.1\r\n", "WARC/", "1.1", "W", "a"]) for _ in range(60)), AT) for i in range(120)]
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     try:
