@@ -2,46 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import PLACE_BITS, global_places, range_of, stored_order
+from .ranking import global_places, range_of, stored_order
+
+
+#: A budget in tokens, or how to work it out from all tokens of a source.
+Budget = int | Callable[[int], int]
+
+
+def percent(n: int) -> Callable[[int], int]:
+    """A budget of n hundredths of a source's tokens; more than 100 reads it again."""
+    return lambda total: -(-total * n // 100)
 
 
-def budget_prefix(rows: DataFrame, tokens: str, budget: int, order: str) -> DataFrame:
-    """Rows in order until their tokens reach the budget; the row that crosses it is included; the source repeats.
+def budget_prefixes(rows: DataFrame, source: str, tokens: str, budgets: dict[str, Budget], order: str) -> DataFrame:
+    """For each source, its rows in order until their tokens reach its budget; the row that crosses it is included.
 
-    Returns the rows with `cycle` (0 for the first reading). The rows are stored in order once, so that the token sums
-    by range (a few thousand numbers) and the rows that are taken come from the same ranges. Ranges that end within
-    the budget are taken as they are, without a shuffle; only the range in which the budget is crossed is summed row
-    by row. Whole cycles below the last are copies. `order` must be unique. Null tokens count as none; an empty
-    source, or one without tokens, raises.
+    Returns the rows with `cycle` (0 for the first reading): a source whose tokens do not suffice is read again. Rows
+    of other sources are left out. All sources are stored in one order (source, order), so that the token sums by
+    range (a few thousand numbers) and the rows that are taken come from the same ranges, and a large source lies in
+    many of them. Ranges that end within the budget are taken as they are, without a shuffle; only the range of a
+    source in which its budget is crossed is summed row by row. Whole cycles below the last are copies. `order` must
+    be unique within a source. Null tokens count as none; a source without tokens raises.
     """
-    stored = stored_order(rows, order)
-    sums = stored.groupBy(range_of("_row").alias("part")).agg(F.sum(tokens).alias("n"))
-    parts = sorted((r["part"], r["n"] or 0) for r in sums.collect())
-    total = sum(n for _, n in parts)
-    if total <= 0:
-        raise ValueError("the source has no tokens, so no budget can be reached")
-    cycles, rest = divmod(budget, total)
-    before, crossing = 0, None
-    for part, n in parts:
-        if before + n >= rest:
-            crossing = part
-            break
-        before += n
-    start = crossing << PLACE_BITS
-    own = stored.where((F.col("_row") >= start) & (F.col("_row") < start + (1 << PLACE_BITS)))
-    so_far = F.coalesce(F.sum(tokens).over(Window.partitionBy(range_of("_row")).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = own.withColumn("_before", so_far + F.lit(before)).where(F.col("_before") < rest)
-    cycle = F.lit(int(cycles)).alias("cycle")
-    out = last.select(*rows.columns, cycle)
-    if rest and before:
-        out = stored.where(F.col("_row") < start).select(*rows.columns, cycle).unionByName(out)
-    if cycles:
-        whole = stored.select(*rows.columns, F.explode(F.sequence(F.lit(0), F.lit(int(cycles) - 1))).alias("cycle"))
-        out = whole.unionByName(out)
-    return out
+    spark = rows.sparkSession
+    stored = stored_order(rows.where(F.col(source).isin(list(budgets))), source, order).withColumn("_part", range_of("_row"))
+    sums = sorted((r[source], r["_part"], r["n"] or 0) for r in stored.groupBy(source, "_part").agg(F.sum(tokens).alias("n")).collect())
+    totals: dict[str, int] = dict.fromkeys(budgets, 0)
+    for name, _, n in sums:
+        totals[name] += n
+    if lacking := sorted(k for k, n in totals.items() if n <= 0):
+        raise ValueError(f"sources without tokens, whose budgets cannot be reached: {lacking}")
+    plan, before = [], dict.fromkeys(budgets, 0)
+    for name, part, n in sums:
+        budget = budgets[name]
+        cycles, rest = divmod(budget(totals[name]) if callable(budget) else budget, totals[name])
+        plan.append((name, part, cycles, rest - before[name], n))
+        before[name] += n
+    # a row per range and source: bounded by the partitions
+    at = F.broadcast(spark.createDataFrame(plan, f"`{source}` string, _part int, _cycles int, _left bigint, _sum bigint"))
+    placed = stored.join(at, [source, "_part"])
+    again = placed.where("_cycles > 0").select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("_cycles") - 1)).alias("cycle"))
+    inside = placed.where("_sum < _left").select(*rows.columns, F.col("_cycles").alias("cycle"))
+    so_far = F.coalesce(F.sum(tokens).over(Window.partitionBy(source, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    crossing = placed.where("_left > 0 AND _sum >= _left").withColumn("_so_far", so_far).where("_so_far < _left")
+    return again.unionByName(inside).unionByName(crossing.select(*rows.columns, F.col("_cycles").alias("cycle")))
+
+
+def budget_prefix(rows: DataFrame, tokens: str, budget: Budget, order: str) -> DataFrame:
+    """budget_prefixes of one source."""
+    return budget_prefixes(rows.withColumn("_source", F.lit("")), "_source", tokens, {"": budget}, order).drop("_source")
 
 
 def exclude(rows: DataFrame, key: str, held: DataFrame) -> DataFrame:
@@ -53,13 +68,10 @@ def restrict(rows: DataFrame, key: str, allowed: DataFrame) -> DataFrame:
     return rows.join(allowed.select(key).distinct(), key, "left_semi")
 
 
-def mix(sources: dict[str, tuple[DataFrame, int]], tokens: str, order: str) -> DataFrame:
+def mix(sources: dict[str, tuple[DataFrame, Budget]], tokens: str, order: str) -> DataFrame:
     """The budgeted prefixes of several sources, tagged with their names."""
-    out = None
-    for name, (rows, budget) in sources.items():
-        part = budget_prefix(rows, tokens, budget, order).withColumn("data_type", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = (rows.withColumn("data_type", F.lit(name)) for name, (rows, _) in sources.items())
+    return budget_prefixes(reduce(DataFrame.unionByName, parts), "data_type", tokens, {k: b for k, (_, b) in sources.items()}, order)
 
 
 def tuning_head(rows: DataFrame, n: int, key: str, allowed: DataFrame | None = None) -> DataFrame:

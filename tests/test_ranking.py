@@ -62,3 +62,30 @@ def test_budgets_equal_a_loop_over_all_rows(rows, adaptive, budget):
         cycle += 1
     got = mixture.budget_prefix(rows, "tokens", budget, "k").toPandas()
     assert sorted(zip(got["k"], got["cycle"], strict=True)) == sorted(want)
+
+
+def test_budgets_of_several_sources_in_one_order(rows, adaptive):
+    own = rows.withColumn("lang", F.when(F.col("k") % 3 == 0, "a").when(F.col("k") % 7 == 0, "b").otherwise("c"))
+    budgets = {"a": 3_000_000, "b": mixture.percent(230), "c": mixture.percent(100)}
+    got = mixture.budget_prefixes(own, "lang", "tokens", budgets, "k").select("k", "lang", "cycle").toPandas()
+    table = own.select("k", "lang", "tokens").toPandas().sort_values("k")
+    for lang, budget in budgets.items():
+        part = table[table["lang"] == lang]
+        all_tokens = int(part["tokens"].sum())
+        budget = budget(all_tokens) if callable(budget) else budget
+        want, total, cycle = [], 0, 0
+        while total < budget:
+            for k, n in zip(part["k"], part["tokens"], strict=True):
+                if total >= budget:
+                    break
+                want.append((k, cycle))
+                total += n
+            cycle += 1
+        mine = got[got["lang"] == lang]
+        assert sorted(zip(mine["k"], mine["cycle"], strict=True)) == sorted(want)
+
+
+def test_a_source_without_tokens_raises(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("b", 2, 0)], "lang string, k bigint, tokens bigint")
+    with pytest.raises(ValueError, match="'b', 'c'"):
+        mixture.budget_prefixes(rows, "lang", "tokens", {"a": 5, "b": 5, "c": 5}, "k")
