@@ -18,7 +18,7 @@ from .bound import ORACLES, bind
 from .bound_texts import _U, ABSTRACTS, PARTS, SENTENCES, causal_oracle, cue_hits
 
 
-def _u(*parts: str) -> str:
+def uniform_sql(*parts: str) -> str:
     """uniform() in DuckDB."""
     return _U.format("concat_ws(':', " + ", ".join(parts) + ")")
 
@@ -253,7 +253,7 @@ def _(t):
 
 
 _DEMOS = f"""WITH g AS (SELECT text, row_number() OVER (ORDER BY conv_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 0 AND text IS NOT NULL GROUP BY conv_id) AS x),
-    d AS (SELECT item_id, j, CAST(floor({_u("'demos'", "CAST(item_id AS VARCHAR)", "CAST(j AS VARCHAR)")} * (SELECT max(n) FROM g)) AS BIGINT) AS place FROM benchmark, range({{k2}}) AS r(j)),
+    d AS (SELECT item_id, j, CAST(floor({uniform_sql("'demos'", "CAST(item_id AS VARCHAR)", "CAST(j AS VARCHAR)")} * (SELECT max(n) FROM g)) AS BIGINT) AS place FROM benchmark, range({{k2}}) AS r(j)),
     h AS (SELECT item_id, text, min(j) AS j FROM d JOIN g ON g.place = d.place GROUP BY item_id, text),
     k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j) AS i FROM h)"""
 
@@ -271,8 +271,8 @@ ORACLES["sample_demos_with_dedupe"] = _DEMOS.format(k2=6) + " SELECT item_id AS
 
 # --- noise --------------------------------------------------------------------------------------------------------------
 def _noise_oracle(seed: str, kind: str) -> str:
-    hit = f"(pos > 0 AND {_u(f"'{seed}'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} < 0.3)"
-    word = {"mask": f"CASE WHEN {hit} THEN '<unk>' ELSE w END", "delete": "w", "replace": f"CASE WHEN {hit} THEN ['alpha', 'beta', 'gamma'][1 + CAST(floor({_u(f"'{seed}'", "'id'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} * 3) AS INT)] ELSE w END"}[kind]
+    hit = f"(pos > 0 AND {uniform_sql(f"'{seed}'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} < 0.3)"
+    word = {"mask": f"CASE WHEN {hit} THEN '<unk>' ELSE w END", "delete": "w", "replace": f"CASE WHEN {hit} THEN ['alpha', 'beta', 'gamma'][1 + CAST(floor({uniform_sql(f"'{seed}'", "'id'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} * 3) AS INT)] ELSE w END"}[kind]
     where = f"WHERE NOT {hit}" if kind == "delete" else ""
     return f"WITH w AS (SELECT item_id, CAST(unnest(range(len(a))) AS INT) AS pos, unnest(a) AS w FROM (SELECT item_id, string_split(text, ' ') AS a FROM benchmark) AS x), n AS (SELECT item_id, sum(CASE WHEN {hit} THEN 1 ELSE 0 END) AS n FROM w GROUP BY item_id), o AS (SELECT item_id, string_agg({word}, ' ' ORDER BY pos) AS noisy FROM w {where} GROUP BY item_id) SELECT o.item_id, o.noisy, CAST(n.n AS BIGINT) AS n_noise FROM o JOIN n ON n.item_id = o.item_id"
 
@@ -299,7 +299,7 @@ def _(t):
 @bind(
     "noise_rewrite",
     f"""WITH e AS (SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS pos, unnest(s) AS x FROM ({SENTENCES}) AS q),
-    h AS (SELECT *, {_u("'rewrite'", 'CAST(doc_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} < 0.4 AS hit, CAST(floor({_u("'rewrite'", "'which'", 'CAST(doc_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} * 2) AS INT) AS k FROM e)
+    h AS (SELECT *, {uniform_sql("'rewrite'", 'CAST(doc_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} < 0.4 AS hit, CAST(floor({uniform_sql("'rewrite'", "'which'", 'CAST(doc_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} * 2) AS INT) AS k FROM e)
     SELECT doc_id, string_agg(CASE WHEN NOT hit THEN x WHEN k = 0 THEN 'Again: ' || x ELSE 'So: ' || x END, '|' ORDER BY pos) AS noisy, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS n_noise FROM h GROUP BY doc_id""",
 )
 def _(t):
@@ -391,7 +391,7 @@ _ALIAS_ROWS = "c AS (SELECT s_suppkey, s_name, CAST((s_nationkey + i * 7) % 25 A
 @bind(
     "switch_entity_aliases",
     f"""WITH {_ALIAS_ROWS}, best AS (SELECT s_suppkey, s_name, first(cui ORDER BY score DESC, cui) AS cui FROM c GROUP BY s_suppkey, s_name),
-    a AS (SELECT 'max_score/random' AS how, s_suppkey, b.cui, alias, {_u("'alias'", "'name'", 'CAST(s_suppkey AS VARCHAR)', 'alias')} AS k FROM best AS b JOIN l ON l.cui = b.cui
+    a AS (SELECT 'max_score/random' AS how, s_suppkey, b.cui, alias, {uniform_sql("'alias'", "'name'", 'CAST(s_suppkey AS VARCHAR)', 'alias')} AS k FROM best AS b JOIN l ON l.cui = b.cui
       UNION ALL SELECT 'threshold/min_diff' AS how, s_suppkey, c.cui, alias, 1.0 AS k FROM c JOIN l ON l.cui = c.cui WHERE score >= 0.8
       UNION ALL SELECT 'all/max_diff' AS how, s_suppkey, c.cui, alias, 1.0 AS k FROM c JOIN l ON l.cui = c.cui)
     SELECT how, s_suppkey AS mention, first(cui ORDER BY k, cui, alias) AS cui, first(alias ORDER BY k, cui, alias) AS code FROM a GROUP BY how, s_suppkey""",
@@ -433,7 +433,7 @@ def _entities(t) -> DataFrame:
     r AS (SELECT item_id, x.s AS s, x.e AS e, x.c AS c, row_number() OVER (PARTITION BY item_id ORDER BY x.s, x.e, x.c) AS k FROM e),
     walk AS (SELECT item_id, CAST(0 AS BIGINT) AS k, -9 AS last, false AS free, 0 AS s, 0 AS e, '' AS c FROM q
       UNION ALL SELECT r.item_id, r.k, CASE WHEN r.s > walk.last THEN r.e ELSE walk.last END, r.s > walk.last, r.s, r.e, r.c FROM walk JOIN r ON r.item_id = walk.item_id AND r.k = walk.k + 1),
-    kept AS (SELECT item_id, copy, s, e, c FROM walk, range(2) AS g(copy) WHERE free AND {_u("'switch'", 'CAST(item_id AS VARCHAR)', 'CAST(copy AS VARCHAR)', 'CAST(s AS VARCHAR)')} < 0.5),
+    kept AS (SELECT item_id, copy, s, e, c FROM walk, range(2) AS g(copy) WHERE free AND {uniform_sql("'switch'", 'CAST(item_id AS VARCHAR)', 'CAST(copy AS VARCHAR)', 'CAST(s AS VARCHAR)')} < 0.5),
     parts AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY item_id, copy ORDER BY s), 0) AS before FROM kept),
     joined AS (SELECT p.item_id, p.copy, string_agg(substring(b.text, p.before + 1, p.s - p.before) || p.c, '' ORDER BY p.s) AS head, max(p.e) AS last, count(*) AS n FROM parts AS p JOIN benchmark AS b ON b.item_id = p.item_id GROUP BY p.item_id, p.copy)
     SELECT b.item_id, CAST(g.copy AS INT) AS copy, CAST(coalesce(j.n, 0) AS BIGINT) AS replaced, coalesce(j.head || substring(b.text, j.last + 1), b.text) AS noisy FROM benchmark AS b CROSS JOIN range(2) AS g(copy) LEFT JOIN joined AS j ON j.item_id = b.item_id AND j.copy = g.copy WHERE b.text IS NOT NULL""",
@@ -459,7 +459,7 @@ _TAGGED = "SELECT item_id, pos, w, lower(w) AS lemma, CASE length(w) % 3 WHEN 0
     "switch_lemmas",
     f"""WITH w AS (SELECT item_id, CAST(unnest(range(len(a))) AS INT) AS pos, unnest(a) AS w FROM (SELECT item_id, string_split(text, ' ') AS a FROM benchmark) AS x), k AS ({_TAGGED}),
     d AS (SELECT * FROM (VALUES ('the', 'N', 'eng', 'that'), ('the', 'N', 'fra', 'le'), ('the', 'N', 'fra', 'la'), ('the', 'N', 'fra', 'The'), ('of', 'X', 'fra', 'de'), ('and', 'N', 'deu', 'und'), ('that', 'V', 'fra', 'que')) AS v(lemma, tag, lang, synonym) WHERE lower(synonym) <> lemma),
-    h AS (SELECT k.item_id, k.pos, k.w, d.lang, d.synonym, {_u("'lemma'", "'lang'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)', 'd.lang')} AS a, {_u("'lemma'", "'word'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)', 'd.synonym')} AS b FROM k JOIN d ON d.lemma = k.lemma AND d.tag = k.tag WHERE k.tag IN ('N', 'V', 'A', 'R'))
+    h AS (SELECT k.item_id, k.pos, k.w, d.lang, d.synonym, {uniform_sql("'lemma'", "'lang'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)', 'd.lang')} AS a, {uniform_sql("'lemma'", "'word'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)', 'd.synonym')} AS b FROM k JOIN d ON d.lemma = k.lemma AND d.tag = k.tag WHERE k.tag IN ('N', 'V', 'A', 'R'))
     SELECT item_id AS id, pos, w AS raw, first(synonym ORDER BY a, lang, b, synonym) AS code, first(lang ORDER BY a, lang, b, synonym) AS lang FROM h GROUP BY item_id, pos, w""",
 )
 def _(t):
@@ -610,7 +610,7 @@ _ITEMS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'no gap' ELSE
     "mcq_assemble",
     f"""WITH i AS ({_ITEMS}), g AS (SELECT * FROM i WHERE id % 5 <> 0 AND id % 7 <> 0 AND trim(answer) <> ''),
     o AS (SELECT id, unnest([0, 1, 2, 3]) AS k, unnest([answer, d1, d2, d3]) AS o FROM g),
-    p AS (SELECT id, string_agg(o, '|' ORDER BY {_u("'options'", 'CAST(id AS VARCHAR)', 'CAST(k AS VARCHAR)')}, k) AS options, list(k ORDER BY {_u("'options'", 'CAST(id AS VARCHAR)', 'CAST(k AS VARCHAR)')}, k) AS ks FROM o GROUP BY id)
+    p AS (SELECT id, string_agg(o, '|' ORDER BY {uniform_sql("'options'", 'CAST(id AS VARCHAR)', 'CAST(k AS VARCHAR)')}, k) AS options, list(k ORDER BY {uniform_sql("'options'", 'CAST(id AS VARCHAR)', 'CAST(k AS VARCHAR)')}, k) AS ks FROM o GROUP BY id)
     SELECT g.id, 'memorization' AS dataset, cloze AS question, options, CAST(list_position(ks, 0) - 1 AS INT) AS answer_idx FROM g JOIN p ON p.id = g.id
     UNION ALL SELECT g.id, 'generalization' AS dataset, paraphrase AS question, options, CAST(list_position(ks, 0) - 1 AS INT) AS answer_idx FROM g JOIN p ON p.id = g.id""",
 )
@@ -765,7 +765,7 @@ _ROMAN = "translate({0}, 'äöüßéèêñóíç', 'aouseeenoic')"
 _NOISY = "regexp_replace({0}, '\\b(the|de|der|la) ', '', 'g')"
 
 
-def _template(kind: str, key: str, **sides: str) -> str:
+def template_sql(kind: str, key: str, **sides: str) -> str:
     """filled() in DuckDB."""
     out = []
     for t in I.TEMPLATES[kind]:
@@ -773,14 +773,14 @@ def _template(kind: str, key: str, **sides: str) -> str:
         for name, x in sides.items():
             text = text.replace("{" + name + "}", f"' || {x} || '")
         out.append(text)
-    pick = f"CAST(floor({_u("'template'", key)} * {len(out)}) AS INT)"
+    pick = f"CAST(floor({uniform_sql("'template'", key)} * {len(out)}) AS INT)"
     return f"CASE {pick} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(out)) + " END"
 
 
 _KEY, _KEY_I = "CAST(docid AS VARCHAR)", "concat_ws(':', CAST(docid AS VARCHAR), CAST(i AS VARCHAR))"
 
 
-@bind("inst_summarization", f"WITH {RECORDS} SELECT docid, {_template('summarization', _KEY, a='abstract', b='title')} AS text, 'summarization' AS type FROM rec")
+@bind("inst_summarization", f"WITH {RECORDS} SELECT docid, {template_sql('summarization', _KEY, a='abstract', b='title')} AS text, 'summarization' AS type FROM rec")
 def _(t):
     return I.summarization(records(t))
 
@@ -788,7 +788,7 @@ def _(t):
 _CUT = f"cut AS (SELECT *, 1 + CAST(floor({_U.format(_KEY)} * (len(s) - 1)) AS INT) AS i FROM rec WHERE len(s) >= 2)"
 
 
-@bind("inst_completion", f"WITH {RECORDS}, {_CUT} SELECT docid, {_template('completion', _KEY, a="array_to_string(s[1:i], ' ')", b="array_to_string(s[i + 1:], ' ')")} AS text, 'completion' AS type FROM cut")
+@bind("inst_completion", f"WITH {RECORDS}, {_CUT} SELECT docid, {template_sql('completion', _KEY, a="array_to_string(s[1:i], ' ')", b="array_to_string(s[i + 1:], ' ')")} AS text, 'completion' AS type FROM cut")
 def _(t):
     return I.completion(records(t))
 
@@ -796,12 +796,12 @@ def _(t):
 _CONCLUDED = f"h AS (SELECT docid, abstract, first(before ORDER BY k) AS b FROM ({cue_hits('docid, abstract', 'abstract', 'rec')}) AS x WHERE before > 0 GROUP BY docid, abstract)"
 
 
-@bind("inst_conclusion", f"WITH {RECORDS}, {_CONCLUDED} SELECT docid, {_template('conclusion', _KEY, a='left(abstract, b)', b='substring(abstract, b + 1)')} AS text, 'conclusion' AS type FROM h")
+@bind("inst_conclusion", f"WITH {RECORDS}, {_CONCLUDED} SELECT docid, {template_sql('conclusion', _KEY, a='left(abstract, b)', b='substring(abstract, b + 1)')} AS text, 'conclusion' AS type FROM h")
 def _(t):
     return I.conclusion(records(t))
 
 
-@bind("inst_qa", f"WITH {RECORDS}, x AS (SELECT docid, 0 AS i, abstract, s[1] AS q, s[2] AS a FROM rec WHERE len(s) > 1) SELECT docid, {_template('qa', _KEY_I, a='q', b='a')} AS text, 'qa' AS type FROM x UNION ALL SELECT docid, {_template('qa_context', _KEY_I, a='q', b='a', c='abstract')} AS text, 'qa_context' AS type FROM x")
+@bind("inst_qa", f"WITH {RECORDS}, x AS (SELECT docid, 0 AS i, abstract, s[1] AS q, s[2] AS a FROM rec WHERE len(s) > 1) SELECT docid, {template_sql('qa', _KEY_I, a='q', b='a')} AS text, 'qa' AS type FROM x UNION ALL SELECT docid, {template_sql('qa_context', _KEY_I, a='q', b='a', c='abstract')} AS text, 'qa_context' AS type FROM x")
 def _(t):
     """Pairs without and with the abstract as their context."""
     return I.qa(records(t)).unionByName(I.qa_context(records(t)))
@@ -814,7 +814,7 @@ def _keys_oracle(kind: str) -> str:
     from .bound_texts import _CLASSES
 
     distinct = f"(SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(regexp_extract_all(rec.title, '{_CLASSES}')) AS w, unnest(range(1, 1 + len(regexp_extract_all(rec.title, '{_CLASSES}')))) AS i) AS y GROUP BY w ORDER BY i LIMIT 5) AS z)"
-    return f"WITH {RECORDS}, kw AS (SELECT docid, title, abstract, {distinct} AS k FROM rec) SELECT docid, {_template(kind, _KEY, a="(title || '. ' || abstract)", b=_KEYS)} AS text, '{kind}' AS type FROM kw WHERE len(k) >= 3"
+    return f"WITH {RECORDS}, kw AS (SELECT docid, title, abstract, {distinct} AS k FROM rec) SELECT docid, {template_sql(kind, _KEY, a="(title || '. ' || abstract)", b=_KEYS)} AS text, '{kind}' AS type FROM kw WHERE len(k) >= 3"
 
 
 @bind("inst_text2key", _keys_oracle("text2key"))
@@ -830,7 +830,7 @@ def _(t):
 _CAUSAL = f"ce AS (SELECT docid, unnest(range(len(s))) AS pos, unnest(s) AS x FROM rec), c AS ({causal_oracle('docid, pos', 'ce')}), n AS (SELECT *, row_number() OVER (PARTITION BY docid ORDER BY pos, k) - 1 AS i FROM c)"
 
 
-@bind("inst_causal", f"WITH {RECORDS}, {_CAUSAL} SELECT docid, CASE relation " + " ".join(f"WHEN '{r}' THEN {_template(f'causal-{r}', _KEY_I, a='a', b='b')}" for r in ("entail", "contradict", "neutral")) + " END AS text, 'causal-' || relation AS type FROM n")
+@bind("inst_causal", f"WITH {RECORDS}, {_CAUSAL} SELECT docid, CASE relation " + " ".join(f"WHEN '{r}' THEN {template_sql(f'causal-{r}', _KEY_I, a='a', b='b')}" for r in ("entail", "contradict", "neutral")) + " END AS text, 'causal-' || relation AS type FROM n")
 def _(t):
     return I.causal(records(t))
 
@@ -846,7 +846,7 @@ def _(t):
 
 
 def _sides_oracle(given: str, wanted: str, kind: str) -> str:
-    return f"WITH {RECORDS}, v AS (SELECT docid, list_concat([title], s) AS every FROM rec), e AS (SELECT docid, unnest(range(len(every))) AS i, unnest(every) AS x FROM v), y AS (SELECT docid, i, {given.format('x')} AS a, {wanted.format('x')} AS b FROM e) SELECT docid, {_template(kind, _KEY_I, a='a', b='b')} AS text, '{kind}' AS type FROM y"
+    return f"WITH {RECORDS}, v AS (SELECT docid, list_concat([title], s) AS every FROM rec), e AS (SELECT docid, unnest(range(len(every))) AS i, unnest(every) AS x FROM v), y AS (SELECT docid, i, {given.format('x')} AS a, {wanted.format('x')} AS b FROM e) SELECT docid, {template_sql(kind, _KEY_I, a='a', b='b')} AS text, '{kind}' AS type FROM y"
 
 
 @bind("inst_romanization", _sides_oracle("{0}", _ROMAN, "romanization") + " UNION ALL " + f"SELECT * FROM ({_sides_oracle(_ROMAN, '{0}', 'deromanization')}) AS z")
@@ -857,7 +857,7 @@ def _(t):
 
 @bind(
     "inst_medical_translation",
-    f"WITH {RECORDS}, e AS (SELECT docid, title AS en_title, abstract AS en_abstract FROM rec WHERE docid % 2 = 0), y AS (SELECT rec.docid, 0 AS i, title AS a, en_title AS b FROM rec JOIN e ON e.docid + 1 = rec.docid UNION ALL SELECT rec.docid, 1 AS i, abstract AS a, en_abstract AS b FROM rec JOIN e ON e.docid + 1 = rec.docid) SELECT docid, {_template('translation', _KEY_I, a='a', b='b')} AS text, 'medical_translation' AS type FROM y",
+    f"WITH {RECORDS}, e AS (SELECT docid, title AS en_title, abstract AS en_abstract FROM rec WHERE docid % 2 = 0), y AS (SELECT rec.docid, 0 AS i, title AS a, en_title AS b FROM rec JOIN e ON e.docid + 1 = rec.docid UNION ALL SELECT rec.docid, 1 AS i, abstract AS a, en_abstract AS b FROM rec JOIN e ON e.docid + 1 = rec.docid) SELECT docid, {template_sql('translation', _KEY_I, a='a', b='b')} AS text, 'medical_translation' AS type FROM y",
 )
 def _(t):
     """Every other document is the translation of the next one; records without one are left out."""
@@ -871,12 +871,12 @@ def _bitext(t) -> DataFrame:
     return rows.select(F.col("doc_id").alias("docid"), F.col("s1").alias("native"), F.col("s2").alias("english"), F.translate("s1", "äöüßéèêñóíç", "aouseeenoic").alias("roman"))
 
 
-@bind("inst_bitext_translation", f"SELECT doc_id AS docid, {_template('translation', 'CAST(doc_id AS VARCHAR)', a='s1', b='s2')} AS text, 'bitext_translation' AS type FROM ({PARTS}) AS p WHERE s1 <> '' AND s2 <> ''")
+@bind("inst_bitext_translation", f"SELECT doc_id AS docid, {template_sql('translation', 'CAST(doc_id AS VARCHAR)', a='s1', b='s2')} AS text, 'bitext_translation' AS type FROM ({PARTS}) AS p WHERE s1 <> '' AND s2 <> ''")
 def _(t):
     return I.bitext_translation(_bitext(t))
 
 
-@bind("inst_bitext_romanization", f"SELECT doc_id AS docid, {_template('romanization', 'CAST(doc_id AS VARCHAR)', a='s1', b=_ROMAN.format('s1'))} AS text, 'bitext_romanization' AS type FROM ({PARTS}) AS p WHERE s1 <> '' AND s2 <> ''")
+@bind("inst_bitext_romanization", f"SELECT doc_id AS docid, {template_sql('romanization', 'CAST(doc_id AS VARCHAR)', a='s1', b=_ROMAN.format('s1'))} AS text, 'bitext_romanization' AS type FROM ({PARTS}) AS p WHERE s1 <> '' AND s2 <> ''")
 def _(t):
     return I.bitext_romanization(_bitext(t))
 
@@ -889,14 +889,14 @@ def _(t):
 _DENOISED = f"v AS (SELECT docid, list_concat(s, CASE WHEN len(s) > 1 THEN [s[1], s[2]] ELSE [] END) AS every FROM rec), e AS (SELECT docid, unnest(range(len(every))) AS i, unnest(every) AS raw FROM v), y AS (SELECT docid, i, {_NOISY.format('raw')} AS noise, raw FROM e)"
 
 
-@bind("inst_denoise", f"WITH {RECORDS}, {_DENOISED} SELECT docid, {_template('denoise', _KEY_I, a='noise', b='raw')} AS text, 'denoise' AS type FROM y WHERE noise <> raw UNION ALL SELECT docid, replace({_template('denoise', _KEY_I, a="'{noise}'", b="'{raw}'")}, '~', '~') || noise || raw AS text, 'tuning' AS type FROM y WHERE noise <> raw")
+@bind("inst_denoise", f"WITH {RECORDS}, {_DENOISED} SELECT docid, {template_sql('denoise', _KEY_I, a='noise', b='raw')} AS text, 'denoise' AS type FROM y WHERE noise <> raw UNION ALL SELECT docid, replace({template_sql('denoise', _KEY_I, a="'{noise}'", b="'{raw}'")}, '~', '~') || noise || raw AS text, 'tuning' AS type FROM y WHERE noise <> raw")
 def _(t):
     """The training form, and the tuning form with its parts joined."""
     tuning = I.denoise(records(t), tuning=True)
     return I.denoise(records(t)).unionByName(tuning.select("docid", F.concat("template", "noise", "raw").alias("text"), F.lit("tuning").alias("type")))
 
 
-@bind("inst_denoise_abstract", f"WITH {RECORDS}, y AS (SELECT docid, 0 AS i, {_NOISY.format('abstract')} AS noise, abstract AS raw FROM rec) SELECT docid, {_template('denoise', _KEY_I, a='noise', b='raw')} AS text, 'denoise' AS type FROM y WHERE noise <> raw")
+@bind("inst_denoise_abstract", f"WITH {RECORDS}, y AS (SELECT docid, 0 AS i, {_NOISY.format('abstract')} AS noise, abstract AS raw FROM rec) SELECT docid, {template_sql('denoise', _KEY_I, a='noise', b='raw')} AS text, 'denoise' AS type FROM y WHERE noise <> raw")
 def _(t):
     return I.denoise_abstract(records(t))
 

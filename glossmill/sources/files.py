@@ -26,10 +26,10 @@ from pyspark.sql import types as T
 _SCRATCH: dict[str, SparkSession] = {}
 
 
-def scratch(spark: SparkSession) -> str:
+def scratch(spark: SparkSession, keep: bool = False) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir); only a local master may have none.
 
-    What is written there is deleted when the driver's process ends.
+    What is written there is deleted when the driver's process ends, unless it is to be kept.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -38,10 +38,11 @@ def scratch(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="glossmill-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    if not _SCRATCH:
-        atexit.register(_drop_scratch)
     path = f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
-    _SCRATCH[path] = spark
+    if not keep:
+        if not _SCRATCH:
+            atexit.register(_drop_scratch)
+        _SCRATCH[path] = spark
     return path
 
 
