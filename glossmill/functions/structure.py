@@ -1,4 +1,4 @@
-"""Structure of texts, as expressions of built-in functions: headings, cues, sentences, questions, tokens, spans."""
+"""Structure of texts, as expressions of built-in functions: sentences, questions, tokens, spans."""
 
 from __future__ import annotations
 
@@ -8,18 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Headings of the parts of an abstract, and how a heading may be written around its word.
-SECTIONS = {
-    "goal": ["Aim", "Objective", "Purpose", "Background"],
-    "method": ["Methods", "Method", "Materials"],
-    "result": ["Results", "Result", "Findings"],
-    "conclu": ["Conclusions", "Conclusion", "Summary"],
-}
-FORMATS = [r"\[{}\]", r"<{}>", r"\({}\)", "【{}】", "{}:", "{}："]
-#: Cues of a conclusion, in the order in which they are tried.
-CONCLUSIONS = ["in conclusion", "to conclude", "in summary", "therefore", "these results suggest"]
-#: Cues by which a sentence follows from, contradicts or is beside the one before it.
-RELATIONS = {"entail": ["therefore", "thus", "as a result"], "contradict": ["however", "but", "on the contrary"], "neutral": ["moreover", "also", "in addition"]}
 #: Words whose full stop ends no sentence.
 ABBREVIATIONS = ["Dr", "Mr", "Mrs", "Ms", "Prof", "Fig", "No", "vs", "etc"]
 #: Classes of tokens, the first that fits wins.
@@ -51,43 +39,6 @@ def _words(xs: list[str]) -> str:
     return "|".join(re.escape(x) for x in sorted(xs, key=lambda x: (-len(x), x)))
 
 
-def heading(words: list[str]) -> str:
-    """A pattern for any of the words in any of the formats."""
-    return "(?:" + "|".join(f.format(f"(?:{_words(words)})") for f in FORMATS) + ")"
-
-
-def section_spans(text: Column, sections: dict[str, list[str]] = SECTIONS) -> Column:
-    """array<struct<pos, section, text>> in the order of the text.
-
-    A section whose heading occurs exactly once runs from there to the next such heading, or to the end. Fewer than two
-    sections are none: an empty array. A null text gives null.
-    """
-    found = []
-    for name, words in sections.items():
-        p = F.lit(heading(words))
-        found.append(F.when(F.regexp_count(text, p) == 1, F.struct(F.regexp_instr(text, p).alias("pos"), F.lit(name).alias("section"), F.length(F.regexp_substr(text, p)).alias("n"))))
-
-    def spans(hits: Column) -> Column:
-        def span(x: Column, i: Column) -> Column:
-            end = F.coalesce(F.get(hits, i + 1)["pos"], F.length(text) + 1)
-            start = x["pos"] + x["n"]
-            return F.struct(x["pos"].alias("pos"), x["section"].alias("section"), F.trim(F.substring(text, start, end - start)).alias("text"))
-
-        return F.transform(F.when(F.size(hits) > 1, hits).otherwise(F.slice(hits, 1, 0)), span)
-
-    return F.when(text.isNotNull(), let(F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull())), spans))
-
-
-def conclusion_split(text: Column, cues: list[str] = CONCLUSIONS) -> Column:
-    """struct<before, conclusion>: cut at the first cue of the list that stands after the text's beginning, in any case; else null."""
-    out = None
-    for cue in cues:
-        at = F.regexp_instr(text, F.lit(f"(?iu){BEGIN}{re.escape(cue)}{END}"))
-        pair = F.struct(F.substring(text, F.lit(1), at - 1).alias("before"), F.substring(text, at, F.length(text)).alias("conclusion"))
-        out = F.when(at > 1, pair) if out is None else out.when(at > 1, pair)
-    return out
-
-
 def sentences(text: Column, abbreviations: list[str] = ABBREVIATIONS) -> Column:
     """The text cut after . ! ? and white space (not after an abbreviation), and after 。！？; blank parts go."""
     cut = rf"(?<=[.!?])(?<!\b(?:{_words(abbreviations)})\.)\s+|(?<=[。！？])"
@@ -99,47 +50,6 @@ def sentences_lossless(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"""(?s)(.+?(?:[.!?]["')\]]*\s+|[。！？]|\z))"""), F.lit(1))
 
 
-def strip_punctuation(x: Column) -> Column:
-    """Without white space and one leading punctuation mark."""
-    return F.trim(F.regexp_replace(x, r"^\s*[,;:、，]?\s*", ""))
-
-
-def causal_starts(parts: Column, relations: dict[str, list[str]] = RELATIONS) -> Column:
-    """array<struct<pos, relation, a, b>>: a sentence that begins with a cue, with the sentence before it.
-
-    Case counts for nothing; the first relation and its first cue that fit win. The cue and one punctuation mark go.
-    """
-
-    def pair(every: Column, x: Column, i: Column) -> Column:
-        out = None
-        for name, cues in relations.items():
-            for cue in cues:
-                fits = F.lower(x).startswith(cue)
-                row = F.struct(i.alias("pos"), F.lit(name).alias("relation"), F.get(every, i - 1).alias("a"), strip_punctuation(F.substring(x, F.lit(len(cue) + 1), F.length(x))).alias("b"))
-                out = F.when(fits, row) if out is None else out.when(fits, row)
-        return F.when(i > 0, out)
-
-    return let(parts, lambda every: F.filter(F.transform(every, lambda x, i: pair(every, x, i)), lambda x: x.isNotNull()))
-
-
-def causal_within(parts: Column, relations: dict[str, list[str]] = RELATIONS) -> Column:
-    """array<struct<pos, relation, a, b>>: sentences cut at `, cue` (any case); the first cue of a relation that occurs wins."""
-
-    def pairs(x: Column, i: Column) -> Column:
-        rows = []
-        for name, cues in relations.items():
-            out = None
-            for cue in cues:
-                p = F.lit(rf"(?iu)(?<=[\p{{L}}\p{{N}}]), {re.escape(cue)}{END},?\s*")
-                at = F.regexp_instr(x, p)
-                row = F.struct(i.alias("pos"), F.lit(name).alias("relation"), F.substring(x, F.lit(1), at - 1).alias("a"), F.substring(x, at + F.length(F.regexp_substr(x, p)), F.length(x)).alias("b"))
-                out = F.when(at > 1, row) if out is None else out.when(at > 1, row)
-            rows.append(out)
-        return F.filter(F.array(*rows), lambda y: y.isNotNull())
-
-    return F.flatten(F.transform(parts, pairs))
-
-
 QUESTION, ANSWER = r"(?im)^\W*(?:question|q)\s*\d*\W*[:：]\W*", r"(?im)^\W*(?:answer|a)\s*\d*\W*[:：]\W*"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cues as C
 from ..functions import structure as S
 from ..functions import texts as A
 from ..operators import evaluation as E
@@ -14,8 +15,9 @@ from ..operators import noise as N
 from ..operators import ranking as R
 from ..operators import retrieval as K
 from ..operators import switching as W
+from . import planted
 from .bound import ORACLES, bind
-from .bound_texts import _U, ABSTRACTS, PARTS, SENTENCES, causal_oracle, cue_hits
+from .bound_texts import _U, PARTS, SENTENCES
 
 
 def uniform_sql(*parts: str) -> str:
@@ -753,7 +755,8 @@ def records(t) -> DataFrame:
     rows = t("documents").where("text IS NOT NULL").select(F.col("doc_id").alias("docid"), s.alias("sentences"), F.col("text").alias("abstract")).where("size(sentences) > 0")
     qa = lambda f: F.when(F.size("sentences") > 1, F.array(F.struct(f(F.get("sentences", F.lit(0))).alias("q"), f(F.get("sentences", F.lit(1))).alias("a"))))
     rows = rows.withColumns({"title": F.get("sentences", F.lit(0)), "keywords": F.slice(F.array_distinct(S.word_tokens(F.get("sentences", F.lit(0)))), 1, 5), "qa": qa(lambda x: x)})
-    rows = rows.withColumns({"causal": S.causal_within(F.col("sentences"), {"entail": ["the"], "contradict": ["that"], "neutral": ["de"]}), "conclu": S.conclusion_split(F.col("abstract"), ["from", "with", "pour", "para", "und"])})
+    lang = F.expr(planted.LANG.replace("doc_id", "docid"))
+    rows = rows.withColumn("causal", C.causal_pairs(planted.cued(F.col("sentences"), F.col("docid"), lang), lang))
     for view, f in (("roman", roman), ("noisy", noisy)):
         rows = rows.withColumns({f"{view}_title": f(F.col("title")), f"{view}_abstract": f(F.col("abstract")), f"{view}_sentences": F.transform("sentences", f), f"{view}_qa": qa(f)})
     return rows
@@ -793,12 +796,11 @@ def _(t):
     return I.completion(records(t))
 
 
-_CONCLUDED = f"h AS (SELECT docid, abstract, first(before ORDER BY k) AS b FROM ({cue_hits('docid, abstract', 'abstract', 'rec')}) AS x WHERE before > 0 GROUP BY docid, abstract)"
-
-
-@bind("inst_conclusion", f"WITH {RECORDS}, {_CONCLUDED} SELECT docid, {template_sql('conclusion', _KEY, a='left(abstract, b)', b='substring(abstract, b + 1)')} AS text, 'conclusion' AS type FROM h")
+@bind("inst_conclusion", f"WITH {planted.concluded_oracle(planted.concluded(PARTS))}, h AS (SELECT doc_id AS docid, text AS abstract, n AS b FROM c) SELECT docid, {template_sql('conclusion', _KEY, a='left(abstract, b)', b='substring(abstract, b + 1)')} AS text, 'conclusion' AS type FROM h")
 def _(t):
-    return I.conclusion(records(t))
+    """Texts with a conclusion's cue, in three languages."""
+    x = C.conclusion_split(F.col("text"), F.col("lang"))
+    return I.conclusion(t.sql(planted.concluded(PARTS)).select(F.col("doc_id").alias("docid"), x.alias("conclu")))
 
 
 @bind("inst_qa", f"WITH {RECORDS}, x AS (SELECT docid, 0 AS i, abstract, s[1] AS q, s[2] AS a FROM rec WHERE len(s) > 1) SELECT docid, {template_sql('qa', _KEY_I, a='q', b='a')} AS text, 'qa' AS type FROM x UNION ALL SELECT docid, {template_sql('qa_context', _KEY_I, a='q', b='a', c='abstract')} AS text, 'qa_context' AS type FROM x")
@@ -827,7 +829,7 @@ def _(t):
     return I.key2text(records(t))
 
 
-_CAUSAL = f"ce AS (SELECT docid, unnest(range(len(s))) AS pos, unnest(s) AS x FROM rec), c AS ({causal_oracle('docid, pos', 'ce')}), n AS (SELECT *, row_number() OVER (PARTITION BY docid ORDER BY pos, k) - 1 AS i FROM c)"
+_CAUSAL = f"{planted.causal_oracle(SENTENCES)}, n AS (SELECT doc_id AS docid, relation, a, b, row_number() OVER (PARTITION BY doc_id ORDER BY pos, kind, k) - 1 AS i FROM c)"
 
 
 @bind("inst_causal", f"WITH {RECORDS}, {_CAUSAL} SELECT docid, CASE relation " + " ".join(f"WHEN '{r}' THEN {template_sql(f'causal-{r}', _KEY_I, a='a', b='b')}" for r in ("entail", "contradict", "neutral")) + " END AS text, 'causal-' || relation AS type FROM n")
@@ -835,14 +837,19 @@ def _(t):
     return I.causal(records(t))
 
 
-_GMRC = f"""a AS (SELECT doc_id AS docid, abstract FROM ({ABSTRACTS}) AS q)"""
+_GMRC_KINDS = " ".join(f"WHEN '{x}' THEN {template_sql(f'gmrc-{x}', _KEY_I, a='a', b='b')}" for x in ("goal", "method", "result", "conclu"))
 
 
-@bind("inst_gmrc")
+@bind(
+    "inst_gmrc",
+    f"""WITH {planted.sections_oracle(PARTS)}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM s),
+    y AS (SELECT x.doc_id AS docid, x.i, x.section, x.text AS b, string_agg(z.text, ' ' ORDER BY z.i) AS a FROM o AS x JOIN o AS z ON z.doc_id = x.doc_id AND z.section <> x.section GROUP BY ALL)
+    SELECT docid, CASE section {_GMRC_KINDS} END AS text, 'gmrc-' || section AS type FROM y""",
+)
 def _(t):
-    """One instruction for each section of the abstracts with headings."""
-    rows = t.sql(ABSTRACTS).select(F.col("doc_id").alias("docid"), S.section_spans(F.col("abstract")).alias("gmrc"))
-    return I.gmrc(rows)
+    """One instruction for each section of the abstracts with headings, in three languages."""
+    spans = C.section_spans(F.col("abstract"), F.col("lang"))
+    return I.gmrc(t.sql(planted.abstracts(PARTS)).select(F.col("doc_id").alias("docid"), spans.alias("gmrc")))
 
 
 def _sides_oracle(given: str, wanted: str, kind: str) -> str:
@@ -914,17 +921,38 @@ def _(t):
 
 @bind("inst_dispatch")
 def _(t):
-    """How many instructions of each type several modes make."""
+    """How many instructions of each type every mode makes."""
+    lang = F.col("lang")
+    conclu = t.sql(planted.concluded(PARTS)).select(F.col("doc_id").alias("docid"), C.conclusion_split(F.col("text"), lang).alias("conclu"))
+    gmrc = t.sql(planted.abstracts(PARTS)).select(F.col("doc_id").alias("docid"), C.section_spans(F.col("abstract"), lang).alias("gmrc"))
     rec = records(t)
-    modes = ["summarization", "roman_summarization", "noisy2raw_completion", "qa", "qa_context", "text2key", "key2text", "causal", "romanization", "denoise", "denoise_abstract", "pure_text"]
-    return I.dispatch(rec, modes).groupBy("mode", "type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("docid").alias("docids"))
-
-
-ORACLES["inst_dispatch"] = f"""WITH {RECORDS}, {_DENOISED}, {_CAUSAL},
+    en = rec.where("docid % 2 = 0").select((F.col("docid") + 1).alias("docid"), F.col("title").alias("en_title"), F.col("abstract").alias("en_abstract"))
+    rec = rec.join(conclu, "docid", "left").join(gmrc, "docid", "left").join(en, "docid", "left")
+    return I.dispatch(rec, sorted(I.MODES)).groupBy("mode", "type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("docid").alias("docids"))
+
+
+def _dispatch_oracle() -> str:
+    def rows(mode: str, kind: str, counts: str) -> str:
+        return f"SELECT '{mode}' AS mode, '{kind}' AS type, n, d AS docids FROM {counts}"
+
+    each = []
+    for view in ("", "roman_", "noisy2raw_"):
+        each += [rows(f"{view}summarization", "summarization", "a"), *(rows(f"{view}{x}", x, "two") for x in ("completion", "qa", "qa_context"))]
+    each += [rows(x, x, "kw") for x in ("text2key", "key2text")]
+    each += [rows(x, x, "sides") for x in ("romanization", "deromanization")]
+    each += [rows(f"{view}medical_translation", "medical_translation", "med") for view in ("", "roman_")]
+    each += [rows(f"{view}pure_text", "pure_text", "a") for view in ("", "roman_")]
+    each += [rows("denoise", "denoise", "dn"), rows("denoise_abstract", "denoise", "da"), rows("conclusion", "conclusion", "cc")]
+    each += ["SELECT 'causal', 'causal-' || relation, count(*), count(DISTINCT docid) FROM ca GROUP BY relation", "SELECT 'gmrc', 'gmrc-' || section, count(*), count(DISTINCT doc_id) FROM gm GROUP BY section"]
+    return f"""WITH {RECORDS}, {_DENOISED},
     a AS (SELECT count(*) AS n, count(DISTINCT docid) AS d FROM rec), two AS (SELECT count(*) AS n, count(DISTINCT docid) AS d FROM rec WHERE len(s) >= 2),
     dn AS (SELECT count(*) AS n, count(DISTINCT docid) AS d FROM y WHERE noise <> raw), da AS (SELECT count(*) AS n, count(DISTINCT docid) AS d FROM rec WHERE {_NOISY.format('abstract')} <> abstract),
-    kw AS (SELECT count(*) AS n, count(DISTINCT docid) AS d FROM ({_keys_oracle('text2key')}) AS q)
-    SELECT 'summarization' AS mode, 'summarization' AS type, n, d AS docids FROM a UNION ALL SELECT 'roman_summarization', 'summarization', n, d FROM a UNION ALL SELECT 'noisy2raw_completion', 'completion', n, d FROM two
-    UNION ALL SELECT 'qa', 'qa', n, d FROM two UNION ALL SELECT 'qa_context', 'qa_context', n, d FROM two UNION ALL SELECT 'text2key', 'text2key', n, d FROM kw UNION ALL SELECT 'key2text', 'key2text', n, d FROM kw
-    UNION ALL SELECT 'causal', 'causal-' || relation, count(*), count(DISTINCT docid) FROM n GROUP BY relation
-    UNION ALL SELECT 'romanization', 'romanization', sum(len(s) + 1), count(DISTINCT docid) FROM rec UNION ALL SELECT 'denoise', 'denoise', n, d FROM dn UNION ALL SELECT 'denoise_abstract', 'denoise', n, d FROM da UNION ALL SELECT 'pure_text', 'pure_text', n, d FROM a"""
+    kw AS (SELECT count(*) AS n, count(DISTINCT docid) AS d FROM ({_keys_oracle('text2key')}) AS q), sides AS (SELECT sum(len(s) + 1) AS n, count(DISTINCT docid) AS d FROM rec),
+    med AS (SELECT 2 * count(*) AS n, count(DISTINCT docid) AS d FROM rec WHERE docid % 2 = 1 AND docid - 1 IN (SELECT docid FROM rec)),
+    cc AS (SELECT count(*) AS n, count(DISTINCT doc_id) AS d FROM (WITH {planted.concluded_oracle(planted.concluded(PARTS))} SELECT doc_id FROM c) AS q WHERE doc_id IN (SELECT docid FROM rec)),
+    ca AS (SELECT * FROM (WITH {_CAUSAL} SELECT docid, relation FROM n) AS q),
+    gm AS (SELECT * FROM (WITH {planted.sections_oracle(PARTS)} SELECT doc_id, section FROM s) AS q WHERE doc_id IN (SELECT docid FROM rec))
+    {" UNION ALL ".join(each)}"""
+
+
+ORACLES["inst_dispatch"] = _dispatch_oracle()

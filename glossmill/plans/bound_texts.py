@@ -2,58 +2,30 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cues as C
 from ..functions import structure as S
 from ..functions import texts as A
+from . import planted
 from .bound import bind
 
 #: The first sentences of each document, as both engines read them.
 PARTS = "SELECT doc_id, lang, text, split_part(text, '. ', 1) AS s1, split_part(text, '. ', 2) AS s2, split_part(text, '. ', 3) AS s3, split_part(text, '. ', 4) AS s4 FROM documents WHERE text IS NOT NULL"
-#: Abstracts with headings: in order, out of order, with one repeated, and with one alone.
-ABSTRACTS = f"""SELECT doc_id, CASE doc_id % 4
-  WHEN 0 THEN 'Aim: ' || s1 || '. Methods: ' || s2 || '. Results: ' || s3 || '. Conclusion: ' || s4 || '.'
-  WHEN 1 THEN 'Before. [Results] ' || s1 || '. [Purpose] ' || s2 || '.'
-  WHEN 2 THEN 'Aim: ' || s1 || '. <Method> ' || s2 || '. Objective: ' || s3 || '. (Findings) ' || s4
-  ELSE 'Methods: ' || s1 END AS abstract FROM ({PARTS}) AS p"""
 
 
-def _heads(words: str) -> str:
-    return rf"(\[({words})\]|<({words})>|\(({words})\)|【({words})】|({words}):|({words})：)"
-
-
-_SECTIONS = " UNION ALL ".join(f"SELECT doc_id, abstract, '{name}' AS section, '{_heads(words)}' AS p FROM a" for name, words in (("goal", "Background|Objective|Purpose|Aim"), ("method", "Materials|Methods|Method"), ("result", "Findings|Results|Result"), ("conclu", "Conclusions|Conclusion|Summary")))
-
-
-@bind(
-    "txt_section_headings",
-    f"""WITH a AS ({ABSTRACTS}), s AS ({_SECTIONS}), hits AS (
-      SELECT doc_id, abstract, section, regexp_extract(abstract, p) AS head FROM s WHERE len(regexp_extract_all(abstract, p)) = 1),
-    placed AS (SELECT *, strpos(abstract, head) AS pos FROM hits),
-    cut AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS next, count(*) OVER (PARTITION BY doc_id) AS n FROM placed)
-    SELECT doc_id, section, trim(substring(abstract, pos + length(head), coalesce(next, length(abstract) + 1) - pos - length(head))) AS text FROM cut WHERE n > 1""",
-)
+@bind("txt_section_headings", f"WITH {planted.sections_oracle(PARTS)} SELECT doc_id, section, text FROM s")
 def _(t):
-    return t.sql(ABSTRACTS).select("doc_id", F.explode(S.section_spans(F.col("abstract"))).alias("x")).select("doc_id", "x.section", "x.text")
+    """Headings of all words and forms in three languages."""
+    rows = t.sql(planted.abstracts(PARTS))
+    return rows.select("doc_id", F.explode(C.section_spans(F.col("abstract"), F.col("lang"))).alias("x")).select("doc_id", "x.section", "x.text")
 
 
-#: Words of the tables' languages that stand in for cues.
-CUES = ["from", "with", "pour", "para", "und"]
-
-
-def cue_hits(columns: str, text: str, table: str) -> str:
-    """Where each cue of the list stands first in a text, in DuckDB: one statement a cue, so that patterns are compiled once."""
-    one = "SELECT {c}, {k} AS k, length(regexp_extract({x}, '(?is)^((?:.*?[^\\p{{L}}\\p{{N}}])??){cue}(?:$|[^\\p{{L}}\\p{{N}}])', 1)) AS before FROM {t} WHERE contains(lower({x}), '{cue}')"
-    return " UNION ALL ".join(one.format(c=columns, k=k, x=text, cue=cue, t=table) for k, cue in enumerate(CUES))
-
-
-@bind(
-    "txt_conclusion_split",
-    f"WITH hits AS ({cue_hits('doc_id, text', 'text', 'documents')}), best AS (SELECT doc_id, first(text) AS text, first(before ORDER BY k) AS before FROM hits WHERE before > 0 GROUP BY doc_id) SELECT doc_id, left(text, before) AS before, substring(text, before + 1) AS conclusion FROM best",
-)
+@bind("txt_conclusion_split", f"WITH {planted.concluded_oracle(planted.concluded(PARTS))} SELECT doc_id, left(text, n) AS before, substring(text, n + 1) AS conclusion FROM c")
 def _(t):
-    x = S.conclusion_split(F.col("text"), CUES)
-    return t("documents").select("doc_id", x.alias("x")).where("x IS NOT NULL").select("doc_id", "x.before", "x.conclusion")
+    x = C.conclusion_split(F.col("text"), F.col("lang"))
+    return t.sql(planted.concluded(PARTS)).select("doc_id", x.alias("x")).where("x IS NOT NULL").select("doc_id", "x.before", "x.conclusion")
 
 
 _DUCK_SENTENCES = "list_filter(string_split(regexp_replace(regexp_replace({0}, '\\b(Dr|Mr|Mrs|Ms|Prof|Fig|No|vs|etc)\\.(\\s)', '\\1' || chr(2) || '\\2', 'g'), '([.!?]|' || chr(2) || '\\b\\B)\\s+|([。！？])', '\\1\\2' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
@@ -66,43 +38,43 @@ def _(t):
     return t("documents").select("doc_id", F.posexplode(S.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
+#: Ends within quotations and asides, closed and not, as the parts a, b, c of words make them.
+_QUOTED = {0: ["'「' || a || '。' || b || '！」と言う。'", "c || '？'"], 1: ["a || '。」'", "b || '（' || c || '。' || a || '）。'", "'（「' || b || '。」）' || c"], 2: ["'「' || a || '。'", "b || '！？'", "c || '）。'"]}
+_QUOTED_TEXT = "CASE doc_id % 3 " + " ".join(f"WHEN {k} THEN {' || '.join(v)}" for k, v in _QUOTED.items()) + " END"
+_QUOTED_PARTS = "CASE doc_id % 3 " + " ".join(f"WHEN {k} THEN [{', '.join(v)}]" for k, v in _QUOTED.items()) + " END"
+_LETTERS = ", ".join(f"'x' || regexp_replace({s}, '[^\\p{{L}}]', '', 'g') AS {n}" for s, n in (("s1", "a"), ("s2", "b"), ("s3", "c")))
+
+
+@bind("txt_sentence_split_cjk", f"SELECT doc_id, CAST(unnest(range(len(p))) AS INT) AS pos, unnest(p) AS sentence FROM (SELECT doc_id, {_QUOTED_PARTS} AS p FROM (SELECT doc_id, {_LETTERS} FROM ({PARTS}) AS q) AS r) AS s")
+def _(t):
+    """Japanese and Chinese ends do not cut within brackets that are closed."""
+    letters = {n: F.concat(F.lit("x"), F.regexp_replace(s, r"[^\p{L}]", "")) for s, n in (("s1", "a"), ("s2", "b"), ("s3", "c"))}
+    text = t.sql(PARTS).withColumns(letters).select("doc_id", F.expr(_QUOTED_TEXT).alias("text"))
+    return text.select("doc_id", F.posexplode(C.sentences_cjk(F.col("text"))).alias("pos", "sentence"))
+
+
 @bind("txt_sentence_split_lossless", "SELECT doc_id, CAST(1 + len(regexp_extract_all(regexp_replace(text, '[.!?][\"'')\\]]*\\s+$', ''), '[.!?][\"'')\\]]*\\s+|[。！？]')) - CASE WHEN regexp_replace(text, '[.!?][\"'')\\]]*\\s+$', '') LIKE '%。' THEN 1 ELSE 0 END AS BIGINT) AS n, true AS lossless FROM documents WHERE text <> ''")
 def _(t):
     s = S.sentences_lossless(F.col("text"))
     return t("documents").where("text <> ''").select("doc_id", F.size(s).cast("bigint").alias("n"), (F.array_join(s, "") == F.col("text")).alias("lossless"))
 
 
-#: A cue opens every third sentence: the tables' texts have none of their own.
-_CUED = "list_transform(s, lambda x, i: CASE i % 3 WHEN 2 THEN 'Thus, ' || x WHEN 0 THEN 'HOWEVER ' || x ELSE x END)"
+def _causal(t, *langs: str) -> DataFrame:
+    lang = F.expr(planted.LANG)
+    rows = t("documents").where(lang.isin(list(langs))).select("doc_id", lang.alias("lang"), planted.cued(S.sentences(F.col("text")), F.col("doc_id"), lang).alias("s"))
+    return rows.select("doc_id", F.inline(C.causal_pairs(F.col("s"), F.col("lang"))))
 
 
-@bind(
-    "txt_causal_zh_ja",
-    f"""WITH c AS (SELECT doc_id, {_CUED} AS s FROM ({SENTENCES}) AS x), e AS (SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS pos, unnest(s) AS x FROM c),
-    l AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY pos) AS a FROM e)
-    SELECT doc_id, pos, CASE WHEN x LIKE 'Thus%' THEN 'entail' ELSE 'contradict' END AS relation, a,
-      CASE WHEN x LIKE 'Thus%' THEN trim(substring(x, 6)) ELSE trim(regexp_replace(substring(x, 8), '^\\s*[,;:、，]', '')) END AS b FROM l WHERE a IS NOT NULL AND (x LIKE 'Thus, %' OR x LIKE 'HOWEVER %')""",
-)
+@bind("txt_causal_zh_ja", f"WITH {planted.causal_oracle(SENTENCES, ('zh', 'ja'))} SELECT doc_id, CAST(pos AS INT) AS pos, relation, a, b FROM c")
 def _(t):
-    cued = F.transform(S.sentences(F.col("text")), lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("Thus, "), x)).when(i % 3 == 2, F.concat(F.lit("HOWEVER "), x)).otherwise(x))
-    return t("documents").select("doc_id", F.inline(S.causal_starts(cued)))
-
-
-def causal_oracle(columns: str, table: str) -> str:
-    """Sentences x of a table that have `, the`, `, that` or `, de` in them, cut there; k is the cue's place in the list."""
-    word, not_word = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
-    one = "SELECT {c}, {k} AS k, '{r}' AS relation, regexp_extract(x, '(?is)^(.*?{w}), {cue}(?:$|{n})', 1) AS a, regexp_replace(regexp_extract(x, '(?is)^.*?{w}, {cue}((?:{n}.*)?)$', 1), '^,?\\s*', '') AS b FROM {t} WHERE regexp_matches(x, '(?is)^.*?{w}, {cue}($|{n})')"
-    cues = [("entail", "the"), ("contradict", "that"), ("neutral", "de")]
-    return " UNION ALL ".join(one.format(c=columns, k=k, r=r, cue=cue, w=word, n=not_word, t=table) for k, (r, cue) in enumerate(cues, 1))
+    """Sentences that begin with any cue of the two languages."""
+    return _causal(t, "zh", "ja")
 
 
-@bind(
-    "txt_causal_en",
-    f"WITH e AS (SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS pos, unnest(s) AS x FROM ({SENTENCES}) AS q), c AS ({causal_oracle('doc_id, pos', 'e')}) SELECT doc_id, pos, relation, a, b FROM c",
-)
+@bind("txt_causal_en", f"WITH {planted.causal_oracle(SENTENCES, ('en',))} SELECT doc_id, CAST(pos AS INT) AS pos, relation, a, b FROM c")
 def _(t):
-    x = S.causal_within(S.sentences(F.col("text")), {"entail": ["the"], "contradict": ["that"], "neutral": ["de"]})
-    return t("documents").select("doc_id", F.inline(x))
+    """Cues at the beginning of a sentence, in any case, and within one after a comma."""
+    return _causal(t, "en")
 
 
 #: Responses as models give them: after thinking, in two blocks, with plain and with marked headings, and with too few.

@@ -26,29 +26,6 @@ def text(spark, column, t):
     return spark.createDataFrame([(t,)], "t string").select(column.alias("x")).collect()[0]["x"]
 
 
-@pytest.mark.parametrize(
-    "t,want",
-    [
-        ("Aim: a b. Methods: c. Results: d", [("goal", "a b."), ("method", "c."), ("result", "d")]),
-        ("x [Results] r1 【Purpose】 p1", [("result", "r1"), ("goal", "p1")]),
-        ("Aim: a Methods: b Aim: c Result: d", [("method", "b Aim: c"), ("result", "d")]),
-        ("Methods: only", []),
-        ("no headings", []),
-        ("", []),
-        (None, None),
-    ],
-)
-def test_section_spans(spark, t, want):
-    got = text(spark, S.section_spans(F.col("t")), t)
-    assert (got if got is None else [(x["section"], x["text"]) for x in got]) == want
-
-
-@pytest.mark.parametrize("t,want", [("a b. In Conclusion, c", ("a b. ", "In Conclusion, c")), ("Therefore x. To conclude, y", ("Therefore x. ", "To conclude, y")), ("In conclusion, at the start", None), ("nothing", None), (None, None)])
-def test_conclusion_split(spark, t, want):
-    got = text(spark, S.conclusion_split(F.col("t")), t)
-    assert (got and tuple(got)) == want
-
-
 @pytest.mark.parametrize("t,want", [("Dr. X went. He left!  See Fig. 3? 一。二。", ["Dr. X went.", "He left!", "See Fig. 3?", "一。", "二。"]), ("one", ["one"]), ("  ", []), ("", []), (None, None)])
 def test_sentences(spark, t, want):
     assert text(spark, S.sentences(F.col("t")), t) == want
@@ -60,14 +37,6 @@ def test_lossless(spark, t):
     assert "".join(got) == t and (t != "A.\nB. " or got == ["A.\n", "B. "])
 
 
-def test_causal(spark):
-    s = F.array(*map(F.lit, ["It rains.", "Thus, we stay.", "HOWEVER we go.", "also", "Butter, but no bread, but jam"]))
-    got = spark.range(1).select(S.causal_starts(s).alias("x")).collect()[0]["x"]
-    assert [tuple(x) for x in got] == [(1, "entail", "It rains.", "we stay."), (2, "contradict", "Thus, we stay.", "we go."), (3, "neutral", "HOWEVER we go.", ""), (4, "contradict", "also", "ter, but no bread, but jam")]
-    within = spark.range(1).select(S.causal_within(F.array(F.lit("a, but b"), F.lit(", but c"), F.lit("x, However, y, moreover z"), F.lit("none"))).alias("x")).collect()[0]["x"]
-    assert [tuple(x) for x in within] == [(0, "contradict", "a", "b"), (2, "contradict", "x", "y, moreover z"), (2, "neutral", "x, However, y", "z")]
-
-
 QA = [
     ("<think>Q: x</think>Question 1: a?\nAnswer 1: b\nQuestion 2: c?\nAnswer: d\n", (None, [("a?", "b"), ("c?", "d")])),
     ("Sure\n\n\n**Question**: a\n**Answer**: b\n**Question 2**: c\nA: d\nmore", (None, [("a", "b"), ("c", "d\nmore")])),
