@@ -6,8 +6,11 @@ Which 50-byte strings of a document also start in an earlier one is found in ste
    windows of one minimizer form a fragment. Equal windows have equal minimizers, wherever they stand. Minimizers that
    stand in many documents with ever new surroundings (found on a sample; which they are bears on speed alone) route
    each of their windows by its own hash instead, so that no task gets a share of all documents.
-2. Fragments meet by the hash of their minimizer, and equal contents are joined to their first document (96 bits of
-   hash): copies are summed up here and before the shuffle, and one of each content goes on.
+2. Fragments meet by the hash of their minimizer, and equal contents are joined to their first document: copies are
+   summed up here and before the shuffle, and one of each content goes on. Contents count as equal if two hashes of 48
+   bits, of the minimizer and of the whole fragment, are equal; this decides what exact copies lose, without a look at
+   their bytes. Among n different fragments some two are taken for equal with odds of about n * n / 2 ** 97: one in
+   ten million for 10 ** 11 fragments (some 2 TB of text).
 3. The contents of a minimizer are numbered by their first documents. For each bit of these numbers, those of a bucket
    that have a 0 there are joined to one text of which a run-compressed Burrows-Wheeler transform with sampled run ends
    is built; those that have a 1 are streamed against it. Of two contents, the earlier one is indexed and the later one
@@ -384,9 +387,9 @@ def _sent(docs: DataFrame, buckets: int, length: int, hot: np.ndarray) -> DataFr
             held.clear()
             if not len(x):
                 return
-            both = mix(x["h"] * np.uint64(3) + x["f"])
-            order = np.lexsort((x["doc"], both))
-            new = np.concatenate([[True], both[order][1:] != both[order][:-1]])
+            order = np.lexsort((x["doc"], x["f"], x["h"]))
+            h, f = x["h"][order], x["f"][order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])])
             least = np.empty(len(x), np.int64)
             least[order] = x["doc"][order][new][np.cumsum(new) - 1]
             later = x["doc"] > least  # the same content stands in an earlier document of this task
