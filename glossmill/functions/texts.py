@@ -2,55 +2,82 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import math
 import random
 import re
 import unicodedata
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_END = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[^a-z\s])|(?<=[。！？])")
-
-
-def split_lossless(text: str | None) -> list[str]:
-    """Sentences whose concatenation is the text; white space stays with the sentence before it."""
-    out, at = [], 0
-    for m in _END.finditer(text or ""):
-        if m.end() > at:
-            out.append(text[at : m.end()])
-            at = m.end()
-    return [*out, text[at:]] if text and at < len(text) else out
-
-
 _LITERALS = {"NULL": "null", "TRUE": "true", "FALSE": "false", "None": "null", "True": "true", "False": "false"}
-#: A JSON string, a bracket, or a literal in another language's case.
-_PARTS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]|\b(?:' + "|".join(_LITERALS) + r")\b", re.S)
+#: What bears on strings and brackets, and literals in another language's case.
+_SIGNS = re.compile(r"""\\.|["{}\[\]]""", re.S)
+_STRINGS = re.compile(r"""\\.|"|\b(?:""" + "|".join(_LITERALS) + r")\b", re.S)
 
 
 def first_block(text: str | None, opening: str = "{", closing: str = "}") -> str | None:
-    """The first balanced block that starts with the opening bracket; brackets within its strings count for nothing."""
+    """The balanced block whose opening bracket stands first; brackets within strings count for nothing.
+
+    One pass over the text from its first opening bracket, with a stack of those that are open: brackets that are never
+    closed stay there. A quotation mark that is never closed opens no string.
+    """
     start = (text or "").find(opening)
-    while start >= 0:
-        depth = 0
-        for m in _PARTS.finditer(text, start):
-            depth += (m[0] == opening) - (m[0] == closing)
-            if not depth and m[0] == closing:
-                return text[start : m.end()]
-        start = text.find(opening, start + 1)
-    return None
+    if start < 0:
+        return None
+    open_: list[int] = []
+    best: tuple[int, int] | None = None
+
+    def bracket(c: str, at: int) -> bool:
+        """Whether the block is found: nothing that stands before it is still open."""
+        nonlocal best
+        if c == opening:
+            open_.append(at)
+        elif c == closing and open_:
+            own = open_.pop()
+            if best is None or own < best[0]:
+                best = own, at + 1
+            return not open_
+        return False
+
+    quote = None
+    for m in _SIGNS.finditer(text, start):
+        c, at = m[0][-1], m.end() - 1
+        if quote is not None:
+            quote = None if m[0] == '"' else quote
+        elif c == '"':
+            quote = at
+        elif bracket(c, at):
+            return text[best[0] : best[1]]
+    if quote is not None:
+        for m in re.compile(f"[{re.escape(opening + closing)}]").finditer(text, quote + 1):
+            if bracket(m[0], m.start()):
+                break
+    return None if best is None else text[best[0] : best[1]]
+
+
+def json_literals(block: str) -> str:
+    """Literals in JSON's case, but not within strings."""
+    out, at, inside = [], 0, False
+    for m in _STRINGS.finditer(block):
+        if m[0] == '"':
+            inside = not inside
+        elif m[0][0] == "\\":
+            if not inside and m[0] == '\\"':
+                inside = True
+        elif not inside:
+            out += [block[at : m.start()], _LITERALS[m[0]]]
+            at = m.end()
+    return "".join([*out, block[at:]])
 
 
 def robust_json(text: str | None) -> str | None:
     """A model's answer as JSON text: the first block, literals in JSON's case (not within strings); null if it doesn't parse."""
     block = first_block(re.sub(r"```(?:json)?", "", text or ""))
     try:
-        return None if block is None else json.dumps(json.loads(_PARTS.sub(lambda m: _LITERALS.get(m[0], m[0]), block)), ensure_ascii=False)
-    except ValueError:
+        return None if block is None else json.dumps(json.loads(json_literals(block)), ensure_ascii=False)
+    except (ValueError, RecursionError):
         return None
 
 
@@ -73,28 +100,6 @@ def permute_steps(n: int, steps: int, width: int, seed: str) -> list[int]:
     return out
 
 
-def reorder_words(text: str | None, rate: float, width: int, seed: str) -> str | None:
-    words = (text or "").split()
-    p = permute_steps(len(words), int(len(words) * rate) + 1, width, seed)
-    return None if text is None else " ".join(words[i] for i in p)
-
-
-def bleu(candidate: str | None, reference: str | None, order: int = 4) -> float:
-    """Sentence BLEU in percent with add-one smoothing above unigrams, on lower-cased words and punctuation."""
-    tok = lambda x: re.findall(r"\w+|[^\w\s]", unicodedata.normalize("NFKC", x or "").lower())
-    c, r = tok(candidate), tok(reference)
-    if not c or not r:
-        return 0.0
-    total = 0.0
-    for n in range(1, order + 1):
-        a, b = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (c, r))
-        hit, all_ = sum((a & b).values()), sum(a.values())
-        if n == 1 and not hit:
-            return 0.0
-        total += math.log((hit + (n > 1)) / (all_ + (n > 1)))
-    return 100 * math.exp(total / order) * min(1.0, math.exp(1 - len(r) / len(c)))
-
-
 #: Basic Hepburn syllables, by rows of the kana table.
 _VOWELS = "aiueo"
 _ROWS = {"": "あいうえお", "k": "かきくけこ", "s": "さしすせそ", "t": "たちつてと", "n": "なにぬねの", "h": "はひふへほ", "m": "まみむめも", "r": "らりるれろ", "g": "がぎぐげご", "z": "ざじずぜぞ", "d": "だぢづでど", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ"}
@@ -136,23 +141,6 @@ def word_levenshtein(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def align_token_ids(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places of a and b with equal ids, greedily from the left."""
-    out, j = [], 0
-    for i, x in enumerate(a):
-        try:
-            k = b.index(x, j)
-        except ValueError:
-            continue
-        out.append((i, k))
-        j = k + 1
-    return out
-
-
-def seed_of(*parts: object) -> str:
-    return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
-
-
 def _column(fn, kind: T.DataType):
     @F.pandas_udf(kind)
     def run(x: pd.Series) -> pd.Series:
@@ -162,7 +150,6 @@ def _column(fn, kind: T.DataType):
 
 
 nfkc_column = _column(lambda x: None if x is None else unicodedata.normalize("NFKC", x), T.StringType())
-split_lossless_column = _column(split_lossless, T.ArrayType(T.StringType()))
 first_block_column = _column(first_block, T.StringType())
 robust_json_column = _column(robust_json, T.StringType())
 romanize_column = _column(romanize, T.StringType())
@@ -172,8 +159,3 @@ first_array_column = _column(lambda x: first_block(x, "[", "]"), T.StringType())
 @F.pandas_udf(T.IntegerType())
 def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else word_levenshtein(list(x), list(y)) for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(T.DoubleType())
-def bleu_column(candidate: pd.Series, reference: pd.Series) -> pd.Series:
-    return pd.Series([bleu(c, r) for c, r in zip(candidate, reference, strict=True)])

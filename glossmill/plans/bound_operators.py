@@ -15,6 +15,7 @@ from ..operators import noise as N
 from ..operators import ranking as R
 from ..operators import retrieval as K
 from ..operators import switching as W
+from ..operators import translation as B
 from . import planted
 from .bound import ORACLES, bind
 from .bound_texts import _U, PARTS, SENTENCES
@@ -178,11 +179,37 @@ def _(t):
     return rows.agg(F.round(F.avg(hits / F.size("p")), 6).alias("p"), F.round(F.avg(hits / F.size("g")), 6).alias("r"), F.round(F.avg(f1), 6).alias("f1"))
 
 
-@bind("agg_bleu_mean", "SELECT role, 100.0 AS same, CAST(count(*) AS BIGINT) AS n, true AS ordered FROM conversations WHERE regexp_matches(text, '\\w') GROUP BY role")
+def _words_13a(text: str) -> str:
+    out = f"replace(replace(replace({text}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for x, y in B.ENTITIES.items():
+        out = f"replace({out}, '{x}', '{y}')"
+    out = f"(' ' || {out} || ' ')"
+    for pattern, by in B.RULES:
+        out = f"regexp_replace({out}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return f"regexp_extract_all({out}, '\\S+')"
+
+
+_GRAMS = " UNION ALL ".join(f"SELECT id, role, {n} AS n, {side} AS side, unnest(list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string({w}[i:i + {n - 1}], ' '))) AS g FROM w" for n in range(1, 5) for side, w in enumerate(("cw", "rw")))
+_BLEU = "CASE WHEN h1 = 0 OR t4 = 0 THEN 0.0 ELSE 100 * CASE WHEN t1 < r THEN exp(1 - r / t1) ELSE 1 END * exp((" + " + ".join(f"ln(CASE WHEN h{n} = 0 THEN 1 / pow(2.0, {' + '.join(f'CAST(h{k} = 0 AS INT)' for k in range(1, n + 1))}) ELSE h{n} END / t{n})" for n in range(1, 5)) + ") / 4) END"
+
+
+@bind(
+    "agg_bleu_mean",
+    f"""WITH c AS (SELECT row_number() OVER () AS id, role, text, regexp_replace(text, '([^\\p{{L}}])(the|and|is|to|der|que|et) ', '\\1', 'g') AS cand FROM conversations),
+    w AS (SELECT id, role, {_words_13a("coalesce(cand, '')")} AS cw, {_words_13a("coalesce(text, '')")} AS rw FROM c),
+    g AS (SELECT id, role, n, g, sum(1 - side) AS c, sum(side) AS r FROM ({_GRAMS}) AS x GROUP BY ALL),
+    s AS (SELECT c.id, c.role, {", ".join(f"coalesce(sum(least(c, r)) FILTER (n = {n}), 0) AS h{n}, coalesce(sum(c) FILTER (n = {n}), 0) AS t{n}" for n in range(1, 5))}, coalesce(sum(r) FILTER (n = 1), 0) AS r FROM c LEFT JOIN g ON g.id = c.id GROUP BY c.id, c.role),
+    a AS (SELECT role, round(avg({_BLEU}), 4) AS mean, count(*) AS n FROM s GROUP BY role),
+    b AS (SELECT role, {", ".join(f"sum(h{n}) AS h{n}, sum(t{n}) AS t{n}" for n in range(1, 5))}, sum(r) AS r FROM s GROUP BY role)
+    SELECT a.role, a.mean, a.n, round({_BLEU}, 4) AS corpus FROM a JOIN b ON b.role = a.role""",
+)
 def _(t):
-    """BLEU of a text with itself is 100, and with its own first half less."""
-    rows = t("conversations").where(F.regexp_like("text", F.lit(r"\w"))).withColumn("half", F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")))
-    return rows.groupBy("role").agg(F.round(F.avg(A.bleu_column("text", "text")), 6).alias("same"), F.count(F.lit(1)).alias("n"), (F.avg(A.bleu_column("half", "text")) < F.avg(A.bleu_column("text", "text"))).alias("ordered"))
+    """Mean sentence BLEU and corpus BLEU, by role, of texts without some words against whole ones."""
+    cand = F.regexp_replace("text", r"([^\p{L}])(the|and|is|to|der|que|et) ", "$1")
+    counts = B.ngram_counts(t("conversations"), ["role"], B.words_13a(cand), B.words_13a(F.col("text")))
+    mean = B.score(counts).groupBy("role").agg(F.round(F.avg("bleu"), 4).alias("mean"), F.count(F.lit(1)).alias("n"))
+    corpus = B.score(B.summed(counts, "role")).select("role", F.round("bleu", 4).alias("corpus"))
+    return mean.join(corpus, "role")
 
 
 @bind(

@@ -10,12 +10,6 @@ from glossmill.sources import files
 from glossmill.streaming import incremental
 
 
-def test_lossless_split():
-    for t in ["Dr. x went. He left!  Then (yes.) Z", "", "一。二。 三", "no end", "A.\nB. "]:
-        assert "".join(texts.split_lossless(t)) == t
-    assert texts.split_lossless("He left. Then she came.") == ["He left. ", "Then she came."]
-
-
 def test_json_blocks():
     assert texts.first_block('x {"a": {"b": 1}} y') == '{"a": {"b": 1}}'
     assert texts.robust_json('```json\n{"a": TRUE, "b": NULL}\n``` done') == '{"a": true, "b": null}'
@@ -29,12 +23,9 @@ def test_permutation_moves_exactly_so_many(n, steps, width):
     assert texts.permute_steps(3, 1, 2, "s") == [0, 1, 2]
 
 
-def test_bleu_romanize_align():
-    assert texts.bleu("the cat sat down", "the cat sat down") == pytest.approx(100)
-    assert texts.bleu("", "a") == 0 and 0 < texts.bleu("the cat", "the cat sat") < 100
+def test_romanize():
     assert texts.romanize("きゃっとシャツ") == "kyattoshatsu"
     assert texts.romanize("コーヒー") == "koohii"
-    assert texts.align_token_ids([1, 2, 3, 4], [9, 2, 4]) == [(1, 1), (3, 2)]
 
 
 def brute_budget(tokens, budget):
