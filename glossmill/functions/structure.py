@@ -50,7 +50,26 @@ def sentences_lossless(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"""(?s)(.+?(?:[.!?]["')\]]*\s+|[。！？]|\z))"""), F.lit(1))
 
 
-QUESTION, ANSWER = r"(?im)^\W*(?:question|q)\s*\d*\W*[:：]\W*", r"(?im)^\W*(?:answer|a)\s*\d*\W*[:：]\W*"
+# What questions and answers are headed by, and how many questions a response without a mark of its own needs.
+QUESTIONS = {
+    "ja": "質問|問題|问题|质问|質问|质问|賨問|要問|膪問|贅問|背景的な質問|質急|质询|資問|落川|賶問",
+    "zh": "提问|提問|提答|提考|問題|供稿|提請|提交问|问题",
+    "en": "question|q",
+}
+ANSWERS = {"ja": "回答|答案|回應|回问|回问答", "zh": "回答|答案|回應|回问|回问答", "en": "answer|a"}
+LEAST_QUESTIONS = {"ja": 2, "zh": 5, "en": 5}
+# End of the fixed values.
+
+
+def qa_heading(words: str, lang: str, more: str = "") -> str:
+    """A pattern for a heading. In English it begins a line, in any case and with any marks; in Japanese and Chinese it
+    begins with #, a number with a full stop may follow, and `more` may stand before the word."""
+    if lang == "en":
+        return rf"(?im)^\W*(?:{words})\s*\d*\W*[:：]\W*"
+    return rf"#+\s*(?:\d+\.\s*)?{more}(?:{words})\s*\d*\s*[:：](?!\s*\.)\s*"
+
+
+_CJK_WORDS = r"(?:[\x{3040}-\x{30FF}\x{4E00}-\x{9FAF}\x{FF66}-\x{FF9F}]{2,12}?)?"
 
 
 def _stripped(x: Column) -> Column:
@@ -64,18 +83,30 @@ def response_body(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("</think>")), after).when(F.size(blocks) == 2, blocks[1]).otherwise(text)
 
 
-def qa_pairs(text: Column, least: int = 2) -> Column:
-    """struct<qa array<struct<q, a>>, reject>: the pairs of a response, cut at its headings.
+def qa_pairs(text: Column, lang: Column | str = "en", least: dict[str, int] = LEAST_QUESTIONS) -> Column:
+    """struct<qa array<struct<q, a>>, reject>: the pairs of a response, cut at the headings of its language.
 
-    reject is null, 'headings' (fewer than `least` questions) or 'answers' (no question has an answer).
+    A response needs two questions; one that has neither thinking nor two blocks needs as many as `least` says for its
+    language. reject is null, 'headings' (fewer) or 'answers' (no question has an answer); an unknown language gives null.
     """
-    parts = F.split(response_body(text), QUESTION)
-    own = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    cut = F.transform(own, lambda x: F.split(x, ANSWER, 2))
-    qa = F.transform(F.filter(cut, lambda x: (F.size(x) == 2) & (_stripped(x[0]) != "")), lambda x: F.struct(_stripped(x[0]).alias("q"), _stripped(x[1]).alias("a")))
-    none = F.slice(qa, 1, 0)
-    reject = F.when(F.size(own) < least, F.lit("headings")).when(F.size(qa) == 0, F.lit("answers"))
-    return F.when(text.isNotNull(), F.struct(F.when(reject.isNull(), qa).otherwise(none).alias("qa"), reject.alias("reject")))
+    lang = F.lit(lang) if isinstance(lang, str) else lang
+    body = response_body(text)
+    marked = F.contains(text, F.lit("</think>")) | (F.size(F.split(text, r"\n\n\n")) == 2)
+    out = None
+    for name, n in least.items():
+        question = qa_heading(QUESTIONS[name], name, _CJK_WORDS if name == "ja" else "")
+        parts = F.split(body, question)
+        own = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        cut = _cut(own, qa_heading(ANSWERS[name], name))
+        qa = F.transform(F.filter(cut, lambda x: (F.size(x) == 2) & (_stripped(x[0]) != "") & (_stripped(x[1]) != "")), lambda x: F.struct(_stripped(x[0]).alias("q"), _stripped(x[1]).alias("a")))
+        reject = F.when(F.size(own) < F.when(marked, 2).otherwise(n), F.lit("headings")).when(F.size(qa) == 0, F.lit("answers"))
+        row = F.struct(F.when(reject.isNull(), qa).otherwise(F.slice(qa, 1, 0)).alias("qa"), reject.alias("reject"))
+        out = F.when(lang == name, row) if out is None else out.when(lang == name, row)
+    return F.when(text.isNotNull(), out)
+
+
+def _cut(parts: Column, at: str) -> Column:
+    return F.transform(parts, lambda x: F.split(x, at, 2))
 
 
 def translation_parts(text: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import random
 import re
 import unicodedata
 
@@ -81,25 +80,6 @@ def robust_json(text: str | None) -> str | None:
         return None
 
 
-def permute_steps(n: int, steps: int, width: int, seed: str) -> list[int]:
-    """A permutation of n places with exactly `steps` displaced ones, each within `width` where that is possible."""
-    steps = min(steps, n)
-    if steps < 2:
-        return list(range(n))
-    r = random.Random(seed)
-    start = r.randrange(n - steps + 1)
-    own = list(range(start, start + steps))
-    out, width = list(range(n)), max(2, width)
-    cuts = [own[i : i + width] for i in range(0, steps, width)]
-    if len(cuts) > 1 and len(cuts[-1]) == 1:
-        cuts[-2:] = [cuts[-2] + cuts[-1]]
-    for c in cuts:  # a rotation moves every member
-        k = r.randrange(1, len(c))
-        for i, x in enumerate(c):
-            out[x] = c[(i + k) % len(c)]
-    return out
-
-
 #: Basic Hepburn syllables, by rows of the kana table.
 _VOWELS = "aiueo"
 _ROWS = {"": "あいうえお", "k": "かきくけこ", "s": "さしすせそ", "t": "たちつてと", "n": "なにぬねの", "h": "はひふへほ", "m": "まみむめも", "r": "らりるれろ", "g": "がぎぐげご", "z": "ざじずぜぞ", "d": "だぢづでど", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ"}
@@ -126,7 +106,7 @@ def romanize(text: str | None) -> str | None:
             out.append(out[-1][-1])
             continue
         x = _KANA.get(h, c)
-        out.append((x[0] if double and x[:1].isalpha() else "") + x)
+        out.append(("t" if double and x.startswith("ch") else x[0] if double and x[:1].isalpha() else "") + x)
         double = False
     return "".join(out)
 

@@ -159,26 +159,3 @@ def token_losses(rows: DataFrame, key: str, ids: str, model: Callable[[list[list
 def option_loss(losses: Column, labels: Column) -> Column:
     """The sum of the losses where labels are not IGNORED: the negative log likelihood of the option."""
     return F.aggregate(F.zip_with(losses, labels, lambda x, y: F.when(y != IGNORED, x).otherwise(F.lit(0.0))), F.lit(0.0).cast("double"), lambda s, x: s + x)
-
-
-# --- annotation ---------------------------------------------------------------------------------------------------------
-def annotate(texts: DataFrame, lexicon: DataFrame, key: str = "id", longest: int = 3) -> DataFrame:
-    """(key, start, end, text, label): where entries of a lexicon (surface, label) stand in a text, by whole words.
-
-    Spans of one to `longest` words are joined with the lexicon in lower case; of overlapping ones the longest wins,
-    then the first. Places count characters from 0 in the text; a text without entries has no rows.
-    """
-    pieces = F.regexp_extract_all("text", F.lit(r"(\s*\S+)"), F.lit(1))
-    rows = texts.select(key, pieces.alias("p"))
-    ends = F.aggregate("p", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.length(x)))
-    rows = rows.select(key, "p", ends.alias("ends"))
-    each = rows.select(key, "p", "ends", F.posexplode("p").alias("i", "_")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(longest)))).where(F.col("i") + F.col("n") <= F.size("p"))
-    text = F.array_join(F.slice("p", F.col("i") + 1, F.col("n")), "")
-    lead = F.length(F.regexp_extract(F.get("p", F.col("i")), r"^(\s*)", 1))
-    bare = F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"[.,;:!?)\]]+$", "")
-    spans = each.select(key, "i", "n", (F.get("ends", F.col("i")) + lead).alias("start"), bare.alias("text")).withColumn("end", F.col("start") + F.length("text"))
-    hits = spans.join(lexicon.select(F.lower("surface").alias("_s"), "label"), F.lower("text") == F.col("_s")).drop("_s")
-    own = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "i", "n", "start", "end", "text", "label"))).alias("s"))
-    none = F.slice("s", 1, 0)
-    free = F.aggregate("s", none, lambda a, x: F.when(~F.exists(a, lambda y: (x["i"] < y["i"] + y["n"]) & (y["i"] < x["i"] + x["n"])), F.array_append(a, x)).otherwise(a))
-    return own.select(key, F.explode(free).alias("x")).select(key, "x.start", "x.end", "x.text", "x.label")

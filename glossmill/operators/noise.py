@@ -6,13 +6,11 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import texts
-from ..functions.structure import detokenized, let, quartile_parts, uniform, word_tokens
+from ..functions.structure import detokenized, let, quartile_parts, spans_replaced, uniform, word_tokens
+from . import phrases
 
 #: What stands in the labels of tokens that noise left alone, and in place of a masked token.
 PLAIN, MASK = "<token>", "<unk>"
@@ -48,6 +46,20 @@ def noise_rate(labels: Column) -> tuple[Column, Column]:
     return F.size(F.filter(labels, lambda x: x != PLAIN)), F.size(labels)
 
 
+def noise_rates(rows: DataFrame, dataset: str, checkpoint: str, labels: str, loss: str) -> DataFrame:
+    """(dataset, checkpoint, noise_rate, mean_loss, constant): the share of noisy labels of each data set at each checkpoint.
+
+    The labels of a data set are the same at every checkpoint; constant says whether their shares are (a wrong file of a
+    checkpoint shows there). A window over a data set's checkpoints compares them: a row for each.
+    """
+    noisy, every = noise_rate(F.col(labels))
+    per = rows.groupBy(dataset, checkpoint).agg(F.sum(noisy).alias("n"), F.sum(every).alias("m"), F.avg(loss).alias("loss"))
+    rate = F.round(F.try_divide("n", "m"), 6)
+    w = Window.partitionBy(dataset)
+    same = F.min(rate).over(w) == F.max(rate).over(w)
+    return per.select(dataset, checkpoint, rate.alias("noise_rate"), F.round("loss", 4).alias("mean_loss"), same.alias("constant"))
+
+
 def rewrite(sentences: Column, rewrites: Column, key: Column, ratio: float, seed: str = "rewrite") -> Column:
     """struct<sentences, labels>: each sentence becomes one of its rewrites (an array, chosen evenly) with probability ratio.
 
@@ -65,15 +77,33 @@ def rewrite(sentences: Column, rewrites: Column, key: Column, ratio: float, seed
     return F.struct(F.transform(done, lambda y: y["s"]).alias("sentences"), F.transform(done, lambda y: y["label"]).alias("labels"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _order(n: pd.Series, steps: pd.Series, width: pd.Series, seed: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or pd.isna(a) else texts.permute_steps(int(a), int(b), int(c), d) for a, b, c, d in zip(n, steps, width, seed, strict=True)])
+def permutation(n: Column, steps: Column, width: Column | int, *seed: Column | str) -> Column:
+    """An order of 0..n-1 in which exactly `steps` places (at most n) are displaced; below 2, none.
+
+    The displaced places are neighbours, from a drawn start on. They are dealt into runs of `width` (2 at least; a
+    last run of one joins the run before it), and each run is turned by a drawn number of places, so that all of it
+    moves, by `width` at most. An expression of built-in functions: draws are hashes of the seed.
+    """
+    width = F.greatest(F.lit(width) if isinstance(width, int) else width, F.lit(2))
+    k = F.least(steps, n)
+    start = F.floor(uniform(*seed, F.lit("start")) * (n - k + 1)).cast("int")
+    runs = F.ceil(k / width).cast("int")
+    runs = F.when((k % width == 1) & (runs > 1), runs - 1).otherwise(runs)
 
+    def moved(fixed: Column) -> Column:
+        n, k, start, runs, width = (fixed[x] for x in ("n", "k", "start", "runs", "width"))
 
-def permutation(n: Column, steps: Column, width: Column | int, *seed: Column | str) -> Column:
-    """An order of 0..n-1 in which exactly `steps` places (at least 2, at most n) are displaced, each within `width`."""
-    width = F.lit(width) if isinstance(width, int) else width
-    return _order(n, steps, width, F.concat_ws(":", *(F.lit(s) if isinstance(s, str) else s.cast("string") for s in seed)))
+        def place(i: Column) -> Column:
+            j = i - start
+            run = F.least(F.floor(j / width).cast("int"), runs - 1)
+            size = F.when(run == runs - 1, k - run * width).otherwise(width)
+            turn = 1 + F.floor(uniform(*seed, F.lit("turn"), run) * (size - 1)).cast("int")
+            return F.when((k < 2) | (j < 0) | (j >= k), i).otherwise(start + run * width + (j - run * width + turn) % size)
+
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), place)
+
+    fixed = F.struct(n.cast("int").alias("n"), k.cast("int").alias("k"), start.alias("start"), runs.alias("runs"), width.cast("int").alias("width"))
+    return F.when(n.isNotNull(), let(fixed, moved))
 
 
 def ordered(items: Column, order: Column) -> Column:
@@ -109,42 +139,21 @@ def word_syntax(rows: DataFrame, text: str, key: str, rate: float, width: int =
     return out.withColumn("noisy", F.when(F.col(text).isNotNull(), detokenized(kept))).drop("_t", "_order")
 
 
-def synonym_spans(words: Column, lexicon: Column, key: Column, p: float, seed: str) -> Column:
-    """struct<words, labels>: spans of two words, then single ones, that the lexicon (a map) has, replaced with probability p.
+def synonyms(rows: DataFrame, key: str, text: str, lexicon: DataFrame, p: float, seed: str) -> DataFrame:
+    """rows with `noisy` and `n_noise`: words and phrases of a lexicon (phrase, synonym) replaced with probability p.
 
-    Words are looked up in lower case and without closing marks, which stay; a span that begins within one is passed over.
+    The lexicon is a table of any size that meets the texts by joins (phrases.annotate): of overlapping phrases the
+    leftmost stays, then the longest. Marks that close a phrase stay. A phrase's place is its chance.
     """
-    empty = F.array().cast("array<string>")
-
-    def replaced(words: Column, core: Column, spans: Column) -> Column:
-        def begun(acc: Column, i: Column) -> Column:  # of two-word spans side by side, those that begin in no other
-            return F.when(F.coalesce(F.try_element_at(acc, F.lit(-1)) == i - 1, F.lit(False)), acc).otherwise(F.array_append(acc, i))
-
-        def chosen(twos: Column, w: Column, i: Column) -> Column:
-            two = F.array_contains(twos, i)
-            size = F.when(two, 2).otherwise(1)
-            phrase = F.when(two, F.concat(F.lower(w), F.lit(" "), F.get(core, i + 1))).otherwise(F.get(core, i))
-            hit = F.map_contains_key(lexicon, phrase) & (uniform(seed, key, i) < p)
-            tail = F.regexp_extract(F.get(words, i + size - 1), r"([.,;:!?]*)$", 1)
-            plain = F.slice(words, i + 1, size)
-            new = F.struct(F.array(F.concat(F.element_at(lexicon, phrase), tail)).alias("words"), F.array(F.lit("<synonym>")).alias("labels"))
-            same = F.struct(plain.alias("words"), F.transform(plain, lambda _: F.lit(PLAIN)).alias("labels"))
-            inside = F.struct(empty.alias("words"), empty.alias("labels"))
-            return F.when(F.array_contains(twos, i - 1), inside).when(hit, new).otherwise(same)
-
-        def joined(done: Column) -> Column:
-            return F.struct(F.flatten(F.transform(done, lambda y: y["words"])).alias("words"), F.flatten(F.transform(done, lambda y: y["labels"])).alias("labels"))
-
-        none = F.array().cast("array<int>")
-        return let(F.aggregate(spans, none, begun), lambda twos: let(F.transform(words, lambda w, i: chosen(twos, w, i)), joined))
-
-    def looked_up(words: Column, core: Column) -> Column:
-        two = lambda w, i: F.concat(F.lower(w), F.lit(" "), F.coalesce(F.get(core, i + 1), F.lit("")))
-        hits = F.filter(F.transform(words, lambda w, i: F.when(F.map_contains_key(lexicon, two(w, i)), i)), lambda i: i.isNotNull())
-        return let(hits, lambda spans: replaced(words, core, spans))
-
-    bare = lambda ws: F.transform(ws, lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?]+$", ""))
-    return let(words, lambda ws: let(bare(ws), lambda core: looked_up(ws, core)))
+    row = F.monotonically_increasing_id()
+    kept = rows.withColumn("_row", row)
+    found = phrases.annotate(kept.select(F.struct(key, "_row").alias("_of"), F.col(text).alias("text")), lexicon.select(F.col("phrase").alias("surface"), F.col("synonym").alias("label")), "_of")
+    hit = uniform(seed, F.col("_of")[key], F.col("start")) < p
+    recipe = found.where(hit).groupBy("_of").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("label").alias("code")))).alias("_recipe"))
+    own = kept.join(recipe.select(F.col("_of._row").alias("_row"), "_recipe"), "_row", "left")
+    none = F.array().cast("array<struct<start:int,end:int,code:string>>")
+    recipe = F.coalesce("_recipe", none)
+    return own.withColumns({"noisy": spans_replaced(F.col(text), recipe), "n_noise": F.size(recipe)}).drop("_row", "_recipe")
 
 
 @dataclass(frozen=True)
@@ -176,7 +185,7 @@ def parse_spec(spec: str) -> Spec:
     return Spec(m[1], m[2], number, int(m[4]) if m[4] else None, None)
 
 
-def dispatch(rows: DataFrame, key: str, sentences: str, spec: str, vocabulary: Column | None = None, rewrites: str | None = None, lexicon: Column | None = None) -> DataFrame:
+def dispatch(rows: DataFrame, key: str, sentences: str, spec: str, vocabulary: Column | None = None, rewrites: str | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """(key, spec, noisy): the noise that a name calls for, over rows with an array of sentences.
 
     Word noise works on the blank-separated words of all sentences; `rewrite@base` rewrites, then applies base.
@@ -185,15 +194,15 @@ def dispatch(rows: DataFrame, key: str, sentences: str, spec: str, vocabulary: C
     k, words = F.col(key), F.split(F.array_join(sentences, " "), " ")
     p = (s.percent or 0) / 100
     joined = lambda c: F.array_join(c, " ")
-    if s.kind in ("mask", "delete", "replace", "mono", "multi"):
+    if s.kind in ("mask", "delete", "replace"):
         made = {
             "mask": lambda: mask(words, k, p)["tokens"],
             "delete": lambda: delete(words, k, p)["tokens"],
             "replace": lambda: replace(words, k, p, vocabulary if vocabulary is not None else F.array(F.lit(MASK)))["tokens"],
-            "mono": lambda: synonym_spans(words, lexicon, k, p, "mono")["words"],
-            "multi": lambda: synonym_spans(words, lexicon, k, p, "multi")["words"],
         }[s.kind]()
         out = rows.withColumn("noisy", joined(made))
+    elif s.kind in ("mono", "multi"):
+        out = synonyms(rows.withColumn("_text", joined(sentences)), key, "_text", lexicon, p, s.kind)
     elif s.kind == "retoken":
         out = token_reorder(rows.withColumn("_w", words), "_w", key, p, s.width or 8).withColumn("noisy", joined("noisy"))
     elif s.kind == "resent":

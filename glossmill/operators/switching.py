@@ -81,19 +81,6 @@ def lemma_codes(tokens: DataFrame, dictionary: DataFrame, seed: str = "lemma") -
     return best.select("id", "pos", "raw", "x.code", "x.lang")
 
 
-def code_index(tokens: DataFrame, entries: DataFrame) -> DataFrame:
-    """(id, pos, code): where the words of an entry stand in a row, by the entry's first word.
-
-    tokens: id, words array<string>, tags array<string>; entries: words array<string>, code. Entries are joined by their
-    first word and compared whole; a match that begins with a verb is skipped; of several, the longest wins.
-    """
-    each = tokens.select("id", "words", "tags", F.posexplode("words").alias("pos", "first")).where(F.get("tags", F.col("pos")) != "V")
-    hits = each.join(entries.select(F.col("words").alias("entry"), F.get("words", F.lit(0)).alias("first"), "code"), "first")
-    fits = F.slice("words", F.col("pos") + 1, F.size("entry")) == F.col("entry")
-    best = hits.where(fits).groupBy("id", "pos").agg(F.min_by("code", F.struct(-F.size("entry"), F.col("code"))).alias("code"))
-    return best
-
-
 def greedy_columns(spans: DataFrame, key: str, order: str) -> DataFrame:
     """(key, start, end) of the spans of each key that the greedy walk in `order` accepts."""
     every = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "start", "end"))).alias("s"))

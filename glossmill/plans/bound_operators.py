@@ -12,13 +12,16 @@ from ..operators import evaluation as E
 from ..operators import instructions as I
 from ..operators import mixture as M
 from ..operators import noise as N
+from ..operators import phrases as P
 from ..operators import ranking as R
 from ..operators import retrieval as K
 from ..operators import switching as W
 from ..operators import translation as B
 from . import planted
 from .bound import ORACLES, bind
+from .bound_texts import _CLASSES as WORD_CLASSES
 from .bound_texts import _U, PARTS, SENTENCES
+from .planted import quoted
 
 
 def uniform_sql(*parts: str) -> str:
@@ -77,7 +80,7 @@ def _(t):
     head = F.when(F.col("role") == "user", "Question: ").when(F.col("role") == "assistant", "Answer: ").otherwise("System ")
     text = F.concat(head, F.regexp_replace(F.coalesce("text", F.lit("-")), r"\s+", " "))
     whole = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", text.alias("x")))), lambda y: y["x"]), "\n").alias("response"), F.count_if(F.col("role") == "system").alias("systems"))
-    return whole.where((F.size(S.qa_pairs(F.col("response"), 1)["qa"]) == 2) & (F.col("systems") == 0)).select("conv_id")
+    return whole.where((F.size(S.qa_pairs(F.col("response"), least={"en": 1})["qa"]) == 2) & (F.col("systems") == 0)).select("conv_id")
 
 
 @bind("filter_min_sentences", f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM ({SENTENCES}) AS x WHERE len(s) > 3")
@@ -214,14 +217,14 @@ def _(t):
 
 @bind(
     "agg_noise_rate",
-    """SELECT CAST(month(ts) AS INT) AS iter, round(sum(CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END) / count(*), 6) AS noise_rate, round(avg(value), 4) AS mean_loss, true AS constant FROM events GROUP BY month(ts)""",
+    """WITH l AS (SELECT event_type AS dataset, CAST(event_id % 4 AS INT) AS iter, value, CASE WHEN event_type = 'click' OR (event_type = 'view' AND event_id % 2 = 0) THEN 1 ELSE 0 END AS noisy FROM events)
+    SELECT dataset, iter, round(avg(noisy), 6) AS noise_rate, round(avg(value), 4) AS mean_loss, dataset <> 'view' AS constant FROM l GROUP BY dataset, iter""",
 )
 def _(t):
-    """Labels of each checkpoint; their share must not change when checkpoints are looked at twice."""
-    rows = t("events").select(F.month("ts").alias("iter"), "value", F.array(F.when(F.col("event_type") == "view", N.PLAIN).otherwise("<noise>")).alias("labels"), F.explode(F.array(F.lit(1), F.lit(2))).alias("again"))
-    noisy, every = N.noise_rate(F.col("labels"))
-    per = rows.groupBy("iter", "again").agg((F.sum(noisy) / F.sum(every)).alias("rate"), F.avg("value").alias("loss"))
-    return per.groupBy("iter").agg(F.round(F.max("rate"), 6).alias("noise_rate"), F.round(F.avg("loss"), 4).alias("mean_loss"), (F.count_distinct("rate") == 1).alias("constant"))
+    """The share of noisy labels of each data set at each checkpoint, and whether all its checkpoints have the same."""
+    noisy = (F.col("event_type") == "click") | ((F.col("event_type") == "view") & (F.col("event_id") % 2 == 0))
+    rows = t("events").select(F.col("event_type").alias("dataset"), (F.col("event_id") % 4).cast("int").alias("iter"), "value", F.array(F.when(noisy, "<noise>").otherwise(N.PLAIN)).alias("labels"))
+    return N.noise_rates(rows, "dataset", "iter", "labels", "value")
 
 
 @bind("agg_sentence_count", f"SELECT d.lang, CAST(sum(coalesce(greatest(len(s.s), 1), 1)) AS BIGINT) AS sentences FROM documents AS d LEFT JOIN (SELECT doc_id, min(s) AS s FROM ({SENTENCES}) AS x GROUP BY doc_id) AS s ON s.doc_id = d.doc_id GROUP BY d.lang")
@@ -347,55 +350,89 @@ SYNONYMS = [
 ]
 
 
-def synonym_map(k: int) -> dict[str, str]:
-    return {x[0]: x[k] for x in SYNONYMS if x[k]}
+def synonym_table(t, k: int) -> DataFrame:
+    return t.spark.createDataFrame([(x[0], x[k]) for x in SYNONYMS if x[k]], "phrase string, synonym string")
 
 
-@bind("noise_synonym")
+def _synonym_oracle(k: int, target: str) -> str:
+    """Phrases by a walk from the left, longest first; then the text's words, with synonyms in the place of phrases."""
+    listed = ", ".join(f"({quoted(x[0])}, {quoted(x[k])}, {len(x[0].split())})" for x in SYNONYMS if x[k])
+    return f"""(WITH RECURSIVE w AS (SELECT item_id, CAST(unnest(range(len(a))) AS INT) AS i, unnest(a) AS w, a FROM (SELECT item_id, string_split(regexp_replace(text, '\\s', ' ', 'g'), ' ') AS a FROM benchmark WHERE text IS NOT NULL) AS x),
+    v AS (SELECT item_id, i, w, a, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS place FROM w),
+    d AS (SELECT * FROM (VALUES {listed}) AS d(p, synonym, n)),
+    hit AS (SELECT item_id, i, n, place, synonym, regexp_extract(array_to_string(a[i + 1:i + n], ' '), '[.,;:!?)\\]]*$') AS tail FROM v, d WHERE i + n <= len(a) AND lower(regexp_replace(array_to_string(a[i + 1:i + n], ' '), '[.,;:!?)\\]]+$', '')) = p),
+    best AS (SELECT *, row_number() OVER (PARTITION BY item_id, i ORDER BY n DESC) AS k FROM hit),
+    walk AS (SELECT item_id, i, n FROM best WHERE k = 1 AND i = (SELECT min(i) FROM hit AS f WHERE f.item_id = best.item_id)
+      UNION ALL SELECT walk.item_id, b.i, b.n FROM walk JOIN best AS b ON b.item_id = walk.item_id AND b.k = 1 AND b.i = (SELECT min(f.i) FROM hit AS f WHERE f.item_id = walk.item_id AND f.i >= walk.i + walk.n)),
+    taken AS (SELECT b.* FROM walk JOIN best AS b ON b.item_id = walk.item_id AND b.i = walk.i AND b.k = 1 WHERE {uniform_sql(quoted(f"3:{target}"), "CAST(b.item_id AS VARCHAR)", "CAST(b.place AS VARCHAR)")} < 0.3)
+    SELECT v.item_id, '{target}' AS target, string_agg(CASE WHEN t.i = v.i THEN t.synonym || t.tail WHEN t.i IS NULL THEN v.w END, ' ' ORDER BY v.i) AS noisy, count(t.i) FILTER (t.i = v.i) AS n_noise
+    FROM v LEFT JOIN taken AS t ON t.item_id = v.item_id AND v.i >= t.i AND v.i < t.i + t.n GROUP BY v.item_id)"""
+
+
+@bind("noise_synonym", f"SELECT item_id, target, noisy, CAST(n_noise AS INT) AS n_noise FROM (SELECT * FROM {_synonym_oracle(1, 'mono')} AS a UNION ALL SELECT * FROM {_synonym_oracle(2, 'multi')} AS b) AS x")
 def _(t):
-    """Words and phrases of a lexicon, in a text's own language and in another one."""
-    out = None
-    for k, target in ((1, "mono"), (2, "multi")):
-        lexicon = F.create_map(*(F.lit(y) for x in synonym_map(k).items() for y in x))
-        x = N.synonym_spans(F.split("text", " "), lexicon, F.col("item_id"), 0.3, f"3:{target}")
-        part = t("benchmark").select("item_id", F.lit(target).alias("target"), x.alias("x")).select("item_id", "target", F.array_join("x.words", " ").alias("noisy"), N.noise_rate(F.col("x.labels"))[0].cast("bigint").alias("n_noise"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Words and phrases of a lexicon table, in a text's own language and in another one."""
+    rows = t("benchmark").where("text IS NOT NULL").select("item_id", F.regexp_replace("text", r"\s", " ").alias("text"))
+    parts = [N.synonyms(rows, "item_id", "text", synonym_table(t, k), 0.3, f"3:{target}").select("item_id", F.lit(target).alias("target"), "noisy", "n_noise") for k, target in ((1, "mono"), (2, "multi"))]
+    return parts[0].unionByName(parts[1])
+
+
+def _order_sql(n: str, steps: str, width: int, *seed: str) -> str:
+    """permutation() in DuckDB, as a list of places from 0: runs are cut from the displaced places, then turned."""
+    k = f"least({steps}, {n})"
+    start = f"CAST(floor({uniform_sql(*seed, quoted('start'))} * ({n} - {k} + 1)) AS INT)"
+    runs = f"CASE WHEN {k} % {width} = 1 AND {k} > {width} THEN {k} // {width} ELSE ({k} + {width} - 1) // {width} END"
+    size = f"(CASE WHEN c = {runs} - 1 THEN {k} - c * {width} ELSE {width} END)"
+    turned = f"flatten(list_transform(range({runs}), lambda c: list_transform(range({size}), lambda j: {start} + c * {width} + (j + 1 + CAST(floor({uniform_sql(*seed, quoted('turn'), 'CAST(c AS VARCHAR)')} * ({size} - 1)) AS INT)) % {size})))"
+    return f"CASE WHEN {k} < 2 THEN range({n}) ELSE list_concat(list_concat(range({start}), {turned}), range({start} + {k}, {n})) END"
+
 
+_STEPS = _order_sql("length(p_name)", "CAST(2 + p_partkey % 5 AS INT)", 3, "'steps'", "CAST(p_partkey AS VARCHAR)")
 
-@bind("noise_permute_steps", "SELECT p_partkey, CAST(least(length(p_name), 2 + p_partkey % 5) AS BIGINT) AS displaced, true AS permutation, true AS within FROM part WHERE length(p_name) >= 2")
+
+@bind("noise_permute_steps", f"SELECT p_partkey, CAST(least(length(p_name), 2 + p_partkey % 5) AS BIGINT) AS displaced, array_to_string(list_transform(o, lambda i: substring(p_name, CAST(i + 1 AS INT), 1)), '') AS noisy FROM (SELECT *, {_STEPS} AS o FROM part) AS x")
 def _(t):
-    """Places of a name's letters: exactly so many displaced, none by more than the width allows."""
+    """The letters of a name, of which exactly so many change places."""
     n, steps = F.length("p_name"), (2 + F.col("p_partkey") % 5).cast("int")
-    rows = t("part").where("length(p_name) >= 2").withColumn("o", N.permutation(n, steps, 3, "steps", F.col("p_partkey")))
-    moved = F.transform("o", lambda x, i: F.abs(x - i))
-    return rows.select("p_partkey", F.size(F.filter(moved, lambda d: d > 0)).cast("bigint").alias("displaced"), (F.array_sort("o") == F.sequence(F.lit(0), n - 1)).alias("permutation"), (F.array_max(moved) <= 3).alias("within"))
+    rows = t("part").withColumn("o", N.permutation(n, steps, 3, "steps", F.col("p_partkey")))
+    moved = F.size(F.filter(F.transform("o", lambda x, i: x - i), lambda d: d != 0)).cast("bigint")
+    return rows.select("p_partkey", moved.alias("displaced"), F.array_join(F.transform("o", lambda i: F.substring("p_name", i + 1, F.lit(1))), "").alias("noisy"))
+
 
+_WORDS_MOVED = _order_sql("(len(w) - 1)", "greatest(CAST(floor((len(w) - 1) * 0.3) AS INT), 2)", 8, "'reorder'", "CAST(item_id AS VARCHAR)")
 
-@bind("noise_token_reorder", "SELECT item_id, CAST(greatest(CAST(floor((len(w) - 1) * 0.3) AS INT), 2) AS INT) AS displaced, w[1] AS first, array_to_string(list_sort(w), ' ') AS sorted FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) AS x WHERE len(w) > 3")
+
+@bind("noise_token_reorder", f"SELECT item_id, CAST(least(greatest(CAST(floor((len(w) - 1) * 0.3) AS INT), 2), len(w) - 1) AS INT) AS displaced, array_to_string(list_concat([w[1]], list_transform(o, lambda i: w[i + 2])), ' ') AS noisy FROM (SELECT *, {_WORDS_MOVED} AS o FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) AS x WHERE len(w) > 3) AS y")
 def _(t):
     rows = t("benchmark").select("item_id", F.split("text", " ").alias("w")).where("size(w) > 3")
-    out = N.token_reorder(rows, "w", "item_id", 0.3)
-    return out.select("item_id", "displaced", F.get("noisy", F.lit(0)).alias("first"), F.array_join(F.array_sort("noisy"), " ").alias("sorted"))
+    return N.token_reorder(rows, "w", "item_id", 0.3).select("item_id", "displaced", F.array_join("noisy", " ").alias("noisy"))
+
 
+_SENTENCES_MOVED = _order_sql("len(s)", "greatest(CAST(floor(len(s) * 0.5) AS INT), 2)", 3, "'sentences'", "CAST(doc_id AS VARCHAR)")
 
-@bind("noise_sentence_reorder", f"SELECT doc_id, CAST(greatest(CAST(floor(len(s) * 0.5) AS INT), 2) AS INT) AS displaced, array_to_string(list_sort(s), '|') AS sorted FROM ({SENTENCES}) AS x WHERE len(s) >= 2")
+
+@bind("noise_sentence_reorder", f"SELECT doc_id, CAST(least(greatest(CAST(floor(len(s) * 0.5) AS INT), 2), len(s)) AS INT) AS displaced, array_to_string(list_transform(o, lambda i: s[i + 1]), '|') AS noisy FROM (SELECT *, {_SENTENCES_MOVED} AS o FROM ({SENTENCES}) AS x WHERE len(s) >= 2) AS y")
 def _(t):
     rows = t("documents").select("doc_id", S.sentences(F.col("text")).alias("s")).where("size(s) >= 2")
-    return N.sentence_reorder(rows, "s", "doc_id", 0.5).select("doc_id", "displaced", F.array_join(F.array_sort("noisy"), "|").alias("sorted"))
+    return N.sentence_reorder(rows, "s", "doc_id", 0.5).select("doc_id", "displaced", F.array_join("noisy", "|").alias("noisy"))
+
+
+_SYNTAX = _order_sql("len(w)", "(CAST(floor(len(w) * 0.16) AS INT) + 1)", 4, "'syntax'", "CAST(item_id AS VARCHAR)")
+_STAYS = f"list_filter(list_transform(range(len(w)), lambda i: CASE WHEN o[i + 1] <> i OR {uniform_sql(quoted('syntax'), quoted('gone'), 'CAST(item_id AS VARCHAR)', 'CAST(i AS VARCHAR)')} >= 0.16 THEN w[o[i + 1] + 1] END), lambda x: x IS NOT NULL)"
+_JOINED = f"regexp_replace(regexp_replace(array_to_string({_STAYS}, ' '), ' ([.,!?;:%)\\]}}”’\\x27])', '\\1', 'g'), '([(\\[{{“‘\\x27]) ', '\\1', 'g')"
 
 
-@bind("noise_word_syntax")
+@bind("noise_word_syntax", f"SELECT item_id, {_JOINED} AS noisy FROM (SELECT *, {_SYNTAX} AS o FROM (SELECT item_id, regexp_extract_all(text, '{WORD_CLASSES}') AS w FROM benchmark WHERE text IS NOT NULL) AS x) AS y")
 def _(t):
-    """Tests hold it against the tokens: what is left is a sub-multiset of them, displaced ones stay."""
-    return N.word_syntax(t("benchmark"), "text", "item_id", 0.16).select("item_id", "noisy")
+    """Tokens of which some change places and others go, joined again."""
+    return N.word_syntax(t("benchmark").where("text IS NOT NULL"), "text", "item_id", 0.16).select("item_id", "noisy")
 
 
 @bind("noise_dispatch")
 def _(t):
     """One table of several noises by their names."""
     rows = t("documents").select("doc_id", S.sentences(F.col("text")).alias("s")).withColumn("r", F.transform("s", lambda x: F.array(F.lower(x)))).where("size(s) > 0")
-    lexicon = F.create_map(*(F.lit(y) for x in synonym_map(1).items() for y in x))
+    lexicon = synonym_table(t, 1)
     out = None
     for spec in ("none", "mask-8", "delete-8", "replace-16", "mono-30", "retoken-4@3", "resent-50", "syntax-16@8", "rewrite-40", "rewrite@syntax-40", "partial-12"):
         part = N.dispatch(rows, "doc_id", "s", spec, vocabulary=F.array(F.lit("word"), F.lit("other")), rewrites="r", lexicon=lexicon)
@@ -510,7 +547,7 @@ def _(t):
     words = F.split(F.lower("text"), " ")
     tokens = t("benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("id"), words.alias("words"), F.transform(words, lambda w: F.when(F.length(w) == 4, "V").otherwise("N")).alias("tags"))
     entries = t.spark.createDataFrame([(["of", "the"], "C2"), (["of"], "C1"), (["the", "the"], "C3"), (["and", "of", "the"], "C4"), (["that"], "C5")], "words array<string>, code string")
-    return W.code_index(tokens, entries)
+    return P.code_index(tokens, entries)
 
 
 @bind("lexicon_expand_synonyms", "WITH l AS (SELECT w.s_suppkey AS word, p.place, p.synonym FROM supplier AS w, (SELECT g // 2 AS place, g, CASE WHEN g % 3 = 0 THEN '+' ELSE '' END AS plus FROM range(12) AS r(g)) AS x, LATERAL (SELECT x.place, 'n' || CAST((w.s_suppkey + x.g) % 9 AS VARCHAR) AS synonym) AS p), f AS (SELECT word, synonym, min(place) AS place FROM l WHERE synonym <> 'n' || CAST(word % 9 AS VARCHAR) GROUP BY word, synonym), b AS (SELECT *, (SELECT count(*) FROM f AS g WHERE g.word = f.word AND g.place < f.place) AS before FROM f) SELECT word, string_agg(synonym, '|' ORDER BY synonym) AS synonyms FROM b WHERE before <= 3 GROUP BY word")
@@ -536,15 +573,21 @@ def _(t):
 # --- annotation ---------------------------------------------------------------------------------------------------------
 @bind(
     "ner_annotate",
-    """WITH w AS (SELECT item_id, CAST(unnest(range(len(a))) AS INT) AS i, unnest(a) AS w FROM (SELECT item_id, string_split(regexp_replace(text, '\\s', ' ', 'g'), ' ') AS a FROM benchmark) AS x),
-    v AS (SELECT item_id, i, w, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS place, regexp_replace(lower(w), '[.,;:!?)\\]]+$', '') AS bare FROM w)
-    SELECT item_id AS id, place AS start, CAST(place + length(bare) AS INT) AS "end", substring(w, 1, length(bare)) AS text, CASE bare WHEN 'the' THEN 'ART' WHEN 'and' THEN 'CONJ' WHEN 'la' THEN 'ART' ELSE 'PREP' END AS label FROM v WHERE bare IN ('the', 'and', 'la', 'von', 'of')""",
+    """WITH RECURSIVE w AS (SELECT item_id, CAST(unnest(range(len(a))) AS INT) AS i, unnest(a) AS w, a FROM (SELECT item_id, string_split(regexp_replace(text, '\\s', ' ', 'g'), ' ') AS a FROM benchmark) AS x),
+    v AS (SELECT item_id, i, w, a, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS place FROM w),
+    d AS (SELECT * FROM (VALUES ('the', 'ART', 1), ('and', 'CONJ', 1), ('la', 'ART', 1), ('von', 'PREP', 1), ('of', 'PREP', 1), ('of the', 'PHRASE', 2), ('the the', 'TWICE', 2), ('and of the', 'LONG', 3)) AS d(p, label, n)),
+    h AS (SELECT item_id, i, n, place, label, regexp_replace(array_to_string(a[i + 1:i + n], ' '), '[.,;:!?)\\]]+$', '') AS t, p FROM v, d WHERE i + n <= len(a)),
+    hit AS (SELECT item_id, i, n, place, label, t FROM h WHERE lower(t) = p),
+    best AS (SELECT *, row_number() OVER (PARTITION BY item_id, i ORDER BY n DESC) AS k FROM hit),
+    walk AS (SELECT item_id, i, n FROM best WHERE k = 1 AND i = (SELECT min(i) FROM hit AS f WHERE f.item_id = best.item_id)
+      UNION ALL SELECT walk.item_id, b.i, b.n FROM walk JOIN best AS b ON b.item_id = walk.item_id AND b.k = 1 AND b.i = (SELECT min(f.i) FROM hit AS f WHERE f.item_id = walk.item_id AND f.i >= walk.i + walk.n))
+    SELECT b.item_id AS id, b.place AS start, CAST(b.place + length(b.t) AS INT) AS "end", b.t AS text, b.label FROM walk JOIN best AS b ON b.item_id = walk.item_id AND b.i = walk.i AND b.k = 1""",
 )
 def _(t):
-    """Words of a small dictionary, with their places."""
-    lexicon = t.spark.createDataFrame([("the", "ART"), ("and", "CONJ"), ("La", "ART"), ("von", "PREP"), ("of", "PREP"), ("no such phrase", "X")], "surface string, label string")
+    """Words and phrases of a small dictionary, with their places."""
+    lexicon = t.spark.createDataFrame([("the", "ART"), ("and", "CONJ"), ("La", "ART"), ("von", "PREP"), ("of", "PREP"), ("no such phrase", "X"), ("of the", "PHRASE"), ("the the", "TWICE"), ("and of the", "LONG")], "surface string, label string")
     texts = t("benchmark").select(F.col("item_id").alias("id"), "text")
-    return E.annotate(texts, lexicon)
+    return P.annotate(texts, lexicon)
 
 
 # --- mixtures -----------------------------------------------------------------------------------------------------------

@@ -77,27 +77,40 @@ def _(t):
     return _causal(t, "en")
 
 
-#: Responses as models give them: after thinking, in two blocks, with plain and with marked headings, and with too few.
-RESPONSES = f"""SELECT doc_id, CASE doc_id % 5
-  WHEN 0 THEN 'Question 1: none' || chr(10) || '</think>Question 1: ' || s1 || chr(10) || 'Answer 1: ' || s2 || chr(10) || 'Question 2: ' || s3 || chr(10) || 'Answer 2: ' || s4
-  WHEN 1 THEN 'Sure.' || chr(10) || chr(10) || chr(10) || '**Question**: ' || s1 || chr(10) || '**Answer**: ' || s2 || chr(10) || '**Question**: ' || s3 || chr(10) || 'A: ' || s4
-  WHEN 2 THEN 'Q1: ' || s1 || chr(10) || 'Q2: ' || s2 || chr(10) || 'A2: ' || s3
-  WHEN 3 THEN 'Question: ' || s1 || chr(10) || 'Answer: ' || s2
-  ELSE 'Q: ' || s1 || chr(10) || 'Q: ' || s2 END AS response, replace(s1, chr(10), ' ') AS p1, s1, s2, s3, s4 FROM ({PARTS}) AS p"""
+def _asked(n: int, answers: bool = True) -> str:
+    """n questions with answers (or without), in a document's language, headed by its words."""
+    q = planted.over(3)
+    head = {
+        "en": (f"CASE {q} % 2 WHEN 0 THEN 'Question {{k}}: ' ELSE '**Question**: ' END", f"CASE {q} % 2 WHEN 0 THEN 'Answer {{k}}: ' ELSE '**Answer**: ' END"),
+        "zh": (f"'## {{k}}. ' || {planted.pick(S.QUESTIONS['zh'].split('|'), q)} || '：'", f"'# ' || {planted.pick(S.ANSWERS['zh'].split('|'), q)} || ' {{k}}: '"),
+        "ja": (f"'### ' || CASE {q} % 2 WHEN 0 THEN '背景' ELSE '' END || {planted.pick(S.QUESTIONS['ja'].split('|'), q)} || '{{k}}：'", f"'###' || {planted.pick(S.ANSWERS['ja'].split('|'), q)} || '： '"),
+    }
+    each = []
+    for lang, (question, answer) in head.items():
+        rows = [f"{question.format(k=k)} || a || 'q{k}' || chr(10)" + (f" || {answer.format(k=k)} || b || 'a{k}' || chr(10)" if answers else "") for k in range(1, n + 1)]
+        each.append(f"WHEN lang = '{lang}' THEN " + " || ".join(rows))
+    return "CASE " + " ".join(each) + " END"
+
+
+#: Responses as models give them: after thinking, in two blocks, plain with many and with few questions, with one, and without answers.
+_RESPONSE = f"""CASE {planted.over(6)} % 6
+  WHEN 0 THEN 'Question 1: none' || chr(10) || '</think>' || {_asked(2)} WHEN 1 THEN 'Sure.' || chr(10) || chr(10) || chr(10) || {_asked(3)}
+  WHEN 2 THEN 'Here: ' || chr(10) || {_asked(5)} WHEN 3 THEN {_asked(2)} WHEN 4 THEN '</think>' || {_asked(1)} ELSE '</think>' || {_asked(2, False)} END"""
 
 
 @bind(
     "txt_qa_parse",
-    f"""WITH b AS (SELECT doc_id, CASE WHEN contains(response, '</think>') THEN list_last(string_split(response, '</think>'))
-        WHEN len(string_split(response, chr(10) || chr(10) || chr(10))) = 2 THEN string_split(response, chr(10) || chr(10) || chr(10))[2] ELSE response END AS body FROM ({RESPONSES}) AS r),
-    s AS (SELECT doc_id, regexp_split_to_array(body, '(?im)^\\W*(?:question|q)\\s*\\d*\\W*[:：]\\W*')[2:] AS parts FROM b),
-    c AS (SELECT doc_id, len(parts) AS heads, list_filter(list_transform(parts, lambda x: [regexp_replace(x, '(?im)^\\W*(?:answer|a)\\s*\\d*\\W*[:：]\\W*(.|\\n)*$', ''), regexp_extract(x, '(?im)^\\W*(?:answer|a)\\s*\\d*\\W*[:：]\\W*((.|\\n)*)$', 1), CASE WHEN regexp_matches(x, '(?im)^\\W*(?:answer|a)\\s*\\d*\\W*[:：]') THEN 'y' ELSE 'n' END]), lambda y: y[3] = 'y' AND trim(y[1]) <> '') AS qa FROM s)
-    SELECT doc_id, CASE WHEN heads < 2 THEN 'headings' WHEN len(qa) = 0 THEN 'answers' END AS reject, CAST(CASE WHEN heads < 2 THEN 0 ELSE len(qa) END AS BIGINT) AS pairs,
-      CASE WHEN heads >= 2 THEN regexp_replace(qa[1][2], '^\\s+|\\s+$', '', 'g') END AS first_answer FROM c""",
+    f"""WITH r AS (SELECT doc_id, lang, {planted.over(6)} % 6 AS form, b FROM (SELECT doc_id, {planted.LANG} AS lang, {_LETTERS} FROM ({PARTS}) AS q) AS x),
+    n AS (SELECT *, CASE form WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 5 WHEN 3 THEN CASE WHEN lang = 'ja' THEN 2 ELSE 0 END ELSE 0 END AS pairs FROM r)
+    SELECT doc_id, CASE WHEN form = 5 THEN 'answers' WHEN pairs = 0 THEN 'headings' END AS reject, CAST(pairs AS BIGINT) AS pairs, CASE WHEN pairs > 0 THEN b || 'a1' END AS first_answer, CASE WHEN pairs > 0 THEN b || 'a' || pairs END AS last_answer FROM n""",
 )
 def _(t):
-    x = t.sql(RESPONSES).select("doc_id", S.qa_pairs(F.col("response")).alias("x"))
-    return x.select("doc_id", "x.reject", F.size("x.qa").cast("bigint").alias("pairs"), F.get("x.qa", F.lit(0))["a"].alias("first_answer"))
+    """Headings of three languages."""
+    rows = t.sql(PARTS).withColumns({n: F.concat(F.lit("x"), F.regexp_replace(s, r"[^\p{L}]", "")) for s, n in (("s1", "a"), ("s2", "b"))})
+    rows = rows.withColumn("lang", F.expr(planted.LANG)).withColumn("response", F.expr(_RESPONSE))
+    x = rows.select("doc_id", S.qa_pairs(F.col("response"), F.col("lang")).alias("x"))
+    answer = lambda i: F.try_element_at("x.qa", F.lit(i))["a"]
+    return x.select("doc_id", "x.reject", F.size("x.qa").cast("bigint").alias("pairs"), answer(1).alias("first_answer"), answer(-1).alias("last_answer"))
 
 
 #: Translations as JSON-like fields, as plain headings, and as neither.
@@ -142,11 +155,21 @@ def _(t):
     return t("benchmark").select("item_id", F.inline(S.located(F.col("text"), tokens)))
 
 
-@bind("txt_romanize", "SELECT item_id, lower(text) AS text FROM benchmark")
+#: Kana for digits, with what they sound like: plain, with a small ya, doubled, and long.
+_SOUNDS = [("きゃ", "kya"), ("しゅう", "shuu"), ("っち", "tchi"), ("ツ", "tsu"), ("ん", "n"), ("ふ", "fu"), ("コー", "koo"), ("じょ", "jo"), ("りょ", "ryo"), ("ヴ", "ヴ")]
+
+
+def _spoken(number: str, k: int) -> str:
+    out = f"CAST({number} AS VARCHAR(20))"
+    for digit, x in enumerate(_SOUNDS):
+        out = f"replace({out}, '{digit}', '{x[k]}')"
+    return out
+
+
+@bind("txt_romanize", f"SELECT o_orderkey, {_spoken('o_orderkey', 1)} AS text FROM orders")
 def _(t):
-    """Vowels are written in kana first; read back, the text is the same."""
-    kana = F.translate(F.lower("text"), "aiueo", "あいうえお")
-    return t("benchmark").select("item_id", A.romanize_column(kana).alias("text"))
+    """Numbers written in kana, digit by digit, as they sound in Latin letters."""
+    return t.sql(f"SELECT o_orderkey, {_spoken('o_orderkey', 0)} AS kana FROM orders").select("o_orderkey", A.romanize_column("kana").alias("text"))
 
 
 @bind("txt_nfkc", "SELECT item_id, text FROM benchmark")

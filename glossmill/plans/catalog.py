@@ -94,7 +94,8 @@ def filter_valid_mcq(d):
 
 @plan
 def filter_min_keywords(d):
-    return f"SELECT p_partkey FROM part WHERE {d.size(d.split('p_name', ' '))} >= 3"
+    """Documents with three keywords or more: the words of their first line of capital letters; most have fewer."""
+    return f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND {d.size(d.split('substring(text, 1, 20)', ' '))} >= 3"
 
 
 @plan

@@ -18,7 +18,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,13 +72,30 @@ def _with_corrupt(schema: T.StructType | str) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
 
 
-def scan_line_range(spark: SparkSession, path: str, schema: str, start: int, count: int) -> DataFrame:
-    """Parse the physical lines start .. start + count - 1 of a file; malformed lines count, then go.
+def _numbered(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
+    """(line, value): the physical lines start .. end - 1 of a file or of several in the order of their names, from 0.
 
-    Line numbers need the file's order, which only its RDD keeps: zipWithIndex counts partitions first.
+    The lines of a file's split are read in order by one task, so their order is that of a rising id. Splits are counted
+    first (a row per split comes to the driver), and only those that hold a wanted line are numbered: by a window over
+    each split. The splits must be the same in both readings, as they are for files that nobody writes to.
     """
-    lines = spark.sparkContext.textFile(path).zipWithIndex().toDF("value string, line bigint")
-    own = lines.where(F.col("line").between(start, start + count - 1))
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from")]
+    lines = spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("_id"))
+    counts = sorted((r["_file"], r["_from"], r["n"]) for r in lines.groupBy("_file", "_from").agg(F.count(F.lit(1)).alias("n")).collect())
+    wanted, total = [], 0
+    for file, begin, n in counts:
+        if total + n > start and (end is None or total < end):
+            wanted.append((file, begin, total))
+        total += n
+    at = spark.createDataFrame(wanted, "_file string, _from bigint, _before bigint")
+    own = F.row_number().over(Window.partitionBy("_file", "_from").orderBy("_id")) - 1
+    numbered = lines.join(F.broadcast(at), ["_file", "_from"]).withColumn("line", F.col("_before") + own)  # a row per split
+    return numbered.where(F.col("line") >= start if end is None else F.col("line").between(start, end - 1)).select("line", "value")
+
+
+def scan_line_range(spark: SparkSession, path: str, schema: str, start: int, count: int) -> DataFrame:
+    """Parse the physical lines start .. start + count - 1 of a file; malformed lines count, then go."""
+    own = _numbered(spark, path, start, start + count)
     parsed = own.select("line", F.from_json("value", _with_corrupt(schema), {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
     return parsed.where(F.col("r").isNotNull() & F.col("r._bad").isNull()).select("line", "r.*").drop("_bad")
 
@@ -119,7 +136,7 @@ def scan_delimited(spark: SparkSession, path: str, names: list[str], separator:
 
 def scan_interleaved_lines(spark: SparkSession, path: str, first: str = "en", second: str = "ja") -> DataFrame:
     """Even lines and odd lines of a file side by side."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex().toDF("value string, line bigint")
+    lines = _numbered(spark, path)
     pair = F.expr("line div 2").alias("pair")
     side = lambda k: F.max(F.when(F.col("line") % 2 == k, F.col("value")))
     return lines.groupBy(pair).agg(side(0).alias(first), side(1).alias(second))

@@ -16,13 +16,6 @@ def test_json_blocks():
     assert texts.robust_json("nothing") is None and texts.robust_json("{bad}") is None
 
 
-@pytest.mark.parametrize("n,steps,width", [(10, 4, 3), (10, 2, 2), (7, 7, 3), (5, 9, 4), (30, 11, 5)])
-def test_permutation_moves_exactly_so_many(n, steps, width):
-    p = texts.permute_steps(n, steps, width, "s")
-    assert sorted(p) == list(range(n)) and sum(i != x for i, x in enumerate(p)) == min(steps, n)
-    assert texts.permute_steps(3, 1, 2, "s") == [0, 1, 2]
-
-
 def test_romanize():
     assert texts.romanize("きゃっとシャツ") == "kyattoshatsu"
     assert texts.romanize("コーヒー") == "koohii"

@@ -11,6 +11,7 @@ from glossmill.operators import evaluation as E
 from glossmill.operators import instructions as I
 from glossmill.operators import mixture as M
 from glossmill.operators import noise as N
+from glossmill.operators import phrases as P
 from glossmill.operators import ranking as R
 from glossmill.operators import retrieval as K
 from glossmill.operators import switching as W
@@ -232,7 +233,7 @@ def test_lemmas_and_index(spark):
     assert [tuple(r) for r in W.lemma_codes(tokens, words).collect()] == [(1, 0, "Cats", "chat", "fra")]
     rows = spark.createDataFrame([(1, ["run", "of", "the", "mill"], ["V", "N", "N", "N"])], "id int, words array<string>, tags array<string>")
     entries = spark.createDataFrame([(["of"], "A"), (["of", "the"], "B"), (["run", "of"], "C"), (["mill", "x"], "D")], "words array<string>, code string")
-    assert [tuple(r) for r in W.code_index(rows, entries).collect()] == [(1, 1, "B")]
+    assert [tuple(r) for r in P.code_index(rows, entries).collect()] == [(1, 1, "B")]
 
 
 def test_synonyms(spark):
@@ -336,7 +337,7 @@ def test_requests_and_padding(spark):
 def test_annotate(spark):
     texts = spark.createDataFrame([(1, "A  big Cat, a big cat house."), (2, "nothing"), (3, None)], "id int, text string")
     lexicon = spark.createDataFrame([("big cat", "ANIMAL"), ("cat", "PET"), ("cat house", "PLACE"), ("house", "THING")], "surface string, label string")
-    got = sorted(tuple(r) for r in E.annotate(texts, lexicon).collect())
+    got = sorted(tuple(r) for r in P.annotate(texts, lexicon).collect())
     assert got == [(1, 3, 10, "big Cat", "ANIMAL"), (1, 14, 21, "big cat", "ANIMAL"), (1, 22, 27, "house", "THING")]
 
 
