@@ -11,7 +11,8 @@ Which 50-byte strings of a document also start in an earlier one is found in ste
    bits, of the minimizer and of the whole fragment, are equal; this decides what exact copies lose, without a look at
    their bytes. Among n different fragments some two are taken for equal with odds of about n * n / 2 ** 97: one in
    ten million for 10 ** 11 fragments (some 2 TB of text).
-3. The contents of a minimizer are numbered by their first documents. For each bit of these numbers, those of a bucket
+3. Contents that have no window in common with another of their minimizer, by a hash of windows, are left out here.
+   The others are numbered by their first documents. For each bit of these numbers, those of a bucket
    that have a 0 there are joined to one text of which a run-compressed Burrows-Wheeler transform with sampled run ends
    is built; those that have a 1 are streamed against it. Of two contents, the earlier one is indexed and the later one
    streamed at the highest bit in which they differ. Matching statistics of 50 bytes or more are repeats, if the first
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, fresh, map_arrow, sample_of, steps, store, trim
+from .common import fresh, map_arrow, sample_of, steps, store, trim
 from .jaccard import _powers, mix
 
 #: Bytes of a repeated string, and of the strings that minimizers are.
@@ -305,11 +306,48 @@ class RunLengthIndex:
             yield own, sizes[own] - (width - col), keep, q
 
 
+def sharing(contents: list[bytes], groups: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The places of the contents that may have a window in common with another content of their group.
+
+    Windows are compared by a hash: what has none in common with any other needs no index; what has one is for the
+    index to decide. Groups go together by INDEXED bytes, and stay whole.
+    """
+    order = np.argsort(groups, kind="stable")
+    own = groups[order]
+    sizes = np.array([len(c) for c in contents], np.int64)[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    portion = np.repeat(np.cumsum(np.add.reduceat(sizes, first)) // INDEXED, np.diff(np.append(first, len(own))))
+    keep = np.zeros(len(contents), dtype=bool)
+    for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(portion)) + 1):
+        some, n = order[part], sizes[part]
+        windows = np.maximum(n - length + 1, 0)
+        raw = np.frombuffer(b"".join([contents[i] for i in some]), np.uint8).astype(np.uint64) + np.uint64(1)
+        p, inverse = _powers(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(raw * p[: len(raw)], out=total[1:])
+        ends = np.cumsum(windows)
+        at = np.arange(ends[-1]) + np.repeat(np.cumsum(n) - n - ends + windows, windows)
+        of = np.repeat(np.arange(len(some)), windows)
+        h = mix((total[at + length] - total[at]) * inverse[at]) + np.repeat(groups[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), windows)
+        by = np.argsort(h)
+        h, of = h[by], of[by]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        if len(new):
+            several = np.minimum.reduceat(of, new) != np.maximum.reduceat(of, new)
+            keep[some[of[np.repeat(several, np.diff(np.append(new, len(h))))]]] = True
+    return np.flatnonzero(keep)
+
+
 def repeated_windows(contents: list[bytes], docs: np.ndarray, groups: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs (content, first window, windows) that also occur in a content of a smaller document.
 
     Only contents of one group have windows in common.
     """
+    if len(docs):
+        some = sharing(contents, groups, length)
+        if len(some) < len(docs):
+            t, p, n = repeated_windows([contents[i] for i in some], docs[some], groups[some], length)
+            return some[t], p, n
     if not len(docs):
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     order = np.lexsort((docs, groups))
