@@ -265,6 +265,9 @@ def sink_jsonl(df: DataFrame, path: str) -> None:
 def sink_append_incremental(df: DataFrame, path: str, key: str, batch: str | None = None) -> int:
     """Append the rows whose key no other batch has, as a batch of its own; returns how many they are.
 
+    For one writer at a time: where several may write, or keys are many, use streaming.incremental, whose keys are
+    state of a checkpoint.
+
     A batch that is written again (a retried step names it) replaces what it wrote before, so nothing is doubled. Of
     several rows with a key one is kept. Readers see the batch's name in the column `batch`.
     """
@@ -286,13 +289,22 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def sink_column_add(spark: SparkSession, path: str, name: str, column: Column) -> DataFrame:
-    """A Parquet table with one more column, in place: written beside it, then put in its place by renaming."""
-    beside = f"{path}-{uuid.uuid4().hex}"
+    """A Parquet table with one more column, in place: written beside it, then exchanged with it by renaming.
+
+    The old table is deleted last. If the step fails before that, it still stands: at `path`, or, between the two
+    renames, beside it as <path>-before-<id>; a second rename that fails is taken back.
+    """
+    number = uuid.uuid4().hex
+    beside, before = f"{path}-{number}", f"{path}-before-{number}"
     spark.read.parquet(path).withColumn(name, column).write.parquet(beside)
     fs, old = _file_system(spark, path)
-    fs.delete(old, True)
-    if not fs.rename(_file_system(spark, beside)[1], old):
+    new, aside = (_file_system(spark, x)[1] for x in (beside, before))
+    if not fs.rename(old, aside):
+        raise OSError(f"could not put {path} aside")
+    if not fs.rename(new, old):
+        fs.rename(aside, old)
         raise OSError(f"could not put {beside} in the place of {path}")
+    fs.delete(aside, True)
     return spark.read.parquet(path)
 
 
@@ -319,6 +331,7 @@ def megatron_listing(files: DataFrame, separator: str = " ") -> DataFrame:
 
 
 def sink_pretty_table(df: DataFrame, rows: int = 50) -> str:
+    """The first rows of a small report as text; where rows are left out, the last line says so."""
     return df._show_string(rows, False)
 
 

@@ -37,13 +37,15 @@ def sentences(docs: DataFrame, config: dict) -> DataFrame:
 def run(spark: SparkSession, documents: str, output: str, checkpoint: str, config: dict) -> DataFrame:
     """Take what is new, wait until it is written, and return the whole output as it stands."""
     stream = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(documents)
-    usable = stream.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isin(config["languages"]))
-    query = feed(sentences(usable.dropDuplicates(["doc_id"]), config), output, checkpoint, ["lang"])
+    fit = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isin(config["languages"]), F.lit(False))
+    seen = stream.observe("input", F.count_if(~fit).alias("left_out"))
+    query = feed(sentences(seen.where(fit).dropDuplicates(["doc_id"]), config), output, checkpoint, ["lang"])
     query.awaitTermination()
     read = sum(p.numInputRows for p in query.recentProgress)
     new = sum(s.numRowsUpdated for p in query.recentProgress for s in p.stateOperators)
+    left_out = sum(p.observedMetrics["input"]["left_out"] for p in query.recentProgress if p.numInputRows and "input" in p.observedMetrics)
     out = spark.read.schema(SENTENCES).parquet(output)
-    LOG.info("read %d new rows from %s: %d new documents; %s now has %d sentences", read, documents, new, output, out.count())
+    LOG.info("read %d new rows from %s: %d new documents, %d rows left out; %s now has %d sentences", read, documents, new, left_out, output, out.count())
     return out
 
 

@@ -54,6 +54,13 @@ def test_only_new_files_are_read(spark, places, caplog):
     assert "read 7 new rows" in caplog.text and "2 new documents" in caplog.text
 
 
+def test_rows_that_are_left_out_are_logged(spark, places, caplog):
+    add(spark, places, (1, "First here.", "en"), (None, "No id.", "en"), (2, None, "en"), (3, "Other.", "xx"), (4, "No language.", None), (1, "First again.", "en"))
+    with caplog.at_level("INFO", "jobs"):
+        sentence_feed.run(spark, *places, CONFIG)
+    assert "read 6 new rows" in caplog.text and "1 new documents, 4 rows left out" in caplog.text
+
+
 def test_what_a_failed_write_leaves_is_not_read(spark, places):
     add(spark, places, (1, "First here.", "en"))
     first = ids(sentence_feed.run(spark, *places, CONFIG))

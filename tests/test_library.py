@@ -68,6 +68,16 @@ def test_append_is_idempotent(spark, tmp_path):
     assert files.sink_append_incremental(df.unionByName(df.select((F.col("k") + 1).alias("k"), "v")), str(tmp_path / "s"), "k") == 1
 
 
+def test_a_column_is_added_or_the_table_stays(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    with pytest.raises(Exception):
+        files.sink_column_add(spark, path, "x", F.raise_error("no"))
+    assert spark.read.parquet(path).columns == ["id"] and spark.read.parquet(path).count() == 3
+    assert sorted(map(tuple, files.sink_column_add(spark, path, "x", F.col("id") * 2).collect())) == [(0, 0), (1, 2), (2, 4)]
+    assert not [p.name for p in tmp_path.iterdir() if "before" in p.name]
+
+
 def test_recipes():
     assert files.recipe_key({"a": 1, "b": 0}) == files.recipe_key({"a": 1})
     assert files.merge_config({"a": {"x": 1}, "b": 2}, {"a": {"y": 3}, "b": {"z": 4}}) == {"a": {"x": 1, "y": 3}, "b": {"z": 4}}

@@ -42,10 +42,27 @@ QA = [
     ("<think>Q: x</think>Question 1: a?\nAnswer 1: b\nQuestion 2: c?\nAnswer: d\n", (None, [("a?", "b"), ("c?", "d")])),
     ("Sure\n\n\n**Question**: a\n**Answer**: b\n**Question 2**: c\nA: d\nmore", (None, [("a", "b"), ("c", "d\nmore")])),
     ("Question: a\nAnswer: b", ("headings", [])),
-    ("Q1: a\nQ2: b", ("answers", [])),
-    ("Q1: a\nQ2: b\nA2: c", (None, [("b", "c")])),
+    ("</think>Q1: a\nQ2: b", ("answers", [])),
+    ("</think>Q1: a\nQ2: b\nA2: c", (None, [("b", "c")])),
+    ("Q1: a\nA: b\nQ2: c\nA: d", ("headings", [])),
+    ("".join(f"Q{i}: a{i}\nA: b{i}\n" for i in range(5)), (None, [(f"a{i}", f"b{i}") for i in range(5)])),
     ("", ("headings", [])),
 ]
+ASKED = [
+    ("ja", "### 背景質問1：あ？\n### 回答1：い\n## 2. 問題：う\n#答案: え", (None, [("あ？", "い"), ("う", "え")])),
+    ("ja", "質問：あ\n回答：い\n質問：う\n回答：え", ("headings", [])),
+    ("ja", "</think>### 質問：あ\n### 質問：い\n", ("answers", [])),
+    ("ja", "### 質問：. あ\n### 質問：い", ("headings", [])),
+    ("zh", "# 提问 1：甲\n# 回答 1：乙\n# 提问 2：丙\n# 回答 2：丁", ("headings", [])),
+    ("zh", "好\n\n\n# 提问 1：甲\n# 回答 1：乙\n# 问题2: 丙\n# 答案：丁", (None, [("甲", "乙"), ("丙", "丁")])),
+    ("xx", "Q: a", None),
+]
+
+
+@pytest.mark.parametrize("lang,t,want", ASKED)
+def test_qa_pairs_of_languages(spark, lang, t, want):
+    got = text(spark, S.qa_pairs(F.col("t"), lang), t)
+    assert (got and (got["reject"], [tuple(x) for x in got["qa"]])) == want
 
 
 @pytest.mark.parametrize("t,want", QA)

@@ -30,7 +30,7 @@ def test_plan_equals_oracle(spark, duck, name):
 
 
 #: Queries that SQL cannot express; other tests hold them against brute force.
-WITHOUT_ORACLE = {"noise_dispatch", "noise_synonym", "noise_word_syntax"}
+WITHOUT_ORACLE = {"noise_dispatch"}
 
 
 def test_every_other_query_has_an_oracle():
