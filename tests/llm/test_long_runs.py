@@ -39,7 +39,7 @@ def test_packing_gives_the_tokenizers_ids(spark, docs, wanted, stage):
 
 def test_bpe_is_read_back(docs):
     got = {r["doc_id"]: (r["n_tokens"], bytes(r["decoded"])) for r in bpe.bpe_roundtrip(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()}
-    assert {k: v[1].decode() for k, v in got.items()} == RUNS and all(v[0] < len(RUNS[k]) for k, v in got.items())
+    assert {k: v[1].decode() for k, v in got.items()} == RUNS and all(0 < v[0] <= len(RUNS[k]) for k, v in got.items())
 
 
 def test_one_word_of_millions_of_letters_in_bounded_memory():
