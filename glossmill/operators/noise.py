@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.structure import detokenized, let, quartile_parts, spans_replaced, uniform, word_tokens
 from . import phrases
+from .ranking import numbered
 
 #: What stands in the labels of tokens that noise left alone, and in place of a masked token.
 PLAIN, MASK = "<token>", "<unk>"
@@ -145,9 +146,8 @@ def synonyms(rows: DataFrame, key: str, text: str, lexicon: DataFrame, p: float,
     The lexicon is a table of any size that meets the texts by joins (phrases.annotate): of overlapping phrases the
     leftmost stays, then the longest. Marks that close a phrase stay. A phrase's place is its chance.
     """
-    row = F.monotonically_increasing_id()
-    kept = rows.withColumn("_row", row)
-    found = phrases.annotate(kept.select(F.struct(key, "_row").alias("_of"), F.col(text).alias("text")), lexicon.select(F.col("phrase").alias("surface"), F.col("synonym").alias("label")), "_of")
+    kept = numbered(rows)
+    found = phrases.annotate(kept.select(F.struct(key, "_row").alias("_of"), F.col(text).alias("text"), "_row"), lexicon.select(F.col("phrase").alias("surface"), F.col("synonym").alias("label")), "_of", "_row")
     hit = uniform(seed, F.col("_of")[key], F.col("start")) < p
     recipe = found.where(hit).groupBy("_of").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("label").alias("code")))).alias("_recipe"))
     own = kept.join(recipe.select(F.col("_of._row").alias("_row"), "_recipe"), "_row", "left")

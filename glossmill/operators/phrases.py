@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 
 def ahead(words: DataFrame, row: str, place: str, value: Column, longest: int, name: str) -> DataFrame:
     """words with `name`: the values from a row's own place on, `longest` at most, within its text."""
@@ -41,19 +43,21 @@ def leftmost_longest(hits: DataFrame, row: str, start: str, size: str, *ties: st
     return ordered.mapInArrow(walk, hits.schema)
 
 
-def annotate(texts: DataFrame, lexicon: DataFrame, key: str = "id") -> DataFrame:
+def annotate(texts: DataFrame, lexicon: DataFrame, key: str = "id", row: str | None = None) -> DataFrame:
     """(key, start, end, text, label): where entries of a lexicon (surface, label) stand in a text, by whole words.
 
     Case counts for nothing, nor does the kind of white space between words; marks that close a hit (.,;:!?)]) are no
     part of it. Places count characters from 0. Of overlapping hits the leftmost stays, then the longest, then the
     first label. A text without entries, and a null one, has no rows; rows that repeat a key are texts of their own.
+    The texts are stored with numbers, unless `row` names a column of a stored table that is unique.
     """
     phrase = F.array_join(F.split(F.trim(F.regexp_replace(F.lower("surface"), r"\s+", " ")), " "), " ")
     entries = lexicon.select(phrase.alias("_phrase"), "label").where("_phrase <> ''").distinct()
     size = F.size(F.split("_phrase", " "))
     longest = entries.agg(F.max(size).alias("n")).collect()[0]["n"] or 1
     pieces = F.regexp_extract_all("text", F.lit(r"(\s*\S+)"), F.lit(1))
-    words = texts.select(key, F.monotonically_increasing_id().alias("_row"), "text").select(key, "_row", F.posexplode(pieces).alias("_i", "_piece"))
+    own = texts.select(key, "text").transform(numbered) if row is None else texts.select(key, F.col(row).alias("_row"), "text")
+    words = own.select(key, "_row", F.posexplode(pieces).alias("_i", "_piece"))
     word = F.regexp_replace("_piece", r"^\s+", "")
     before = F.sum(F.length("_piece")).over(Window.partitionBy("_row").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1))
     words = words.withColumn("start", (F.coalesce(before, F.lit(0)) + F.length("_piece") - F.length(word)).cast("int"))

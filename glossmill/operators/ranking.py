@@ -24,6 +24,17 @@ def stored_order(rows: DataFrame, *order: Column | str, name: str = "_row") -> D
     return rows.sparkSession.read.schema(ranged.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, name: str = "_row") -> DataFrame:
+    """rows, written once to the shared folder, each with a number of its own.
+
+    A number that a plan makes is another one where the plan runs in a second branch; those of a stored table stay.
+    """
+    path = scratch(rows.sparkSession)
+    own = rows.withColumn(name, F.monotonically_increasing_id())
+    own.write.parquet(path)
+    return rows.sparkSession.read.schema(own.schema).parquet(path)
+
+
 def range_of(row: Column | str) -> Column:
     """The range that a row number of stored_order lies in."""
     return F.shiftrightunsigned(row, PLACE_BITS).cast("int")

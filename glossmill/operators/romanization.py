@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 HAN = r"\p{IsHan}"
 
 
@@ -63,8 +65,8 @@ def romanized(rows: DataFrame, text: str, lexicon: DataFrame, name: str = "roman
     one = lexicon.where("word <> '' AND weight > 0").groupBy("word").agg(F.max_by("reading", F.struct("weight", "reading")).alias("reading"), F.max("weight").alias("weight"))
     stats = one.agg(F.max(F.length("word")).alias("longest"), F.sum("weight").alias("total")).collect()[0]
     longest, total = stats["longest"] or 1, float(stats["total"] or 1)
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    pieces = numbered.select("_row", F.col(text).alias("_text")).select("_row", F.posexplode(F.regexp_extract_all("_text", F.lit(f"([{HAN}]+|[^{HAN}]+)"))).alias("_i", "_piece"))
+    own = numbered(rows)
+    pieces = own.select("_row", F.col(text).alias("_text")).select("_row", F.posexplode(F.regexp_extract_all("_text", F.lit(f"([{HAN}]+|[^{HAN}]+)"))).alias("_i", "_piece"))
     runs = pieces.where(F.regexp_like("_piece", F.lit(f"^[{HAN}]"))).select("_piece").distinct()
     starts = runs.select("_piece", F.explode(F.sequence(F.lit(0), F.length("_piece") - 1)).alias("i"))
     words = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("_piece") - F.col("i"))))).withColumn("word", F.substring("_piece", F.col("i") + 1, F.col("n")))
@@ -73,5 +75,5 @@ def romanized(rows: DataFrame, text: str, lexicon: DataFrame, name: str = "roman
     read = runs.join(edges, "_piece", "left").select("_piece", _paths(F.col("_piece"), F.col("_edges"), math.log(total) + 5.0).alias("_read"))
     whole = pieces.join(read, "_piece", "left").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_read", "_piece").alias("_x")))).alias("_parts"))
     said = F.regexp_replace(F.array_join(F.transform("_parts", lambda x: x["_x"]), " "), r"(?U)\s+([^\w\s])", "$1")
-    out = numbered.join(whole.select("_row", said.alias("_said")), "_row", "left")
+    out = own.join(whole.select("_row", said.alias("_said")), "_row", "left")
     return out.withColumn(name, F.when(F.col(text).isNotNull(), F.coalesce("_said", F.lit("")))).drop("_row", "_said")

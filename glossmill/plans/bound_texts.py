@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cues as C
 from ..functions import structure as S
 from ..functions import texts as A
+from ..operators.romanization import romanized
 from . import planted
 from .bound import bind
 
@@ -172,6 +173,30 @@ def _(t):
     return t.sql(f"SELECT o_orderkey, {_spoken('o_orderkey', 0)} AS kana FROM orders").select("o_orderkey", A.romanize_column("kana").alias("text"))
 
 
+#: Chinese words for the words of the parts' names, with their readings.
+_CHINESE = {
+    "ring": ("指环", "zhihuan"), "bolt": ("螺栓", "luoshuan"), "blue": ("蓝色", "lanse"), "cold": ("寒冷", "hanleng"), "new": ("崭新", "zhanxin"), "large": ("巨大", "juda"), "red": ("红色", "hongse"), "plate": ("板材", "bancai"),
+    "rod": ("杆件", "ganjian"), "small": ("细小", "xixiao"), "gear": ("齿轮", "chilun"), "gizmo": ("器具", "qiju"), "anvil": ("铁砧", "tiezhen"), "hot": ("炎热", "yanre"), "old": ("陈旧", "chenjiu"), "widget": ("部件", "bujian"),
+}
+
+
+def _said(k: int, between: str) -> str:
+    """A name's two words, a number, the second word and a full stop: in Chinese (0) or as they are read (1)."""
+    word = lambda i: "CASE split_part(p_name, ' ', " + str(i) + ") " + " ".join(f"WHEN '{w}' THEN '{x[k]}'" for w, x in _CHINESE.items()) + " ELSE '' END"
+    return f"{word(1)} || '{between}' || {word(2)} || '{between} A' || CAST(p_partkey AS VARCHAR(20)) || '，{between}' || {word(2)} || '。'"
+
+
+@bind("txt_romanize_zh", f"SELECT p_partkey, {_said(1, ' ')} AS text FROM part WHERE length(p_name) > 0")
+def _(t):
+    """Words of two characters in a row; the lexicon has their characters, and pairs across words, with small weights."""
+    words = [(w, r, 1000) for w, r in _CHINESE.values()]
+    parts = [(c, f"x{i}", 2) for i, c in enumerate(sorted({c for w, _ in _CHINESE.values() for c in w}))]
+    across = [(a[0][1] + b[0][0], "wrong", 3) for a in _CHINESE.values() for b in _CHINESE.values()]
+    lexicon = t.spark.createDataFrame([*words, *parts, *across], "word string, reading string, weight int")
+    rows = t.sql(f"SELECT p_partkey, {_said(0, '')} AS zh FROM part WHERE length(p_name) > 0")
+    return romanized(rows, "zh", lexicon, "text").select("p_partkey", "text")
+
+
 @bind("txt_nfkc", "SELECT item_id, text FROM benchmark")
 def _(t):
     """Letters are written in full width first; normalised, the text is the same."""
