@@ -141,10 +141,11 @@ def word_syntax(rows: DataFrame, text: str, key: str, rate: float, width: int =
 
 
 def synonyms(rows: DataFrame, key: str, text: str, lexicon: DataFrame, p: float, seed: str) -> DataFrame:
-    """rows with `noisy` and `n_noise`: words and phrases of a lexicon (phrase, synonym) replaced with probability p.
+    """rows with `noisy`, `labels` and `n_noise`: words and phrases of a lexicon (phrase, synonym) replaced with probability p.
 
     The lexicon is a table of any size that meets the texts by joins (phrases.annotate): of overlapping phrases the
-    leftmost stays, then the longest. Marks that close a phrase stay. A phrase's place is its chance.
+    leftmost stays, then the longest. Marks that close a phrase stay. A phrase's place is its chance. labels has one
+    for each word of the noisy text, n_noise counts the replaced phrases.
     """
     kept = numbered(rows)
     found = phrases.annotate(kept.select(F.struct(key, "_row").alias("_of"), F.col(text).alias("text"), "_row"), lexicon.select(F.col("phrase").alias("surface"), F.col("synonym").alias("label")), "_of", "_row")
@@ -153,7 +154,30 @@ def synonyms(rows: DataFrame, key: str, text: str, lexicon: DataFrame, p: float,
     own = kept.join(recipe.select(F.col("_of._row").alias("_row"), "_recipe"), "_row", "left")
     none = F.array().cast("array<struct<start:int,end:int,code:string>>")
     recipe = F.coalesce("_recipe", none)
-    return own.withColumns({"noisy": spans_replaced(F.col(text), recipe), "n_noise": F.size(recipe)}).drop("_row", "_recipe")
+    return own.withColumns({"noisy": spans_replaced(F.col(text), recipe), "labels": _span_labels(F.col(text), recipe), "n_noise": F.size(recipe)}).drop("_row", "_recipe")
+
+
+def _span_labels(text: Column, recipe: Column) -> Column:
+    """PLAIN for each word between replaced spans, <synonym> for each word that takes the place of one.
+
+    What follows a span without white space belongs to its last word.
+    """
+    count = lambda x: F.size(F.regexp_extract_all(x, F.lit(r"(\S+)"), F.lit(1)))
+    plain = lambda x: F.array_repeat(F.lit(PLAIN), count(x))
+
+    def labels(spans: Column) -> Column:
+        def gap(start: Column, end: Column, first: Column) -> Column:
+            own = F.substring(text, start + 1, end - start)
+            return plain(F.when(first, own).otherwise(F.regexp_replace(own, r"^\S+", "")))
+
+        def one(x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+            return F.concat(gap(before, x["start"], i == 0), F.array_repeat(F.lit("<synonym>"), count(x["code"])))
+
+        last = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0))
+        return F.concat(F.flatten(F.transform(spans, one)), gap(last, F.length(text), F.size(spans) == 0))
+
+    return F.when(text.isNotNull(), let(recipe, labels))
 
 
 @dataclass(frozen=True)

@@ -192,13 +192,13 @@ def test_word_syntax_keeps_displaced_words(spark):
     assert set(words) <= set(t.split()) and len(set(words)) == len(words) and 25 < len(words) < 56
 
 
-def test_synonym_spans(spark):
-    lexicon = F.create_map(*map(F.lit, ["of the", "du", "the", "le", "cat", "chat"]))
-    words = F.array(*map(F.lit, ["The", "cat,", "of", "the", "house", "of"]))
-    got = spark.range(1).select(N.synonym_spans(words, lexicon, F.lit(1), 1.0, "s").alias("x")).collect()[0]["x"]
-    assert got["words"] == ["le", "chat,", "du", "house", "of"] and got["labels"] == ["<synonym>", "<synonym>", "<synonym>", N.PLAIN, N.PLAIN]
-    none = spark.range(1).select(N.synonym_spans(words, lexicon, F.lit(1), 0.0, "s").alias("x")).collect()[0]["x"]
-    assert none["words"] == ["The", "cat,", "of", "the", "house", "of"]
+def test_synonyms(spark):
+    lexicon = spark.createDataFrame([("of the", "belonging to"), ("the", "le"), ("cat", "chat")], "phrase string, synonym string")
+    rows = spark.createDataFrame([(1, "The cat, of the house of"), (2, "no match"), (3, ""), (4, None)], "id int, text string")
+    got = {r["id"]: (r["noisy"], r["labels"], r["n_noise"]) for r in N.synonyms(rows, "id", "text", lexicon, 1.0, "s").collect()}
+    new, old = "<synonym>", N.PLAIN
+    assert got == {1: ("le chat, belonging to house of", [new] * 4 + [old] * 2, 3), 2: ("no match", [old] * 2, 0), 3: ("", [], 0), 4: (None, None, 0)}
+    assert {(r["noisy"], tuple(r["labels"])) for r in N.synonyms(rows.where("id = 1"), "id", "text", lexicon, 0.0, "s").collect()} == {("The cat, of the house of", (old,) * 6)}
 
 
 def test_rewrite(spark):
