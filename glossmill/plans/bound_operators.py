@@ -17,6 +17,7 @@ from ..operators import ranking as R
 from ..operators import retrieval as K
 from ..operators import switching as W
 from ..operators import translation as B
+from ..sources.files import scratch
 from . import planted
 from .bound import ORACLES, bind
 from .bound_texts import _CLASSES as WORD_CLASSES
@@ -997,8 +998,9 @@ def _(t):
     gmrc = t.sql(planted.abstracts(PARTS)).select(F.col("doc_id").alias("docid"), C.section_spans(F.col("abstract"), lang).alias("gmrc"))
     rec = records(t)
     en = rec.where("docid % 2 = 0").select((F.col("docid") + 1).alias("docid"), F.col("title").alias("en_title"), F.col("abstract").alias("en_abstract"))
-    rec = rec.join(conclu, "docid", "left").join(gmrc, "docid", "left").join(en, "docid", "left")
-    return I.dispatch(rec, sorted(I.MODES)).groupBy("mode", "type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("docid").alias("docids"))
+    path = scratch(t.spark)  # every mode reads the records
+    rec.join(conclu, "docid", "left").join(gmrc, "docid", "left").join(en, "docid", "left").write.parquet(path)
+    return I.dispatch(t.spark.read.parquet(path), sorted(I.MODES)).groupBy("mode", "type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("docid").alias("docids"))
 
 
 def _dispatch_oracle() -> str:
