@@ -26,6 +26,8 @@ from .components import components
 
 #: Sets of a component that are all searched at once; leaders of a larger one; sets of an index block.
 SMALL, LEADERS, BLOCK, OPEN_BLOCK = 16, 6, 256, 1024
+#: Shingles of the sets of an open index block: about 100 bytes each are held.
+OPEN_TOKENS = 3_000_000
 #: Documents whose sets and signatures a task holds at once, and signatures.
 FLUSH_DOCS, FLUSH_SIGNATURES = 50_000, 600_000
 #: Documents that are looked at (about) for shingles so frequent that signatures do better without them.
@@ -174,20 +176,26 @@ class SkipIndex:
 
     def __init__(self, sim: Similarity):
         self.sim, self.ids, self.sizes = sim, [], []
-        self.lists: dict[int, list[int]] = {}
+        #: The places of a token's sets; most tokens have one, which then stands as a number, without a list around it.
+        self.lists: dict[int, int | list[int]] = {}
 
     def add(self, doc_id: int, tokens: list[int]) -> None:
-        k = len(self.ids)
+        k, lists = len(self.ids), self.lists
         self.ids.append(doc_id)
         self.sizes.append(len(tokens))
         for t in tokens:
-            self.lists.setdefault(t, []).append(k)
+            x = lists.setdefault(t, k)
+            if x is not k and x != k:
+                if type(x) is list:
+                    x.append(k)
+                else:
+                    lists[t] = [x, k]
 
     def search(self, tokens: list[int]) -> list[int]:
         """The places of all indexed sets that link with these tokens."""
         sim, n = self.sim, len(tokens)
         need = -(-sim.num * n // sim.den)  # a union has n elements at least
-        lists = sorted((x for t in tokens if (x := self.lists.get(t)) is not None), key=len)
+        lists = sorted((x if type(x) is list else (x,) for t in tokens if (x := self.lists.get(t)) is not None), key=len)
         if not need or len(lists) < need:
             return []
         n_long = min(need - 1, int(need / (0.01 * math.log2(len(lists[-1]) + 1) + 1)))
@@ -462,8 +470,8 @@ def groups(docs: DataFrame, sim: Similarity | None = None) -> DataFrame:
             open_ = step(part.join(largest, "grp"))
             # only sets of about the same size can link: blocks hold one class of sizes, a query visits three
             growth = math.log(sim.den / sim.num * 1.0001)
-            open_ = step(open_.join(by(0).selectExpr("a AS doc_id", "c AS n"), "doc_id").withColumn("size", F.floor(F.log("n") / growth)).drop("n"))
-            full = step(open_.groupBy("grp", "size").agg(F.expr(f"cast(ceil(count(1) / {OPEN_BLOCK}) AS bigint)").alias("k")))
+            open_ = step(open_.join(by(0).selectExpr("a AS doc_id", "c AS n"), "doc_id").withColumn("size", F.floor(F.log("n") / growth)))
+            full = step(open_.groupBy("grp", "size").agg(F.expr(f"cast(ceil(greatest(count(1) / {OPEN_BLOCK}, sum(n) / {OPEN_TOKENS})) AS bigint)").alias("k")))
             at = F.expr("size * 1000000 + pmod(xxhash64('block', doc_id), k)").alias("block")
             asks = open_.where("part <> main").select("grp", "doc_id", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"))
             asks = asks.join(full, ["grp", "size"]).select("grp", F.explode(F.expr("transform(sequence(0L, k - 1), i -> size * 1000000 + i)")).alias("block"), F.lit(1).alias("role"), "doc_id")
