@@ -58,3 +58,20 @@ def test_code_index_of_a_long_row(spark):
     entries = spark.createDataFrame([(["of"], "A"), (["of", "w1"], "B"), ([], "none")], "words array<string>, code string")
     got = P.code_index(rows, entries).groupBy("id", "code").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {(r["id"], r["code"]): r["n"] for r in got} == {(1, "A"): 28_800, (1, "B"): 1_200, (2, "A"): 1}
+
+
+def test_words_are_not_shuffled_to_a_small_lexicon(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "the big cat of the house"), (2, "the, big")], "id int, text string")
+    lexicon = spark.createDataFrame([("the", "A"), ("the big", "B"), ("of the house", "C")], "surface string, label string")
+
+    def found():
+        rows = P.annotate(df, lexicon)
+        shuffled = re.findall(r"hashpartitioning\((_first|_phrase)#\d+, ", rows._jdf.queryExecution().executedPlan().toString())
+        return sorted(tuple(r) for r in rows.collect()), shuffled.count("_first") > 1 or "SortMergeJoin" in rows._jdf.queryExecution().executedPlan().toString()
+
+    want = [(1, 0, 7, "the big", "B"), (1, 12, 24, "of the house", "C"), (2, 0, 3, "the", "A")]
+    monkeypatch.setattr(P, "BROADCAST_ENTRIES", 0)
+    with_joins, _ = found()
+    monkeypatch.setattr(P, "BROADCAST_ENTRIES", 10)
+    sent, shuffles = found()
+    assert with_joins == sent == want and not shuffles
