@@ -178,3 +178,24 @@ def test_a_megabyte_takes_a_second():
         cues.cut_sentences(text)
         cues.find_headings(text, cues.SECTIONS["ja"])
     assert time.process_time() - began < 12
+
+
+@pytest.mark.parametrize("name", ["inst_gmrc", "inst_causal", "inst_conclusion", "txt_causal_en", "txt_causal_zh_ja"])
+def test_texts_go_to_python_once_in_small_batches(spark, name):
+    from glossmill.plans import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_steps_of_a_batch_hold_few_rows_and_bytes():
+    import pyarrow as pa
+
+    texts = pa.array(["x" * 10, None, "y" * (3 << 20), "", *["z" * 1000] * 200])
+    lists = pa.array([["x" * 10, None], None, ["y" * (3 << 20)], [], *[["z" * 500] * 2] * 200])
+    for values in (texts, lists, texts[1:], lists[1:]):
+        cuts = list(cues._steps(values))
+        assert [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and cuts[-1][1] == len(values)
+        assert max(b - a for a, b in cuts) <= cues.STEP_ROWS and len(cuts) > 3
+    assert list(cues._steps(texts[:0])) == []
