@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow, sample_of, steps, trim
+from .common import drop, held_out, map_arrow, sample_of, steps, store, trim
 
 #: Dimensions, letters per n-gram, and the seed of the letter vectors.
 DIMENSIONS, SEED = 512, 11
@@ -174,28 +174,60 @@ def judgeable(text: str | None) -> bool:
     return sum(1 for _ in islice(filter(str.isalpha, text or ""), LEAST_LETTERS)) == LEAST_LETTERS
 
 
-def least_cosine(docs: DataFrame, profiles: Profiles, bound: int = TRAINING_DOCS) -> float:
+def least_cosine(docs: DataFrame, profiles: Profiles) -> float:
     """The cosine below which a text is in no language that was learned.
 
-    All but a thousandth of the training documents that are long enough are at least as near to their own lang; it is
+    All but a thousandth of the labelled documents that are long enough are at least as near to their own lang; it is
     at most what unrelated n-grams reach by chance (CHANCE standard deviations): a text above that is never dropped.
-    The driver gets one number for each of about `bound` documents.
+    Every row of docs with a lang outside the held-out quarter counts. Cosines below chance are stored; the one at the
+    wanted place is found by counts in ever smaller ranges, so that the driver gets PARTS rows at a time.
     """
+    chance = CHANCE / DIMENSIONS**0.5
     if not profiles.languages:
         return 0.0
-    chosen = training(docs, bound)
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     place = {lang: k for k, lang in enumerate(profiles.languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judged, below = 0, []
         for b in steps(batches, "text"):
-            own = []
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if lang in place and judgeable(text):
-                    own.append(float(profiles.cosines(bundle(text))[place[lang]]))
-            yield pa.record_batch({"cos": pa.array(own, pa.float64())})
-
-    cosines = sorted(r["cos"] for r in map_arrow(chosen, run, "cos double", "lang", "text").collect())
-    return max(0.0, min(CHANCE / DIMENSIONS**0.5, cosines[len(cosines) // 1000])) if cosines else 0.0
+                    cos = float(profiles.cosines(bundle(text))[place[lang]])
+                    judged += 1
+                    below += [cos] if cos < chance else []
+            if len(below) >= 10_000:
+                yield pa.record_batch({"n": pa.array([judged], pa.int64()), "below": pa.array([below], pa.list_(pa.float64()))})
+                judged, below = 0, []
+        yield pa.record_batch({"n": pa.array([judged], pa.int64()), "below": pa.array([below], pa.list_(pa.float64()))})
+
+    found = store(map_arrow(known, run, "n bigint, below array<double>", "lang", "text"))
+    try:
+        total = found.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
+        return max(0.0, smallest(found.select(F.explode("below").alias("x")), total // 1000, chance)) if total else 0.0
+    finally:
+        drop(found)
+
+
+#: Ranges that are counted at a time.
+PARTS = 1_000
+
+
+def smallest(rows: DataFrame, k: int, otherwise: float) -> float:
+    """The value at place k (from 0) of the sorted numbers x; `otherwise` if there are no more than k."""
+    while True:
+        ends = rows.agg(F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("most")).collect()[0]
+        if ends["n"] <= k:
+            return otherwise
+        least, most = ends["least"], ends["most"]
+        if least == most:
+            return least
+        part = F.least(F.floor((F.col("x") - least) / (most - least) * PARTS), F.lit(PARTS - 1))
+        for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most")).orderBy("part").collect():
+            if k < r["n"]:
+                rows = rows.where(F.col("x").between(r["least"], r["most"]))
+                break
+            k -= r["n"]
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataFrame:
