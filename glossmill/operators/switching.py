@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.structure import greedy_spans, spans_replaced, uniform
+from ..functions.structure import greedy_spans, let, spans_replaced, uniform
 
 CANDIDATES = ("max_score", "random", "all", "threshold")
 ALIASES = ("random", "max_diff", "min_diff")
 
 
-def token_distance(a: Column, b: Column) -> Column:
-    """1 - intersection / union of the lower-cased words of two names; 0 for two without words."""
-    x, y = (F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")) for c in (a, b))
-    union = F.size(F.array_union(x, y))
-    return F.when(union > 0, 1 - F.size(F.array_intersect(x, y)) / union).otherwise(F.lit(0.0))
+def name_words(name: Column) -> Column:
+    """The distinct lower-cased words of a name."""
+    return F.array_distinct(F.filter(F.split(F.lower(name), r"\s+"), lambda w: w != ""))
+
+
+def token_distance(x: Column, y: Column) -> Column:
+    """1 - intersection / union of the words of two names (name_words); 0 for two without words."""
+
+    def of(common: Column) -> Column:
+        union = F.size(x) + F.size(y) - common
+        return F.when(union > 0, 1 - common / union).otherwise(F.lit(0.0))
+
+    return let(F.size(F.array_intersect(x, y)), of)
 
 
 def good_aliases(aliases: Column, source: Column, blocked: list[str]) -> Column:
@@ -32,7 +40,7 @@ def entity_aliases(mentions: DataFrame, lexicon: DataFrame, candidates: str = "m
     candidates chooses among a mention's: the one with the largest score, one at random, all, or all from a score on;
     `exact` lets pass only candidates whose name is the text in any case. alias chooses among the names of those that
     are left: at random, or the one with the most or the fewest other words. Ties go by cui and name. Candidates are
-    joined by cui; nothing is collected.
+    joined by cui and meet the names of their entry within the row; nothing is collected.
     """
     if candidates not in CANDIDATES or alias not in ALIASES:
         raise ValueError(f"candidates: {CANDIDATES}; alias: {ALIASES}")
@@ -45,10 +53,17 @@ def entity_aliases(mentions: DataFrame, lexicon: DataFrame, candidates: str = "m
         rank = -F.col("score") if candidates == "max_score" else uniform(seed, F.lit("cand"), F.col("mention"), F.col("cui"))
         best = each.groupBy("mention").agg(F.min_by(F.struct("text", "cui"), F.struct(rank, "cui")).alias("x"))
         each = best.select("mention", "x.text", "x.cui")
-    named = each.select("mention", "text", "cui").join(lexicon, "cui").select("mention", "text", "cui", F.explode("aliases").alias("code"))
-    distance = token_distance(F.col("text"), F.col("code"))
-    rank = {"random": uniform(seed, F.lit("name"), F.col("mention"), F.col("code")), "max_diff": -distance, "min_diff": distance}[alias]
-    return named.groupBy("mention").agg(F.min_by(F.struct("cui", "code"), F.struct(rank, "cui", "code")).alias("x")).select("mention", "x.cui", "x.code")
+    if alias == "random":
+        names, words = F.col("aliases"), F.lit(None)
+        ranked = lambda a: F.struct(uniform(seed, F.lit("name"), F.col("mention"), a).alias("rank"), a.alias("code"))
+    else:
+        names, words = F.transform("aliases", lambda a: F.struct(a.alias("code"), name_words(a).alias("words"))), name_words(F.col("text"))
+        sign = -1 if alias == "max_diff" else 1
+        ranked = lambda a: F.struct((sign * token_distance(F.col("words"), a["words"])).alias("rank"), a["code"].alias("code"))
+    # the best name of an entry is found within the row: a row for each name would be sorted by mention
+    named = each.select("mention", "cui", words.alias("words")).join(lexicon.select("cui", names.alias("names")), "cui")
+    best = named.select("mention", "cui", F.array_min(F.transform("names", ranked)).alias("best")).where("best IS NOT NULL")
+    return best.groupBy("mention").agg(F.min_by(F.struct("cui", "best.code"), F.struct("best.rank", "cui", "best.code")).alias("x")).select("mention", "x.cui", "x.code")
 
 
 def switch_entities(docs: DataFrame, entities: DataFrame, ratio: float, key: str = "doc_id", copies: int = 1, seed: str = "switch") -> DataFrame:
