@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 4
+COUNTS = {"hits": "array<bigint>", "totals": "array<bigint>", "candidate_length": "bigint", "reference_length": "bigint"}
+#: Rows that become Python objects at once.
+ROWS = 64
 #: Fixed values of the 13a rules: what goes, entities, and marks that stand alone (but for . , and - between digits).
 GONE = ["<skipped>", "-\n"]
 ENTITIES = {"&quot;": '"', "&amp;": "&", "&lt;": "<", "&gt;": ">"}
@@ -39,35 +46,35 @@ def characters(text: Column) -> Column:
 def ngram_counts(rows: DataFrame, keys: list[str], candidate: Column, reference: Column) -> DataFrame:
     """keys, hits and totals (arrays by n), candidate_length, reference_length, for each row of rows.
 
-    candidate and reference are arrays of tokens. The n-grams of both are counted in one aggregation by row and
-    n-gram, which counts ahead of its shuffle; a hit is counted as often as both sides have it. Empty sides count 0.
+    candidate and reference are arrays of tokens. A row is counted by itself, where it lies: its n-grams are neither
+    rows nor shuffled. A hit is counted as often as both sides have it. Empty sides count 0.
     """
 
-    def grams(tokens: Column, side: int) -> list[Column]:
-        def of(n: int) -> Column:
-            starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("gram")))
-
-        return [of(n) for n in range(1, ORDER + 1)]
-
-    kept = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("n"), F.lit("").alias("gram")))  # a row without tokens stays
-    both = rows.select(*keys, candidate.alias("_c"), reference.alias("_r")).withColumn("_row", F.monotonically_increasing_id())
-    each = both.select(*keys, "_row", F.explode(F.concat(kept, *grams(F.col("_c"), 0), *grams(F.col("_r"), 1))).alias("_gram")).select(*keys, "_row", "_gram.*")
-    counted = each.groupBy(*keys, "_row", "n", "gram").agg(F.count_if(F.col("side") == 0).alias("c"), F.count_if(F.col("side") == 1).alias("r"))
-    at = lambda value, n: F.coalesce(F.sum(F.when(F.col("n") == n, value)), F.lit(0))
-    ns = range(1, ORDER + 1)
-    return counted.groupBy(*keys, "_row").agg(
-        F.array(*(at(F.least("c", "r"), n) for n in ns)).alias("hits"),
-        F.array(*(at(F.col("c"), n) for n in ns)).alias("totals"),
-        at(F.col("c"), 1).alias("candidate_length"),
-        at(F.col("r"), 1).alias("reference_length"),
-    ).drop("_row")
-
-
-def summed(counts: DataFrame, *keys: str) -> DataFrame:
-    """Counts added up by keys: those of a group or, without keys, of a corpus."""
+    def counted(c: list[str], r: list[str]) -> tuple[list[int], list[int]]:
+        hits = []
+        for n in range(1, ORDER + 1):
+            own, other = (Counter(zip(*(w[k:] for k in range(n)), strict=False)) for w in (c, r))
+            hits.append(sum(min(x, other[g]) for g, x in own.items() if g in other))
+        return hits, [max(0, len(c) - k) for k in range(ORDER)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                c, r = ([x or [] for x in part.column(len(keys) + k).to_pylist()] for k in (0, 1))
+                hits, totals = zip(*map(counted, c, r), strict=True)
+                lengths = (pa.array(map(len, x), pa.int64()) for x in (c, r))
+                yield pa.record_batch([*part.columns[: len(keys)], *(pa.array(x, pa.list_(pa.int64())) for x in (hits, totals)), *lengths], names=[*keys, *COUNTS])
+
+    own = rows.select(*keys, candidate.alias("_c"), reference.alias("_r"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keys)]]
+    return own.mapInArrow(run, ", ".join([*kinds, *(f"{x} {kind}" for x, kind in COUNTS.items())]))
+
+
+def summed(counts: DataFrame, *keys: str, more: list[Column] = ()) -> DataFrame:
+    """Counts added up by keys: those of a group or, without keys, of a corpus; with `more` aggregates of the same rows."""
     arrays = [F.array(*(F.sum(F.col(a)[i]) for i in range(ORDER))).alias(a) for a in ("hits", "totals")]
-    return counts.groupBy(*keys).agg(*arrays, *(F.sum(c).alias(c) for c in ("candidate_length", "reference_length")))
+    return counts.groupBy(*keys).agg(*arrays, *(F.sum(c).alias(c) for c in ("candidate_length", "reference_length")), *more)
 
 
 def bleu(hits: Column, totals: Column, candidate_length: Column, reference_length: Column) -> Column:

@@ -1,10 +1,13 @@
 """Steps whose rows or memory grew faster than their input, against loops and by their plans."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from glossmill.operators import switching as W
+from glossmill.operators import translation as B
+from glossmill.plans import registry
 
 
 def plan(df):
@@ -32,3 +35,18 @@ def test_names_of_an_entry_are_compared_within_its_row(spark):
     assert plan(out).count("Generate ") == 1 and {r["mention"] for r in out.collect()} == {i for i, (_, cands) in said.items() if cands}
     empty = spark.createDataFrame([(c, []) for c in known], "cui string, aliases array<string>")
     assert W.entity_aliases(mentions, empty, "all").where(F.lit(True)).count() == 0
+
+
+def test_n_grams_are_counted_within_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, None if i % 50 == 0 else [rng.choice(["a", "b c", "c", ""]) for _ in range(rng.randrange(0, 12))], [rng.choice(["a", "b c", "c"]) for _ in range(rng.randrange(0, 12))]) for i in range(300)]
+    out = B.ngram_counts(spark.createDataFrame(rows, "i int, c array<string>, r array<string>"), ["i"], F.col("c"), F.col("r"))
+    assert "Generate " not in plan(out) and "Aggregate " not in plan(out)
+    grams = lambda w, n: Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    want = {i: ([sum((grams(c or [], n) & grams(r, n)).values()) for n in range(1, 5)], [sum(grams(c or [], n).values()) for n in range(1, 5)], len(c or []), len(r)) for i, c, r in rows}
+    assert {x["i"]: (x["hits"], x["totals"], x["candidate_length"], x["reference_length"]) for x in out.collect()} == want
+
+
+def test_both_means_come_from_one_pass(spark):
+    out = registry.queries()["agg_bleu_mean"](spark, "/root/testdata/sf0.001")
+    assert plan(out).count("Relation [") == 1
