@@ -348,7 +348,9 @@ def _(t):
         return ["Sure: " + json.dumps({"n": len(p)}) for p in prompts]
 
     asked = t("conversations").where("role = 'user' AND text IS NOT NULL").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
-    out = models.call_model(asked, "id", "text", model, models.Pace(batch=8, most=3), done=asked.where("turn = 0"))
+    path = S.scratch(t.spark)  # results and rejects are read from what was answered once
+    models.call_model(asked, "id", "text", model, models.Pace(batch=8, most=3), done=asked.where("turn = 0")).write.parquet(path)
+    out = t.spark.read.parquet(path)
     parsed, _ = models.parse_responses(out.where("error IS NULL"), "n bigint")
     key = lambda i: F.split_part("id", F.lit(":"), F.lit(i)).cast("bigint")
     return out.where("error IS NOT NULL").select(key(1).alias("conv_id"), key(2).alias("turn"), "error", F.lit(None).cast("string").alias("n")).unionByName(parsed.select(key(1).alias("conv_id"), key(2).alias("turn"), F.lit(None).cast("string").alias("error"), F.col("parsed.n").cast("string").alias("n")))

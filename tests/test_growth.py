@@ -50,3 +50,9 @@ def test_n_grams_are_counted_within_rows(spark):
 def test_both_means_come_from_one_pass(spark):
     out = registry.queries()["agg_bleu_mean"](spark, "/root/testdata/sf0.001")
     assert plan(out).count("Relation [") == 1
+
+
+def test_a_request_is_asked_once(spark):
+    """Results and rejects come from one table of answers, so that no plan that is read asks the model again."""
+    out = registry.queries()["llm_batch_call"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in plan(out) and out.count() > 0
