@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import structure
 from glossmill.operators import instructions, leakage, mixture
+from glossmill.sources.files import scratch
 
 from .common import LOG, command_line
 
@@ -30,6 +31,12 @@ DEFAULTS = {"percent": {}, "modes": ["pure_text"], "least_sentences": 1, "leak_w
 MIXTURE = "doc_id bigint, text string, tokens bigint, cycle int, lang string, mode string"
 
 
+def with_sentences(texts: DataFrame, least: int) -> DataFrame:
+    """texts with the sentences of their abstracts, where there are so many; a generator keeps the filter above it, so that a text is cut once."""
+    cut = F.explode(F.array(structure.sentences(F.col("abstract")))).alias("sentences")
+    return texts.select("*", cut).where(F.size("sentences") >= least)
+
+
 def write_records(spark: SparkSession, documents: str, benchmark: str, output: str, config: dict) -> DataFrame:
     docs = spark.read.parquet(documents)
     held = spark.read.parquet(benchmark)
@@ -37,7 +44,7 @@ def write_records(spark: SparkSession, documents: str, benchmark: str, output: s
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isin(list(config["percent"])))
     clean = mixture.exclude(usable, "doc_id", leakage.leaking(usable, "doc_id", held, config["leak_words"]))
     one = clean.groupBy("lang", "doc_id").agg(F.min("text").alias("abstract"))
-    parts = one.withColumn("sentences", structure.sentences(F.col("abstract"))).where(F.size("sentences") >= config["least_sentences"])
+    parts = with_sentences(one, config["least_sentences"])
     path = f"{output}/records"
     parts.withColumn("title", F.get("sentences", F.lit(0))).write.mode("overwrite").partitionBy("lang").parquet(path)
     records = spark.read.schema("abstract string, title string, sentences array<string>, doc_id bigint, lang string").parquet(path)
@@ -58,6 +65,9 @@ def run(spark: SparkSession, documents: str, benchmark: str, output: str, config
         F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).cast("bigint").alias("tokens"),
         F.md5(F.concat_ws(":", F.lit(config["seed"]), "docid", "mode")).alias("place"),
     )
+    made = scratch(spark)  # the order looks at all rows twice, once for its ranges: they are made and counted before
+    rows.write.parquet(made)
+    rows = spark.read.schema(rows.schema).parquet(made)
     budgets = {lang: mixture.percent(n) for lang, n in config["percent"].items()}
     mixed = mixture.budget_prefixes(rows, "lang", "tokens", budgets, "place")
     path = f"{output}/mixture"

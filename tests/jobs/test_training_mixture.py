@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobs import common, training_mixture
 from glossmill.operators import leakage
@@ -105,3 +106,18 @@ def test_command_line(spark, tmp_path):
     assert "read 60 documents" in said.stderr and "wrote ja completion" in said.stderr
     again = training_mixture.run(spark, docs, bench, str(tmp_path / "again"), CONFIG)
     assert rows_of(spark.read.parquet(str(tmp_path / "out" / "mixture"))) == rows_of(again)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_cut_once_and_instructions_are_made_before_they_are_ordered(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([(1, "A. B."), (2, "A")], "doc_id bigint, abstract string")
+    cut = training_mixture.with_sentences(texts, 2)
+    assert [tuple(r) for r in cut.collect()] == [(1, "A. B.", ["A.", "B."])]
+    assert plan_of(cut.withColumn("title", F.get("sentences", F.lit(0)))).count("(?<=[.!?])") == 1
+    seen, real = [], training_mixture.mixture.budget_prefixes
+    monkeypatch.setattr(training_mixture.mixture, "budget_prefixes", lambda rows, *a: seen.append(plan_of(rows)) or real(rows, *a))
+    training_mixture.run(spark, *tables(spark, tmp_path, many()), str(tmp_path / "out"), CONFIG)
+    assert len(seen) == 1 and "regexp_extract_all" not in seen[0] and "Union" not in seen[0]
