@@ -12,11 +12,10 @@ Which 50-byte strings of a document also start in an earlier one is found in ste
    their bytes. Among n different fragments some two are taken for equal with odds of about n * n / 2 ** 97: one in
    ten million for 10 ** 11 fragments (some 2 TB of text).
 3. Contents that have no window in common with another of their minimizer, by a hash of windows, are left out here.
-   The others are numbered by their first documents. For each bit of these numbers, those of a bucket
-   that have a 0 there are joined to one text of which a run-compressed Burrows-Wheeler transform with sampled run ends
-   is built; those that have a 1 are streamed against it. Of two contents, the earlier one is indexed and the later one
-   streamed at the highest bit in which they differ. Matching statistics of 50 bytes or more are repeats, if the first
-   document that has the matched string, known by runs of rows, is an earlier one.
+   Of the others, those that are the first to have a shared window are joined to one text of which a run-compressed
+   Burrows-Wheeler transform with sampled run ends is built; those with a window of an earlier document are streamed
+   against it (one may be both). Matching statistics of 50 bytes or more are repeats, if the first document that has
+   the matched string, known by runs of rows, is an earlier one.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ from .jaccard import _powers, mix
 #: Bytes of a repeated string, and of the strings that minimizers are.
 LENGTH, SEED_BYTES = 50, 20
 #: Bytes of a text that are hashed at once, and fragments that a task holds before it sends them.
-PORTION, FLUSH = 1 << 19, 300_000
+PORTION, FLUSH = 1 << 15, 300_000
 #: Buckets of minimizers for each shuffle partition.
 BUCKETS_PER_PARTITION = 8
 #: Bytes of contents that are indexed and streamed together, so that their index stays in a processor's cache; groups
@@ -63,32 +63,67 @@ def _sizes(length: int) -> dict[str, int]:
     return _SENT | {"n": 1 if length - SEED_BYTES + 1 < 256 else 4}
 
 
-def fragments(raw: np.ndarray, length: int = LENGTH, seed_bytes: int = SEED_BYTES, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The fragments of a text's bytes: minimizer hash, content hash, first window, number of windows.
+def _portions(ends: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, stop, ends of texts within): whole texts of PORTION bytes together; a longer one in portions of its own,
+    cut at the same places wherever it stands."""
+    start, i = 0, 0
+    while i < len(ends):
+        j = int(np.searchsorted(ends, start + PORTION, "right"))
+        if j > i:
+            yield start, int(ends[j - 1]), ends[i:j] - start
+            i = j
+        else:
+            for at in range(start, int(ends[i]) - length + 1, PORTION):
+                stop = min(int(ends[i]), at + PORTION + length - 1)
+                yield at, stop, np.array([stop - at])
+            i += 1
+        start = int(ends[i - 1])
 
+
+def fragments(raw: np.ndarray, length: int = LENGTH, seed_bytes: int = SEED_BYTES, hot: np.ndarray | None = None, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The fragments of texts' bytes: minimizer hash, content hash, first window (its place in raw), number of windows.
+
+    raw holds the texts one after another; ends says where each ends (default: one text). No window crosses an end.
     A fragment of a minimizer among `hot` (upper 48 bits, sorted) is cut into its windows, each under its own hash.
     """
     width = length - seed_bytes + 1
+    kind, bits = (np.uint32, 16) if PORTION + length <= 1 << 16 else (np.uint64, 32)
+    low, drop = kind((1 << bits) - 1), np.uint64(64 - 8 * kind().itemsize)
     out = []
-    for at in range(0, len(raw) - length + 1, PORTION):
-        b = raw[at : at + PORTION + length - 1].astype(np.uint64) + np.uint64(1)
+    for begin, stop, until in _portions(np.array([len(raw)]) if ends is None else ends, length):
+        windows = stop - begin - length + 1
+        if windows <= 0:
+            continue
+        b = raw[begin:stop].astype(np.uint64)
+        b += np.uint64(1)
         p, inverse = _powers(len(b) + 1)
+        b *= p[: len(b)]
         total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(b * p[: len(b)], out=total[1:])
-        seeds = len(b) - seed_bytes + 1
-        v = mix((total[seed_bytes:] - total[:-seed_bytes]) * inverse[:seeds])
-        low = np.uint64((1 << 20) - 1)
-        least = (v & ~low) | np.arange(seeds, dtype=np.uint64)  # of equal seeds in a window, the first
+        np.cumsum(b, out=total[1:])
+        seeds = total[seed_bytes:] - total[:-seed_bytes]
+        seeds *= inverse[: len(seeds)]
+        least = (seeds >> drop).astype(kind)  # seeds are ordered by their upper bits
+        least &= ~low
+        least |= np.arange(len(seeds), dtype=kind)  # of equal seeds in a window, the first
         span = 1
         while span * 2 <= width:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         if span < width:
             least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        where = (least & low).astype(np.int64)
-        lo = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        n = np.diff(np.append(lo, len(where)))
-        h = v[where[lo]]
+        least &= low
+        edge = np.ones(windows, bool)
+        np.not_equal(least[1:], least[:-1], out=edge[1:])
+        valid = np.ones(windows, bool)
+        if len(until) > 1:
+            crossing = (until[:-1, None] - np.arange(1, length)).ravel()
+            valid[crossing[(crossing >= 0) & (crossing < windows)]] = False
+            edge[1:] |= valid[1:] != valid[:-1]
+        lo = np.flatnonzero(edge)
+        n = np.diff(np.append(lo, windows))
+        own = valid[lo]
+        lo, n = lo[own], n[own]
+        h = mix(seeds[least[lo]])
         if hot is not None and len(hot):
             own = h >> np.uint64(16)
             among = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
@@ -100,12 +135,21 @@ def fragments(raw: np.ndarray, length: int = LENGTH, seed_bytes: int = SEED_BYTE
                 h[alone] = mix((total[lo[alone] + length] - total[lo[alone]]) * inverse[lo[alone]] + np.uint64(length))
         end = lo + n + length - 1
         content = mix((total[end] - total[lo]) * inverse[lo] + n.astype(np.uint64))
-        out.append((h, content, lo + at, n))
+        out.append((h, content, lo + begin, n))
     if not out:
         return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a column's texts, one after another, and where each starts and ends; null is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    return raw, at[:-1] - at[0], at[1:] - at[0]
+
+
 def packed(x: np.ndarray, sizes: dict[str, int]) -> bytes:
     """Fragments as bytes, one plane of bytes after another: the high ones are nearly all zero and compress away."""
     return b"".join(np.ascontiguousarray(x[c]).view(np.uint8).reshape(len(x), -1)[:, :k].T.tobytes() for c, k in sizes.items())
@@ -306,36 +350,59 @@ class RunLengthIndex:
             yield own, sizes[own] - (width - col), keep, q
 
 
-def sharing(contents: list[bytes], groups: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The places of the contents that may have a window in common with another content of their group.
+def roles(contents: list[bytes], docs: np.ndarray, groups: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(known, asked): places of contents that the index must hold, and of those that must be streamed against it.
 
-    Windows are compared by a hash: what has none in common with any other needs no index; what has one is for the
-    index to decide. Groups go together by INDEXED bytes, and stay whole.
+    Windows are met by a hash. Held are contents of the first document that has some shared window, streamed those with
+    a window that stands in an earlier document; what shares no window is neither. Where one hash has different windows
+    (bytes are compared), all their contents are both. Groups go together by INDEXED bytes, and stay whole.
     """
+    if not len(docs):
+        return
     order = np.argsort(groups, kind="stable")
     own = groups[order]
     sizes = np.array([len(c) for c in contents], np.int64)[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     portion = np.repeat(np.cumsum(np.add.reduceat(sizes, first)) // INDEXED, np.diff(np.append(first, len(own))))
-    keep = np.zeros(len(contents), dtype=bool)
     for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(portion)) + 1):
         some, n = order[part], sizes[part]
         windows = np.maximum(n - length + 1, 0)
-        raw = np.frombuffer(b"".join([contents[i] for i in some]), np.uint8).astype(np.uint64) + np.uint64(1)
+        raw = np.frombuffer(b"".join([contents[i] for i in some]), np.uint8)
         p, inverse = _powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(raw * p[: len(raw)], out=total[1:])
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=total[1:])
         ends = np.cumsum(windows)
         at = np.arange(ends[-1]) + np.repeat(np.cumsum(n) - n - ends + windows, windows)
+        if not len(at):
+            continue
         of = np.repeat(np.arange(len(some)), windows)
         h = mix((total[at + length] - total[at]) * inverse[at]) + np.repeat(groups[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), windows)
         by = np.argsort(h)
-        h, of = h[by], of[by]
-        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        if len(new):
-            several = np.minimum.reduceat(of, new) != np.maximum.reduceat(of, new)
-            keep[some[of[np.repeat(several, np.diff(np.append(new, len(h))))]]] = True
-    return np.flatnonzero(keep)
+        h, of, at = h[by], of[by], at[by]
+        doc = docs[some][of]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        start, run = np.flatnonzero(new), np.cumsum(new) - 1
+        least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+        words = _words(np.concatenate([raw, np.zeros(8, np.uint8)]))
+        pair = np.flatnonzero(~new & (least < most)[run])
+        unlike = np.zeros(len(pair), bool)
+        for k in [*range(0, length - 8, 8), length - 8]:
+            unlike |= words[at[pair] + k] != words[at[pair - 1] + k]
+        mixed = np.zeros(len(start), bool)
+        mixed[run[pair[unlike]]] = True
+        shared, mixed, least = (least < most)[run], mixed[run], least[run]
+        out = []
+        for which in (shared & ((doc == least) | mixed), shared & ((doc > least) | mixed)):
+            keep = np.zeros(len(some), bool)
+            keep[of[which]] = True
+            out.append(some[keep])
+        yield tuple(out)
+
+
+def sharing(contents: list[bytes], groups: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The places of the contents that may have a window in common with another content of their group."""
+    both = [x for pair in roles(contents, np.arange(len(contents)), groups, length) for x in pair]
+    return np.unique(np.concatenate(both)) if both else np.zeros(0, np.int64)
 
 
 def repeated_windows(contents: list[bytes], docs: np.ndarray, groups: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -343,44 +410,21 @@ def repeated_windows(contents: list[bytes], docs: np.ndarray, groups: np.ndarray
 
     Only contents of one group have windows in common.
     """
-    if len(docs):
-        some = sharing(contents, groups, length)
-        if len(some) < len(docs):
-            t, p, n = repeated_windows([contents[i] for i in some], docs[some], groups[some], length)
-            return some[t], p, n
-    if not len(docs):
-        return tuple(np.zeros(0, np.int64) for _ in range(3))
-    order = np.lexsort((docs, groups))
-    new = np.concatenate([[True], groups[order][1:] != groups[order][:-1]])
-    start = np.flatnonzero(new)
-    sizes = np.diff(np.append(start, len(docs)))
-    number, size, portion = (np.empty(len(docs), np.int64) for _ in range(3))
-    number[order] = np.arange(len(docs)) - np.repeat(start, sizes)
-    size[order] = np.repeat(sizes, sizes)
-    # groups of about one size go together: a portion takes as many indexes as its largest group has bits
-    volume = np.add.reduceat(np.array([len(c) for c in contents], np.int64)[order], start)
-    by_size = np.argsort(sizes, kind="stable")
-    of_group = np.empty(len(start), np.int64)
-    of_group[by_size] = np.cumsum(volume[by_size]) // INDEXED
-    portion[order] = np.repeat(of_group, sizes)
-    by_portion = np.argsort(portion, kind="stable")
     hits_t, hits_p = [], []
-    for own in np.split(by_portion, np.flatnonzero(np.diff(portion[by_portion])) + 1):
-        for bit in range(int(size[own].max() - 1).bit_length()):
-            some = own[size[own] > 1 << bit]
-            known, asked = some[number[some] >> bit & 1 == 0], some[number[some] >> bit & 1 == 1]
-            index = RunLengthIndex([contents[i] for i in known], docs[known], length)
-            for text, place, n, row in index.matching_statistics([contents[i] for i in asked]):
-                hit = np.flatnonzero(n >= length)
-                if len(hit):
-                    hit = hit[index.least_owner(row[hit]) < docs[asked[text[hit]]]]
-                    hits_t.append(asked[text[hit]])
-                    hits_p.append(place[hit])
+    for known, asked in roles(contents, docs, groups, length):
+        if not len(asked):
+            continue
+        index = RunLengthIndex([contents[i] for i in known], docs[known], length)
+        for text, place, n, row in index.matching_statistics([contents[i] for i in asked]):
+            hit = np.flatnonzero(n >= length)
+            if len(hit):
+                hit = hit[index.least_owner(row[hit]) < docs[asked[text[hit]]]]
+                hits_t.append(asked[text[hit]])
+                hits_p.append(place[hit])
     t, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hits_t, hits_p))
     if len(t):
-        width = int(p.max()) + 1
-        both = np.unique(t * width + p)
-        t, p = both // width, both % width
+        order = np.lexsort((p, t))
+        t, p = t[order], p[order]
     at = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)])) if len(t) else np.zeros(0, np.int64)
     return t[at], p[at], np.diff(np.append(at, len(t)))
 
@@ -403,8 +447,8 @@ def _hot(docs: DataFrame, length: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            own = [fragments(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8), length)[:2] for t in b.column(0).to_pylist()]
-            pairs = np.unique(np.stack([np.concatenate([x[k] for x in own]) >> np.uint64(16) for k in (0, 1)]), axis=1)
+            raw, _, ends = _bytes_of(b.column(0))
+            pairs = np.unique(np.stack([x >> np.uint64(16) for x in fragments(raw, length, ends=ends)[:2]]), axis=1)
             yield pa.record_batch({"h": pa.array(pairs[0].view(np.int64)), "f": pa.array(pairs[1].view(np.int64))})
 
     least = max(HOT_LEAST, int(HOT_SHARE * min(total, HOT_SAMPLE)))
@@ -412,6 +456,18 @@ def _hot(docs: DataFrame, length: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in many.select("h").collect()], dtype=np.int64).astype(np.uint64))
 
 
+def _first_docs(x: np.ndarray) -> np.ndarray:
+    """For each fragment, the least document among those here with its content (both hashes)."""
+    h, f, doc = (np.ascontiguousarray(x[k]) for k in ("h", "f", "doc"))
+    order = np.argsort(h << np.uint64(16) ^ f)  # equal contents come together; unlike ones may stand between them, which leaves them to step 2
+    h, f = h[order], f[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])])
+    at = np.flatnonzero(new)
+    least = np.empty(len(x), np.int64)
+    least[order] = np.minimum.reduceat(doc[order], at)[np.cumsum(new) - 1]
+    return least
+
+
 def _sent(docs: DataFrame, buckets: int, length: int, hot: np.ndarray) -> DataFrame:
     """Step 1: rows (bucket, payload). A bucket of -1 or less holds spans that are known to be repeated already."""
     sizes = _sizes(length)
@@ -425,11 +481,7 @@ def _sent(docs: DataFrame, buckets: int, length: int, hot: np.ndarray) -> DataFr
             held.clear()
             if not len(x):
                 return
-            order = np.lexsort((x["doc"], x["f"], x["h"]))
-            h, f = x["h"][order], x["f"][order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])])
-            least = np.empty(len(x), np.int64)
-            least[order] = x["doc"][order][new][np.cumsum(new) - 1]
+            least = _first_docs(x)
             later = x["doc"] > least  # the same content stands in an earlier document of this task
             ids, blobs = [], []
             if later.any():
@@ -447,7 +499,7 @@ def _sent(docs: DataFrame, buckets: int, length: int, hot: np.ndarray) -> DataFr
                     ids.append(-1 - (int(s["key"][k]) + int(s["lo"][k])) % buckets)
                     blobs.append(s[k : k + 20_000].tobytes())
             x = x[~later]
-            b = (x["h"] % np.uint64(buckets)).astype(np.int64)
+            b = (x["h"] % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
             order = np.argsort(b, kind="stable")
             own, cut = np.unique(b[order], return_index=True)
             for k, part in zip(own.tolist(), np.split(x[order], cut[1:]), strict=True):
@@ -457,16 +509,18 @@ def _sent(docs: DataFrame, buckets: int, length: int, hot: np.ndarray) -> DataFr
                 yield pa.record_batch({"bucket": pa.array(ids[k : k + 256], pa.int64()), "payload": pa.array(blobs[k : k + 256], pa.binary())})
 
         for batch in steps(batches, "text"):
-            for d, key, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                h, f, lo, n = fragments(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8), length, hot=hot)
-                x = np.zeros(len(h), _FRAGMENT)
-                x["h"], x["f"], x["doc"], x["key"], x["lo"], x["n"] = h >> np.uint64(16), f >> np.uint64(16), d, key, lo, n
-                held.append(x)
-                total += len(x)
-                if total >= FLUSH:
-                    yield from flush()
-                    total = 0
-                    trim()
+            raw, starts, ends = _bytes_of(batch.column(2))
+            h, f, lo, n = fragments(raw, length, hot=hot, ends=ends)
+            of = np.searchsorted(ends, lo, "right")
+            x = np.zeros(len(h), _FRAGMENT)
+            x["h"], x["f"], x["lo"], x["n"] = h >> np.uint64(16), f >> np.uint64(16), lo - starts[of], n
+            x["doc"], x["key"] = (batch.column(k).to_numpy()[of] for k in (0, 1))
+            held.append(x)
+            total += len(x)
+            if total >= FLUSH:
+                yield from flush()
+                total = 0
+                trim()
         yield from flush()
         trim()
 
@@ -507,10 +561,12 @@ def _meet(batches: Iterator[pa.RecordBatch], sizes: dict[str, int]) -> Iterator[
         x = np.concatenate([unpacked(blob, sizes) for _, blob in rows])
         rows.clear()
         # only minimizers that stand in two documents matter
-        order = np.argsort(x["h"], kind="stable")
-        new = np.concatenate([[True], x["h"][order][1:] != x["h"][order][:-1]])
+        h, doc = np.ascontiguousarray(x["h"]), np.ascontiguousarray(x["doc"])
+        order = np.argsort(h)
+        h, doc = h[order], doc[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
         at = np.flatnonzero(new)
-        low, high = np.minimum.reduceat(x["doc"][order], at), np.maximum.reduceat(x["doc"][order], at)
+        low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
         x = x[order][(low < high)[np.cumsum(new) - 1]]
         if not len(x):
             continue
