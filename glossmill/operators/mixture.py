@@ -54,6 +54,18 @@ def budget_prefixes(rows: DataFrame, source: str, tokens: str, budgets: dict[str
     return again.unionByName(inside).unionByName(crossing.select(*rows.columns, F.col("_cycles").alias("cycle")))
 
 
+def last_places(chosen: DataFrame, source: str, order: str) -> dict[str, list[tuple[int, str]]]:
+    """For each source, (cycle, the last `order` that is read in it), of the rows of budget_prefixes.
+
+    A row of a source is in a cycle if its order is not beyond that, so rows need not be stored in order with their
+    texts. A row per source and cycle comes to the driver.
+    """
+    out: dict[str, list[tuple[int, str]]] = {}
+    for r in chosen.groupBy(source, "cycle").agg(F.max(order).alias("last")).collect():
+        out.setdefault(r[source], []).append((r["cycle"], r["last"]))
+    return {k: sorted(x) for k, x in out.items()}
+
+
 def budget_prefix(rows: DataFrame, tokens: str, budget: Budget, order: str) -> DataFrame:
     """budget_prefixes of one source."""
     return budget_prefixes(rows.withColumn("_source", F.lit("")), "_source", tokens, {"": budget}, order).drop("_source")

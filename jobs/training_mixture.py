@@ -15,6 +15,8 @@ Written under the output folder, each time anew and as a whole, so that a rerun
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import structure
 from glossmill.operators import instructions, leakage, mixture
-from glossmill.sources.files import scratch
+from glossmill.sources.files import scratch, temporary
 
 from .common import LOG, command_line
 
 CONFIG = Path(__file__).with_suffix(".json")
 DEFAULTS = {"percent": {}, "modes": ["pure_text"], "least_sentences": 1, "leak_words": 13, "seed": "mixture"}
+#: Of all that is written: what is read again stands next to its first reading, and takes little room so.
+WRITTEN = {"compression": "zstd"}
 MIXTURE = "doc_id bigint, text string, tokens bigint, cycle int, lang string, mode string"
 
 
@@ -46,7 +50,7 @@ def write_records(spark: SparkSession, documents: str, benchmark: str, output: s
     one = clean.groupBy("lang", "doc_id").agg(F.min("text").alias("abstract"))
     parts = with_sentences(one, config["least_sentences"])
     path = f"{output}/records"
-    parts.withColumn("title", F.get("sentences", F.lit(0))).write.mode("overwrite").partitionBy("lang").parquet(path)
+    parts.withColumn("title", F.get("sentences", F.lit(0))).write.mode("overwrite").partitionBy("lang").parquet(path, **WRITTEN)
     records = spark.read.schema("abstract string, title string, sentences array<string>, doc_id bigint, lang string").parquet(path)
     LOG.info("wrote %d records to %s", records.count(), path)
     return records
@@ -65,13 +69,21 @@ def run(spark: SparkSession, documents: str, benchmark: str, output: str, config
         F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).cast("bigint").alias("tokens"),
         F.md5(F.concat_ws(":", F.lit(config["seed"]), "docid", "mode")).alias("place"),
     )
-    made = scratch(spark)  # the order looks at all rows twice, once for its ranges: they are made and counted before
-    rows.write.parquet(made)
-    rows = spark.read.schema(rows.schema).parquet(made)
     budgets = {lang: mixture.percent(n) for lang, n in config["percent"].items()}
-    mixed = mixture.budget_prefixes(rows, "lang", "tokens", budgets, "place")
+    with temporary():
+        # the order is of counts alone; texts are made again for the rows that it takes, and stored in the mixture only
+        path = scratch(spark)
+        counts = rows.select("lang", "tokens", "place")
+        counts.write.parquet(path, **WRITTEN)
+        last = mixture.last_places(mixture.budget_prefixes(spark.read.schema(counts.schema).parquet(path), "lang", "tokens", budgets, "place"), "lang", "place")
+    read = F.lit(None).cast("array<int>")  # the cycles that a row is read in
+    for lang, cycles in last.items():
+        read = F.when(F.col("lang") == lang, F.filter(F.array(*(F.when(F.col("place") <= end, F.lit(n)) for n, end in cycles)), lambda n: n.isNotNull())).otherwise(read)
+    inside = reduce(or_, ((F.col("lang") == lang) & (F.col("place") <= max(end for _, end in cycles)) for lang, cycles in last.items()), F.lit(False))
+    mixed = rows.where(inside).withColumn("cycle", F.explode(read))
     path = f"{output}/mixture"
-    mixed.select("doc_id", "text", "tokens", "cycle", "lang", "mode").write.mode("overwrite").partitionBy("lang", "mode").parquet(path)
+    mixed = mixed.sortWithinPartitions("lang", "mode", "place", "cycle").select("doc_id", "text", "tokens", "cycle", "lang", "mode")
+    mixed.write.mode("overwrite").partitionBy("lang", "mode").parquet(path, **WRITTEN)
     out = spark.read.schema(MIXTURE).parquet(path)
     report = out.groupBy("lang", "mode").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("tokens"), F.count_distinct("doc_id").alias("documents"))
     report.coalesce(1).write.mode("overwrite").json(f"{output}/report")
